@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import bpe, decontam, secrets, simhash
+from corpusmill.llm import bpe, decontam, rules, secrets, simhash
 from corpusmill.llm.common import table
 
 
@@ -23,6 +23,11 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return rules.judge(docs, rules.learn_from(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -32,6 +37,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_bpe": op1_bpe,
         "op6_simhash": op6_simhash,
         "op7_secrets": op7_secrets,
+        "op9_quality_rules": op9_quality_rules,
         "op10_decontamination": op10_decontamination,
     }
 

@@ -7,14 +7,19 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import bpe, decontam, rules, secrets, simhash
-from corpusmill.llm.common import table
+from corpusmill.llm import bpe, decontam, langid, rules, secrets, simhash
+from corpusmill.llm.common import id_bucket, table
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), id_bucket("doc_id", 4) == 2
+    return langid.predict(docs, langid.fit(docs, ~held_out), held_out)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -35,6 +40,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op2_language_id": op2_language_id,
         "op6_simhash": op6_simhash,
         "op7_secrets": op7_secrets,
         "op9_quality_rules": op9_quality_rules,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import bpe, decontam, langid, rules, secrets, simhash
+from corpusmill.llm import bpe, decontam, langid, rules, secrets, simhash, urlfilter
 from corpusmill.llm.common import id_bucket, table
 
 
@@ -20,6 +20,46 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs, ~held_out), held_out)
 
 
+#: Fixed values of the query: the rules, and domains of spam, betting, tracking and adult sites.
+URL_RULES = [
+    urlfilter.Rule("com", "/", "allow"),
+    urlfilter.Rule("example.com", "/en/", "block"),
+    urlfilter.Rule("www.example.com", "/en/", "allow"),
+    urlfilter.Rule("net", "/es/", "block"),
+    urlfilter.Rule("net", "/fr/", "block"),
+]
+LISTED_NAMES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+LISTED_DOMAINS = [f"{name}.example.{top}" for name in LISTED_NAMES for top in ("com", "net", "org")]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = spark.createDataFrame([(d,) for d in LISTED_DOMAINS], "key string")
+    return urlfilter.judge(table(spark, sf_dir, "pages"), listed, URL_RULES)
+
+
+OP5_SQL = f"""
+WITH parts AS (
+  SELECT page_id,
+         translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{urlfilter.UPPER}', '{urlfilter.LOWER}') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), rules(rule_host, rule_path, ruled) AS (
+  VALUES {", ".join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in URL_RULES)}
+), fits AS (
+  SELECT host, path, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(ruled, length(rule_host || rule_path)) AS ruled
+  FROM (SELECT DISTINCT host, path FROM parts), rules
+  WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY host, path
+), seen AS (
+  SELECT host, bool_or(host = domain OR ends_with(host, '.' || domain)) AS listed
+  FROM (SELECT DISTINCT host FROM parts), (VALUES {", ".join(f"('{d}')" for d in LISTED_DOMAINS)}) AS d(domain)
+  GROUP BY host
+)
+SELECT page_id, p.host, p.path, rule, coalesce(ruled, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, listed
+FROM parts p LEFT JOIN fits f ON p.host = f.host AND p.path = f.path JOIN seen s ON p.host = s.host
+"""
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -41,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
         "op2_language_id": op2_language_id,
+        "op5_url_filter": op5_url_filter,
         "op6_simhash": op6_simhash,
         "op7_secrets": op7_secrets,
         "op9_quality_rules": op9_quality_rules,
@@ -49,4 +90,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_url_filter": OP5_SQL,
+    }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import bpe, decontam, langid, rules, secrets, simhash, urlfilter
+from corpusmill.llm import bpe, cotrain, decontam, langid, rules, secrets, simhash, urlfilter
 from corpusmill.llm.common import id_bucket, table
 
 
@@ -20,6 +20,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs, ~held_out), held_out)
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return cotrain.score(docs, cotrain.fit(docs, table(spark, sf_dir, "labels")))
+
+
 #: Fixed values of the query: the rules, and domains of spam, betting, tracking and adult sites.
 URL_RULES = [
     urlfilter.Rule("com", "/", "allow"),
@@ -81,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
         "op2_language_id": op2_language_id,
+        "op4_quality_classifier": op4_quality_classifier,
         "op5_url_filter": op5_url_filter,
         "op6_simhash": op6_simhash,
         "op7_secrets": op7_secrets,

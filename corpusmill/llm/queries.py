@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import bpe, cotrain, decontam, langid, rules, secrets, simhash, urlfilter
+from corpusmill.llm import bpe, cotrain, decontam, langid, lm, rules, secrets, simhash, urlfilter
 from corpusmill.llm.common import id_bucket, table
 
 
@@ -73,6 +73,12 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), id_bucket("doc_id", 10) == 0
+    automaton, counts = lm.train(docs.where(~held_out).select("text"))
+    return lm.score(docs, automaton, counts, held_out)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return rules.judge(docs, rules.learn_from(docs, table(spark, sf_dir, "labels")))
@@ -90,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_url_filter": op5_url_filter,
         "op6_simhash": op6_simhash,
         "op7_secrets": op7_secrets,
+        "op8_lm_scoring": op8_lm_scoring,
         "op9_quality_rules": op9_quality_rules,
         "op10_decontamination": op10_decontamination,
     }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import bpe, cotrain, decontam, langid, lm, rules, secrets, simhash, urlfilter
+from corpusmill.llm import bpe, chat, cotrain, decontam, langid, lm, rules, secrets, simhash, urlfilter
 from corpusmill.llm.common import id_bucket, table
 
 
@@ -20,6 +20,55 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs, ~held_out), held_out)
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link(table(spark, sf_dir, "conversations"))
+
+
+#: The same by plain grouping: passages are runs of lines of one level that no empty line parts.
+OP3_SQL = """
+WITH RECURSIVE lines AS (
+  SELECT conv_id, turn, text, row_id, n,
+         length(regexp_replace(regexp_extract(line, '^[ \t]*((?:>[ \t]*)+)', 1), '[^>]', '', 'g')) AS level,
+         regexp_replace(line, '^[ \t]*((?:>[ \t]*)+)', '') AS bare
+  FROM (SELECT *, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n
+        FROM (SELECT *, row_number() OVER () AS row_id FROM conversations))
+), runs AS (
+  SELECT *, sum(CASE WHEN trim(bare) = '' OR level IS DISTINCT FROM before OR trim(bare_before) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY row_id ORDER BY n) AS run
+  FROM (SELECT *, lag(level) OVER w AS before, lag(bare) OVER w AS bare_before FROM lines WINDOW w AS (PARTITION BY row_id ORDER BY n))
+), passages AS (
+  SELECT row_id, conv_id, turn, level, md5(trim(regexp_replace(lower(string_agg(bare, chr(10) ORDER BY n)), '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS hash
+  FROM runs WHERE trim(bare) <> '' GROUP BY row_id, conv_id, turn, level, run
+), bodies AS (
+  SELECT row_id, conv_id, turn, role, text,
+         coalesce(trim(regexp_replace((SELECT string_agg(bare, chr(10) ORDER BY n) FROM lines l WHERE l.row_id = c.row_id AND level = 0), '\n\s*\n\s*', chr(10) || chr(10), 'g')), '') AS body
+  FROM (SELECT *, row_number() OVER () AS row_id FROM conversations) c
+), firsts AS (
+  SELECT conv_id, hash, min(turn) AS original FROM (
+    SELECT p.conv_id, p.turn, hash FROM passages p WHERE level = 0
+    UNION ALL
+    SELECT conv_id, turn, md5(trim(regexp_replace(lower(body), '[ \t\n\x0B\f\r]+', ' ', 'g'))) FROM bodies WHERE body <> ''
+  ) GROUP BY conv_id, hash
+), linked AS (
+  SELECT p.row_id, p.conv_id, p.turn, level, original FROM passages p JOIN firsts f ON p.conv_id = f.conv_id AND p.hash = f.hash
+  WHERE level > 0 AND original < p.turn
+), replies AS (
+  SELECT row_id, conv_id, turn, count(*) AS n_linked, arg_max(original, -level * 1000000000 + original) AS reply_to FROM linked GROUP BY row_id, conv_id, turn
+), ups AS (
+  SELECT conv_id, turn, min(reply_to) AS up FROM replies GROUP BY conv_id, turn
+), climb AS (
+  SELECT row_id, conv_id, reply_to AS above FROM replies
+  UNION ALL
+  SELECT c.row_id, c.conv_id, u.up FROM climb c JOIN ups u ON c.conv_id = u.conv_id AND c.above = u.turn
+), told AS (
+  SELECT row_id, count(*) AS n_quotes, max(level) AS quote_depth FROM passages WHERE level > 0 GROUP BY row_id
+)
+SELECT b.conv_id, b.turn, role, reply_to, coalesce((SELECT min(above) FROM climb c WHERE c.row_id = b.row_id), b.turn) AS thread,
+       coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked, coalesce(quote_depth, 0) AS quote_depth,
+       body, '<|' || coalesce(role, '') || '|>' || chr(10) || body AS formatted
+FROM bodies b LEFT JOIN replies r ON b.row_id = r.row_id LEFT JOIN told t ON b.row_id = t.row_id
+"""
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return cotrain.score(docs, cotrain.fit(docs, table(spark, sf_dir, "labels")))
@@ -92,6 +141,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
         "op2_language_id": op2_language_id,
+        "op3_chat_formatting": op3_chat_formatting,
         "op4_quality_classifier": op4_quality_classifier,
         "op5_url_filter": op5_url_filter,
         "op6_simhash": op6_simhash,
@@ -104,5 +154,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_chat_formatting": OP3_SQL,
         "op5_url_filter": OP5_SQL,
     }

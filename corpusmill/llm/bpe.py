@@ -28,6 +28,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.common import text_blocks
+
 _WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _NOT_WHITE = regex.compile(f"[^{_WHITE}]+")
 #: str.split() also splits at these, which are no white space to the tokenizer.
@@ -222,7 +224,7 @@ class WordBpe:
 class Encoder:
     """Encodes texts with a bounded memory of chunks already seen."""
 
-    def __init__(self, bpe: WordBpe, remember: int = 400_000):
+    def __init__(self, bpe: WordBpe, remember: int = 120_000):
         self.bpe, self.remember = bpe, remember
         self.ids: dict[str, str] = {}
         self.text: dict[str, str] = {}
@@ -242,24 +244,26 @@ class Encoder:
             yield " ".join(map(known.__getitem__, cs)), " ".join(map(self.text.__getitem__, cs))
 
 
-def _blocks(texts: list[str | None], most: int = 4_000_000) -> Iterator[list[str | None]]:
-    """Runs of texts of at most so many characters, or a single longer text."""
-    block, size = [], 0
-    for t in texts:
-        if block and size + len(t or "") > most:
-            yield block
-            block, size = [], 0
-        block.append(t)
-        size += len(t or "")
-    if block:
-        yield block
-
-
 def tokenizer_file(path: str) -> str:
     with open(path, encoding="utf-8") as f:
         return f.read()
 
 
+def _encoded(coder: Encoder, ids: pa.Array, texts: list[str | None], with_ids: bool) -> pa.RecordBatch:
+    counts, hashes, decoded, tokens = [], [], [], []
+    for numbers, text in coder.batch(texts):
+        counts.append(numbers.count(" ") + 1 if numbers else 0)
+        hashes.append(hashlib.sha256(numbers.encode()).hexdigest())
+        decoded.append(hashlib.sha256(text.encode()).hexdigest())
+        if with_ids:
+            tokens.append(np.array(numbers.split(), np.int32))
+    columns = [ids, pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
+    if with_ids:
+        ends = np.append(0, np.cumsum(counts)).astype(np.int32)
+        columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int32))))
+    return pa.RecordBatch.from_arrays(columns, names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
+
+
 def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Encodes whole texts and decodes the ids again.
 
@@ -270,24 +274,13 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # nothing here makes cycles, and the many short lists would set it off all the time
-        coder = Encoder(WordBpe(spec.value))
-        for batch in batches:
-            at = 0
-            ids = batch.column(0)
-            for texts in _blocks(batch.column(1).to_pylist()):
-                counts, hashes, decoded, tokens = [], [], [], []
-                for numbers, text in coder.batch(texts):
-                    counts.append(numbers.count(" ") + 1 if numbers else 0)
-                    hashes.append(hashlib.sha256(numbers.encode()).hexdigest())
-                    decoded.append(hashlib.sha256(text.encode()).hexdigest())
-                    if with_ids:
-                        tokens.append(np.array(numbers.split(), np.int32))
-                columns = [ids.slice(at, len(texts)), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
-                if with_ids:
-                    ends = np.append(0, np.cumsum(counts)).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int32))))
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
-                at += len(texts)
+        try:
+            coder = Encoder(WordBpe(spec.value))
+            for batch in batches:
+                for at, texts in text_blocks(batch.column(1)):
+                    yield _encoded(coder, batch.column(0).slice(at, len(texts)), texts, with_ids)
+        finally:
+            gc.enable()
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +35,17 @@ def id_bucket(column: str, buckets: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(buckets)
 
 
+def text_blocks(column: pa.Array, most: int = 1_000_000) -> Iterator[tuple[int, list[str | None]]]:
+    """(first row, texts) of runs of rows with at most so many bytes, or one longer text. Only a run at a time becomes Python objects."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    at = 0
+    while at < len(column):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield at, column.slice(at, upto - at).to_pylist()
+        at = upto
+    pa.default_memory_pool().release_unused()
+
+
 def ascii_words(text: str | None) -> list[bytes]:
     """The words of a text with A-Z lower-cased, as UTF-8 (null: none).
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import ascii_words
+from corpusmill.llm.common import ascii_words, text_blocks
 
 WORD_BUCKETS, BYTES, SHAPES, META_BUCKETS = 512, 256, 4, 64
 TEXT_WIDTH = WORD_BUCKETS + BYTES + SHAPES
@@ -191,18 +191,14 @@ def score(docs: DataFrame, model: CoTrained, *, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            out = [np.zeros(0)] * 3
+            n, parts = batch.num_rows, []
             metas = [batch.column(i).to_pylist() for i in range(2, batch.num_columns)]
-            texts = batch.column(1).to_pylist()
-            parts = []
-            for a in range(0, n, 1000):
-                b = min(n, a + 1000)
-                view = np.stack([text_view(t) for t in texts[a:b]])
-                meta = np.stack([meta_view([m[i] for m in metas]) for i in range(a, b)])
-                parts.append(model.scores(view, meta))
-            if parts:
-                out = [np.concatenate(p).astype(np.float64) for p in zip(*parts)]
+            for at, texts in text_blocks(batch.column(1)):
+                for a in range(0, len(texts), 1000):
+                    some = range(at + a, min(at + a + 1000, at + len(texts)))
+                    view = np.stack([text_view(t) for t in texts[a : a + 1000]])
+                    parts.append(model.scores(view, np.stack([meta_view([m[i] for m in metas]) for i in some])))
+            out = [np.concatenate(p).astype(np.float64) for p in zip(*parts)] if parts else [np.zeros(0)] * 3
             kept = np.ones(n, bool) if model.text is None else out[0] >= keep_from
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out), pa.array(kept)], names=["id", "score", "text_score", "meta_score", "kept"])
 

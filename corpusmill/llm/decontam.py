@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.common import text_blocks
+
 #: ASCII characters that are no letters or digits part words.
 _PARTS = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -244,14 +246,7 @@ def _matcher(sent):
     def match(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bench = sent.value
         for batch in batches:
-            found, block, size = [], [], 0
-            for t in batch.to_pylist():
-                block.append(t)
-                size += len(t or "")
-                if size > 2_000_000:
-                    found += bench.matches(block)
-                    block, size = [], 0
-            found += bench.matches(block)
+            found = [m for _, texts in text_blocks(batch) for m in bench.matches(texts)]
             rows = [[dict(zip(names, (i, *v))) for item, v in m.items() for i in bench.ids[item]] for m in found]
             kind = pa.list_(pa.struct([(names[0], pa.int64()), *((n, pa.float64()) for n in names[1:])]))
             yield pa.array(rows, kind)

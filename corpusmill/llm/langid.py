@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.llm.common import text_blocks
+
 UNKNOWN = "und"
 
 
@@ -205,14 +207,7 @@ def predict(docs: DataFrame, weights: Weights | None, held_out: Column, *, id_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, texts, size = [], [], 0
-            for t in batch.column(2).to_pylist():
-                texts.append(t)
-                size += len(t or "")
-                if size > block_bytes:
-                    found += block(texts)
-                    texts, size = [], 0
-            found += block(texts)
+            found = [p for _, texts in text_blocks(batch.column(2), block_bytes) for p in block(texts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([p for p, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=["id", "held_out", "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.common import text_blocks
+
 SYMBOLS = "#*$%&|<>"
 _WHITE = " \t\n\x0b\x0c\r"
 
@@ -92,7 +94,7 @@ def statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [counts_of(t) for t in batch.column(1).to_pylist()]
+            rows = [counts_of(t) for _, texts in text_blocks(batch.column(1)) for t in texts]
             table = np.array(rows, np.int64).reshape(-1, len(COUNTS))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(table[:, i]) for i in range(len(COUNTS)))], names=["id", *COUNTS])
 
@@ -105,7 +107,7 @@ def statistics_of(text: Column) -> Column:
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            table = np.array([counts_of(t) for t in batch.to_pylist()], np.int64).reshape(-1, len(COUNTS))
+            table = np.array([counts_of(t) for _, texts in text_blocks(batch) for t in texts], np.int64).reshape(-1, len(COUNTS))
             yield pa.StructArray.from_arrays([pa.array(table[:, i]) for i in range(len(COUNTS))], names=list(COUNTS))
 
     return F.arrow_udf(run, "struct<" + ", ".join(f"{c}: bigint" for c in COUNTS) + ">", F.ArrowUDFType.SCALAR_ITER)(text)

@@ -19,12 +19,13 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.common import text_blocks
+
 #: In this order, which also breaks ties.
 KINDS = ("assign", "access", "hex", "dense")
 
@@ -110,7 +111,7 @@ def scan(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(ranks.value, pattern, dense_ratio)
         for batch in batches:
-            rows = [scanner.spans(t) for t in batch.column(1).to_pylist()]
+            rows = [scanner.spans(t) for _, texts in text_blocks(batch.column(1)) for t in texts]
             base = [[s for s in r if s[2] != "dense"] for r in rows]
             counts = [pa.array([sum(s[2] == k for s in r) for r in rows], pa.int64()) for k in KINDS]
             hashes = pa.array([hashlib.sha256(written(b).encode()).hexdigest() for b in base], pa.string())
@@ -125,13 +126,13 @@ def redact(docs: DataFrame, path: str, pattern: str, *, text_col: str = "text",
     """The same rows and columns with secrets taken out of the texts; a length column follows a changed text."""
     ranks = docs.sparkSession.sparkContext.broadcast(_vocabulary(path))
 
-    @F.pandas_udf("string")
-    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scanner = Scanner(ranks.value, pattern, dense_ratio)
-        for texts in batches:
-            yield texts.map(scanner.redact, na_action="ignore")
+        for batch in batches:
+            parts = [pa.array([scanner.redact(t) for t in texts], pa.string()) for _, texts in text_blocks(batch)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
-    new = clean(F.col(text_col))
+    new = F.arrow_udf(run, "string", F.ArrowUDFType.SCALAR_ITER)(F.col(text_col))
     columns = {text_col: new}
     if length_col in docs.columns:
         kind = docs.schema[length_col].dataType

@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
-from itertools import chain, combinations
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import ascii_words, checkpointed
+from corpusmill.llm.common import ascii_words, checkpointed, text_blocks
 from corpusmill.llm.graph import connected_components
 
 BITS = 64
@@ -67,20 +67,13 @@ def fingerprints_of(texts: list[str | None], width: int = 3, seed: int = 42) ->
     return out
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, block_chars: int = 2_000_000) -> DataFrame:
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
     """(id, fp): the fingerprint of each row's whole text, as a signed long. One pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, block, size = [], [], 0
-            for t in chain(batch.column(1).to_pylist(), [Ellipsis]):
-                if t is Ellipsis or size > block_chars:
-                    found.append(fingerprints_of(block, width, seed))
-                    block, size = [], 0
-                if t is not Ellipsis:
-                    block.append(t)
-                    size += len(t or "")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(found).view(np.int64))], names=["id", "fp"])
+            found = [fingerprints_of(texts, width, seed) for _, texts in text_blocks(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(found or [np.zeros(0, np.uint64)]).view(np.int64))], names=["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp bigint")

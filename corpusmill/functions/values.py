@@ -89,7 +89,7 @@ def drop_unknown_citations(text: Column, allowed: Column) -> Column:
         wrong = F.array_except(F.regexp_extract_all(s, F.lit(CITATION), F.lit(0)), allowed)
         bare = F.aggregate(wrong, s, lambda acc, h: F.replace(acc, h, F.lit("")))
         tidy = F.regexp_replace(F.regexp_replace(bare, r" {2,}", " "), r" +([.!?])", "$1")
-        marked = F.when(tidy.contains("(unbelegt)"), tidy).otherwise(F.regexp_replace(tidy, r"([.!?]?)\s*\z", " (unbelegt)$1"))
+        marked = F.when(tidy.contains("(unbelegt)"), tidy).otherwise(F.regexp_replace(tidy, r"(?s)\A(.*?)([.!?]?)\s*\z", "$1 (unbelegt)$2"))
         return F.when(F.size(wrong) > 0, marked).otherwise(s)
 
     return F.array_join(F.transform(sentences, fix), "")

@@ -86,3 +86,10 @@ def geojson_feature(ring: Column, properties: Column) -> Column:
     closed = F.when(ring[0] == F.element_at(ring, -1), ring).otherwise(F.concat(ring, F.slice(ring, 1, 1)))
     swapped = F.transform(closed, lambda p: F.array(p[1], p[0]))
     return F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Polygon").alias("type"), F.array(swapped).alias("coordinates")).alias("geometry"), properties.alias("properties")))
+
+
+def project_area(drawn: Column, turbines: Column, lat: Column, lng: Column) -> Column:
+    """The area drawn, else the box of three turbines or more, else a circle of two kilometres, else none."""
+    box = bbox(turbines)
+    hull = F.array(*[F.array(box[a], box[b]) for a, b in (("south", "west"), ("south", "east"), ("north", "east"), ("north", "west"))])
+    return F.when(F.size(drawn) >= 3, drawn).when(F.size(turbines) >= 3, hull).when(lat.isNotNull() & lng.isNotNull(), circle(lat, lng, F.lit(2.0)))

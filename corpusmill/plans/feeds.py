@@ -62,6 +62,33 @@ def s18(t):
     return t.orders.select("o_orderkey", F.size(p).alias("pairs"), p[0][0].alias("first"))
 
 
+@query("s9_detokenised", "SELECT conv_id, turn, role || ', (' || role || ').' AS text FROM conversations WHERE role IN ('user', 'assistant')")
+def s9(t):
+    tokens = F.array(F.col("role"), F.lit(","), F.lit("("), F.col("role"), F.lit(")"), F.lit("."))
+    return t.conversations.where(F.col("role").isin("user", "assistant") & S.german(F.lit("DE"))).select("conv_id", "turn", S.detokenised(tokens).alias("text"))
+
+
+@query("s11_html_segments_w3")
+def s11(t):
+    return t.pages.select("page_id", F.posexplode(S.html_segments(F.col("html"))).alias("pos", "s")).select("page_id", "pos", "s.*")
+
+
+@query("s13_page_text_gate", "SELECT doc_id, CASE WHEN length(text) >= 40 THEN 'embedded' ELSE 'ocr' END AS source FROM documents WHERE NOT regexp_matches(text, '[^A-Za-z0-9\\s.,;:]') AND length(text) > 0")
+def s13(t):
+    plain = t.documents.where(~F.col("text").rlike(r"[^A-Za-z0-9\s.,;:]") & (F.length("text") > 0))
+    return plain.select("doc_id", S.page_text(F.col("text"), F.lit("x"))["source"].alias("source"))
+
+
+@query("x6_ingestion_states", "SELECT user_id AS key, arg_max(event_type, event_id) AS state, arg_max(event_type, event_id) IN ('queued', 'processing') AS enqueue FROM events GROUP BY 1")
+def x6(t):
+    return X.latest_state(t.events.select(F.col("user_id").alias("key"), F.col("event_id").alias("ord"), F.col("event_type").alias("state"), F.lit("").alias("error"))).select("key", "state", "enqueue")
+
+
+@query("x8_stale_uploads", "SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-01-20' - INTERVAL 24 HOUR")
+def x8(t):
+    return X.stale(t.events, "ts", F.lit("2024-01-20").cast("timestamp")).select("event_id")
+
+
 @query("s25_file_sets", "SELECT CAST(k AS VARCHAR) AS stem, k % 2 = 0 AS pdf, k % 3 = 0 AS md, k % 5 = 0 AS json FROM (SELECT page_id AS k FROM pages) WHERE k % 2 = 0 OR k % 3 = 0 OR k % 5 = 0")
 def s25(t):
     some = lambda n, ext: t.pages.where(F.col("page_id") % n == 0).select(F.concat(F.lit("b/x/"), F.col("page_id").cast("string"), F.lit(ext)).alias("path"))

@@ -107,3 +107,38 @@ def file_sets(pdf: DataFrame, md: DataFrame, js: DataFrame) -> DataFrame:
     stem = lambda df, name: df.select(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("stem"), F.lit(True).alias(name)).distinct()
     joined = stem(pdf, "pdf").join(stem(md, "md"), "stem", "full_outer").join(stem(js, "json"), "stem", "full_outer")
     return joined.select("stem", *(F.coalesce(F.col(c), F.lit(False)).alias(c) for c in ("pdf", "md", "json")))
+
+
+def detokenised(tokens: Column) -> Column:
+    """Tokens to text: no blank before closing marks or after opening ones."""
+    joined = F.array_join(tokens, " ")
+    return F.regexp_replace(F.regexp_replace(joined, r" ([.,;:!?)\]])", "$1"), r"([(\[]) ", "$1")
+
+
+def german(language: Column) -> Column:
+    return F.lower(language).isin("de", "german", "deu")
+
+
+def html_segments(html: Column, least: int = 5) -> Column:
+    """(section, type, text) of a page's headings, paragraphs and items; the last heading carries forward, navigation goes."""
+    body = F.regexp_replace(html, r"(?is)<(script|style|nav|header|footer)\b.*?</(script|style|nav|header|footer)>", "")
+    block = r"(?is)<(h[1-6]|p|li)\b[^>]*>(.*?)(?=</(?:h[1-6]|p|li)>|<(?:h[1-6]|p|li)\b)"
+    pairs = F.arrays_zip(F.regexp_extract_all(body, F.lit(block), F.lit(1)).alias("tag"), F.regexp_extract_all(body, F.lit(block), F.lit(2)).alias("raw"))
+    start = F.struct(F.lit("").alias("section"), F.array().cast("array<struct<section:string,type:string,text:string>>").alias("out"))
+
+    def add(acc: Column, x: Column) -> Column:
+        text, heading = html_to_text(x["raw"]), F.lower(x["tag"]).startswith("h")
+        section = F.when(heading, text).otherwise(acc["section"])
+        kind = F.when(heading, "section_header").otherwise("text")
+        grown = F.concat(acc["out"], F.array(F.struct(section.alias("section"), kind.alias("type"), text.alias("text"))))
+        return F.struct(section.alias("section"), F.when(F.length(text) >= least, grown).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(pairs, start, add, lambda acc: acc["out"])
+
+
+def page_text(embedded: Column, recognised: Column, least: int = 40, readable: float = 0.6) -> Column:
+    """Embedded text if it is long and readable enough, else recognised text, else none, with its source."""
+    from corpusmill.functions.text import readable_ratio
+
+    good = (F.length(embedded) >= least) & (readable_ratio(embedded) >= readable)
+    return F.struct(F.when(good, embedded).when(F.length(recognised) > 0, recognised).otherwise("").alias("text"), F.when(good, "embedded").when(F.length(recognised) > 0, "ocr").otherwise("empty").alias("source"))

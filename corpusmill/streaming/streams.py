@@ -38,3 +38,36 @@ def first_seen(events: DataFrame, key: str, late: str = "10 minutes") -> DataFra
 def top_up(stream: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Every batch goes through an idempotent merge; the checkpoint replaces a high-water mark."""
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+#: The states of an ingestion and what each may become.
+STATES = {"queued": ("processing", "failed"), "processing": ("done", "failed"), "failed": ("queued",), "done": ()}
+
+
+def latest_state(events: DataFrame) -> DataFrame:
+    """events (key, ord, state, error): the last state of each key, errors cut at 500 characters; unfinished keys go back to the queue."""
+    last = events.groupBy("key").agg(F.max(F.struct("ord", "state", "error")).alias("l"))
+    return last.select("key", "l.state", F.substring("l.error", 1, 500).alias("error"), F.col("l.state").isin("queued", "processing").alias("enqueue"))
+
+
+def stale(uploads: DataFrame, touched: str, as_of, hours: int = 24) -> DataFrame:
+    """Uploads last touched over a day ago."""
+    return uploads.where(F.col(touched) < as_of - F.expr(f"INTERVAL {hours} HOURS"))
+
+
+def cadence(turns: DataFrame, every: int = 3) -> DataFrame:
+    """turns (session, turn) of users, as a stream: a row whenever a session has had so many more turns."""
+    import pandas as pd
+
+    def step(key, batches, state):
+        n = state.get[0] if state.exists else 0
+        due = []
+        for b in batches:
+            for _ in range(len(b)):
+                n += 1
+                if n % every == 0:
+                    due.append(n)
+        state.update((n,))
+        yield pd.DataFrame({"session": [key[0]] * len(due), "turns": due})
+
+    return turns.groupBy("session").applyInPandasWithState(step, "session long, turns long", "n long", "append", "NoTimeout")

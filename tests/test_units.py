@@ -88,3 +88,40 @@ def test_top_up_stream(spark, tmp_path):
     for _ in range(2):
         streams.top_up(source, lambda df, n: seen.extend(r.id for r in df.collect()), str(tmp_path / "check")).awaitTermination()
     assert sorted(seen) == [0, 1, 2, 3, 4]
+
+
+def test_registry_source(spark):
+    from corpusmill.sources.remote import Registry, with_retry
+
+    spark.dataSource.register(Registry)
+    assert {r.key for r in spark.read.format("registry").option("keys", "a,b,c").option("pertask", "2").load().collect()} == {"a", "b", "c"}
+    calls = []
+
+    def flaky(key):
+        calls.append(key)
+        if len(calls) < 3:
+            raise ConnectionError
+        return "ok"
+
+    assert with_retry(flaky)("k") == "ok" and len(calls) == 3
+
+
+def test_html_segments(spark):
+    html = "<nav><p>menu items here</p></nav><h1>Title one</h1><p>First <b>text</b> &amp; more</p><li>item text</li><h2>Second</h2><p>tiny</p><p>Last text"
+    got = [(s.section, s.type, s.text) for s in one(spark, readers.html_segments(F.lit(html + "</p>")))]
+    assert got == [("Title one", "section_header", "Title one"), ("Title one", "text", "First text & more"), ("Title one", "text", "item text"), ("Second", "section_header", "Second"), ("Second", "text", "Last text")]
+
+
+def test_cadence_stream(spark, tmp_path):
+    spark.createDataFrame([(i % 2, i) for i in range(10)], "session long, turn long").write.parquet(str(tmp_path / "turns"))
+    out = streams.cadence(streams.files(spark, str(tmp_path / "turns"), "session long, turn long"))
+    out.writeStream.format("memory").queryName("cadence").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r.session, r.turns) for r in spark.table("cadence").collect()) == [(0, 3), (1, 3)]
+
+
+def test_project_area(spark):
+    from corpusmill.functions import geo
+
+    none = F.array().cast("array<array<double>>")
+    assert len(one(spark, geo.project_area(none, none, F.lit(50.0), F.lit(9.0)))) == 64
+    assert one(spark, geo.project_area(none, none, F.lit(None).cast("double"), F.lit(9.0))) is None

@@ -61,10 +61,11 @@ class WordBpe:
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(pattern)
         self.cut_special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        #: The longest token that begins with each two characters.
+        #: The longest token that begins with each three characters.
         self.longest: dict[str, int] = {}
         for name in self.vocab:
-            self.longest[name[:2]] = max(self.longest.get(name[:2], 1), len(name.removesuffix(self.suffix)))
+            bare = name.removesuffix(self.suffix)
+            self.longest[bare[:3]] = max(self.longest.get(bare[:3], 2), len(bare))
         self.bytes_as = _byte_chars()
         self._learn(model["merges"], size)
 
@@ -83,6 +84,8 @@ class WordBpe:
                 sound[made] = False  # made in two ways, or before its parts: such tokens always go to exact merging
                 continue
             self.rank[made], self.left[made], self.right[made] = r, ia, ib
+        self.made_ids = np.array(self.made, np.int64)
+        self.start = {c: i for c, i in self.vocab.items() if len(c) == 1}
         keys = np.array(list(self.merge), np.int64)
         order = np.argsort(keys)
         self.pair_keys = np.append(keys[order], np.int64(-1) & ((1 << 62) - 1))
@@ -127,7 +130,7 @@ class WordBpe:
         """Greedy longest match; None if a symbol is not in the vocabulary."""
         get, longest, suffix, out, i, n = self.vocab.get, self.longest.get, self.suffix, [], 0, len(piece)
         while True:
-            most = longest(piece[i : i + 2], 1)
+            most = longest(piece[i : i + 3], 2)
             if n - i <= most and (tail := get(piece[i:] + suffix)) is not None:
                 out.append(tail)
                 return out
@@ -189,10 +192,58 @@ class WordBpe:
         pairs, back = np.unique(flat[inner] * self.size + flat[inner + 1], return_inverse=True)
         fine = self.compatible(pairs // self.size, pairs % self.size)[back]
         wrong[owner[inner[~fine]]] = True
-        for i in np.flatnonzero(wrong).tolist():
-            found[i] = self.exact(spelt[i])
+        failing = np.flatnonzero(wrong).tolist()
+        for i, ids in zip(failing, self.exact_all([spelt[i] for i in failing])):
+            found[i] = ids
         return found
 
+    def exact_all(self, pieces: list[str]) -> list[list[int]]:
+        """Exact merging of many pieces at once: every round makes the next merge of each of them."""
+        start = self.start
+        ids = [[start[c] for c in p[:-1] if c in start] + [self.vocab[p[-1] + self.suffix]] if p[-1] + self.suffix in self.vocab else self.exact(p) for p in pieces]
+        out = list(ids)
+        sizes = np.array(list(map(len, ids)), np.int64)
+        for least, most in ((2, 8), (9, 14), (15, 24), (25, 48)):
+            rows = np.flatnonzero((sizes >= least) & (sizes <= most))
+            for a in range(0, len(rows), 20_000):
+                some = rows[a : a + 20_000].tolist()
+                for i, merged in zip(some, self._merge_rows([ids[i] for i in some], most)):
+                    out[i] = merged
+        for i in np.flatnonzero(sizes > 48).tolist():
+            out[i] = self._merge_long(ids[i])
+        return out
+
+    def _merge_rows(self, rows: list[list[int]], width: int) -> list[list[int]]:
+        table = np.full((len(rows), width + 1), -1, np.int64)
+        sizes = np.array(list(map(len, rows)), np.int64)
+        table[:, :width][np.arange(width) < sizes[:, None]] = [t for r in rows for t in r]
+        ranks = np.full((len(rows), width), _NEVER)
+        both = table[:, 1:] >= 0
+        ranks[both] = self._rank_of(table[:, :-1][both], table[:, 1:][both])
+        columns, at = np.arange(width), np.arange(len(rows))
+        while len(at):
+            i = ranks[at].argmin(axis=1)
+            least = ranks[at, i]
+            go = least < _NEVER
+            at, i, least = at[go], i[go], least[go]
+            if not len(at):
+                break
+            # What follows the pair moves one place to the left, in the tokens and in the ranks.
+            shift = columns + (columns > i[:, None])
+            moved = np.take_along_axis(table[at], np.minimum(shift, width), axis=1)
+            moved[np.arange(len(at)), i] = self.made_ids[least]
+            table[at, :width] = moved
+            table[at, width] = -1
+            near = np.concatenate([ranks[at], np.full((len(at), 1), _NEVER)], axis=1)
+            near = np.take_along_axis(near, columns + (columns >= i[:, None]), axis=1)
+            for k in (i - 1, i):
+                fine = (k >= 0) & (table[at, np.minimum(k + 1, width)] >= 0)
+                r = np.full(len(at), _NEVER)
+                r[fine] = self._rank_of(table[at[fine], k[fine]], table[at[fine], k[fine] + 1])
+                near[k >= 0, k[k >= 0]] = r[k >= 0]
+            ranks[at] = near
+        return [[t for t in r if t >= 0] for r in table.tolist()]
+
     def chunks(self, text: str) -> list[str]:
         """The runs between white space, which no token crosses; special tokens stand alone."""
         if "<|" not in text or self.cut_special is None:
@@ -222,9 +273,9 @@ class WordBpe:
 
 
 class Encoder:
-    """Encodes texts with a bounded memory of chunks already seen."""
+    """Encodes texts and remembers chunks: those seen first stay, which are mostly the frequent ones; the rest are forgotten after each batch."""
 
-    def __init__(self, bpe: WordBpe, remember: int = 120_000):
+    def __init__(self, bpe: WordBpe, remember: int = 200_000):
         self.bpe, self.remember = bpe, remember
         self.ids: dict[str, str] = {}
         self.text: dict[str, str] = {}
@@ -232,16 +283,16 @@ class Encoder:
     def batch(self, texts: list[str | None]) -> Iterator[tuple[str, str]]:
         """For each text the decimal ids joined by blanks, and the decoded text."""
         chunks = [self.bpe.chunks(t) if t else [] for t in texts]
-        if len(self.ids) > self.remember:
-            self.ids.clear()
-            self.text.clear()
-        known = self.ids
-        new = list({c for cs in chunks for c in cs if c not in known})
+        known, decoded = self.ids, self.text
+        room = self.remember - len(known)
+        new = list(dict.fromkeys(c for cs in chunks for c in cs if c not in known))
         for c, ids in zip(new, self.bpe.encode_chunks(new)):
             known[c] = " ".join(map(str, ids))
-            self.text[c] = self.bpe.decode(ids)
+            decoded[c] = self.bpe.decode(ids)
         for cs in chunks:
-            yield " ".join(map(known.__getitem__, cs)), " ".join(map(self.text.__getitem__, cs))
+            yield " ".join(map(known.__getitem__, cs)), " ".join(map(decoded.__getitem__, cs))
+        for c in new[max(0, room) :]:
+            del known[c], decoded[c]
 
 
 def tokenizer_file(path: str) -> str:
@@ -277,7 +328,7 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
         try:
             coder = Encoder(WordBpe(spec.value))
             for batch in batches:
-                for at, texts in text_blocks(batch.column(1)):
+                for at, texts in text_blocks(batch.column(1), 2_000_000):
                     yield _encoded(coder, batch.column(0).slice(at, len(texts)), texts, with_ids)
         finally:
             gc.enable()

@@ -48,7 +48,7 @@ def test_long_and_short_merging_agree(ours):
     rng = random.Random(3)
     for _ in range(500):
         ids = [ours.vocab[rng.choice("aeinrst")] for _ in range(rng.randint(1, 40))]
-        assert ours._merge_long(list(ids)) == ours._merge_short(list(ids))
+        assert ours._merge_long(list(ids)) == ours._merge_short(list(ids)) == ours._merge_rows([ids, ids[:1]], 48)[0]
 
 
 def test_encode_frame(spark, theirs):

@@ -40,7 +40,7 @@ WITH RECURSIVE lines AS (
   FROM runs WHERE trim(bare) <> '' GROUP BY row_id, conv_id, turn, level, run
 ), bodies AS (
   SELECT row_id, conv_id, turn, role, text,
-         coalesce(trim(regexp_replace((SELECT string_agg(bare, chr(10) ORDER BY n) FROM lines l WHERE l.row_id = c.row_id AND level = 0), '\n\s*\n\s*', chr(10) || chr(10), 'g')), '') AS body
+         coalesce(trim(regexp_replace((SELECT string_agg(bare, chr(10) ORDER BY n) FROM lines l WHERE l.row_id = c.row_id AND level = 0), '\n\\s*\n\\s*', chr(10) || chr(10), 'g')), '') AS body
   FROM (SELECT *, row_number() OVER () AS row_id FROM conversations) c
 ), firsts AS (
   SELECT conv_id, hash, min(turn) AS original FROM (

@@ -1,24 +1,33 @@
 """Language-model scoring with a weighted backoff automaton.
 
-Word counts are taken over all training texts and stay a distributed table. The
-automaton holds what is frequent: words and n-grams from the least count at which
-at most ``most_words`` and ``most_ngrams`` of each order qualify; n-grams are of
-the ``ngram_words`` commonest words. An n-gram is counted only if both its parts of one word less are held. Each held n-gram that
-others continue is a state; on a word it has an arc to the longest held context
-that ends there, or a failure arc to the state of its shorter context, weighted
-by the mass that absolute discounting left. At the root stands the unigram
+The model holds every word and every n-gram that occurs at least ``least`` times in
+the training texts, whatever their number; counts and weights are distributed tables.
+An n-gram that others continue is a context, with the weight that absolute discounting
+left. At the root stands the unigram
 
     (c + 0.1) / (N + 0.1 * (V + 1)),
 
 which also gives every unseen word its share, so probabilities sum to one.
 
-One left-to-right traversal carries the state through a text and adds up log10
-probabilities. Words that are too rare for the automaton end at the root; they
-are summed from the count table by one join, on rows (text, word, occurrences),
-so every word's own count is used and no count is lost.
+The commonest words and n-grams (``most_words``, ``most_ngrams`` of each order) are
+also an automaton on every worker: each context is a state; on a word it has an arc to
+the longest context that ends there, or a failure arc to the state of its shorter
+context. Its weights are those of the whole model. One left-to-right traversal carries
+the state through a text and adds up log10 probabilities.
 
-Counts of n-grams below the thresholds only move probability to the shorter
-context; the thresholds follow from the counts of the whole corpus.
+The rest of the model is added by joins. With lp the log-probability and b the backoff
+weight (0 of what no n-gram continues), a held n-gram g of prefix p and suffix s adds
+
+    lp(g) - b(p) - lp(s) + b(g)
+
+wherever it occurs, and a held word b(g) besides its unigram; summed over all held
+n-grams of a text this telescopes to the weight of the longest held n-gram at each
+word. So what the automaton lacks is a sum over rows (text, n-gram, occurrences), and
+how the model is divided between automaton and table does not change the result.
+A Bloom filter keeps back what is not in the table; what it lets pass wrongly finds no
+partner in the join.
+
+N-grams go by 64-bit hashes of their words' 60-bit hashes.
 
 Defined results: a null or empty text has the end token alone. Rows are matched
 by id and text; repeated rows get the same result each. Without training texts
@@ -27,12 +36,14 @@ N = V = 0 and every token has probability one.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -126,14 +137,116 @@ def ngram_counts(texts: DataFrame, levels: Levels) -> DataFrame:
     return texts.mapInArrow(run, "key bigint, c bigint").groupBy("key").agg(F.sum("c").alias("c"))
 
 
+class WordKeys(dict):
+    """60-bit hashes of words, the same as ``word_key`` gives. Remembers so many."""
+
+    def __init__(self, most: int = 200_000):
+        self.most = most
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = key = int(hashlib.md5(word, usedforsecurity=False).hexdigest()[:15], 16)
+        return key
+
+
+def word_key(word: Column) -> Column:
+    return F.conv(F.substring(F.md5(word), 1, 15), 16, 10).cast("bigint")
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def keys_of(texts: list[list[bytes]], order: int, known: WordKeys) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each order, keys of the n-grams that end at each token of all texts, and whether their words are of one text."""
+    tokens = [w for ws in texts for w in ws]
+    word = np.fromiter((known[w] for w in tokens), np.uint64, len(tokens))
+    same = np.ones(len(word), bool)
+    same[np.cumsum([0, *map(len, texts)])[:-1]] = False
+    keys, whole = [word], [np.ones(len(word), bool)]
+    for _ in range(order - 1):
+        longer = _mixed(keys[-1][:-1] * np.uint64(0x9E3779B97F4A7C15) + word[1:] * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1))
+        keys.append(np.concatenate([np.zeros(1, np.uint64), longer]))
+        whole.append(np.concatenate([[False], whole[-1][:-1]]) & same)
+    return keys, whole
+
+
+class Sieve:
+    """A Bloom filter of keys, in segments of ``2 ** WIDTH`` bits that are filled apart."""
+
+    WIDTH = 22
+    #: 32 MB; above 16 million keys more pass wrongly, none are lost.
+    MOST = 1 << 28
+
+    def __init__(self, keys: DataFrame):
+        """keys: one column, bigint."""
+        wanted = 16 * keys.count() >> self.WIDTH
+        self.segments = min(1 << wanted.bit_length(), self.MOST >> self.WIDTH)
+        self.bits = np.zeros((self.segments, 1 << self.WIDTH - 3), np.uint8)
+        width, places = self.WIDTH, self.places
+
+        def fill(group: pa.Table) -> pa.Table:
+            bits = np.zeros(1 << width, bool)
+            for at in places(group.column("k").to_numpy().view(np.uint64)):
+                bits[at] = True
+            return pa.table({"segment": group.column("segment").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+        parts = keys.toDF("k").withColumn("segment", F.col("k").bitwiseAND(F.lit(self.segments - 1)))
+        for segment, bits in parts.groupBy("segment").applyInArrow(fill, "segment bigint, bits binary").toLocalIterator():
+            self.bits[segment] = np.frombuffer(bits, np.uint8)
+
+    @staticmethod
+    def places(keys: np.ndarray) -> list[np.ndarray]:
+        x, mask = _mixed(keys), np.uint64((1 << Sieve.WIDTH) - 1)
+        return [(x & mask).astype(np.int64), (x >> np.uint64(32) & mask).astype(np.int64)]
+
+    def passed(self, keys: np.ndarray) -> np.ndarray:
+        segment, found = (keys & np.uint64(self.segments - 1)).astype(np.int64), np.ones(len(keys), bool)
+        for at in self.places(keys):
+            found &= (self.bits[segment, at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        return found
+
+
+def gram_counts(texts: DataFrame, n: int, shorter: Sieve) -> DataFrame:
+    """(k, p, s, w, c): n-grams with the keys of prefix, suffix and last word, but not those with a part that the sieve keeps back."""
+    sent = texts.sparkSession.sparkContext.broadcast(shorter)
+
+    def block(texts: list[str | None], known: WordKeys) -> pa.RecordBatch:
+        keys, whole = keys_of([tokens_of(t) for t in texts], n, known)
+        held = sent.value.passed(keys[-2])
+        at = np.flatnonzero(whole[-1] & held & np.concatenate([[False], held[:-1]]))
+        k, first, c = np.unique(keys[-1][at], return_index=True, return_counts=True)
+        at = at[first]
+        columns = [k, keys[-2][at - 1], keys[-2][at], keys[0][at]]
+        return pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in columns), pa.array(c.astype(np.int64))], names=["k", "p", "s", "w", "c"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordKeys()
+        for batch in batches:
+            for _, part in text_blocks(batch.column(0), 8_000_000):
+                yield block(part, known)
+
+    counted = texts.mapInArrow(run, "k bigint, p bigint, s bigint, w bigint, c bigint").groupBy("k")
+    return counted.agg(*(F.min(x).alias(x) for x in "psw"), F.sum("c").alias("c"))
+
+
 @dataclass
 class Automaton:
-    """arcs[state][word]: (next state, log10 weight); fail[state]: (shorter state, log10 weight). State 0 is the root."""
+    """arcs[state][word]: (next state, log10 weight); fail[state]: (shorter state, log10 weight). State 0 is the root.
+
+    rest: (k, f), what the n-grams outside of it add; sieve: of the keys of rest.
+    """
 
     arcs: list[dict[bytes, tuple[int, float]]]
     fail: list[tuple[int, float]]
     total: int
     distinct: int
+    order: int = 1
+    rest: DataFrame | None = None
+    sieve: Sieve | None = None
 
     def unigram(self, c: int) -> float:
         return math.log10((c + 0.1) / (self.total + 0.1 * (self.distinct + 1)))
@@ -160,85 +273,93 @@ class Automaton:
         return score, base, known, Counter(rare)
 
 
-def build(words: list[bytes], word_count: list[int], orders: list[tuple[np.ndarray, np.ndarray]], total: int, distinct: int, discount: float = 0.75) -> Automaton:
-    """words with their counts; orders: (keys, counts) of the held n-grams of two, three... words, keys as in Levels."""
-    made = Automaton([{}], [(0, 0.0)], total, distinct)
-    grams: list[list[tuple[int, ...]]] = [[(i,) for i in range(len(words))]]
-    for keys, _ in orders:
-        grams.append([(*grams[-1][k >> 32], k & 0xFFFFFFFF) for k in keys.tolist()])
-    count = {g: c for level, cs in zip(grams, [word_count, *(c.tolist() for _, c in orders)]) for g, c in zip(level, cs)}
-    continued: dict[tuple, list[tuple]] = {}
-    for level in grams[1:]:
-        for g in level:
-            continued.setdefault(g[:-1], []).append(g)
-    state: dict[tuple, int] = {(): 0}
-    for level in grams[:-1]:
-        for g in level:
-            if g in continued:
-                state[g] = len(made.arcs)
+def build(words: list[bytes], levels: list[pd.DataFrame], total: int, distinct: int) -> tuple[Automaton, set[int]]:
+    """The automaton and the keys of what it holds.
+
+    levels: of each order k, p, s, w, lp and b (null: no context), the first for the words.
+    An n-gram is held if its prefix and suffix are.
+    """
+    made, word_of, keys = Automaton([{}], [(0, 0.0)], total, distinct, len(levels)), dict(zip(levels[0]["k"], words)), set()
+    ends: dict[int, int] = {}  # state of the longest context that ends an n-gram
+    own: dict[int, int] = {}
+    for n, level in enumerate(levels):
+        before, own, ends_before, ends = own, {}, ends, {}
+        for k, p, s, w, lp, b in zip(*(level[c].tolist() for c in ("k", "p", "s", "w", "lp", "b"))):
+            if n and (p not in ends_before or s not in ends_before):
+                continue
+            keys.add(k)
+            ends[k] = shorter = ends_before[s] if n else 0
+            if n < len(levels) - 1 and not math.isnan(b):
+                ends[k] = own[k] = len(made.arcs)
                 made.arcs.append({})
-                made.fail.append((0, 0.0))
-
-    def suffix(g: tuple) -> int:
-        while g not in state:
-            g = g[1:]
-        return state[g]
-
-    chance = {(i,): (c + 0.1) / (total + 0.1 * (distinct + 1)) for i, c in enumerate(word_count)}
-    backoff: dict[tuple, float] = {}
-
-    def likely(g: tuple) -> float:
-        """Probability of the last word after the others."""
-        weight = 1.0
-        while g not in chance:
-            weight *= backoff.get(g[:-1], 1.0)
-            g = g[1:]
-        return weight * chance[g]
-
-    for i, w in enumerate(words):
-        made.arcs[0][w] = (suffix((i,)), math.log10(chance[(i,)]))
-    for level in grams[1:]:  # shorter contexts first, as longer ones back off to them
-        for context in dict.fromkeys(g[:-1] for g in level):
-            for g in continued[context]:
-                chance[g] = (count[g] - discount) / count[context]
-        for context in dict.fromkeys(g[:-1] for g in level):
-            held = continued[context]
-            left, below = 1 - sum(chance[g] for g in held), 1 - sum(likely(g[1:]) for g in held)
-            backoff[context] = max(left, 1e-12) / max(below, 1e-12)
-            made.fail[state[context]] = (suffix(context[1:]), math.log10(backoff[context]))
-            for g in held:
-                made.arcs[state[context]][words[g[-1]]] = (suffix(g), math.log10(chance[g]))
-    return made
-
-
-def train(texts: DataFrame, *, order: int = 3, most_words: int = 60_000, ngram_words: int = 16_384, most_ngrams: int = 200_000, least: int = 3) -> tuple[Automaton, DataFrame]:
-    """The automaton, and the table (word, c) of all counts. texts: one column."""
+                made.fail.append((shorter, b))
+            made.arcs[before[p] if n else 0][word_of[w]] = (ends[k], lp)
+    return made, keys
+
+
+def train(texts: DataFrame, *, order: int = 3, most_words: int = 60_000, most_ngrams: int = 200_000, least: int = 3, discount: float = 0.75) -> tuple[Automaton, DataFrame]:
+    """The model, and the table (word, c) of all counts. texts: one column.
+
+    ``most_words`` and ``most_ngrams`` say how much the automaton holds itself.
+    """
     counts = checkpointed(word_counts(texts))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    held = counts.where(F.col("c") >= least_count(counts, most_words, least)).toPandas().sort_values(["c", "word"], ascending=[False, True])
-    words = [w.encode("utf-8", "surrogatepass") for w in held["word"]]
-    levels, orders = Levels(words, ngram_words), []
-    for _ in range(order - 1):
-        found = checkpointed(ngram_counts(texts, levels).where(F.col("c") >= least))
-        rows = found.where(F.col("c") >= least_count(found, most_ngrams, least)).toPandas().sort_values("key")
-        if rows.empty:
-            break
-        orders.append((rows["key"].to_numpy(np.int64), rows["c"].to_numpy(np.int64)))
-        levels.keys.append(orders[-1][0])
-    return build(words, held["c"].tolist(), orders, total, distinct), counts
+    key = word_key(F.col("word"))
+    chance = (F.col("c") + 0.1) / F.lit(total + 0.1 * (distinct + 1))
+    levels = [counts.where(F.col("c") >= least).select(key.alias("k"), F.lit(None).cast("bigint").alias("p"), F.lit(None).cast("bigint").alias("s"), key.alias("w"), "c", F.log10(chance).alias("lp"), "word")]
+    backoff: list[DataFrame] = []  # (p, b) of the contexts of each order
+    for n in range(2, order + 1):
+        found = checkpointed(gram_counts(texts, n, Sieve(levels[-1].select("k"))).where(F.col("c") >= least))
+        prefix = levels[-1].select(F.col("k").alias("p"), F.col("c").alias("of"))
+        suffix = levels[-1].select(F.col("k").alias("s"), F.col("lp").alias("below"))
+        each = checkpointed(found.join(prefix, "p").join(suffix, "s").select("k", "p", "s", "w", "c", F.log10((F.col("c") - discount) / F.col("of")).alias("lp"), "below"))
+        left, below = 1 - F.sum(F.pow(F.lit(10.0), "lp")), 1 - F.sum(F.pow(F.lit(10.0), "below"))
+        backoff.append(checkpointed(each.groupBy("p").agg(F.log10(F.greatest(left, F.lit(1e-12)) / F.greatest(below, F.lit(1e-12))).alias("b"))))
+        levels.append(each)
+    weighed = [level.join(backoff[n].select(F.col("p").alias("k"), "b"), "k", "left") if n < len(backoff) else level.withColumn("b", F.lit(None).cast("double")) for n, level in enumerate(levels)]
+    heads = []
+    for n, level in enumerate(weighed):
+        head = level.where(F.col("c") >= least_count(levels[n], most_ngrams if n else most_words, least))
+        heads.append(head.select("k", "p", "s", "w", "lp", "b", *([] if n else ["word"])).toPandas())
+    made, held = build([w.encode("utf-8", "surrogatepass") for w in heads[0]["word"]], heads, total, distinct)
+    adds = [weighed[0].where("b is not null").select("k", F.col("b").alias("f"))]
+    for n, level in enumerate(weighed[1:]):
+        adds.append(level.join(backoff[n].withColumnRenamed("b", "pb"), "p").select("k", (F.col("lp") - F.col("pb") - F.col("below") + F.coalesce("b", F.lit(0.0))).alias("f")))
+    rest = adds[0]
+    for more in adds[1:]:
+        rest = rest.unionByName(more)
+    keys = texts.sparkSession.createDataFrame(pd.DataFrame({"k": np.fromiter(held, np.int64, len(held))}), "k bigint")
+    made.rest = checkpointed(rest.join(keys, "k", "left_anti"))
+    made.sieve = Sieve(made.rest.select("k"))
+    return made, counts
 
 
 def score(docs: DataFrame, automaton: Automaton, counts: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: held_out, n_tokens, n_known, train_tokens, base_score and score."""
-    sent = docs.sparkSession.sparkContext.broadcast(automaton)
+    sent = docs.sparkSession.sparkContext.broadcast(replace(automaton, rest=None))
+
+    def outside(tokens: list[list[bytes]], known: WordKeys) -> pa.ListArray:
+        """For each text the keys, and their numbers, of the n-grams that may be in the rest."""
+        row = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+        keys, rows = [], []
+        for k, whole in zip(*keys_of(tokens, sent.value.order, known)):
+            at = np.flatnonzero(whole)
+            at = at[sent.value.sieve.passed(k[at])]
+            keys.append(k[at])
+            rows.append(row[at])
+        keys, rows = np.concatenate(keys), np.concatenate(rows)
+        by = np.lexsort((keys, rows))
+        keys, rows = keys[by], rows[by]
+        first = np.flatnonzero(np.concatenate([np.ones(min(len(keys), 1), bool), (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])]))
+        flat = pa.StructArray.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(np.diff(np.append(first, len(keys))).astype(np.int32))], names=["k", "n"])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows[first], np.arange(len(tokens) + 1)).astype(np.int32)), flat)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        walk = sent.value.traverse
+        walk, keys = sent.value.traverse, WordKeys()
         for batch in batches:
             for at, texts in text_blocks(batch.column(1), 4_000_000):
-                rows, rare = [], []
-                for text in texts:
-                    tokens = tokens_of(text)
+                rows, rare, each = [], [], [tokens_of(t) for t in texts]
+                for tokens in each:
                     value, base, known, rest = walk(tokens)
                     rows.append((len(tokens), known, base, value))
                     rare.append(list(zip(_names(list(rest)), rest.values())))
@@ -247,20 +368,25 @@ def score(docs: DataFrame, automaton: Automaton, counts: DataFrame, held_out: Co
                 flat = pa.StructArray.from_arrays([pa.array([w for r in rare for w, _ in r], pa.string()), pa.array([c for r in rare for _, c in r], pa.int32())], names=["word", "n"])
                 given = [batch.column(i).slice(at, len(texts)) for i in (0, 2, 3)]
                 yield pa.RecordBatch.from_arrays(
-                    [*given, pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(value, pa.float64()), pa.ListArray.from_arrays(pa.array(sizes), flat)],
-                    names=["id", "held_out", "key", "n_tokens", "known", "base", "value", "rare"],
+                    [*given, pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(value, pa.float64()), pa.ListArray.from_arrays(pa.array(sizes), flat), outside(each, keys)],
+                    names=["id", "held_out", "key", "n_tokens", "known", "base", "value", "rare", "outside"],
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.col(text_col)
     # A row goes by its id and a hash of its text; rows that share both have one text and get one sum.
     walked = docs.select(F.col(id_col).alias("id"), text.alias("text"), held_out.alias("held_out"), F.xxhash64(text).alias("key"))
-    rows = checkpointed(walked.mapInArrow(run, f"id {kind}, held_out boolean, key bigint, n_tokens bigint, known bigint, base double, value double, rare array<struct<word: string, n: int>>"))
+    rows = checkpointed(walked.mapInArrow(run, f"id {kind}, held_out boolean, key bigint, n_tokens bigint, known bigint, base double, value double, rare array<struct<word: string, n: int>>, outside array<struct<k: bigint, n: int>>"))
     rare = rows.select("id", "key", F.explode("rare").alias("r")).select("id", "key", "r.word", "r.n")
     weight = F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(automaton.total + 0.1 * (automaton.distinct + 1)))
-    found = rare.join(counts, "word", "left").select("id", "key", (F.col("n") * weight).alias("more"), F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0).alias("more_known"), F.lit(0).alias("copies"))
-    sums = found.unionByName(rows.select("id", "key", F.lit(0.0).alias("more"), F.lit(0).alias("more_known"), F.lit(1).alias("copies"))).groupBy("id", "key").agg(*(F.sum(c).alias(c) for c in ("more", "more_known", "copies")))
-    each = sums.select(F.col("id").alias("of_id"), F.col("key").alias("of"), (F.col("more") / F.col("copies")).alias("more"), (F.col("more_known") / F.col("copies")).cast("bigint").alias("more_known"))
+    zero = F.lit(0.0)
+    found = rare.join(counts, "word", "left").select("id", "key", (F.col("n") * weight).alias("more"), zero.alias("longer"), F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0).alias("more_known"), F.lit(0).alias("copies"))
+    grams = rows.select("id", "key", F.explode("outside").alias("r")).select("id", "key", "r.k", "r.n").join(automaton.rest, "k")
+    grams = grams.select("id", "key", zero.alias("more"), (F.col("n") * F.col("f")).alias("longer"), F.lit(0).alias("more_known"), F.lit(0).alias("copies"))
+    own = rows.select("id", "key", zero.alias("more"), zero.alias("longer"), F.lit(0).alias("more_known"), F.lit(1).alias("copies"))
+    sums = found.unionByName(grams).unionByName(own).groupBy("id", "key").agg(*(F.sum(c).alias(c) for c in ("more", "longer", "more_known", "copies")))
+    mean = lambda c: F.col(c) / F.col("copies")
+    each = sums.select(F.col("id").alias("of_id"), F.col("key").alias("of"), mean("more").alias("more"), mean("longer").alias("longer"), mean("more_known").cast("bigint").alias("more_known"))
     return rows.join(each, F.col("id").eqNullSafe(F.col("of_id")) & (rows.key == each.of)).select(
-        F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.col("more_known")).alias("n_known"), F.lit(automaton.total).cast("bigint").alias("train_tokens"), (F.col("base") + F.col("more")).alias("base_score"), (F.col("value") + F.col("more")).alias("score")
+        F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.col("more_known")).alias("n_known"), F.lit(automaton.total).cast("bigint").alias("train_tokens"), (F.col("base") + F.col("more")).alias("base_score"), (F.col("value") + F.col("more") + F.col("longer")).alias("score")
     )

@@ -99,3 +99,40 @@ def test_odd_rows(spark):
     empty, none = lm.train(docs.limit(0).select("text"))
     assert {r.base_score for r in lm.score(docs, empty, none, docs.held).collect()} == {0.0}
     assert lm.score(docs.limit(0), automaton, counts, id_bucket("doc_id", 10) == 0).collect() == []
+
+
+def plain_scores(texts, docs, order=3, least=3, discount=0.75):
+    """Backoff over all n-grams from the least count on, in plain dictionaries."""
+    seqs = [plain_tokens(t) for t in texts]
+    counts = [Counter(tuple(s[i : i + n]) for s in seqs for i in range(len(s) - n + 1)) for n in range(1, order + 1)]
+    total, distinct = sum(counts[0].values()), len(counts[0])
+    held = {g: c for level in counts for g, c in level.items() if c >= least}
+    followed = {}
+    for g in held:
+        if len(g) > 1:
+            followed.setdefault(g[:-1], []).append(g)
+
+    def chance(g):
+        if len(g) == 1:
+            return (counts[0][g] + 0.1) / (total + 0.1 * (distinct + 1))
+        if g in held:
+            return (held[g] - discount) / held[g[:-1]]
+        return backoff(g[:-1]) * chance(g[1:])
+
+    def backoff(context):
+        if context not in followed:
+            return 1.0
+        left, below = (1 - sum(map(chance, gs)) for gs in (followed[context], [g[1:] for g in followed[context]]))
+        return max(left, 1e-12) / max(below, 1e-12)
+
+    return [sum(math.log10(chance(tuple(s[max(0, i - order + 1) : i + 1]))) for i in range(len(s))) for s in map(plain_tokens, docs)]
+
+
+@pytest.mark.parametrize("most_words, most_ngrams", [(60_000, 200_000), (4, 3), (1, 0)])
+def test_all_ngrams_count_whatever_the_automaton_holds(spark, most_words, most_ngrams):
+    texts = corpus(5, 80) + ["b d x y z"] * 3
+    asked = corpus(6, 20) + ["b d x y z b d x", "x y z", "new y z", ""]
+    automaton, counts = lm.train(spark.createDataFrame([(t,) for t in texts], "text string"), most_words=most_words, most_ngrams=most_ngrams)
+    docs = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm.score(docs, automaton, counts, docs.doc_id < 0).collect()}
+    assert [got[i] for i in range(len(asked))] == pytest.approx(plain_scores(texts, asked), rel=1e-9, abs=1e-9)

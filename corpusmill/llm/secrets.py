@@ -4,8 +4,12 @@ A byte-pair vocabulary was made from text, so it spends few tokens on what looks
 like language and many on what looks like noise. A run of key-like characters
 that gets fewer than ``dense_ratio`` characters a token is reported as ``dense``,
 unless it is a known digest (hexadecimal of a usual length), a UUID, a number, or
-an identifier (words joined by ``_ - . /`` or by capitals). Runs that a pattern
-already covers are not reported again.
+an identifier (words joined by ``_ - . /`` or by capitals). Where a pattern covers
+a part of a run, what is left on either side is tested as a run of its own.
+
+Words around a random string would hide it in the average. So a run that is not
+dense as a whole is cut at ``/ . = - _``: each stretch of parts between those that
+are words, digests, UUIDs or numbers is tested, and where it is not dense each part.
 
 Defined results: a null or empty text has no spans. Spans are in code points,
 end exclusive, and cover the whole match. Whole texts are scanned, of any length;
@@ -34,6 +38,10 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_=.-]{20,}")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+#: A part of a run between separators; a UUID is one.
+_PART = re.compile(rf"(?<![A-Za-z0-9+]){_UUID.pattern}(?![A-Za-z0-9+])|[A-Za-z0-9+]+")
+#: Characters a stretch has at least.
+_LEAST = 20
 _NUMBER = re.compile(r"[0-9.+/_=-]+")
 _DIGEST = re.compile(r"[0-9a-fA-F]+")
 #: Hexadecimal digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
@@ -58,24 +66,62 @@ def _identifier(run: str) -> bool:
     return sum(map(len, words)) >= 3.5 * len(words)
 
 
+def _known(run: str) -> bool:
+    return bool(_NUMBER.fullmatch(run) or _UUID.fullmatch(run) or _DIGEST.fullmatch(run) and len(run) in _DIGEST_LENGTHS)
+
+
+def _plain(run: str) -> bool:
+    return _known(run) or _identifier(run)
+
+
 class Scanner:
     def __init__(self, ranks: bytes, pattern: str, dense_ratio: float = 1.8):
         table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
         self.coder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
         self.dense_ratio = dense_ratio
 
-    def dense_spans(self, text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    def dense(self, run: str) -> bool:
+        if len(run) < _LEAST or _plain(run):
+            return False
+        return len(run) < self.dense_ratio * len(self.coder.encode_ordinary(run))
+
+    def dense_parts(self, run: str) -> list[tuple[int, int]]:
+        """The whole run, or the stretches and parts in it that are dense, in order."""
+        if self.dense(run):
+            return [(0, len(run))]
+        stretches: list[list[tuple[int, int]]] = [[]]
+        for m in _PART.finditer(run):
+            if _plain(m.group()):
+                stretches.append([])
+            else:
+                stretches[-1].append(m.span())
         found = []
+        for parts in stretches:
+            if parts and self.dense(run[parts[0][0] : parts[-1][1]]):
+                found.append((parts[0][0], parts[-1][1]))
+            else:
+                found += [(s, e) for s, e in parts if self.dense(run[s:e])]
+        return found
+
+    def dense_spans(self, text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+        """taken: by start."""
+        found, at, reach = [], 0, 0
         for m in _RUN.finditer(text):
-            run = m.group()
-            if any(s < m.end() and m.start() < e for s, e, _ in taken) or _NUMBER.fullmatch(run) or _UUID.fullmatch(run):
+            if _known(m.group()):
                 continue
-            if _DIGEST.fullmatch(run) and len(run) in _DIGEST_LENGTHS or _identifier(run):
-                continue
-            if len(run) < self.dense_ratio * len(self.coder.encode_ordinary(run)):
-                found.append((m.start(), m.end(), "dense"))
+            start = max(m.start(), reach)
+            while at < len(taken) and taken[at][0] < m.end():
+                found += self._between(text, start, taken[at][0])
+                reach = max(reach, taken[at][1])
+                start, at = max(start, reach), at + 1
+            found += self._between(text, start, m.end())
         return found
 
+    def _between(self, text: str, start: int, end: int) -> list[tuple[int, int, str]]:
+        if end - start < _LEAST:
+            return []
+        return [(start + s, start + e, "dense") for s, e in self.dense_parts(text[start:end])]
+
     def spans(self, text: str | None) -> list[tuple[int, int, str]]:
         if not text:
             return []

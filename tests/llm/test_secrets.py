@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 
 import public_tokenizers
 import pytest
@@ -73,3 +75,27 @@ def test_whole_table(spark, sf_dir):
     texts = {r.doc_id: r.text for r in docs.collect()}
     for r in secrets.scan(docs, PATH, PATTERN).collect():
         assert r.base_sha256 == hashlib.sha256(secrets.written(plain_base(texts[r.doc_id])).encode()).hexdigest()
+
+
+PREFIXES = ["client.authorization.bearer=", "/home/user/config/production/settings/", "documentation/reference/database/connection/", "//example.com/account/reset/", "config.database.credential="]
+
+
+@pytest.mark.parametrize("prefix", PREFIXES)
+@pytest.mark.parametrize("size", [24, 40])
+def test_dense_parts_between_words(scanner, prefix, size):
+    rng, hit, alone = random.Random(size), 0, 0
+    for _ in range(200):
+        key = "".join(rng.choices(string.ascii_letters + string.digits, k=size))
+        inside = lambda t, at: any(k == "dense" and s <= at and at + size <= e for s, e, k in scanner.spans(t))  # noqa: E731, B023
+        alone += inside(key, 0)
+        hit += inside(prefix + key + "/index.html", len(prefix))
+    assert alone > 190 and hit >= alone
+
+
+def test_dense_around_patterns(scanner):
+    key = "AbcX9pQ2zLm4RtY8uVw1"
+    assert [s[2] for s in scanner.spans(f"{key}/secret=abcdefghijklmnop")] == ["dense", "assign"]
+    assert scanner.redact(f"documentation/reference/{key}/connection") == "documentation/reference/[secret]/connection"
+    for clean in ["documentation/reference/" + "0123456789ABCDEF" * 2 + "/connection", "account/reset/123E4567-E89B-12D3-A456-426614174000/confirmation.page"]:
+        parts = scanner.dense_parts(clean)
+        assert parts == [] or parts == [(0, len(clean))]

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.common import checkpointed
+from corpusmill.llm.graph import connected_components
+
 
 def content_hash(text: Column) -> Column:
     """Hash of the text in lower case with white space collapsed."""
@@ -31,18 +34,46 @@ def minhash(hashes: Column, bands: int, rows: int) -> Column:
     )
 
 
-def near_duplicates(docs: DataFrame, id_col: str, text_col: str, *, width: int = 5, bands: int = 16, rows: int = 4, threshold: float = 0.8) -> DataFrame:
-    """(a, b, similarity): every text that shares a band with the least text of a band's bucket and passes the check.
+def _similar(pairs: DataFrame, cut: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity) of the pairs that pass the check."""
+    left, right = cut.select(F.col("id").alias("a"), F.col("s").alias("sa")), cut.select(F.col("id").alias("b"), F.col("s").alias("sb"))
+    jaccard = F.size(F.array_intersect("sa", "sb")) / F.size(F.array_union("sa", "sb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", F.round(jaccard, 6).alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """rows (id, ...) with the component that the links give an id; its own where there are none."""
+    found = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    return rows.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
 
-    Copies meet once, as one class. A bucket is linked to its least member rather
-    than in all pairs, so hot buckets stay linear; the pairs found are stars.
+
+def near_duplicates(docs: DataFrame, id_col: str, text_col: str, *, width: int = 5, bands: int = 16, rows: int = 4, threshold: float = 0.8, rounds: int = 2) -> DataFrame:
+    """(id, class, component) of every row.
+
+    class is the least id of the same content hash; component the least id that can be
+    reached over pairs of classes that share a band and pass the check. Each of the
+    rounds links members of a bucket to its least one, and goes on with those that were
+    not reached; this is linear. Then members of one bucket that are still of different
+    components are checked in pairs, so the rounds save work and change no result.
     """
-    classes = docs.groupBy(content_hash(F.col(text_col)).alias("hash")).agg(F.min(F.struct(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).alias("r")).select("r.id", "r.text")
+    named = docs.select(F.col(id_col).alias("id"), F.coalesce(content_hash(F.col(text_col)), F.lit("")).alias("hash"), F.col(text_col).alias("text"))
+    classes = named.groupBy("hash").agg(F.min(F.struct("id", "text")).alias("r")).select("hash", "r.id", "r.text")
     cut = classes.select("id", shingles(F.col("text"), width).alias("s"))
-    banded = cut.select("id", F.posexplode(minhash(F.col("s"), bands, rows)).alias("band", "key"))
-    least = banded.groupBy("band", "key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = banded.join(least, ["band", "key"]).where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    left, right = cut.select(F.col("id").alias("a"), F.col("s").alias("sa")), cut.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b")
-    jaccard = F.size(F.array_intersect("sa", "sb")) / F.size(F.array_union("sa", "sb"))
-    return both.select("a", "b", F.round(jaccard, 6).alias("similarity")).where(F.col("similarity") >= threshold)
+    left = banded = checkpointed(cut.select("id", F.size("s").alias("n"), F.posexplode(minhash(F.col("s"), bands, rows)).alias("band", "key")))
+    links = None
+    for _ in range(rounds):
+        least = left.groupBy("band", "key").agg(F.min("id").alias("a"), F.count("*").alias("m")).where("m > 1").drop("m")
+        met = checkpointed(left.join(least, ["band", "key"]).where("id <> a"))
+        new = checkpointed(_similar(met.select("a", F.col("id").alias("b")).distinct(), cut, threshold))
+        links = new if links is None else links.unionByName(new)
+        linked = new.select("a", F.col("b").alias("id"))
+        left = met.join(linked, ["a", "id"], "left_anti").select("id", "n", "band", "key")
+    member = checkpointed(_labelled(banded, links) if links is not None else banded.withColumn("component", F.col("id")))
+    live = member.groupBy("band", "key").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first < last").select("band", "key")
+    one = member.join(live, ["band", "key"])
+    other = one.select("band", "key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
+    apart = one.join(other, ["band", "key"]).where("component < component2").where(F.least("n", "n2") >= (threshold - 1e-6) * F.greatest("n", "n2"))
+    more = _similar(apart.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct(), cut, threshold)
+    links = checkpointed(more if links is None else links.unionByName(more))
+    reached = _labelled(classes.select("hash", "id"), links).select("hash", F.col("id").alias("class"), "component")
+    return named.select("id", "hash").join(reached, "hash").select(F.col("id").alias(id_col), "class", "component")

@@ -1,392 +1,305 @@
 """Language-model scoring with a weighted backoff automaton.
 
-The model holds every word and every n-gram that occurs at least ``least`` times in
-the training texts, whatever their number; counts and weights are distributed tables.
-An n-gram that others continue is a context, with the weight that absolute discounting
-left. At the root stands the unigram
-
-    (c + 0.1) / (N + 0.1 * (V + 1)),
-
-which also gives every unseen word its share, so probabilities sum to one.
-
-The commonest words and n-grams (``most_words``, ``most_ngrams`` of each order) are
-also an automaton on every worker: each context is a state; on a word it has an arc to
-the longest context that ends there, or a failure arc to the state of its shorter
-context. Its weights are those of the whole model. One left-to-right traversal carries
-the state through a text and adds up log10 probabilities.
-
-The rest of the model is added by joins. With lp the log-probability and b the backoff
-weight (0 of what no n-gram continues), a held n-gram g of prefix p and suffix s adds
-
-    lp(g) - b(p) - lp(s) + b(g)
-
-wherever it occurs, and a held word b(g) besides its unigram; summed over all held
-n-grams of a text this telescopes to the weight of the longest held n-gram at each
-word. So what the automaton lacks is a sum over rows (text, n-gram, occurrences), and
-how the model is divided between automaton and table does not change the result.
-A Bloom filter keeps back what is not in the table; what it lets pass wrongly finds no
-partner in the join.
-
-N-grams go by 64-bit hashes of their words' 60-bit hashes.
-
-Defined results: a null or empty text has the end token alone. Rows are matched
-by id and text; repeated rows get the same result each. Without training texts
-N = V = 0 and every token has probability one.
+The model holds every word and every n-gram up to ``order`` of the training texts,
+whatever its count. With c for counts, its probabilities are
+
+    P(w)      = (c(w) + 0.1) / (N + 0.1 * (V + 1))
+    P(w | hv) = (c(hvw) + m * P(w | v)) / (c(hv) + m)
+
+where ``strength`` m is the weight of the shorter history (a Dirichlet prior). They
+sum to one. As an automaton: every n-gram shorter than ``order`` is a state, and the
+root has no word. On a word a state has an arc, with weight log10 P, where the longer
+n-gram was seen; else its failure arc leads to the state of the shorter history, with
+weight log10 (m / (c + m)). The root has an arc for every word, seen or not.
+
+An automaton of a whole corpus fits no worker, and none needs all of it. The texts are
+cut into blocks of ``block_bytes``. Each block asks for the counts of the distinct
+n-grams in it, by hash, in sorted runs that go to ``buckets`` of the key; a bucket adds
+up what the blocks hold and sends every block its counts in the same order. With these
+the block has the part of the automaton that its texts can reach, and one traversal
+from left to right carries the state and adds up weights. The state after a token
+depends on the last words alone, so numpy does the traversal for all tokens of a
+block at once; following a failure arc is a step back in the order.
+
+So all rows are hashed evenly, a frequent n-gram comes once from each block, and
+nothing is sent to the driver but sums. N-grams go by 62-bit hashes.
+
+Defined results: a null or empty text has the end token alone. Repeated rows, ties
+and repeated ids get the same result each; extra columns are not read, whatever their
+names. A text longer than a block is a block of its own. Without training texts
+N = V = 0 and every token has probability one. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import hashlib
-import math
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import ascii_words, checkpointed, text_blocks
-
-#: No word contains a blank, so this cannot be one.
-_END = b" end"
-
+from corpusmill.llm.common import checkpointed
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, 9, 10, 11, 12, 13]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_CODEC = pa.Codec("zstd", 3)
+
+
+def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of each token, tokens in each text, hash of each number); number 0 is the end."""
+    column = pc.fill_null(column, "")
+    offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4).astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets -= offsets[0]
+    word = ~_SPACE[data]
+    before = np.concatenate([[False], word[:-1]])[: len(word)]
+    before[offsets[:-1][np.diff(offsets) > 0]] = False  # texts lie side by side
+    starts = np.flatnonzero(word & ~before)
+    # An empty text shares its offset with the next one; the last of those has the bytes.
+    of = np.searchsorted(offsets[:-1], starts, side="right") - 1
+    letters = np.concatenate([[0], np.cumsum(word)])
+    ends = np.append(letters[starts], letters[-1]).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(_LOWER[data[word]])]).dictionary_encode()
+    n = np.bincount(of, minlength=len(column)) + 1
+    number = np.zeros(len(starts) + len(column), np.int32)
+    number[np.arange(len(starts)) + of] = words.indices.to_numpy(zero_copy_only=False) + 1
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in [b" end", *words.dictionary.to_pylist()]), np.uint64, len(words.dictionary) + 1)
+    return number, n, hashes
 
-def tokens_of(text: str | None) -> list[bytes]:
-    return [*ascii_words(text), _END]
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-def _names(words: list[bytes]) -> list[str]:
-    return [w.decode("utf-8", "surrogatepass") for w in words]
-
-
-def word_counts(texts: DataFrame, *, flush: int = 300_000) -> DataFrame:
-    """(word, c) over a table with one text column. Each task sums what it reads, in bounded memory, before the shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            got = pa.RecordBatch.from_arrays([pa.array(_names(list(seen)), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
-            seen.clear()
-            return got
-
-        for batch in batches:
-            for _, texts in text_blocks(batch.column(0)):
-                for text in texts:
-                    seen.update(tokens_of(text))
-                if len(seen) > flush:
-                    yield out()
-        yield out()
 
-    return texts.mapInArrow(run, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+def places_inside(n: np.ndarray) -> np.ndarray:
+    """For each token the number of tokens before it in its text."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
-def least_count(counts: DataFrame, most: int, least: int) -> int:
-    """The least count, from ``least`` on, that at most ``most`` rows reach. Reads a histogram of counts."""
-    rows = counts.where(F.col("c") >= least).groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).toPandas()
-    total = np.cumsum(rows["n"].to_numpy()) if len(rows) else np.zeros(0)
-    fits = np.flatnonzero(total <= most)
-    if len(fits) == len(rows):
-        return least
-    return int(rows["c"].iloc[fits[-1]]) if len(fits) else int(rows["c"].iloc[0]) + 1
+def ngram_keys(number: np.ndarray, n: np.ndarray, hashes: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each order (places, keys): where n-grams of this order end, and their keys. The lowest three bits say the order."""
+    word = hashes[number]
+    inside = places_inside(n)
+    at, hashed, found = np.arange(len(number)), word, []
+    for k in range(1, order + 1):
+        if k > 1:
+            at = np.flatnonzero(inside >= k - 1)
+            longer = np.zeros(len(number), np.uint64)
+            longer[at] = _mixed(hashed[at - 1] * np.uint64(0x9E3779B97F4A7C15) + word[at] * np.uint64(0xD6E8FEB86659FD93) + np.uint64(k))
+            hashed = longer
+        found.append((at, hashed[at] & ~np.uint64(7) | np.uint64(k)))
+    return found
 
 
-class Levels:
-    """The held n-grams of each order, as sorted keys: index of the first n-1 words' n-gram, then the last word."""
+def packed(values: np.ndarray) -> bytes:
+    """Unsigned values by planes of their bytes, without the planes that are zero, compressed."""
+    planes = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8).T
+    used = 8
+    while used > 1 and not planes[used - 1].any():
+        used -= 1
+    return bytes([used]) + _CODEC.compress(planes[:used].tobytes(), asbytes=True)
 
-    def __init__(self, words: list[bytes], most: int | None = None):
-        """Words by falling count; n-grams are of the first ``most`` of them."""
-        self.word = {w: i for i, w in enumerate(words[:most])}
-        self.keys: list[np.ndarray] = []
 
-    def ids(self, tokens: list[bytes]) -> np.ndarray:
-        get = self.word.get
-        return np.fromiter((get(t, -1) for t in tokens), np.int64, len(tokens))
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.zeros((8, n), np.uint8)
+    planes[: data[0]] = np.frombuffer(_CODEC.decompress(data[1:], data[0] * n, asbytes=True), np.uint8).reshape(data[0], n)
+    return np.ascontiguousarray(planes.T).view("<u8").reshape(n)
 
-    def extended(self, ids: np.ndarray, same: np.ndarray) -> np.ndarray:
-        """Keys of the n-grams, one word longer than the held ones, whose two parts are held. same: whether a token is in the text of the one before it."""
-        at = ids
-        for keys in self.keys:
-            key = np.where((at[:-1] >= 0) & (ids[1:] >= 0) & same[1:], at[:-1] << 32 | ids[1:], -1)
-            place = np.minimum(np.searchsorted(keys, key), len(keys) - 1) if len(keys) else np.zeros(len(key), np.int64)
-            at = np.concatenate([[-1], np.where((keys[place] == key) & (key >= 0), place, -1) if len(keys) else np.full(len(key), -1)])
-        both = (at[:-1] >= 0) & (at[1:] >= 0) & same[1:]
-        return (at[:-1] << 32 | ids[1:])[both]
 
+_BLOCK = "block bigint, id array<{kind}>, training array<boolean>, n array<int>, size bigint, numbers binary, hashes binary, words int"
 
-def ngram_counts(texts: DataFrame, levels: Levels) -> DataFrame:
-    """(key, c) of the n-grams one longer than the held ones."""
-    sent = texts.sparkSession.sparkContext.broadcast(levels)
 
-    def block(texts: list[str | None]) -> pa.RecordBatch:
-        each = [tokens_of(t) for t in texts]
-        ids = sent.value.ids([w for ws in each for w in ws])
-        same = np.ones(len(ids), bool)
-        same[np.cumsum([0, *map(len, each)])[:-1]] = False
-        keys, n = np.unique(sent.value.extended(ids, same), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], names=["key", "c"])
+def blocks_of(docs: DataFrame, training: Column, *, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
+    """The texts as numbers of words, in blocks of whole texts."""
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, part in text_blocks(batch.column(0), 8_000_000):
-                yield block(part)
+        task, at = TaskContext.get().partitionId(), 0
+        waiting: list[pa.RecordBatch] = []
+        held = 0
 
-    return texts.mapInArrow(run, "key bigint, c bigint").groupBy("key").agg(F.sum("c").alias("c"))
+        def out() -> pa.RecordBatch:
+            nonlocal at, waiting, held
+            rows = pa.Table.from_batches(waiting).combine_chunks()
+            number, n, hashes = tokens(rows.column("text").chunk(0))
+            one = lambda a, t: pa.array([a], t)
+            made = pa.RecordBatch.from_arrays(
+                [
+                    one(task << 33 | at, pa.int64()),
+                    pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), rows.column("id").chunk(0)),
+                    pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), rows.column("training").chunk(0)),
+                    pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), pa.array(n.astype(np.int32))),
+                    one(len(number), pa.int64()),
+                    one(packed(number), pa.binary()),
+                    one(hashes.tobytes(), pa.binary()),
+                    one(len(hashes), pa.int32()),
+                ],
+                names=["block", "id", "training", "n", "size", "numbers", "hashes", "words"],
+            )
+            at, waiting, held = at + 1, [], 0
+            return made
 
+        for batch in batches:
+            ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0)).astype(np.int64))
+            row = 0
+            while row < len(ends):
+                upto = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + block_bytes - held, side="right")))
+                waiting.append(batch.slice(row, upto - row))
+                held += int(ends[upto - 1] - (ends[row - 1] if row else 0))
+                row = upto
+                if held >= block_bytes or row < len(ends):
+                    yield out()
+        if waiting:
+            yield out()
 
-class WordKeys(dict):
-    """60-bit hashes of words, the same as ``word_key`` gives. Remembers so many."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
+    return rows.mapInArrow(run, _BLOCK.format(kind=kind))
 
-    def __init__(self, most: int = 200_000):
-        self.most = most
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = key = int(hashlib.md5(word, usedforsecurity=False).hexdigest()[:15], 16)
-        return key
+def _numbers(block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return unpacked(block["numbers"], block["size"]).astype(np.int32), np.array(block["n"], np.int64), np.frombuffer(block["hashes"], np.uint64)
 
 
-def word_key(word: Column) -> Column:
-    return F.conv(F.substring(F.md5(word), 1, 15), 16, 10).cast("bigint")
+_ASKED = "block bigint, bucket bigint, n int, keys binary, counts binary"
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def keys_of(texts: list[list[bytes]], order: int, known: WordKeys) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each order, keys of the n-grams that end at each token of all texts, and whether their words are of one text."""
-    tokens = [w for ws in texts for w in ws]
-    word = np.fromiter((known[w] for w in tokens), np.uint64, len(tokens))
-    same = np.ones(len(word), bool)
-    same[np.cumsum([0, *map(len, texts)])[:-1]] = False
-    keys, whole = [word], [np.ones(len(word), bool)]
-    for _ in range(order - 1):
-        longer = _mixed(keys[-1][:-1] * np.uint64(0x9E3779B97F4A7C15) + word[1:] * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1))
-        keys.append(np.concatenate([np.zeros(1, np.uint64), longer]))
-        whole.append(np.concatenate([[False], whole[-1][:-1]]) & same)
-    return keys, whole
-
-
-class Sieve:
-    """A Bloom filter of keys, in segments of ``2 ** WIDTH`` bits that are filled apart."""
-
-    WIDTH = 22
-    #: 32 MB; above 16 million keys more pass wrongly, none are lost.
-    MOST = 1 << 28
-
-    def __init__(self, keys: DataFrame):
-        """keys: one column, bigint."""
-        wanted = 16 * keys.count() >> self.WIDTH
-        self.segments = min(1 << wanted.bit_length(), self.MOST >> self.WIDTH)
-        self.bits = np.zeros((self.segments, 1 << self.WIDTH - 3), np.uint8)
-        width, places = self.WIDTH, self.places
-
-        def fill(group: pa.Table) -> pa.Table:
-            bits = np.zeros(1 << width, bool)
-            for at in places(group.column("k").to_numpy().view(np.uint64)):
-                bits[at] = True
-            return pa.table({"segment": group.column("segment").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
-
-        parts = keys.toDF("k").withColumn("segment", F.col("k").bitwiseAND(F.lit(self.segments - 1)))
-        for segment, bits in parts.groupBy("segment").applyInArrow(fill, "segment bigint, bits binary").toLocalIterator():
-            self.bits[segment] = np.frombuffer(bits, np.uint8)
-
-    @staticmethod
-    def places(keys: np.ndarray) -> list[np.ndarray]:
-        x, mask = _mixed(keys), np.uint64((1 << Sieve.WIDTH) - 1)
-        return [(x & mask).astype(np.int64), (x >> np.uint64(32) & mask).astype(np.int64)]
-
-    def passed(self, keys: np.ndarray) -> np.ndarray:
-        segment, found = (keys & np.uint64(self.segments - 1)).astype(np.int64), np.ones(len(keys), bool)
-        for at in self.places(keys):
-            found &= (self.bits[segment, at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-        return found
-
-
-def gram_counts(texts: DataFrame, n: int, shorter: Sieve) -> DataFrame:
-    """(k, p, s, w, c): n-grams with the keys of prefix, suffix and last word, but not those with a part that the sieve keeps back."""
-    sent = texts.sparkSession.sparkContext.broadcast(shorter)
-
-    def block(texts: list[str | None], known: WordKeys) -> pa.RecordBatch:
-        keys, whole = keys_of([tokens_of(t) for t in texts], n, known)
-        held = sent.value.passed(keys[-2])
-        at = np.flatnonzero(whole[-1] & held & np.concatenate([[False], held[:-1]]))
-        k, first, c = np.unique(keys[-1][at], return_index=True, return_counts=True)
-        at = at[first]
-        columns = [k, keys[-2][at - 1], keys[-2][at], keys[0][at]]
-        return pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in columns), pa.array(c.astype(np.int64))], names=["k", "p", "s", "w", "c"])
+def asked(blocks: DataFrame, *, order: int, bits: int) -> DataFrame:
+    """What each block asks of each bucket, the first ``bits`` of a key: the distinct keys, in order, and their number in its training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordKeys()
         for batch in batches:
-            for _, part in text_blocks(batch.column(0), 8_000_000):
-                yield block(part, known)
-
-    counted = texts.mapInArrow(run, "k bigint, p bigint, s bigint, w bigint, c bigint").groupBy("k")
-    return counted.agg(*(F.min(x).alias(x) for x in "psw"), F.sum("c").alias("c"))
+            for at in range(len(batch)):
+                (block,) = batch.slice(at, 1).to_pylist()
+                number, n, hashes = _numbers(block)
+                other = np.repeat(~np.array(block["training"], bool), n)
+                # The third bit, free so far, marks what is not of a training text.
+                keys = np.concatenate([k | other[place].astype(np.uint64) << np.uint64(2) for place, k in ngram_keys(number, n, hashes, order)])
+                keys.sort()
+                mark = (keys >> np.uint64(2) & np.uint64(1)).astype(bool)
+                keys &= ~np.uint64(4)
+                # Marked keys stand behind all orders of one hash, which differ in the lowest bits alone.
+                if len(keys) > 1 and np.any(keys[1:] < keys[:-1]):
+                    by = np.argsort(keys, kind="stable")
+                    keys, mark = keys[by], mark[by]
+                first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+                counts = np.add.reduceat((~mark).astype(np.uint64), first) if len(first) else np.zeros(0, np.uint64)
+                keys = keys[first]
+                cuts = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(0, np.int64)
+                cuts = np.concatenate([[0], cuts, [len(keys)]])
+                some = np.flatnonzero(np.diff(cuts))
+                steps = np.diff(keys, prepend=np.uint64(0))
+                low = np.uint64((1 << 64 - bits) - 1)
+                rows = []
+                for b in some.tolist():
+                    lo, hi = cuts[b], cuts[b + 1]
+                    step = steps[lo:hi].copy()
+                    step[0] = keys[lo] & low
+                    rows.append((block["block"], b, int(hi - lo), packed(step), packed(counts[lo:hi])))
+                for part in range(0, len(rows), 4096):
+                    yield pa.RecordBatch.from_pylist([dict(zip(("block", "bucket", "n", "keys", "counts"), r)) for r in rows[part : part + 4096]], _ASKED_ARROW)
+
+    return blocks.mapInArrow(run, _ASKED)
+
+
+_ASKED_ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+_TOLD = "block bigint, bucket bigint, n int, counts binary, tokens bigint, words bigint"
+_TOLD_ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("n", pa.int32()), ("counts", pa.binary()), ("tokens", pa.int64()), ("words", pa.int64())])
+
+
+def told(wanted: DataFrame) -> DataFrame:
+    """The counts over all blocks, in the order in which each block asked; and, on one row of each bucket, its training tokens and distinct words."""
+
+    def run(group: pa.Table) -> pa.Table:
+        sizes = group.column("n").to_numpy()
+        keys = np.concatenate([np.cumsum(unpacked(d, n), dtype=np.uint64) for d, n in zip(group.column("keys").to_pylist(), sizes)])
+        counts = np.concatenate([unpacked(d, n) for d, n in zip(group.column("counts").to_pylist(), sizes)])
+        unique, place = np.unique(keys, return_inverse=True)
+        total = np.bincount(place, counts.astype(np.float64), len(unique)).astype(np.uint64)
+        answer, ends = total[place], np.cumsum(sizes)
+        word = (unique & np.uint64(7)) == 1
+        zeros = np.zeros(len(sizes), np.int64)
+        tokens, words = zeros.copy(), zeros.copy()
+        tokens[0], words[0] = int(total[word].sum()), int(np.count_nonzero(total[word]))
+        told = pa.array([packed(answer[e - n : e]) for e, n in zip(ends, sizes)], pa.binary())
+        return pa.Table.from_arrays([group.column("block"), group.column("bucket"), group.column("n"), told, pa.array(tokens), pa.array(words)], schema=_TOLD_ARROW)
+
+    return wanted.groupBy("bucket").applyInArrow(run, _TOLD)
 
 
-@dataclass
 class Automaton:
-    """arcs[state][word]: (next state, log10 weight); fail[state]: (shorter state, log10 weight). State 0 is the root.
-
-    rest: (k, f), what the n-grams outside of it add; sieve: of the keys of rest.
-    """
-
-    arcs: list[dict[bytes, tuple[int, float]]]
-    fail: list[tuple[int, float]]
-    total: int
-    distinct: int
-    order: int = 1
-    rest: DataFrame | None = None
-    sieve: Sieve | None = None
-
-    def unigram(self, c: int) -> float:
-        return math.log10((c + 0.1) / (self.total + 0.1 * (self.distinct + 1)))
-
-    def traverse(self, tokens: list[bytes]) -> tuple[float, float, int, Counter]:
-        """Log-probability, and unigram log-probability and number of the tokens that the root knows; and the other tokens, still to be added to both."""
-        arcs, fail, root = self.arcs, self.fail, self.arcs[0]
-        state, score, base, known, rare = 0, 0.0, 0.0, 0, []
-        for t in tokens:
-            at_root = root.get(t)
-            if at_root is None:
-                rare.append(t)
-                while state:
-                    state, weight = fail[state]
-                    score += weight
-                continue
-            base += at_root[1]
-            known += 1
-            while (arc := arcs[state].get(t)) is None:
-                state, weight = fail[state]
-                score += weight
-            state, weight = arc
-            score += weight
-        return score, base, known, Counter(rare)
-
-
-def build(words: list[bytes], levels: list[pd.DataFrame], total: int, distinct: int) -> tuple[Automaton, set[int]]:
-    """The automaton and the keys of what it holds.
-
-    levels: of each order k, p, s, w, lp and b (null: no context), the first for the words.
-    An n-gram is held if its prefix and suffix are.
-    """
-    made, word_of, keys = Automaton([{}], [(0, 0.0)], total, distinct, len(levels)), dict(zip(levels[0]["k"], words)), set()
-    ends: dict[int, int] = {}  # state of the longest context that ends an n-gram
-    own: dict[int, int] = {}
-    for n, level in enumerate(levels):
-        before, own, ends_before, ends = own, {}, ends, {}
-        for k, p, s, w, lp, b in zip(*(level[c].tolist() for c in ("k", "p", "s", "w", "lp", "b"))):
-            if n and (p not in ends_before or s not in ends_before):
-                continue
-            keys.add(k)
-            ends[k] = shorter = ends_before[s] if n else 0
-            if n < len(levels) - 1 and not math.isnan(b):
-                ends[k] = own[k] = len(made.arcs)
-                made.arcs.append({})
-                made.fail.append((shorter, b))
-            made.arcs[before[p] if n else 0][word_of[w]] = (ends[k], lp)
-    return made, keys
-
-
-def train(texts: DataFrame, *, order: int = 3, most_words: int = 60_000, most_ngrams: int = 200_000, least: int = 3, discount: float = 0.75) -> tuple[Automaton, DataFrame]:
-    """The model, and the table (word, c) of all counts. texts: one column.
-
-    ``most_words`` and ``most_ngrams`` say how much the automaton holds itself.
-    """
-    counts = checkpointed(word_counts(texts))
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    key = word_key(F.col("word"))
-    chance = (F.col("c") + 0.1) / F.lit(total + 0.1 * (distinct + 1))
-    levels = [counts.where(F.col("c") >= least).select(key.alias("k"), F.lit(None).cast("bigint").alias("p"), F.lit(None).cast("bigint").alias("s"), key.alias("w"), "c", F.log10(chance).alias("lp"), "word")]
-    backoff: list[DataFrame] = []  # (p, b) of the contexts of each order
-    for n in range(2, order + 1):
-        found = checkpointed(gram_counts(texts, n, Sieve(levels[-1].select("k"))).where(F.col("c") >= least))
-        prefix = levels[-1].select(F.col("k").alias("p"), F.col("c").alias("of"))
-        suffix = levels[-1].select(F.col("k").alias("s"), F.col("lp").alias("below"))
-        each = checkpointed(found.join(prefix, "p").join(suffix, "s").select("k", "p", "s", "w", "c", F.log10((F.col("c") - discount) / F.col("of")).alias("lp"), "below"))
-        left, below = 1 - F.sum(F.pow(F.lit(10.0), "lp")), 1 - F.sum(F.pow(F.lit(10.0), "below"))
-        backoff.append(checkpointed(each.groupBy("p").agg(F.log10(F.greatest(left, F.lit(1e-12)) / F.greatest(below, F.lit(1e-12))).alias("b"))))
-        levels.append(each)
-    weighed = [level.join(backoff[n].select(F.col("p").alias("k"), "b"), "k", "left") if n < len(backoff) else level.withColumn("b", F.lit(None).cast("double")) for n, level in enumerate(levels)]
-    heads = []
-    for n, level in enumerate(weighed):
-        head = level.where(F.col("c") >= least_count(levels[n], most_ngrams if n else most_words, least))
-        heads.append(head.select("k", "p", "s", "w", "lp", "b", *([] if n else ["word"])).toPandas())
-    made, held = build([w.encode("utf-8", "surrogatepass") for w in heads[0]["word"]], heads, total, distinct)
-    adds = [weighed[0].where("b is not null").select("k", F.col("b").alias("f"))]
-    for n, level in enumerate(weighed[1:]):
-        adds.append(level.join(backoff[n].withColumnRenamed("b", "pb"), "p").select("k", (F.col("lp") - F.col("pb") - F.col("below") + F.coalesce("b", F.lit(0.0))).alias("f")))
-    rest = adds[0]
-    for more in adds[1:]:
-        rest = rest.unionByName(more)
-    keys = texts.sparkSession.createDataFrame(pd.DataFrame({"k": np.fromiter(held, np.int64, len(held))}), "k bigint")
-    made.rest = checkpointed(rest.join(keys, "k", "left_anti"))
-    made.sieve = Sieve(made.rest.select("k"))
-    return made, counts
-
-
-def score(docs: DataFrame, automaton: Automaton, counts: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: held_out, n_tokens, n_known, train_tokens, base_score and score."""
-    sent = docs.sparkSession.sparkContext.broadcast(replace(automaton, rest=None))
-
-    def outside(tokens: list[list[bytes]], known: WordKeys) -> pa.ListArray:
-        """For each text the keys, and their numbers, of the n-grams that may be in the rest."""
-        row = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
-        keys, rows = [], []
-        for k, whole in zip(*keys_of(tokens, sent.value.order, known)):
-            at = np.flatnonzero(whole)
-            at = at[sent.value.sieve.passed(k[at])]
-            keys.append(k[at])
-            rows.append(row[at])
-        keys, rows = np.concatenate(keys), np.concatenate(rows)
-        by = np.lexsort((keys, rows))
-        keys, rows = keys[by], rows[by]
-        first = np.flatnonzero(np.concatenate([np.ones(min(len(keys), 1), bool), (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])]))
-        flat = pa.StructArray.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(np.diff(np.append(first, len(keys))).astype(np.int32))], names=["k", "n"])
-        return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows[first], np.arange(len(tokens) + 1)).astype(np.int32)), flat)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        walk, keys = sent.value.traverse, WordKeys()
-        for batch in batches:
-            for at, texts in text_blocks(batch.column(1), 4_000_000):
-                rows, rare, each = [], [], [tokens_of(t) for t in texts]
-                for tokens in each:
-                    value, base, known, rest = walk(tokens)
-                    rows.append((len(tokens), known, base, value))
-                    rare.append(list(zip(_names(list(rest)), rest.values())))
-                n, known, base, value = zip(*rows)
-                sizes = np.cumsum([0, *map(len, rare)]).astype(np.int32)
-                flat = pa.StructArray.from_arrays([pa.array([w for r in rare for w, _ in r], pa.string()), pa.array([c for r in rare for _, c in r], pa.int32())], names=["word", "n"])
-                given = [batch.column(i).slice(at, len(texts)) for i in (0, 2, 3)]
-                yield pa.RecordBatch.from_arrays(
-                    [*given, pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(value, pa.float64()), pa.ListArray.from_arrays(pa.array(sizes), flat), outside(each, keys)],
-                    names=["id", "held_out", "key", "n_tokens", "known", "base", "value", "rare", "outside"],
-                )
-
+    """The part of the automaton that one block can reach: for each order the count of the n-gram that ends at each token."""
+
+    def __init__(self, seen: list[np.ndarray], inside: np.ndarray, total: int, distinct: int, strength: float):
+        self.seen, self.inside, self.total, self.distinct, self.strength = seen, inside, total, distinct, strength
+
+    def traverse(self) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probabilities of all tokens by their unigrams, and by the whole model."""
+        order, m = len(self.seen), self.strength
+        arc = [(self.seen[0] + 0.1) / (self.total + 0.1 * (self.distinct + 1))]
+        base = np.log10(arc[0])
+        for k in range(1, order):
+            context = np.concatenate([[0.0], self.seen[k - 1][:-1]])
+            arc.append((self.seen[k] + m * arc[k - 1]) / (context + m))
+        # The state before a token: words of the longest history that was seen.
+        state = np.zeros(len(base), np.int64)
+        for k in range(1, order):
+            state[1:][(self.seen[k - 1][:-1] > 0) & (self.inside[1:] >= k)] = k
+        return base, self._walk(state, arc, m)
+
+    def _walk(self, state: np.ndarray, arc: list[np.ndarray], m: float) -> np.ndarray:
+        weight, at = np.zeros(len(state)), np.arange(len(state))
+        for k in range(len(arc) - 1, 0, -1):
+            here = at[state[at] == k]
+            has = self.seen[k][here] > 0
+            weight[here[has]] += np.log10(arc[k][here[has]])
+            fails = here[~has]
+            weight[fails] += np.log10(m / (self.seen[k - 1][fails - 1] + m))
+            state[fails] = k - 1
+            state[here[has]] = -1
+        root = at[state == 0]
+        weight[root] += np.log10(arc[0][root])
+        return weight
+
+
+def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text", order: int = 3, strength: float = 64.0, block_bytes: int = 8_000_000, bucket_bytes: int = 4_000_000) -> DataFrame:
+    """Per row: held_out, n_tokens, n_known, train_tokens, base_score and score. The rows that are not held out are the training texts."""
+    if not 1 <= order <= 3:
+        raise ValueError("order: from 1 to 3")  # two bits of a key
     kind = docs.schema[id_col].dataType.simpleString()
-    text = F.col(text_col)
-    # A row goes by its id and a hash of its text; rows that share both have one text and get one sum.
-    walked = docs.select(F.col(id_col).alias("id"), text.alias("text"), held_out.alias("held_out"), F.xxhash64(text).alias("key"))
-    rows = checkpointed(walked.mapInArrow(run, f"id {kind}, held_out boolean, key bigint, n_tokens bigint, known bigint, base double, value double, rare array<struct<word: string, n: int>>, outside array<struct<k: bigint, n: int>>"))
-    rare = rows.select("id", "key", F.explode("rare").alias("r")).select("id", "key", "r.word", "r.n")
-    weight = F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(automaton.total + 0.1 * (automaton.distinct + 1)))
-    zero = F.lit(0.0)
-    found = rare.join(counts, "word", "left").select("id", "key", (F.col("n") * weight).alias("more"), zero.alias("longer"), F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0).alias("more_known"), F.lit(0).alias("copies"))
-    grams = rows.select("id", "key", F.explode("outside").alias("r")).select("id", "key", "r.k", "r.n").join(automaton.rest, "k")
-    grams = grams.select("id", "key", zero.alias("more"), (F.col("n") * F.col("f")).alias("longer"), F.lit(0).alias("more_known"), F.lit(0).alias("copies"))
-    own = rows.select("id", "key", zero.alias("more"), zero.alias("longer"), F.lit(0).alias("more_known"), F.lit(1).alias("copies"))
-    sums = found.unionByName(grams).unionByName(own).groupBy("id", "key").agg(*(F.sum(c).alias(c) for c in ("more", "longer", "more_known", "copies")))
-    mean = lambda c: F.col(c) / F.col("copies")
-    each = sums.select(F.col("id").alias("of_id"), F.col("key").alias("of"), mean("more").alias("more"), mean("longer").alias("longer"), mean("more_known").cast("bigint").alias("more_known"))
-    return rows.join(each, F.col("id").eqNullSafe(F.col("of_id")) & (rows.key == each.of)).select(
-        F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.col("more_known")).alias("n_known"), F.lit(automaton.total).cast("bigint").alias("train_tokens"), (F.col("base") + F.col("more")).alias("base_score"), (F.col("value") + F.col("more") + F.col("longer")).alias("score")
-    )
+    blocks = checkpointed(blocks_of(docs, ~held_out, id_col=id_col, text_col=text_col, block_bytes=block_bytes))
+    size = blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] * 6  # a token has about so many bytes
+    bits = max(0, (size // bucket_bytes)).bit_length()
+    counts = checkpointed(told(asked(blocks, order=order, bits=bits)))
+    total, distinct = counts.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+
+    def run(mine: pa.Table, answers: pa.Table) -> pa.Table:
+        (block,) = mine.to_pylist()
+        number, n, hashes = _numbers(block)
+        by = np.argsort(answers.column("bucket").to_numpy())
+        parts, sizes = answers.column("counts").to_pylist(), answers.column("n").to_numpy()
+        told = np.concatenate([unpacked(parts[i], sizes[i]) for i in by.tolist()]).astype(np.float64)
+        places = ngram_keys(number, n, hashes, order)
+        _, at = np.unique(np.concatenate([k for _, k in places]), return_inverse=True)
+        seen, start = [], 0
+        for place, keys in places:
+            each = np.zeros(len(number))
+            each[place] = told[at[start : start + len(keys)]]
+            seen.append(each)
+            start += len(keys)
+        base, weight = Automaton(seen, places_inside(n), total, distinct, strength).traverse()
+        starts = np.cumsum(n) - n
+        known = np.add.reduceat((seen[0] > 0).astype(np.int64), starts)
+        columns = [mine.column("id").combine_chunks().flatten(), pa.array(~np.array(block["training"], bool)), pa.array(n), pa.array(known), pa.array(np.full(len(n), total, np.int64)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(weight, starts))]
+        return pa.table(columns, names=names)
+
+    names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    schema = f"`{id_col}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    return blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(run, schema)

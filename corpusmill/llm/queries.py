@@ -123,9 +123,7 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, held_out = table(spark, sf_dir, "documents"), id_bucket("doc_id", 10) == 0
-    automaton, counts = lm.train(docs.where(~held_out).select("text"))
-    return lm.score(docs, automaton, counts, held_out)
+    return lm.score(table(spark, sf_dir, "documents"), id_bucket("doc_id", 10) == 0)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,11 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 
 from corpusmill.llm import lm, queries
 from corpusmill.llm.common import id_bucket, table
@@ -54,85 +58,104 @@ def corpus(seed=1, n=200):
     return out
 
 
-@pytest.mark.parametrize("order", [1, 2, 3, 4])
-def test_probabilities_sum_to_one(spark, order):
-    texts = corpus()
-    automaton, counts = lm.train(spark.createDataFrame([(t,) for t in texts], "text string"), order=order, least=1)
-    assert len(automaton.arcs[0]) == 6 and {r.word: r.c for r in counts.collect()}["a"] == sum(t.split().count("a") for t in texts)
-    for state in range(len(automaton.arcs)):
-        total = 0.1 / (automaton.total + 0.1 * (automaton.distinct + 1))
-        at, weight = state, 0.0
-        while at:
-            weight += automaton.fail[at][1]
-            at = automaton.fail[at][0]
-        total *= 10**weight
-        for word in automaton.arcs[0]:
-            at, weight = state, 0.0
-            while word not in automaton.arcs[at]:
-                weight += automaton.fail[at][1]
-                at = automaton.fail[at][0]
-            total += 10 ** (weight + automaton.arcs[at][word][1])
-        assert total == pytest.approx(1.0, abs=1e-6)
-
-
-def test_ngram_counts_and_thresholds(spark):
-    texts = corpus(3, 60)
-    frame = spark.createDataFrame([(t,) for t in texts], "text string")
-    counts = lm.word_counts(frame)
-    assert lm.least_count(counts, 10, 1) == 1
-    assert counts.where(f"c >= {lm.least_count(counts, 2, 1)}").count() <= 2
-    levels = lm.Levels([b"a", b"b", b"c", b"d", b"e", b" end"])
-    got = {k: c for k, c in lm.ngram_counts(frame, levels).collect()}
-    want = Counter((levels.word[x] << 32) | levels.word[y] for t in texts for x, y in zip(lm.tokens_of(t), lm.tokens_of(t)[1:]))
-    assert got == dict(want)
+def plain_automaton(texts, order, strength):
+    """States are seen n-grams, with explicit arcs and failure arcs, as dictionaries."""
+    seqs = [plain_tokens(t) for t in texts]
+    counts = Counter(tuple(s[i : i + n]) for s in seqs for n in range(1, order + 1) for i in range(len(s) - n + 1))
+    total, distinct = sum(map(len, seqs)), len({g for g in counts if len(g) == 1})
+
+    def chance(g):
+        if len(g) == 1:
+            return (counts[g] + 0.1) / (total + 0.1 * (distinct + 1))
+        return (counts[g] + strength * chance(g[1:])) / (counts[g[:-1]] + strength)
+
+    arcs, fail = {(): {}}, {}
+    for g in counts:
+        if len(g) < order:
+            arcs.setdefault(g, {})
+            fail[g] = (g[1:], math.log10(strength / (counts[g] + strength)))
+    for g in counts:
+        arcs[g[:-1]][g[-1]] = (g if len(g) < order else g[1:], math.log10(chance(g)))
+    return arcs, fail, math.log10(chance((object(),)))
+
+
+def plain_walk(automaton, text):
+    arcs, fail, unseen = automaton
+    state, score = (), 0.0
+    for t in plain_tokens(text):
+        while t not in arcs[state] and state:
+            state, weight = fail[state]
+            score += weight
+        state, weight = arcs[state].get(t, ((), unseen))
+        score += weight
+    return score
+
+
+def scored(spark, texts, asked, **how):
+    rows = [(i, t, i >= len(texts)) for i, t in enumerate([*texts, *asked])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held boolean").repartition(3)
+    return {r.doc_id: r.score for r in lm.score(docs, docs.held, **how).collect()}
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("sizes", [{}, {"block_bytes": 40, "bucket_bytes": 100}, {"block_bytes": 1, "bucket_bytes": 7}])
+def test_same_as_a_plain_automaton(spark, order, sizes):
+    texts, asked = corpus(5, 60) + ["b d x y z"] * 3, corpus(6, 20) + ["b d x y z b d x", "x y z", "new y z", "", None, " \t"]
+    automaton = plain_automaton(texts, order, 5.0)
+    got = scored(spark, texts, asked, order=order, strength=5.0, **sizes)
+    assert [got[i] for i in range(len(got))] == pytest.approx([plain_walk(automaton, t) for t in [*texts, *asked]], rel=1e-9, abs=1e-9)
+
+
+def test_whole_table_is_scored_as_by_a_plain_automaton(spark, sf_dir):
+    rows = [(r.doc_id, r.text, zlib.crc32(str(r.doc_id).encode()) % 10 == 0) for r in table(spark, sf_dir, "documents").collect()]
+    automaton = plain_automaton([t for _, t, held in rows if not held], 3, 64.0)
+    got = {r.doc_id: r.score for r in queries.op8_lm_scoring(spark, sf_dir).collect()}
+    assert [got[i] for i, *_ in rows] == pytest.approx([plain_walk(automaton, t) for _, t, _ in rows], rel=1e-9)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_probabilities_sum_to_one(order):
+    arcs, fail, unseen = plain_automaton(corpus(), order, 3.0)
+    for state in (s for s in arcs if None not in s):  # nothing follows the end
+        at, weight, done, total = state, 0.0, set(), 0.0
+        while True:
+            total += sum(10 ** (weight + w) for t, (_, w) in arcs[at].items() if t not in done)
+            done |= set(arcs[at])
+            if not at:
+                break
+            at, more = fail[at]
+            weight += more
+        assert total + 10 ** (weight + unseen) == pytest.approx(1.0, abs=1e-9)
+
+
+@given(st.lists(st.integers(0, 2**64 - 1), max_size=50))
+def test_packed_numbers(values):
+    assert lm.unpacked(lm.packed(np.array(values, np.uint64)), len(values)).tolist() == values
+
+
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="aAbé \t\n\x1c", max_size=8)), min_size=1, max_size=8), st.integers(0, 3))
+def test_tokens(texts, skip):
+    column = pa.array(["x y"] * skip + texts).slice(skip)
+    number, n, hashes = lm.tokens(column)
+    want = [plain_tokens(t) for t in texts]
+    assert n.tolist() == [len(w) for w in want]
+    flat = [t for w in want for t in w]
+    names = {}
+    for i, t in zip(number.tolist(), flat):
+        assert names.setdefault(i, t) == t
+    assert len(set(names.values())) == len(names) == len(hashes) - (None not in flat) and (number == 0).tolist() == [t is None for t in flat]
 
 
 def test_odd_rows(spark):
     rows = [(1, "The the THE cat", False), (2, None, False), (3, "", True), (4, "é É dog\x0bcat\x1cx", True), (5, "the cat " * 30000, False), (0, "unseen words only", True)]
-    docs = spark.createDataFrame([(i, t, h, 0.5) for i, t, h in rows] + [(1, rows[0][1], False, 0.5)], "doc_id long, text string, held boolean, score double")
-    automaton, counts = lm.train(docs.where("not held").dropDuplicates(["doc_id"]).select("text"), least=1)
-    got = lm.score(docs, automaton, counts, docs.held).collect()
-    assert len(got) == len(rows) + 1
+    docs = spark.createDataFrame([(i, t, h, 0.5, 1, 2, 3) for i, t, h in rows], "doc_id long, text string, held boolean, score double, block long, n long, training long")
+    got = lm.score(docs, docs.held).collect()
+    assert len(got) == len(rows)
     check(rows, got)
-    small, few = lm.train(docs.where("not held").dropDuplicates(["doc_id"]).select("text"), most_words=1)
-    assert sorted(round(r.base_score, 6) for r in lm.score(docs, small, few, docs.held).collect()) == sorted(round(r.base_score, 6) for r in got)
-    empty, none = lm.train(docs.limit(0).select("text"))
-    assert {r.base_score for r in lm.score(docs, empty, none, docs.held).collect()} == {0.0}
-    assert lm.score(docs.limit(0), automaton, counts, id_bucket("doc_id", 10) == 0).collect() == []
-
-
-def plain_scores(texts, docs, order=3, least=3, discount=0.75):
-    """Backoff over all n-grams from the least count on, in plain dictionaries."""
-    seqs = [plain_tokens(t) for t in texts]
-    counts = [Counter(tuple(s[i : i + n]) for s in seqs for i in range(len(s) - n + 1)) for n in range(1, order + 1)]
-    total, distinct = sum(counts[0].values()), len(counts[0])
-    held = {g: c for level in counts for g, c in level.items() if c >= least}
-    followed = {}
-    for g in held:
-        if len(g) > 1:
-            followed.setdefault(g[:-1], []).append(g)
-
-    def chance(g):
-        if len(g) == 1:
-            return (counts[0][g] + 0.1) / (total + 0.1 * (distinct + 1))
-        if g in held:
-            return (held[g] - discount) / held[g[:-1]]
-        return backoff(g[:-1]) * chance(g[1:])
-
-    def backoff(context):
-        if context not in followed:
-            return 1.0
-        left, below = (1 - sum(map(chance, gs)) for gs in (followed[context], [g[1:] for g in followed[context]]))
-        return max(left, 1e-12) / max(below, 1e-12)
-
-    return [sum(math.log10(chance(tuple(s[max(0, i - order + 1) : i + 1]))) for i in range(len(s))) for s in map(plain_tokens, docs)]
-
-
-@pytest.mark.parametrize("most_words, most_ngrams", [(60_000, 200_000), (4, 3), (1, 0)])
-def test_all_ngrams_count_whatever_the_automaton_holds(spark, most_words, most_ngrams):
-    texts = corpus(5, 80) + ["b d x y z"] * 3
-    asked = corpus(6, 20) + ["b d x y z b d x", "x y z", "new y z", ""]
-    automaton, counts = lm.train(spark.createDataFrame([(t,) for t in texts], "text string"), most_words=most_words, most_ngrams=most_ngrams)
-    docs = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")
-    got = {r.doc_id: r.score for r in lm.score(docs, automaton, counts, docs.doc_id < 0).collect()}
-    assert [got[i] for i in range(len(asked))] == pytest.approx(plain_scores(texts, asked), rel=1e-9, abs=1e-9)
+    twice = lm.score(docs.unionByName(docs.where("doc_id = 4")), docs.held).where("doc_id = 4").collect()
+    assert len(twice) == 2 and twice[0] == twice[1]
+    untrained = lm.score(docs, docs.held | ~docs.held).collect()
+    assert {(r.score, r.base_score, r.train_tokens) for r in untrained} == {(0.0, 0.0, 0)}
+    assert lm.score(docs.limit(0), docs.held).collect() == []
+    null = spark.createDataFrame([(None, None, None)], "doc_id string, text string, held boolean")
+    assert [(r.doc_id, r.n_tokens, r.n_known) for r in lm.score(null, null.held).collect()] == [(None, 1, 0)]

@@ -12,8 +12,10 @@ dense as a whole is cut at ``/ . = - _``: each stretch of parts between those th
 are words, digests, UUIDs or numbers is tested, and where it is not dense each part.
 
 Defined results: a null or empty text has no spans. Spans are in code points,
-end exclusive, and cover the whole match. Whole texts are scanned, of any length;
-repeated rows give repeated rows.
+end exclusive, and cover the whole match; those that start together stand in the order
+of KINDS. Whole texts are scanned, of any length, in time that grows with it; repeated
+rows give repeated rows, an empty table none. ``scan`` reads no other columns, and
+``redact`` hands them on, whatever their names.
 """
 
 from __future__ import annotations
@@ -46,8 +48,8 @@ _NUMBER = re.compile(r"[0-9.+/_=-]+")
 _DIGEST = re.compile(r"[0-9a-fA-F]+")
 #: Hexadecimal digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 _DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
-#: Words of one case, with digits at the end at most, joined by marks or capitals.
-_IDENTIFIER = re.compile(r"[A-Z]?(?:[a-z]{2,}|[A-Z]{2,})[0-9]{0,4}(?:[_./=+-]*(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}(?=[_./=+-]|$))[0-9]{0,4})*[_./=+-]*")
+#: Words of one case, numbers and marks; every character of a run is in one.
+_TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[_./=+-]+")
 
 
 def pattern_spans(text: str) -> list[tuple[int, int, str]]:
@@ -59,11 +61,13 @@ def pattern_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def _identifier(run: str) -> bool:
-    """Words are long on average; random strings fall apart into short ones."""
-    if not _IDENTIFIER.fullmatch(run):
+    """Words joined by marks or capitals, from a word of two letters on, with numbers of four digits at most. Its
+    words are long on average; random strings fall apart into short ones."""
+    parts = _TOKEN.findall(run)
+    words = [p for p in parts if p[0] not in "_./=+-"]
+    if not words or parts[0] != words[0] or words[0].isdigit() or len(words[0]) < 2:
         return False
-    words = re.findall(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+", run)
-    return sum(map(len, words)) >= 3.5 * len(words)
+    return all(len(w) <= 4 for w in words if w.isdigit()) and sum(map(len, words)) >= 3.5 * len(words)
 
 
 def _known(run: str) -> bool:

@@ -135,7 +135,7 @@ def test_packed_numbers(values):
 
 @given(st.lists(st.one_of(st.none(), st.text(alphabet="aAbé \t\n\x1c", max_size=8)), min_size=1, max_size=8), st.integers(0, 3))
 def test_tokens(texts, skip):
-    column = pa.array(["x y"] * skip + texts).slice(skip)
+    column = pa.array(["x y"] * skip + texts, pa.string()).slice(skip)
     number, n, hashes = lm.tokens(column)
     want = [plain_tokens(t) for t in texts]
     assert n.tolist() == [len(w) for w in want]

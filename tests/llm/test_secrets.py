@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import string
+import time
 
 import public_tokenizers
 import pytest
@@ -99,3 +100,79 @@ def test_dense_around_patterns(scanner):
     for clean in ["documentation/reference/" + "0123456789ABCDEF" * 2 + "/connection", "account/reset/123E4567-E89B-12D3-A456-426614174000/confirmation.page"]:
         parts = scanner.dense_parts(clean)
         assert parts == [] or parts == [(0, len(clean))]
+
+
+def plain_words(run):
+    """Is the run nothing but words: pieces of one case and numbers, without marks."""
+    pieces = re.findall(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+", run)
+    if not pieces or not run.startswith(pieces[0]) or pieces[0].isdigit() or len(pieces[0]) == 1:
+        return False
+    return not any(p.isdigit() and len(p) > 4 for p in pieces) and sum(map(len, pieces)) / len(pieces) >= 3.5
+
+
+def plain_dense(coder, text):
+    """The token test to the letter: runs of key characters outside of base spans, whole or in stretches of parts."""
+    base = plain_base(text)
+    uuid = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
+    known = lambda r: bool(re.fullmatch(r"[0-9.+/_=-]+", r) or re.fullmatch(uuid, r) or re.fullmatch(r"[0-9a-fA-F]+", r) and len(r) in (32, 40, 56, 64, 96, 128))
+    dense = lambda r: len(r) >= 20 and not known(r) and not plain_words(r) and len(r) / len(coder.encode_ordinary(r)) < 1.8
+    covered = {i for s, e, _ in base for i in range(s, e)}
+    found = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=.-]{20,}", text):
+        if known(m.group()):
+            continue
+        places = [i for i in range(*m.span()) if i not in covered]
+        runs = []
+        for i in places:
+            if runs and runs[-1][1] == i:
+                runs[-1][1] = i + 1
+            else:
+                runs.append([i, i + 1])
+        for start, end in runs:
+            if dense(text[start:end]):
+                found.append((start, end))
+                continue
+            group = []
+            parts = [(start + p.start(), start + p.end()) for p in re.finditer(rf"(?<![A-Za-z0-9+]){uuid}(?![A-Za-z0-9+])|[A-Za-z0-9+]+", text[start:end])] if end - start >= 20 else []
+            for s, e in [*parts, (end, end)]:
+                if s < e and not known(text[s:e]) and not plain_words(text[s:e]):
+                    group.append((s, e))
+                    continue
+                if group and dense(text[group[0][0] : group[-1][1]]):
+                    found.append((group[0][0], group[-1][1]))
+                else:
+                    found += [g for g in group if dense(text[g[0] : g[1]])]
+                group = []
+    return found
+
+
+def test_all_spans_of_a_table_are_those_of_the_plain_test(spark, scanner):
+    rng = random.Random(3)
+    made = []
+    for _ in range(300):
+        parts = [rng.choice(["config", "home", "AbcX9pQ2zLm4RtY8uVw1", "0123456789abcdef01", "secret=abcdefghijklmnop", "x1", "2024", "getUserName", "123e4567-e89b-12d3-a456-426614174000", "".join(rng.choices(string.ascii_letters + string.digits, k=rng.randint(3, 30)))]) for _ in range(rng.randint(1, 6))]
+        made.append("".join(p + rng.choice(["/", ".", "-", "_", "=", " ", ""]) for p in parts))
+    for text in [*made, *(t or "" for t in ODD)]:
+        assert [(s, e) for s, e, k in scanner.spans(text) if k == "dense"] == plain_dense(scanner.coder, text), text
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in secrets.scan(docs, PATH, PATTERN).collect():
+        assert r.spans == secrets.written(sorted([*plain_base(texts[r.doc_id]), *((s, e, "dense") for s, e in plain_dense(scanner.coder, texts[r.doc_id]))], key=lambda s: (s[0], secrets.KINDS.index(s[2]))))
+
+
+def test_time_does_not_blow_up(scanner):
+    began = time.time()
+    assert scanner.spans("ghijkl" * 8 + "123456789") == []
+    assert len(scanner.spans(" ".join(f"{i:032x}" for i in range(20_000)))) == 20_000
+    assert scanner.spans("a" * 200_000 + "9" * 9) is not None and scanner.spans("aB" * 100_000) is not None
+    assert time.time() - began < 5
+
+
+def test_no_part_of_a_secret_is_left(scanner):
+    assert set(scanner.redact("AbcX9pQ2zLm4RtY8uVw1-0123456789abcdef01").replace("[secret]", "")) <= {"-"}
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "token=abcdefghijklmnop", 3, 4, "x")], "doc_id long, text string, id long, n_hex long, new string")
+    assert secrets.scan(docs, PATH, PATTERN).collect()[0].n_assign == 1
+    assert secrets.redact(docs, PATH, PATTERN).collect()[0].asDict() == {"doc_id": 1, "text": "[secret]", "id": 3, "n_hex": 4, "new": "x"}

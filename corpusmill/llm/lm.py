@@ -22,7 +22,8 @@ depends on the last words alone, so numpy does the traversal for all tokens of a
 block at once; following a failure arc is a step back in the order.
 
 So all rows are hashed evenly, a frequent n-gram comes once from each block, and
-nothing is sent to the driver but sums. N-grams go by 62-bit hashes.
+nothing is sent to the driver but sums. Words go by 62-bit hashes and
+longer n-grams by 53-bit ones.
 
 Defined results: a null or empty text has the end token alone. Repeated rows, ties
 and repeated ids get the same result each; extra columns are not read, whatever their
@@ -48,7 +49,13 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_CODEC = pa.Codec("zstd", 3)
+_CODEC = pa.Codec("zstd", 6)
+#: Bits of the keys of words and of longer n-grams.
+WORD_BITS, GRAM_BITS = 62, 54
+
+
+def _compressed(data: bytes) -> bytes:
+    return _CODEC.compress(data, asbytes=True)
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,17 +92,19 @@ def places_inside(n: np.ndarray) -> np.ndarray:
 
 
 def ngram_keys(number: np.ndarray, n: np.ndarray, hashes: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each order (places, keys): where n-grams of this order end, and their keys. The lowest three bits say the order."""
+    """For each order (places, keys): where n-grams of this order end, and their keys.
+
+    Words have keys of WORD_BITS; longer n-grams of GRAM_BITS, the lowest of which says the order.
+    """
     word = hashes[number]
     inside = places_inside(n)
-    at, hashed, found = np.arange(len(number)), word, []
-    for k in range(1, order + 1):
-        if k > 1:
-            at = np.flatnonzero(inside >= k - 1)
-            longer = np.zeros(len(number), np.uint64)
-            longer[at] = _mixed(hashed[at - 1] * np.uint64(0x9E3779B97F4A7C15) + word[at] * np.uint64(0xD6E8FEB86659FD93) + np.uint64(k))
-            hashed = longer
-        found.append((at, hashed[at] & ~np.uint64(7) | np.uint64(k)))
+    hashed, found = word, [(np.arange(len(number)), word >> np.uint64(64 - WORD_BITS))]
+    for k in range(2, order + 1):
+        at = np.flatnonzero(inside >= k - 1)
+        longer = np.zeros(len(number), np.uint64)
+        longer[at] = _mixed(hashed[at - 1] * np.uint64(0x9E3779B97F4A7C15) + word[at] * np.uint64(0xD6E8FEB86659FD93) + np.uint64(k))
+        hashed = longer
+        found.append((at, hashed[at] >> np.uint64(65 - GRAM_BITS) << np.uint64(1) | np.uint64(k & 1)))
     return found
 
 
@@ -105,7 +114,7 @@ def packed(values: np.ndarray) -> bytes:
     used = 8
     while used > 1 and not planes[used - 1].any():
         used -= 1
-    return bytes([used]) + _CODEC.compress(planes[:used].tobytes(), asbytes=True)
+    return bytes([used]) + _compressed(planes[:used].tobytes())
 
 
 def unpacked(data: bytes, n: int) -> np.ndarray:
@@ -114,11 +123,11 @@ def unpacked(data: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u8").reshape(n)
 
 
-_BLOCK = "block bigint, id array<{kind}>, training array<boolean>, n array<int>, size bigint, numbers binary, hashes binary, words int"
+_BLOCK = "block bigint, id array<{kind}>, training array<boolean>, sizes array<int>, size bigint, texts binary"
 
 
 def blocks_of(docs: DataFrame, training: Column, *, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
-    """The texts as numbers of words, in blocks of whole texts."""
+    """The texts in blocks of whole texts."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,23 +138,14 @@ def blocks_of(docs: DataFrame, training: Column, *, id_col: str, text_col: str,
         def out() -> pa.RecordBatch:
             nonlocal at, waiting, held
             rows = pa.Table.from_batches(waiting).combine_chunks()
-            number, n, hashes = tokens(rows.column("text").chunk(0))
-            one = lambda a, t: pa.array([a], t)
-            made = pa.RecordBatch.from_arrays(
-                [
-                    one(task << 33 | at, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), rows.column("id").chunk(0)),
-                    pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), rows.column("training").chunk(0)),
-                    pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), pa.array(n.astype(np.int32))),
-                    one(len(number), pa.int64()),
-                    one(packed(number), pa.binary()),
-                    one(hashes.tobytes(), pa.binary()),
-                    one(len(hashes), pa.int32()),
-                ],
-                names=["block", "id", "training", "n", "size", "numbers", "hashes", "words"],
-            )
+            texts = pc.cast(pc.fill_null(rows.column("text").chunk(0), ""), pa.binary())
+            sizes = pc.binary_length(texts)
+            data = b"".join(texts.to_pylist())
+            whole = pa.array([0, len(texts)], pa.int32())
+            lists = [pa.ListArray.from_arrays(whole, x) for x in (rows.column("id").chunk(0), rows.column("training").chunk(0), sizes)]
+            made = [pa.array([task << 33 | at], pa.int64()), *lists, pa.array([len(data)], pa.int64()), pa.array([_compressed(data)], pa.binary())]
             at, waiting, held = at + 1, [], 0
-            return made
+            return pa.RecordBatch.from_arrays(made, names=["block", "id", "training", "sizes", "size", "texts"])
 
         for batch in batches:
             ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0)).astype(np.int64))
@@ -164,76 +164,102 @@ def blocks_of(docs: DataFrame, training: Column, *, id_col: str, text_col: str,
     return rows.mapInArrow(run, _BLOCK.format(kind=kind))
 
 
-def _numbers(block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return unpacked(block["numbers"], block["size"]).astype(np.int32), np.array(block["n"], np.int64), np.frombuffer(block["hashes"], np.uint64)
+def _block_tokens(block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ends = pa.array(np.cumsum([0, *block["sizes"]]).astype(np.int32))
+    texts = _CODEC.decompress(block["texts"], block["size"])
+    return tokens(pa.Array.from_buffers(pa.string(), len(block["sizes"]), [None, ends.buffers()[1], texts]))
+
+
+def _summed(keys: list[np.ndarray], other: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, in order, and how often they stand where ``other`` is false."""
+    marked = np.concatenate([k << np.uint64(1) | o.astype(np.uint64) for k, o in zip(keys, other)])
+    marked.sort()
+    keys = marked >> np.uint64(1)
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(~marked & np.uint64(1), first) if len(first) else np.zeros(0, np.uint64)
+
+
+def _runs(block: int, keys: np.ndarray, counts: np.ndarray, width: int, bits: int) -> Iterator[tuple]:
+    """Rows of ``asked``, for each bucket that has keys."""
+    shift = np.uint64(width - bits)
+    cuts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << shift)
+    cuts = np.append(cuts, len(keys))
+    for bucket in np.flatnonzero(np.diff(cuts)).tolist():
+        lo, hi = cuts[bucket], cuts[bucket + 1]
+        steps = np.diff(keys[lo:hi], prepend=np.uint64(bucket) << shift)
+        yield block, bucket if width == GRAM_BITS else -1 - bucket, int(hi - lo), packed(steps), packed(counts[lo:hi])
 
 
 _ASKED = "block bigint, bucket bigint, n int, keys binary, counts binary"
+_ASKED_ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
 def asked(blocks: DataFrame, *, order: int, bits: int) -> DataFrame:
-    """What each block asks of each bucket, the first ``bits`` of a key: the distinct keys, in order, and their number in its training texts."""
+    """What each block asks of each bucket, the first bits of a key: the distinct keys, in order, and their number in its training texts.
+
+    Words have buckets of their own, below 0.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(len(batch)):
                 (block,) = batch.slice(at, 1).to_pylist()
-                number, n, hashes = _numbers(block)
+                number, n, hashes = _block_tokens(block)
                 other = np.repeat(~np.array(block["training"], bool), n)
-                # The third bit, free so far, marks what is not of a training text.
-                keys = np.concatenate([k | other[place].astype(np.uint64) << np.uint64(2) for place, k in ngram_keys(number, n, hashes, order)])
-                keys.sort()
-                mark = (keys >> np.uint64(2) & np.uint64(1)).astype(bool)
-                keys &= ~np.uint64(4)
-                # Marked keys stand behind all orders of one hash, which differ in the lowest bits alone.
-                if len(keys) > 1 and np.any(keys[1:] < keys[:-1]):
-                    by = np.argsort(keys, kind="stable")
-                    keys, mark = keys[by], mark[by]
-                first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-                counts = np.add.reduceat((~mark).astype(np.uint64), first) if len(first) else np.zeros(0, np.uint64)
-                keys = keys[first]
-                cuts = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(0, np.int64)
-                cuts = np.concatenate([[0], cuts, [len(keys)]])
-                some = np.flatnonzero(np.diff(cuts))
-                steps = np.diff(keys, prepend=np.uint64(0))
-                low = np.uint64((1 << 64 - bits) - 1)
-                rows = []
-                for b in some.tolist():
-                    lo, hi = cuts[b], cuts[b + 1]
-                    step = steps[lo:hi].copy()
-                    step[0] = keys[lo] & low
-                    rows.append((block["block"], b, int(hi - lo), packed(step), packed(counts[lo:hi])))
+                places, keys = zip(*ngram_keys(number, n, hashes, order))
+                rows = [*_runs(block["block"], *_summed(keys[:1], [other]), WORD_BITS, max(0, bits - 3))]
+                if order > 1:
+                    rows += _runs(block["block"], *_summed(keys[1:], [other[p] for p in places[1:]]), GRAM_BITS, bits)
                 for part in range(0, len(rows), 4096):
-                    yield pa.RecordBatch.from_pylist([dict(zip(("block", "bucket", "n", "keys", "counts"), r)) for r in rows[part : part + 4096]], _ASKED_ARROW)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows[part : part + 4096]), _ASKED_ARROW)], schema=_ASKED_ARROW)
 
     return blocks.mapInArrow(run, _ASKED)
 
 
-_ASKED_ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 _TOLD = "block bigint, bucket bigint, n int, counts binary, tokens bigint, words bigint"
 _TOLD_ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("n", pa.int32()), ("counts", pa.binary()), ("tokens", pa.int64()), ("words", pa.int64())])
 
 
 def told(wanted: DataFrame) -> DataFrame:
-    """The counts over all blocks, in the order in which each block asked; and, on one row of each bucket, its training tokens and distinct words."""
+    """The counts over all blocks, in the order in which each block asked; and, on one row of each bucket of words, its training tokens and distinct words."""
 
     def run(group: pa.Table) -> pa.Table:
         sizes = group.column("n").to_numpy()
+        # Every run starts from the first key of its bucket; that key cancels out here.
         keys = np.concatenate([np.cumsum(unpacked(d, n), dtype=np.uint64) for d, n in zip(group.column("keys").to_pylist(), sizes)])
         counts = np.concatenate([unpacked(d, n) for d, n in zip(group.column("counts").to_pylist(), sizes)])
         unique, place = np.unique(keys, return_inverse=True)
         total = np.bincount(place, counts.astype(np.float64), len(unique)).astype(np.uint64)
         answer, ends = total[place], np.cumsum(sizes)
-        word = (unique & np.uint64(7)) == 1
-        zeros = np.zeros(len(sizes), np.int64)
-        tokens, words = zeros.copy(), zeros.copy()
-        tokens[0], words[0] = int(total[word].sum()), int(np.count_nonzero(total[word]))
-        told = pa.array([packed(answer[e - n : e]) for e, n in zip(ends, sizes)], pa.binary())
-        return pa.Table.from_arrays([group.column("block"), group.column("bucket"), group.column("n"), told, pa.array(tokens), pa.array(words)], schema=_TOLD_ARROW)
+        tokens, words = np.zeros((2, len(sizes)), np.int64)
+        if group.column("bucket")[0].as_py() < 0:
+            tokens[0], words[0] = int(total.sum()), int(np.count_nonzero(total))
+        back = pa.array([packed(answer[e - n : e]) for e, n in zip(ends, sizes)], pa.binary())
+        return pa.Table.from_arrays([group.column("block"), group.column("bucket"), group.column("n"), back, pa.array(tokens), pa.array(words)], schema=_TOLD_ARROW)
 
     return wanted.groupBy("bucket").applyInArrow(run, _TOLD)
 
 
+def _seen(block: dict, answers: pa.Table, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Tokens in each text, and for each order the count of the n-gram that ends at each token."""
+    number, n, hashes = _block_tokens(block)
+    bucket = answers.column("bucket").to_numpy()
+    parts, sizes = answers.column("counts").to_pylist(), answers.column("n").to_numpy()
+    found, seen = ngram_keys(number, n, hashes, order), []
+    for orders, mine in ((found[:1], np.flatnonzero(bucket < 0)), (found[1:], np.flatnonzero(bucket >= 0))):
+        if not orders:
+            continue
+        by = mine[np.argsort(np.abs(bucket[mine]), kind="stable")]
+        told = np.concatenate([unpacked(parts[i], sizes[i]) for i in by.tolist()] or [np.zeros(0, np.uint64)]).astype(np.float64)
+        _, at = np.unique(np.concatenate([k for _, k in orders]), return_inverse=True)
+        start = 0
+        for place, keys in orders:
+            seen.append(np.zeros(len(number)))
+            seen[-1][place] = told[at[start : start + len(keys)]]
+            start += len(keys)
+    return n, seen
+
+
 class Automaton:
     """The part of the automaton that one block can reach: for each order the count of the n-gram that ends at each token."""
 
@@ -272,28 +298,17 @@ class Automaton:
 def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text", order: int = 3, strength: float = 64.0, block_bytes: int = 8_000_000, bucket_bytes: int = 4_000_000) -> DataFrame:
     """Per row: held_out, n_tokens, n_known, train_tokens, base_score and score. The rows that are not held out are the training texts."""
     if not 1 <= order <= 3:
-        raise ValueError("order: from 1 to 3")  # two bits of a key
+        raise ValueError("order: from 1 to 3")  # one bit of a key
     kind = docs.schema[id_col].dataType.simpleString()
     blocks = checkpointed(blocks_of(docs, ~held_out, id_col=id_col, text_col=text_col, block_bytes=block_bytes))
-    size = blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] * 6  # a token has about so many bytes
-    bits = max(0, (size // bucket_bytes)).bit_length()
+    size = blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    bits = (size // bucket_bytes).bit_length()
     counts = checkpointed(told(asked(blocks, order=order, bits=bits)))
     total, distinct = counts.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
 
     def run(mine: pa.Table, answers: pa.Table) -> pa.Table:
         (block,) = mine.to_pylist()
-        number, n, hashes = _numbers(block)
-        by = np.argsort(answers.column("bucket").to_numpy())
-        parts, sizes = answers.column("counts").to_pylist(), answers.column("n").to_numpy()
-        told = np.concatenate([unpacked(parts[i], sizes[i]) for i in by.tolist()]).astype(np.float64)
-        places = ngram_keys(number, n, hashes, order)
-        _, at = np.unique(np.concatenate([k for _, k in places]), return_inverse=True)
-        seen, start = [], 0
-        for place, keys in places:
-            each = np.zeros(len(number))
-            each[place] = told[at[start : start + len(keys)]]
-            seen.append(each)
-            start += len(keys)
+        n, seen = _seen(block, answers, order)
         base, weight = Automaton(seen, places_inside(n), total, distinct, strength).traverse()
         starts = np.cumsum(n) - n
         known = np.add.reduceat((seen[0] > 0).astype(np.int64), starts)

@@ -49,7 +49,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_CODEC = pa.Codec("zstd", 6)
+_CODEC = pa.Codec("zstd", 9)
 #: Bits of the keys of words and of longer n-grams.
 WORD_BITS, GRAM_BITS = 62, 54
 
@@ -94,7 +94,7 @@ def places_inside(n: np.ndarray) -> np.ndarray:
 def ngram_keys(number: np.ndarray, n: np.ndarray, hashes: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each order (places, keys): where n-grams of this order end, and their keys.
 
-    Words have keys of WORD_BITS; longer n-grams of GRAM_BITS, the lowest of which says the order.
+    Words have keys of WORD_BITS; longer n-grams of GRAM_BITS, the highest of which says the order.
     """
     word = hashes[number]
     inside = places_inside(n)
@@ -104,7 +104,7 @@ def ngram_keys(number: np.ndarray, n: np.ndarray, hashes: np.ndarray, order: int
         longer = np.zeros(len(number), np.uint64)
         longer[at] = _mixed(hashed[at - 1] * np.uint64(0x9E3779B97F4A7C15) + word[at] * np.uint64(0xD6E8FEB86659FD93) + np.uint64(k))
         hashed = longer
-        found.append((at, hashed[at] >> np.uint64(65 - GRAM_BITS) << np.uint64(1) | np.uint64(k & 1)))
+        found.append((at, hashed[at] >> np.uint64(65 - GRAM_BITS) | np.uint64((k & 1) << GRAM_BITS - 1)))
     return found
 
 
@@ -170,9 +170,9 @@ def _block_tokens(block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tokens(pa.Array.from_buffers(pa.string(), len(block["sizes"]), [None, ends.buffers()[1], texts]))
 
 
-def _summed(keys: list[np.ndarray], other: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _summed(keys: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, in order, and how often they stand where ``other`` is false."""
-    marked = np.concatenate([k << np.uint64(1) | o.astype(np.uint64) for k, o in zip(keys, other)])
+    marked = keys << np.uint64(1) | other.astype(np.uint64)
     marked.sort()
     keys = marked >> np.uint64(1)
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
@@ -197,7 +197,7 @@ _ASKED_ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("n", p
 def asked(blocks: DataFrame, *, order: int, bits: int) -> DataFrame:
     """What each block asks of each bucket, the first bits of a key: the distinct keys, in order, and their number in its training texts.
 
-    Words have buckets of their own, below 0.
+    Words have buckets of their own, below 0; half of the others is for either order.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,10 +206,9 @@ def asked(blocks: DataFrame, *, order: int, bits: int) -> DataFrame:
                 (block,) = batch.slice(at, 1).to_pylist()
                 number, n, hashes = _block_tokens(block)
                 other = np.repeat(~np.array(block["training"], bool), n)
-                places, keys = zip(*ngram_keys(number, n, hashes, order))
-                rows = [*_runs(block["block"], *_summed(keys[:1], [other]), WORD_BITS, max(0, bits - 3))]
-                if order > 1:
-                    rows += _runs(block["block"], *_summed(keys[1:], [other[p] for p in places[1:]]), GRAM_BITS, bits)
+                rows = []
+                for k, (place, keys) in enumerate(ngram_keys(number, n, hashes, order)):
+                    rows += _runs(block["block"], *_summed(keys, other[place]), GRAM_BITS if k else WORD_BITS, bits if k else max(0, bits - 4))
                 for part in range(0, len(rows), 4096):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows[part : part + 4096]), _ASKED_ARROW)], schema=_ASKED_ARROW)
 
@@ -240,23 +239,18 @@ def told(wanted: DataFrame) -> DataFrame:
     return wanted.groupBy("bucket").applyInArrow(run, _TOLD)
 
 
-def _seen(block: dict, answers: pa.Table, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+def _seen(block: dict, answers: pa.Table, order: int, bits: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """Tokens in each text, and for each order the count of the n-gram that ends at each token."""
     number, n, hashes = _block_tokens(block)
     bucket = answers.column("bucket").to_numpy()
     parts, sizes = answers.column("counts").to_pylist(), answers.column("n").to_numpy()
-    found, seen = ngram_keys(number, n, hashes, order), []
-    for orders, mine in ((found[:1], np.flatnonzero(bucket < 0)), (found[1:], np.flatnonzero(bucket >= 0))):
-        if not orders:
-            continue
+    seen = []
+    for k, (place, keys) in enumerate(ngram_keys(number, n, hashes, order)):
+        mine = np.flatnonzero((bucket >= 0) & (bucket >> bits - 1 == (k + 1) % 2) if k else bucket < 0)
         by = mine[np.argsort(np.abs(bucket[mine]), kind="stable")]
-        told = np.concatenate([unpacked(parts[i], sizes[i]) for i in by.tolist()] or [np.zeros(0, np.uint64)]).astype(np.float64)
-        _, at = np.unique(np.concatenate([k for _, k in orders]), return_inverse=True)
-        start = 0
-        for place, keys in orders:
-            seen.append(np.zeros(len(number)))
-            seen[-1][place] = told[at[start : start + len(keys)]]
-            start += len(keys)
+        told = np.concatenate([unpacked(parts[i], sizes[i]) for i in by.tolist()] or [np.zeros(0, np.uint64)])
+        seen.append(np.zeros(len(number)))
+        seen[-1][place] = told[np.unique(keys, return_inverse=True)[1]]
     return n, seen
 
 
@@ -295,20 +289,20 @@ class Automaton:
         return weight
 
 
-def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text", order: int = 3, strength: float = 64.0, block_bytes: int = 8_000_000, bucket_bytes: int = 4_000_000) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text", order: int = 3, strength: float = 64.0, block_bytes: int = 16_000_000, bucket_bytes: int = 4_000_000) -> DataFrame:
     """Per row: held_out, n_tokens, n_known, train_tokens, base_score and score. The rows that are not held out are the training texts."""
     if not 1 <= order <= 3:
         raise ValueError("order: from 1 to 3")  # one bit of a key
     kind = docs.schema[id_col].dataType.simpleString()
     blocks = checkpointed(blocks_of(docs, ~held_out, id_col=id_col, text_col=text_col, block_bytes=block_bytes))
     size = blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    bits = (size // bucket_bytes).bit_length()
+    bits = 1 + (size // (2 * bucket_bytes)).bit_length()
     counts = checkpointed(told(asked(blocks, order=order, bits=bits)))
     total, distinct = counts.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
 
     def run(mine: pa.Table, answers: pa.Table) -> pa.Table:
         (block,) = mine.to_pylist()
-        n, seen = _seen(block, answers, order)
+        n, seen = _seen(block, answers, order, bits)
         base, weight = Automaton(seen, places_inside(n), total, distinct, strength).traverse()
         starts = np.cumsum(n) - n
         known = np.add.reduceat((seen[0] > 0).astype(np.int64), starts)

@@ -2,20 +2,23 @@
 
 Two views of a document: its text (hashed words and the shares of its bytes) and
 its page's metadata (language, source, length). Each has a logistic regression.
-In every round each classifier labels the unlabelled pool, and what it is surest
-of, as many of either class as the labels suggest, goes into the other's training
-set. Both are calibrated on labelled documents held back from training, in every
-round, so that only a view that has earned it is sure of anything. At the end
-their log-odds are added, less the prior that both contain.
+In every round both classifiers score all unlabelled documents, in one pass of Spark,
+and the ``per_round`` that each is surest of, split over the classes as the labels
+are, go into the other's training set: the exchange is a fixed number of the surest,
+chosen from the whole table. Both are calibrated on labelled documents held back from
+training, in every round, so that only a view that has earned it is sure of anything.
+At the end their log-odds are added, less the prior that both contain.
 
-Bounds: at most ``max_labelled`` labelled documents and ``pool`` unlabelled ones
-are learned from (those whose ids hash lowest). Scores are over whole texts of
-all documents, in one pass without a shuffle.
+Bounds: at most ``max_labelled`` labelled documents are learned from (those whose ids
+hash lowest), and ``rounds`` times ``per_round`` pseudo-labels in either view. Scores
+are over whole texts of all documents, in one pass without a shuffle.
 
 Defined results: a null text or null metadata counts as absent, never as an
-error. An id labelled more than once counts with its worst label. Without labels
-of both kinds every document is kept, with the share of good labels (or one half)
-as its score. Repeated rows give repeated rows.
+error. An id labelled more than once counts with its worst label. Of rows that share
+an id that of the least text hash is learned from; equally sure ones go by the hash of
+their ids. Without labels of both kinds every document is kept, with the share of good
+labels (or one half) as its score. An empty table gives no rows; repeated rows give
+repeated rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import ascii_words, text_blocks
+from corpusmill.llm.common import ascii_words, checkpointed, text_blocks
 
 WORD_BUCKETS, BYTES, SHAPES, META_BUCKETS = 512, 256, 4, 64
 TEXT_WIDTH = WORD_BUCKETS + BYTES + SHAPES
@@ -130,60 +133,109 @@ class CoTrained:
         return _sigmoid(a + b - self.prior), _sigmoid(a), _sigmoid(b)
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, *, rounds: int = 5, per_round: float = 0.1, sure: float = 0.95, seed: int = 5) -> CoTrained:
-    """label: 1 good, 0 bad, -1 none. Every fifth labelled row is held back for calibration."""
-    known = np.flatnonzero(label >= 0)
-    good = int((label == 1).sum())
-    if not good or good == len(known):
-        return CoTrained(None, None, math.log((good + 0.5) / (len(known) - good + 0.5)))
-    known = np.random.default_rng(seed).permutation(known)
-    held = np.concatenate([known[label[known] == c][::5] for c in (0, 1)])
-    learned = np.setdiff1d(known, held)
-    if len(set(label[learned].tolist())) < 2:  # too few labels to hold any back
-        learned = held = known
-    pool = np.flatnonzero(label < 0)
-    share = {c: float((label[learned] == c).mean()) for c in (0, 1)}
-    views, sets = (text, meta), [{int(i): bool(label[i]) for i in learned} for _ in range(2)]
-
-    def fitted(v: int) -> Linear:
-        rows = np.fromiter(sets[v], np.int64)
-        model = fit_linear(views[v][rows], np.fromiter(sets[v].values(), bool))
-        calibrate(model, views[v][held], label[held] == 1)
-        return model
-
-    models = [fitted(0), fitted(1)]
-    for _ in range(rounds if len(pool) else 0):
-        moved = 0
-        for v in (0, 1):
-            p = _sigmoid(models[v].log_odds(views[v][pool]))  # calibrated, so that a weak view is never sure
-            for c, q in ((1, p), (0, 1 - p)):
-                fresh = [k for k in np.argsort(-q, kind="stable").tolist() if q[k] >= sure and int(pool[k]) not in sets[1 - v]]
-                for k in fresh[: math.ceil(per_round * share[c] * len(pool))]:
-                    sets[1 - v][int(pool[k])] = bool(c)
-                    moved += 1
-        if not moved:
-            break
-        models = [fitted(0), fitted(1)]
-    return CoTrained(*models, prior=math.log((good + 0.5) / (len(known) - good + 0.5)))
+class Views:
+    """The two training sets while they grow. Rows are views of documents: text and metadata."""
+
+    def __init__(self, text: np.ndarray, meta: np.ndarray, label: np.ndarray, seed: int = 5):
+        """label: 1 good, 0 bad. Every fifth row of either class is held back for calibration."""
+        known = np.random.default_rng(seed).permutation(len(label))
+        self.held = np.concatenate([known[label[known] == c][::5] for c in (0, 1)])
+        learned = np.setdiff1d(known, self.held)
+        if len(set(label[learned].tolist())) < 2:  # too few labels to hold any back
+            learned = self.held = known
+        self.views, self.label = (text, meta), label == 1
+        self.share = {c: float((label[learned] == c).mean()) for c in (0, 1)}
+        self.sets = [(v[learned], self.label[learned]) for v in self.views]
+        good = int(self.label.sum())
+        self.prior = math.log((good + 0.5) / (len(label) - good + 0.5))
+
+    def fitted(self) -> CoTrained:
+        models = []
+        for view, (x, y) in zip(self.views, self.sets):
+            model = fit_linear(x, y)
+            calibrate(model, view[self.held], self.label[self.held])
+            models.append(model)
+        return CoTrained(*models, prior=self.prior)
+
+    def add(self, to: int, rows: np.ndarray, good: bool) -> None:
+        x, y = self.sets[to]
+        self.sets[to] = (np.concatenate([x, rows]), np.append(y, np.full(len(rows), good)))
+
+
+def _viewed(rows: DataFrame, n_meta: int, id_kind: str) -> DataFrame:
+    """rows (key, form, text, m0..) -> (key, form, text, meta), the views as binary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [text_view(t).tobytes() for _, some in text_blocks(batch.column(2)) for t in some]
+            metas = [meta_view(list(v)).tobytes() for v in zip(*(batch.column(i).to_pylist() for i in range(3, batch.num_columns)))] if n_meta else [b""] * len(texts)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary()), pa.array(metas, pa.binary())], names=["key", "form", "text", "meta"])
+
+    return rows.mapInArrow(run, f"key {id_kind}, form bigint, text binary, meta binary")
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("lang", "source", "n_chars"), label_id: str = "doc_id", label_col: str = "quality", max_labelled: int = 4_000, pool: int = 4_000, **how) -> CoTrained:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("lang", "source", "n_chars"), label_id: str = "doc_id", label_col: str = "quality", max_labelled: int = 4_000, rounds: int = 3, per_round: int = 400, sure: float = 0.95) -> CoTrained:
+    kind, text = docs.schema[id_col].dataType.simpleString(), F.col(text_col)
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("key"), F.xxhash64(text).alias("form"), text.alias("text"), *(F.col(c).alias(f"m{i}") for i, c in enumerate(meta_cols)))
     each = labels.where(F.col(label_id).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(label_id).alias("key")).agg(F.min(label_col).cast("int").alias("label"))
-    ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("key"))
-    order = [F.xxhash64("key"), "key"]
-    some = each.orderBy(*order).limit(max_labelled).unionByName(ids.join(each, "key", "left_anti").distinct().orderBy(*order).limit(pool).select("key", F.lit(-1).alias("label")))
-    rows = docs.join(F.broadcast(some), F.col(id_col) == F.col("key")).select("key", "label", F.col(text_col).alias("__text"), *(F.col(c).alias(f"__meta{i}") for i, c in enumerate(meta_cols)))
+    some = each.orderBy(F.xxhash64("key"), "key").limit(max_labelled)
+
+    def views(wanted: DataFrame) -> tuple[dict, np.ndarray, np.ndarray]:
+        """Of a bounded number of ids: the place of each, and both views."""
+        one = _viewed(rows.join(F.broadcast(wanted), "key", "left_semi"), len(meta_cols), kind).groupBy("key").agg(F.min_by(F.struct("text", "meta"), "form").alias("v"))
+        found = one.select("key", "v.*").toPandas().sort_values("key", kind="stable")
+        wide = lambda c, n: np.frombuffer(b"".join(found[c]), np.float32).reshape(len(found), n)
+        return {k: i for i, k in enumerate(found["key"])}, wide("text", TEXT_WIDTH), wide("meta", META_BUCKETS * len(meta_cols))
+
+    place, text_rows, meta_rows = views(some.select("key"))
+    given = {r.key: r.label for r in some.collect()}
+    label = np.array([int(given[k] > 0) for k in place], np.int64)
+    good = int(label.sum())
+    if not good or good == len(label):
+        return CoTrained(None, None, math.log((good + 0.5) / (len(label) - good + 0.5)))
+    state, taken = Views(text_rows, meta_rows, label), [set(), set()]
+    model, pool = state.fitted(), rows.join(each, "key", "left_anti")
+    for _ in range(rounds):
+        scored = checkpointed(_pooled(pool, model, len(meta_cols), kind))
+        lists = []
+        for view, column in enumerate(("text_score", "meta_score")):
+            for c in (0, 1):
+                chance = F.max(column) if c else 1 - F.min(column)
+                wanted = max(1, round(per_round * state.share[c]))
+                best = scored.groupBy("key").agg(chance.alias("p")).where(F.col("p") >= sure).orderBy(F.desc("p"), F.xxhash64("key"), "key")
+                fresh = [r.key for r in best.limit(wanted + len(taken[1 - view])).collect() if r.key not in taken[1 - view]][:wanted]
+                taken[1 - view] |= set(fresh)
+                lists.append((1 - view, bool(c), fresh))
+        if not any(fresh for _, _, fresh in lists):
+            break
+        ids = docs.sparkSession.createDataFrame([(k,) for k in sorted({k for _, _, fresh in lists for k in fresh})], f"key {kind}")
+        at, *both = views(ids)
+        for to, c, fresh in lists:
+            state.add(to, both[to][[at[k] for k in fresh]], c)
+        model = state.fitted()
+    return model
+
+
+def _pooled(rows: DataFrame, model: CoTrained, n_meta: int, id_kind: str) -> DataFrame:
+    """(key, text_score, meta_score) of all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [text_view(t).tobytes() for t in batch.column(2).to_pylist()]
-            metas = [meta_view(list(v)).tobytes() for v in zip(*(batch.column(i).to_pylist() for i in range(3, batch.num_columns)))] if meta_cols else [b""] * len(texts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary()), pa.array(metas, pa.binary())], names=["key", "label", "text", "meta"])
+            _, a, b = _scores(model, batch.column(2), [batch.column(i).to_pylist() for i in range(3, 3 + n_meta)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a), pa.array(b)], names=["key", "text_score", "meta_score"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    found = rows.mapInArrow(run, f"key {kind}, label int, text binary, meta binary").toPandas().drop_duplicates("key").sort_values("key", kind="stable")
-    wide = lambda c, n: np.frombuffer(b"".join(found[c]), np.float32).reshape(len(found), n)
-    return co_train(wide("text", TEXT_WIDTH), wide("meta", META_BUCKETS * len(meta_cols)), found["label"].to_numpy(np.int64), **how)
+    return rows.mapInArrow(run, f"key {id_kind}, text_score double, meta_score double")
+
+
+def _scores(model: CoTrained, column: pa.Array, metas: list[list]) -> list[np.ndarray]:
+    """Of whole texts, in blocks: the score, and those of text and metadata."""
+    parts = []
+    for at, texts in text_blocks(column):
+        for a in range(0, len(texts), 1000):
+            some = range(at + a, min(at + a + 1000, at + len(texts)))
+            view = np.stack([text_view(t) for t in texts[a : a + 1000]])
+            parts.append(model.scores(view, np.stack([meta_view([m[i] for m in metas]) for i in some])))
+    return [np.concatenate(p).astype(np.float64) for p in zip(*parts)] if parts else [np.zeros(0)] * 3
 
 
 def score(docs: DataFrame, model: CoTrained, *, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("lang", "source", "n_chars"), keep_from: float = 0.5) -> DataFrame:
@@ -191,15 +243,8 @@ def score(docs: DataFrame, model: CoTrained, *, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, parts = batch.num_rows, []
-            metas = [batch.column(i).to_pylist() for i in range(2, batch.num_columns)]
-            for at, texts in text_blocks(batch.column(1)):
-                for a in range(0, len(texts), 1000):
-                    some = range(at + a, min(at + a + 1000, at + len(texts)))
-                    view = np.stack([text_view(t) for t in texts[a : a + 1000]])
-                    parts.append(model.scores(view, np.stack([meta_view([m[i] for m in metas]) for i in some])))
-            out = [np.concatenate(p).astype(np.float64) for p in zip(*parts)] if parts else [np.zeros(0)] * 3
-            kept = np.ones(n, bool) if model.text is None else out[0] >= keep_from
+            out = _scores(model, batch.column(1), [batch.column(i).to_pylist() for i in range(2, batch.num_columns)])
+            kept = np.ones(batch.num_rows, bool) if model.text is None else out[0] >= keep_from
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out), pa.array(kept)], names=["id", "score", "text_score", "meta_score", "kept"])
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -9,13 +9,16 @@ after it, and a text's probabilities are the mean over all its bytes.
 The gates are piecewise linear and the candidate is x / (1 + |x|), which train
 like the usual sigmoid and tanh and take a fraction of their time.
 
-Bound: at most ``per_lang`` texts of each language (those whose ids hash lowest)
-and ``windows`` stretches of each are learned from; languages are at most
-``most_langs``, the commonest.
-
-Defined results: null texts and texts without a letter are ``und`` with score 0,
-as is everything if nothing was labelled. Ties go to the label that sorts first.
-Repeated rows give repeated rows.
+Bound: at most ``per_lang`` labelled texts of each language (those whose ids hash
+lowest; fewer of each if that were over ``most_texts`` in all) and ``windows``
+stretches of each are learned from. No language is left out.
+
+Defined results: null texts and texts without a letter (Unicode category L) are
+``und`` with score 0, as is everything if nothing was labelled; an empty table gives
+no rows. Ties go to the label that sorts first. Of rows that share id and language
+one is learned from, that of the least text hash. Repeated rows give repeated rows.
+Texts of any length are read whole, in windows; other columns are not read, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -173,18 +176,22 @@ def pool(w: Weights, texts: list[bytes], window: int = 64, most_windows: int = 4
 
 
 def _has_letter(text: str) -> bool:
-    return text.lower() != text.upper() or any(map(str.isalpha, text))
+    return any(map(str.isalpha, text))
 
 
-def fit(docs: DataFrame, usable: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 250, windows: int = 6, window: int = 64, most_langs: int = 200, **how) -> Weights | None:
+def fit(docs: DataFrame, usable: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 250, windows: int = 6, window: int = 64, most_texts: int = 50_000, **how) -> Weights | None:
     """Trains on a bounded sample of the usable, labelled rows; None if there are none."""
-    ids = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    common = F.broadcast(ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).select("lang"))
+    known = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    known = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    ids = known.select("id", "lang").distinct()
+    most = max(1, min(per_lang, most_texts // max(1, ids.select("lang").distinct().count())))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    some = F.broadcast(ids.join(common, "lang", "left_semi").withColumn("k", place).where(F.col("k") <= per_lang).select(F.col("id").alias("some"), F.col("lang").alias("label")).distinct())
-    text = F.col(text_col)
+    some = F.broadcast(ids.withColumn("k", place).where(F.col("k") <= most).drop("k"))  # most_texts rows at most
+    text = F.col("text")
     stretch = [F.substring(text, F.lit(1) + F.floor(F.length(text) * i / windows).cast("int"), F.lit(window)) for i in range(windows)]
-    rows = docs.where(usable & text.isNotNull()).join(some, (F.col(id_col) == F.col("some")) & (F.col(lang_col) == F.col("label"))).select("label", F.array(*stretch)).collect()
+    same = known.alias("a").join(some.alias("b"), F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.lang") == F.col("b.lang")))
+    each = same.select("a.id", "a.lang", F.xxhash64("text").alias("form"), F.array(*stretch).alias("parts"))
+    rows = each.groupBy("id", "lang").agg(F.min_by("parts", "form").alias("parts")).select("lang", "parts").collect()
     found = sorted({(lang, part.encode("utf-8", "surrogatepass")[:window]) for lang, parts in rows for part in parts if part and _has_letter(part)})
     if not found:
         return None

@@ -64,3 +64,32 @@ def test_odd_rows(spark):
     none = langid.fit(docs.limit(0), docs.doc_id.isNotNull())
     assert none is None and {r.lang_pred for r in langid.predict(docs, none, held).collect()} == {"und"}
     assert langid.predict(docs.limit(0), weights, held).collect() == []
+
+
+def test_letters():
+    assert not any(map(langid._has_letter, ["", "12 !?", "①②", "Ⅷ ⅷ", "² ½"]))
+    assert all(map(langid._has_letter, ["a", "1é", "語", "ʰ", "1" * 99 + "ß"]))
+
+
+def test_clashing_columns_and_many_labels(spark):
+    rows = [(i, f"text {'abc'[i % 3] * 9} of {i}", f"l{i % 30:02}", "x", "y", "z", 5) for i in range(300)] * 2
+    docs = spark.createDataFrame(rows + rows[:1] * 500, "doc_id long, text string, lang string, label string, some string, id string, k int")
+    weights = langid.fit(docs, docs.doc_id.isNotNull(), rounds=2, batch=16, most_texts=60)
+    assert weights.langs == [f"l{i:02}" for i in range(30)]
+    assert langid.predict(docs, weights, docs.doc_id > 5).count() == len(rows) + 500
+
+
+def test_predictions_are_those_of_each_text_alone(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    held = id_bucket("doc_id", 4) == 2
+    weights = langid.fit(docs, ~held, rounds=30)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in langid.predict(docs, weights, held).collect():
+        data = (texts[r.doc_id] or "").encode()
+        if not any(map(str.isalpha, texts[r.doc_id] or "")):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        parts = [data[i : i + 64] for i in range(0, len(data), 64)]
+        each = np.concatenate([langid.label_positions(weights, np.frombuffer(p.ljust(64), np.uint8)[:, None])[: len(p), :, 0] for p in parts])
+        mean = each.mean(axis=0)
+        assert abs(r.score - mean.max()) < 1e-4 and (r.lang_pred == weights.langs[int(mean.argmax())] or np.ptp(np.sort(mean)[-2:]) < 1e-4)

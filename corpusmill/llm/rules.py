@@ -13,15 +13,17 @@ Bound: at most ``max_labelled`` labelled documents are learned from (those whose
 ids hash lowest). Statistics are computed over whole texts of all documents.
 
 Defined results: null, empty or wordless texts have no words and fail the base
-rules. An id labelled more than once counts with its worst label. Without labels
-of both kinds the list is empty and only the base rules decide. Repeated rows
-give repeated rows.
+rules. An id labelled more than once counts with its worst label; of rows that share
+an id that of the least text hash is learned from. Without labels of both kinds the
+list is empty and only the base rules decide; an empty table gives no rows. Of
+conditions that gain as much the first tried is taken. Repeated rows give repeated
+rows, and texts of any length are counted whole. ``keep`` hands on other columns,
+whatever their names; nothing else reads them.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -219,9 +221,9 @@ def learn_from(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", te
     each = labels.where(F.col(label_id).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(label_id).alias("label_id")).agg(F.min(label_col).alias("label"))
     some = F.broadcast(each.orderBy(F.xxhash64("label_id"), "label_id").limit(max_labelled))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(some, F.col("id") == F.col("label_id"))
-    counted = rows.select("id", "label", statistics_of(F.col("text")).alias("s")).select("id", "label", "s.*")
-    # Documents that the base rules reject anyway teach nothing; of rows that share an id one is used.
-    sample = counted.where(f"not {BASE_FAILED}").dropDuplicates(["id"]).selectExpr("id", "label", *(f"double({e}) as {n}" for n, e in FEATURES.items())).toPandas()
+    counted = rows.select("id", "label", F.xxhash64("text").alias("form"), statistics_of(F.col("text")).alias("s")).groupBy("id", "label").agg(F.min_by("s", "form").alias("s")).select("id", "label", "s.*")
+    # Documents that the base rules reject anyway teach nothing.
+    sample = counted.where(f"not {BASE_FAILED}").selectExpr("id", "label", *(f"double({e}) as {n}" for n, e in FEATURES.items())).toPandas()
     sample = sample.iloc[np.argsort(sample["id"].to_numpy(), kind="stable")]
     rng = np.random.default_rng(7)
     sample = sample.iloc[rng.permutation(len(sample))]
@@ -243,11 +245,7 @@ def judge(docs: DataFrame, rules: list[Rule], *, id_col: str = "doc_id", text_co
 
 def keep(docs: DataFrame, rules: list[Rule], *, text_col: str = "text") -> DataFrame:
     """The documents, all columns, that neither the base rules nor the list rejects."""
-    kept = [F.col(c) for c in docs.columns]
-    stats = docs.withColumn("__stats", statistics_of(F.col(text_col)))
-    flat = stats.select(*kept, *(F.col(f"__stats.{c}").alias(f"__{c}") for c in COUNTS))
-
-    rejected = [f"({BASE_FAILED})", *(" and ".join(c.sql() for c in rule) for rule in rules)]
-    names = re.compile(r"\b(" + "|".join(COUNTS) + r")\b")
-    test = " or ".join(f"({names.sub(lambda m: f'`__{m[1]}`', r)})" for r in rejected)
-    return flat.where(f"not ({test})").select(*kept)
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    counted = docs.select(whole.alias("whole"), statistics_of(F.col(text_col)).alias("counts")).select("whole", "counts.*")
+    rejected = [BASE_FAILED, *(" and ".join(c.sql() for c in rule) for rule in rules)]
+    return counted.where(f"not ({' or '.join(f'({r})' for r in rejected)})").select("whole.*")

@@ -11,7 +11,8 @@ shallowest linked level quotes; deeper levels quote what that one replied to.
 Following replies upwards gives the message that began the thread. Ordered by
 (thread, turn), every message follows the one it replies to, and messages without
 a link stand in their turn. The quoted lines are taken out of the text, and what
-is left is formatted as ``<|role|>`` and the text.
+is left is formatted as ``<|role|>`` and the text, in which ``<|`` becomes ``< |`` so
+that no text can begin a turn.
 
 Each message is one row: a conversation is never gathered into one value, so one
 that holds a third of all rows is as good as any. Originals are reduced to the
@@ -21,7 +22,10 @@ Replies are followed by pointer doubling over the linked messages alone.
 
 Defined results: a null text has no lines, an empty body and no quotes. A null
 conversation or turn is kept and never linked. Of rows with one conversation and
-turn each is linked by itself. ``>`` alone is an empty quoted line.
+turn each is linked by itself; repeated rows get the same result each. Of links of one
+level the latest message wins. ``>`` alone is an empty quoted line. An empty table
+gives no rows. Texts of any length are cut whole, in time that grows with it; other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -47,24 +51,35 @@ def normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[ \t\n\x0B\f\r]+", " "))
 
 
+def _with(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, as the variable of a transform."""
+    return F.transform(F.array(value), use)[0]
+
+
 def passages(text: Column) -> Column:
-    """Array of (level, body) of the passages, in order."""
-    start = F.struct(F.array().cast("array<struct<level:int,body:string>>").alias("done"), F.lit(-1).alias("level"), F.lit("").alias("body"))
-
-    def closed(acc: Column) -> Column:
-        return F.when((acc["level"] >= 0) & (F.trim(acc["body"]) != ""), F.concat(acc["done"], F.array(F.struct(acc["level"].alias("level"), acc["body"].alias("body"))))).otherwise(acc["done"])
-
-    def add(acc: Column, line: Column) -> Column:
-        level, body = level_of(line), bare(line)
-        empty = F.trim(body) == ""
-        same = (level == acc["level"]) & ~empty
-        return F.struct(
-            F.when(same, acc["done"]).otherwise(closed(acc)).alias("done"),
-            F.when(empty, F.lit(-1)).otherwise(level).alias("level"),
-            F.when(same, F.concat(acc["body"], F.lit("\n"), body)).when(empty, F.lit("")).otherwise(body).alias("body"),
+    """Array of (level, body) of the passages, in order. Each line is looked at once."""
+
+    def cut(lines: Column) -> Column:
+        bares = F.transform(lines, bare)
+        # Empty lines are of level -1 and belong to no passage.
+        levels = F.transform(lines, lambda line: F.when(F.trim(bare(line)) == "", F.lit(-1)).otherwise(level_of(line)))
+        return F.struct(bares.alias("bares"), levels.alias("levels"))
+
+    def joined(x: Column) -> Column:
+        levels = x["levels"]
+        n = F.size(levels)
+        edge = lambda step: F.filter(
+            F.transform(levels, lambda level, i: F.when((level >= 0) & ~level.eqNullSafe(F.get(levels, i + step)), i)), lambda i: i.isNotNull()
+        )
+        return F.when(n == 0, F.array().cast("array<struct<level:int,body:string>>")).otherwise(
+            F.zip_with(edge(-1), edge(1), lambda s, e: F.struct(F.get(levels, s).alias("level"), F.array_join(F.slice(x["bares"], s + 1, e - s + 1), "\n").alias("body")))
         )
 
-    return F.aggregate(F.split(text, "\n"), start, add, closed)
+    return _with(F.split(text, "\n"), lambda lines: _with(cut(lines), joined))
+
+
+def _escaped(text: Column) -> Column:
+    return F.replace(text, F.lit("<|"), F.lit("< |"))
 
 
 def unquoted(text: Column) -> Column:
@@ -102,7 +117,7 @@ def link(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "tur
         .select(
             "conv_id", "turn", "role", "reply_to", F.coalesce("thread", F.col("turn")).cast("bigint").alias("thread"),
             F.coalesce("n_quotes", F.lit(0)).cast("bigint").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("bigint").alias("n_linked"), F.coalesce("quote_depth", F.lit(0)).cast("int").alias("quote_depth"),
-            "body", F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), F.col("body")).alias("formatted"),
+            "body", F.concat(F.lit("<|"), _escaped(F.coalesce("role", F.lit(""))), F.lit("|>\n"), _escaped(F.col("body"))).alias("formatted"),
         )
     )
 

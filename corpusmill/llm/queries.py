@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpusmill.llm import bpe, chat, cotrain, decontam, langid, lm, rules, secrets, simhash, urlfilter
 from corpusmill.llm.common import id_bucket, table
@@ -64,7 +65,7 @@ WITH RECURSIVE lines AS (
 )
 SELECT b.conv_id, b.turn, role, reply_to, coalesce((SELECT min(above) FROM climb c WHERE c.row_id = b.row_id), b.turn) AS thread,
        coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked, coalesce(quote_depth, 0) AS quote_depth,
-       body, '<|' || coalesce(role, '') || '|>' || chr(10) || body AS formatted
+       body, '<|' || replace(coalesce(role, ''), '<|', '< |') || '|>' || chr(10) || replace(body, '<|', '< |') AS formatted
 FROM bodies b LEFT JOIN replies r ON b.row_id = r.row_id LEFT JOIN told t ON b.row_id = t.row_id
 """
 
@@ -83,12 +84,20 @@ URL_RULES = [
     urlfilter.Rule("net", "/fr/", "block"),
 ]
 LISTED_NAMES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
-LISTED_DOMAINS = [f"{name}.example.{top}" for name in LISTED_NAMES for top in ("com", "net", "org")]
+LISTED_TOPS = ("com", "net", "org")
+#: Each name stands alone and with a number below this.
+LISTED_NUMBERS = 200
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = spark.createDataFrame([(d,) for d in LISTED_DOMAINS], "key string")
-    return urlfilter.judge(table(spark, sf_dir, "pages"), listed, URL_RULES)
+    return urlfilter.judge(table(spark, sf_dir, "pages"), listed_domains(spark), URL_RULES)
+
+
+def listed_domains(spark: SparkSession) -> DataFrame:
+    """3,618 domains: adult-x.example.com, adult-x-0.example.com and so on."""
+    names = spark.createDataFrame([(n, t) for n in LISTED_NAMES for t in LISTED_TOPS], "name string, top string")
+    numbers = F.explode(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(0), F.lit(LISTED_NUMBERS - 1)), lambda i: F.concat(F.lit("-"), i))))
+    return names.select("name", "top", numbers.alias("number")).select(F.concat("name", "number", F.lit(".example."), "top").alias("key"))
 
 
 OP5_SQL = f"""
@@ -104,9 +113,13 @@ WITH parts AS (
   FROM (SELECT DISTINCT host, path FROM parts), rules
   WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
   GROUP BY host, path
+), domains AS (
+  SELECT name || number || '.example.' || top AS domain
+  FROM (VALUES {", ".join(f"('{n}')" for n in LISTED_NAMES)}) AS a(name), (VALUES {", ".join(f"('{t}')" for t in LISTED_TOPS)}) AS b(top),
+       (SELECT '' AS number UNION ALL SELECT '-' || i FROM range({LISTED_NUMBERS}) AS r(i)) AS c
 ), seen AS (
   SELECT host, bool_or(host = domain OR ends_with(host, '.' || domain)) AS listed
-  FROM (SELECT DISTINCT host FROM parts), (VALUES {", ".join(f"('{d}')" for d in LISTED_DOMAINS)}) AS d(domain)
+  FROM (SELECT DISTINCT host FROM parts), domains
   GROUP BY host
 )
 SELECT page_id, p.host, p.path, rule, coalesce(ruled, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, listed

@@ -7,13 +7,16 @@ until a level lets nothing through wrongly. Over the corpus's own keys, all of
 which were asked at every level, the answer is exact, and asking is a few bit
 tests: no join with the list.
 
-The cascade grows with the listed keys (about 12 bits each in level 0, and less
-than that in all later levels together), not with the corpus. It is broadcast if
-it has at most ``most_bytes``; a larger one raises.
+Level 0 lets through as many keys of the corpus as would make level 1 about as large,
+and every later level a share of ``rate``; so levels alternate and shrink by that share.
+The cascade grows with the listed keys and with what level 0 lets through, not with the
+corpus. It is broadcast; one of over ``most_bytes`` raises before it is gathered.
 
 Defined results: a null url, or one without ``://``, has empty host and path, and
-no key, so it is allowed unless a rule fits. Repeated rows give repeated rows. An
-empty list allows everything; an empty table gives no rows.
+no key, so it is allowed unless a rule fits. Of rules of one length the last in order
+wins. Repeated rows give repeated rows, and repeated or null keys of the list count
+once or not at all. An empty list allows everything; an empty table gives no rows.
+Urls of any length are read whole; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -111,10 +114,13 @@ class Cascade:
         return answer
 
 
-def _bloom(keys: DataFrame, level: int, n: int, bits_per_key: float) -> Level:
+def _bits(n: int, rate: float) -> int:
+    return max(64, 64 * math.ceil(n * -math.log2(rate) / math.log(2) / 64))
+
+
+def _bloom(keys: DataFrame, level: int, n: int, rate: float) -> Level:
     """Bits are set by an aggregation that ors 64-bit words: its result has a row for each word, whatever the input."""
-    bits = max(64, 64 * math.ceil(n * bits_per_key / 64))
-    hashes = max(1, round(bits_per_key * math.log(2)))
+    bits, hashes = _bits(n, rate), max(1, round(-math.log2(rate)))
     a, b = _seeds(level)
     # The halves have 40 bits, so that sums with a few multiples stay positive longs.
     places = F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.pmod(F.col("a") + i * F.col("b"), F.lit(bits)))
@@ -142,25 +148,31 @@ def _tested(keys: DataFrame, level: Level, k: int) -> DataFrame:
     return keys.where(test(F.struct(top(a).alias("a"), top(b).alias("b"))))
 
 
-def build(universe: DataFrame, listed: DataFrame, *, bits_per_key: float = 12.0, most_levels: int = 64, most_bytes: int = 256 << 20) -> Cascade:
-    """universe and listed: distinct keys (one column). Membership is exact for every key of the universe.
+def build(universe: DataFrame, listed: DataFrame, *, rate: float = 0.125, most_levels: int = 64, most_bytes: int = 256 << 20) -> Cascade:
+    """universe: distinct keys; listed: keys (one column each). Membership is exact for every key of the universe.
 
     Every level is checkpointed with the count of what it lets through wrongly, so a loss costs one level.
+    Each level refuses all but a share of its keys with hashes of its own, so ``most_levels`` are never reached
+    but for keys of equal hashes in all of them; then this raises.
     """
     listed = checkpointed(listed.toDF("key").where("key is not null").distinct())
-    universe = universe.toDF("key")
-    others = universe.join(listed, "key", "left_anti")
-    inside, outside, levels = listed, others, []
-    while len(levels) < most_levels:
-        n = inside.count()
-        if not n:
-            break
-        level = _bloom(inside, len(levels), n, bits_per_key)
-        if len(level.words) + sum(len(x.words) for x in levels) > most_bytes:
+    universe = checkpointed(universe.toDF("key"))
+    inside, outside, levels = listed, universe, []
+    n, share = inside.count(), rate
+    while n:
+        if not levels:
+            share = min(rate, max(1e-6, n / max(1, universe.count()) / math.sqrt(2)))
+        if len(levels) == most_levels:
+            raise ValueError(f"{n} keys are still open after {most_levels} levels")
+        if _bits(n, share) // 8 + sum(len(x.words) for x in levels) > most_bytes:
             raise ValueError(f"the cascade would have over {most_bytes} bytes; split the list")
-        through = checkpointed(_tested(outside, level, len(levels)))
-        inside, outside = through, inside
+        level = _bloom(inside, len(levels), n, share)
+        through = _tested(outside, level, len(levels))
+        if not levels:
+            through = through.join(listed, "key", "left_anti")  # of the universe only what level 0 lets through
+        inside, outside = checkpointed(through), inside
         levels.append(level)
+        n, share = inside.count(), rate
     return Cascade(levels)
 
 

@@ -2,8 +2,10 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusmill.llm import queries, urlfilter
+from corpusmill.llm.common import table
 from tests.llm.oracle import compare, connect
 
 
@@ -35,13 +37,13 @@ def test_odd_urls(spark):
     assert urlfilter.judge(pages.limit(0), frame, queries.URL_RULES).collect() == []
 
 
-@pytest.mark.parametrize("bits", [1.0, 3.0, 12.0])
-def test_cascade_is_exact_over_its_universe(spark, bits):
-    rng = random.Random(bits)
+@pytest.mark.parametrize("rate", [0.5, 0.1, 0.001])
+def test_cascade_is_exact_over_its_universe(spark, rate):
+    rng = random.Random(rate)
     hosts = [f"h{rng.randint(0, 3000)}.d{rng.randint(0, 60)}.example.org" for _ in range(1500)]
     listed = sorted({".".join(h.split(".")[rng.randint(0, 1) :]) for h in rng.sample(hosts, 40)})
     pages = spark.createDataFrame([(i, f"http://{h}/p") for i, h in enumerate(hosts)], "page_id long, url string")
-    got = urlfilter.judge(pages, spark.createDataFrame([(d,) for d in listed], "key string"), [], bits_per_key=bits)
+    got = urlfilter.judge(pages, spark.createDataFrame([(d,) for d in listed], "key string"), [], rate=rate)
     for r in got.collect():
         assert r.verdict == plain(f"http://{hosts[r.page_id]}/p", listed, [])[3]
 
@@ -49,3 +51,22 @@ def test_cascade_is_exact_over_its_universe(spark, bits):
 def test_query_matches_its_sql(spark):
     sf_dir = "/root/testdata/sf0.01"
     assert compare(queries.op5_url_filter(spark, sf_dir), connect(sf_dir), queries.OP5_SQL) == 250
+
+
+def test_levels_alternate(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    hosts = table(spark, sf_dir, "pages").select(urlfilter.host_of(F.col("url")).alias("host")).distinct()
+    universe = hosts.select(F.explode(urlfilter.keys_of(F.col("host")))).distinct()
+    cascade = urlfilter.build(universe, queries.listed_domains(spark))
+    assert len(cascade.levels) >= 3 and cascade.levels[2].bits > cascade.levels[1].bits
+    many = spark.range(20_000).selectExpr("concat('k', id, '.org')")
+    deep = urlfilter.build(many, many.where("rand(3) < 0.3"), rate=0.5)
+    assert len(deep.levels) > 10
+
+
+def test_bounds_raise(spark):
+    keys = spark.range(2_000).selectExpr("concat('k', id, '.org')")
+    with pytest.raises(ValueError, match="bytes"):
+        urlfilter.build(keys, keys.limit(1_000), most_bytes=100)
+    with pytest.raises(ValueError, match="levels"):
+        urlfilter.build(keys, keys.limit(1_000), rate=0.5, most_levels=2)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import checkpointed
-from corpusmill.llm.graph import connected_components
+from corpusmill.operators.graph import connected_components
+from corpusmill.session import checkpointed
 
 
 def content_hash(text: Column) -> Column:

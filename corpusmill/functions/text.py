@@ -93,13 +93,6 @@ def strip_think(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""), r"(?s)<think>.*\z", ""), F.lit(" \n\t\r"))
 
 
-def salvage_json(text: Column) -> Column:
-    """Fences and trailing commas out, from the first bracket to its last partner (F26). What stays broken: see functions.salvage."""
-    out = F.regexp_replace(text, r"```(?:json)?", "")
-    out = F.regexp_extract(out, r"(?s)([\[{].*[\]}])", 1)
-    return F.regexp_replace(out, r",\s*([\]}])", "$1")
-
-
 def heading_sections(text: Column) -> Column:
     """(title, body) of ``## title`` sections, empty bodies out."""
     parts = F.slice(F.split(F.concat(F.lit("\n"), text), r"\n## "), 2, 100000)
@@ -143,3 +136,21 @@ def word_overlap(a: Column, b: Column) -> Column:
 def keyword_hits(keywords: list[str], text: Column) -> Column:
     """How many of the keywords a text has, whatever the case."""
     return sum((F.lower(text).contains(k.lower()).cast("int") for k in keywords), F.lit(0))
+
+
+#: Abbreviations whose full stop ends no sentence (legal references, common legal, courts, codes, titles, months).
+ABBREVIATIONS = (
+    "abs art nr s rn rz hs var lit ziff anh anl bd begr erl "
+    "vgl bzw bzgl ggf gem sog u.a z.b d.h i.v.m i.s.d i.s.v a.a.o a.f n.f m.w.n m.e h.m h.l a.a e.v o.g u.u i.d.r i.e.s i.w.s a.e z.t u.ä "
+    "bgh bverwg bverfg bag bsg bfh olg lg ag vg ovg fg lsg arbg lag sg "
+    "bimschg baugb bnatschg uvpg baunutzvo roeiv bverfgg vwgo vwvfg zpo stpo bgb stgb hgb gmbhg aktg gwb eeg enwg bimschv ta windseeg lwg whg fig "
+    "dr prof dipl ing mr mrs jr sr ca etc st inkl excl max min zzgl abschn kap aufl hrsg verl "
+    "jan feb mär apr mai jun jul aug sep okt nov dez"
+).split()
+
+
+def sentences(text: Column) -> Column:
+    """Splits after ``. ! ?`` before a capital, ``(``, ``§`` or ``[``, but not after an abbreviation (F2)."""
+    short = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
+    parts = F.split(text, rf"(?U)(?<=[.!?])(?<!(?iu:\b(?:{short})\.))\s+(?=[A-ZÄÖÜ(§\[])")
+    return F.filter(F.transform(parts, lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+\z", "")), lambda s: s != "")

@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 
 def german_number(text: Column) -> Column:
-    """``1.234,56 €`` and the like to a double; ``12.500`` is twelve thousand five hundred."""
-    run = F.regexp_extract(F.regexp_replace(text, r"[€$%\s]|EUR|USD", ""), r"-?\d[\d.,]*", 0)
-    run = F.regexp_replace(run, r"[.,]+$", "")
+    """``1.234,56 €`` and the like to a double; ``12.500`` is twelve thousand five hundred.
+
+    With both marks the last one is decimal. A comma alone is decimal, one dot before three digits is for
+    thousands; several marks of one kind alone make no number.
+    """
+    bare = F.regexp_replace(F.regexp_replace(text, r"€|EUR|Euro|USD|\$", ""), r"(?i)%|\bProzent\b", "")
+    run = F.regexp_replace(F.regexp_extract(bare, r"-?\d(?:[\d.,\s\u00a0]*\d)?", 0), r"[\s\u00a0]", "")
     comma, dot = F.instr(run, ","), F.instr(run, ".")
     both = (comma > 0) & (dot > 0)
     german = F.replace(F.replace(run, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
@@ -17,9 +21,8 @@ def german_number(text: Column) -> Column:
     value = (
         F.when(both & (F.length(F.substring_index(run, ",", -1)) < F.length(F.substring_index(run, ".", -1))), german)
         .when(both, plain)
-        .when((comma > 0) & run.rlike(r"^-?\d{1,3}(,\d{3}){2,}$"), plain)
-        .when(comma > 0, german)
-        .when(run.rlike(r"^-?\d{1,3}(\.\d{3})+$"), F.replace(run, F.lit("."), F.lit("")))
+        .when(comma > 0, F.replace(run, F.lit(","), F.lit(".")))
+        .when(run.rlike(r"^-?\d+\.\d{3}$"), F.replace(run, F.lit("."), F.lit("")))
         .otherwise(run)
     )
     return value.try_cast("double")
@@ -30,6 +33,10 @@ def currency(text: Column) -> Column:
     return F.when(text.contains("$") | F.upper(text).contains("USD"), "USD").otherwise("EUR")
 
 
+#: The names of the bands of ``severity``.
+SEVERITIES = ("info", "low", "medium", "high")
+
+
 def severity(diff: Column, total: Column) -> Column:
     """The worse of the absolute and the relative band, 0 to 3."""
     d = F.abs(diff)

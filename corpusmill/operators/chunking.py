@@ -10,29 +10,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Abbreviations whose full stop ends no sentence.
-ABBREVIATIONS = ("Abs", "Art", "Aufl", "Az", "bzw", "ca", "d.h", "Dr", "etc", "evtl", "ff", "gem", "ggf", "Hrsg", "i.d.R", "i.S.d", "i.V.m", "inkl", "insb", "Kap", "lit", "max", "min", "Mio", "Mrd", "Nr", "o.g", "Prof", "Rn", "Rz", "S", "s.o", "s.u", "sog", "St", "Std", "str", "Tel", "u.a", "u.U", "usw", "Urt", "v", "vgl", "z.B", "z.T", "zzgl")
-_SHORT = re.compile(r"(?:^|[\s(])(?:" + "|".join(map(re.escape, sorted(ABBREVIATIONS, key=len, reverse=True))) + r")\.$")
-_END = re.compile(r"[.!?](?=\s+[A-ZÄÖÜ(§\[])")
-_BOUNDARY = re.compile(r"(?m)^[ \t]*(§\s*\d+[a-z]?\b|Art(?:ikel|\.)\s*\d+|(?:Abschnitt|Kapitel|Teil)\s+[\dIVX]+|Tenor|Tatbestand|Entscheidungsgründe|Gründe)")
+from corpusmill.functions.text import ABBREVIATIONS
+
+#: What may begin a section, at the start of a line.
+SECTIONS = (
+    r"^§§?\s*\d+",
+    r"^(?:Art(?:ikel)?\.?\s*\d+)",
+    r"^(?:Abschnitt|Kapitel|Teil|Unterabschnitt)\s+[IVX\d]+",
+    r"^(?:Tenor|Tatbestand|Entscheidungsgründe|Gründe|Leitsatz|Leitsätze)\s*:?\s*$",
+)
+_SHORT = re.compile(rf"\b(?:{'|'.join(map(re.escape, ABBREVIATIONS))})\.\Z", re.IGNORECASE)
+_WINDOW = 2 + max(map(len, ABBREVIATIONS))
+_GAP = re.compile(r"(?<=[.!?])\s+(?=[A-ZÄÖÜ(§\[])")
+_SECTIONS = [re.compile(p, re.MULTILINE) for p in SECTIONS]
 
 
 def sentences(text: str) -> list[str]:
-    """Splits after ``. ! ?`` before a capital, ``(``, ``§`` or ``[``, but not after an abbreviation or a number (F2)."""
+    """Splits after ``. ! ?`` before a capital, ``(``, ``§`` or ``[``, but not after an abbreviation (F2). As ``functions.text.sentences``; linear."""
     out, start = [], 0
-    for m in _END.finditer(text):
-        head = text[start : m.end()]
-        if text[m.start()] == "." and (_SHORT.search(head) or head[-2:-1].isdigit()):
-            continue
-        out.append(head.strip())
-        start = m.end()
+    for gap in _GAP.finditer(text):
+        if not _SHORT.search(text[max(0, gap.start() - _WINDOW) : gap.start()]):
+            out.append(text[start : gap.start()].strip())
+            start = gap.end()
     out.append(text[start:].strip())
     return [s for s in out if s]
 
 
 def boundaries(text: str) -> list[tuple[int, str]]:
-    """(offset, marker) of section starts, by offset."""
-    return [(m.start(1), m.group(1)) for m in _BOUNDARY.finditer(text)]
+    """(offset, marker) of section starts, by offset; of two at one place both, in the order of SECTIONS."""
+    return sorted(((m.start(), m.group().strip()) for p in _SECTIONS for m in p.finditer(text)), key=lambda b: b[0])
 
 
 @dataclass(frozen=True)

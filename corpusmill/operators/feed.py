@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.session import checkpointed
+
 
 def insert_ignore(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows of new whose key is not there yet; of repeats the first by key order stays (M1)."""
@@ -60,6 +62,19 @@ def changes(state: DataFrame, snapshot: DataFrame, key: str, digest: str) -> Dat
 
 
 def numbered(df: DataFrame, group: str | None, order: Sequence[Column], template: str) -> DataFrame:
-    """Ids like cp-0001 in order, in each group."""
-    w = (Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))).orderBy(*order)
-    return df.withColumn("id", F.format_string(template, F.row_number().over(w)))
+    """Ids like cp-0001 in order, in each group.
+
+    Without a group rows are sorted in ranges and each range is numbered from where the one before ends,
+    so no task gets the whole table.
+    """
+    if group:
+        return df.withColumn("id", F.format_string(template, F.row_number().over(Window.partitionBy(group).orderBy(*order))))
+    ranges = checkpointed(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    sizes = sorted(ranges.groupBy("__range").count().collect())  # a row for each range
+    starts, at = {}, 0
+    for number, n in sizes:
+        starts[number] = at
+        at += n
+    offset = F.create_map(*[F.lit(x) for kv in starts.items() for x in kv])[F.col("__range")] if starts else F.lit(0)
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) + offset
+    return ranges.withColumn("id", F.format_string(template, place)).drop("__range")

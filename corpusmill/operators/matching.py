@@ -46,6 +46,27 @@ def fuzzy_match(parcels: DataFrame, refs: DataFrame, least: float = 0.6, most_re
     return best.select("id", F.col("b.ref").alias("ref"), F.round("b.score", 6).alias("score"))
 
 
+def near_mentions(docs: DataFrame, id_col: str, text_col: str, left: str, right: str, *, most: int) -> DataFrame:
+    """(id, left_at, right_at): hits of two patterns in one text under ``most`` characters apart.
+
+    Positions are binned by the distance, and a hit meets those of its own and the two neighbouring bins only,
+    so a text with many hits is split by place and no pair far apart is made.
+    """
+
+    def hits(pattern: str, name: str) -> DataFrame:
+        # The text before each hit, cut at the hits: their lengths add up to the positions.
+        parts, marks = F.split(text_col, pattern), F.regexp_extract_all(text_col, F.lit(f"({pattern})"), F.lit(1))
+        sizes = F.zip_with(F.slice(parts, 1, F.size(marks)), marks, lambda p, m: F.struct(F.length(p).alias("p"), F.length(m).alias("m")))
+        start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("out"))
+        add = lambda acc, x: F.struct((acc["at"] + x["p"] + x["m"]).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x["p"])).alias("out"))
+        return docs.where(F.col(text_col).rlike(pattern)).select(F.col(id_col).alias("id"), F.explode(F.aggregate(sizes, start, add, lambda acc: acc["out"])).alias(name))
+
+    a = hits(left, "left_at").withColumn("bin", F.explode(F.array(*[F.expr(f"left_at div {most}") + i for i in (-1, 0, 1)])))
+    b = hits(right, "right_at").withColumn("bin", F.expr(f"right_at div {most}"))
+    met = a.join(b, ["id", "bin"]).where(F.abs(F.col("left_at") - F.col("right_at")) < most)
+    return met.select(F.col("id").alias(id_col), F.col("left_at").cast("bigint"), F.col("right_at").cast("bigint"))
+
+
 def first_box(points: DataFrame, boxes: list[tuple[str, float, float, float, float]], lat: str, lng: str) -> Column:
     """The first box (name, south, west, north, east) that holds a point."""
     return F.coalesce(*[F.when(F.col(lat).between(s, n) & F.col(lng).between(w, e), F.lit(name)) for name, s, w, n, e in boxes])

@@ -7,7 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.operators.vectors import ranked
+
 TOKEN = r"[\p{L}\p{N}]+"
+#: Rows of query terms that are broadcast, tens of megabytes at most.
+MOST_TERMS = 500_000
 
 
 def tokens(text: Column) -> Column:
@@ -45,10 +49,13 @@ def bm25(queries: DataFrame, docs: DataFrame, *, id_col: str, text_col: str, k:
     """queries (qid, terms) -> (qid, id, score, rank): the best k of each query.
 
     Only query terms' postings are kept, before anything is shuffled, so the
-    shuffle has the size of what matches. Lengths come along with the postings.
+    shuffle has the size of what matches. Lengths come along with the postings. Up to
+    ``MOST_TERMS`` terms of all queries are broadcast; more are joined.
     """
     wanted = queries.select("qid", F.explode(F.array_distinct("terms")).alias("term"))
-    some = F.broadcast(wanted.select("term").distinct())
+    terms = wanted.count()
+    small = F.broadcast if terms <= MOST_TERMS else lambda df: df
+    some = small(wanted.select("term").distinct())
     sized = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("toks")).withColumn("len", F.size("toks"))
     stats = sized.agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean_len"))
     found = sized.select("id", "len", F.explode("toks").alias("term")).join(some, "term", "left_semi").groupBy("term", "id", "len").agg(F.count("*").alias("tf"))
@@ -56,25 +63,10 @@ def bm25(queries: DataFrame, docs: DataFrame, *, id_col: str, text_col: str, k:
     scored = found.join(df, "term").crossJoin(F.broadcast(stats))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean_len")))
-    hits = scored.select("term", "id", weight.alias("w")).join(F.broadcast(wanted), "term").groupBy("qid", "id").agg(F.round(F.sum("w"), 6).alias("score"))
+    hits = scored.select("term", "id", weight.alias("w")).join(small(wanted), "term").groupBy("qid", "id").agg(F.round(F.sum("w"), 6).alias("score"))
     return ranked(hits, k)
 
 
-def vector_search(queries: DataFrame, vectors: DataFrame, *, id_col: str, vector_col: str, k: int) -> DataFrame:
-    """queries (qid, q), a checked number of them -> the best k of each by exact cosine (T1-T4). No shuffle before each task's own top k."""
-    n = queries.count()
-    if n > 10_000:
-        raise ValueError("more than 10,000 query vectors: search in blocks")
-    scored = vectors.crossJoin(F.broadcast(queries)).select("qid", F.col(id_col).alias("id"), F.round(cosine(F.col(vector_col), F.col("q")), 6).alias("score"))
-    return ranked(scored, k)
-
-
-def ranked(hits: DataFrame, k: int) -> DataFrame:
-    """Rank by score, then id; ranks beyond k go."""
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def fuse(legs: dict[str, DataFrame], k: int, *, constant: int = 60, weights: dict[str, float] | None = None) -> DataFrame:
     """Reciprocal rank fusion of ranked legs, with the legs that found each id."""
     parts = [leg.select("qid", "id", F.lit(name).alias("leg"), (F.lit((weights or {}).get(name, 1.0)) / (constant + F.col("rank"))).alias("part")) for name, leg in legs.items()]
@@ -97,6 +89,24 @@ def match_terms(question: Column, *, most: int = 6, least_length: int = 3, stop:
     return F.transform(out, lambda w: F.substring(w, 1, prefix)) if prefix else out
 
 
+def containing(docs: DataFrame, passages: DataFrame, *, id_col: str, text_col: str, pid_col: str, passage_col: str, width: int = 5) -> DataFrame:
+    """(id, pid) of the documents that hold a passage letter by letter.
+
+    Candidates share the hash of one run of ``width`` tokens; it leaves out a passage's first and last token,
+    which may run on in the text. Passages of under ``width + 2`` tokens are too short and found nowhere.
+    """
+    key = lambda toks, at: F.xxhash64(F.array_join(F.slice(toks, at, F.lit(width)), " "))
+    asked = passages.select(F.col(pid_col).alias("pid"), F.col(passage_col).alias("passage")).withColumn("toks", tokens(F.col("passage"))).where(F.size("toks") >= width + 2)
+    asked = asked.select("pid", "passage", key(F.col("toks"), F.lit(2)).alias("key"))
+    small = F.broadcast if asked.count() <= MOST_TERMS else lambda df: df
+    toks = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("toks")).where(F.size("toks") >= width)
+    runs = toks.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.size("toks") - width + 1), lambda i: key(F.col("toks"), i))).alias("key"))
+    met = runs.join(small(asked.select("key", "pid")), "key").select("id", "pid").distinct()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    both = met.join(texts, "id").join(asked.select("pid", "passage"), "pid")
+    return both.where(F.col("text").contains(F.col("passage"))).select("id", "pid").distinct()
+
+
 def overlap_score(question: Column, passage: Column) -> Column:
     """Distinct tokens in common: the lexical fallback and the offline reranker."""
     return F.size(F.array_intersect(tokens(question), tokens(passage)))

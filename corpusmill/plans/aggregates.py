@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from corpusmill.operators import tables as TB
 from corpusmill.operators import evaluation as E
 from corpusmill.plans.registry import query
 
@@ -129,11 +130,34 @@ def a16(t):
     return last.agg(F.collect_list("l_quantity").alias("mins")).select(F.coalesce(middle, F.lit(10.0)).alias("minutes"))
 
 
-@query("a17_table_reconciliation", "SELECT o_orderkey, round(coalesce(total, 0), 2) AS lines, o_totalprice AS stated, abs(coalesce(total, 0) - o_totalprice) > 1 AS mismatch FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS total FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey")
+A17 = """WITH lines AS (
+  SELECT l_orderkey, sum(round(l_extendedprice * 100)::BIGINT) AS cents FROM lineitem GROUP BY 1
+), stated AS (
+  SELECT o_orderkey AS k, cents / 100 AS net, floor(cents * CASE WHEN o_orderkey % 3 = 0 THEN 0.16 ELSE 0.19 END::DOUBLE + 0.5) / 100 AS vat, o_totalprice AS gross
+  FROM orders JOIN lines ON o_orderkey = l_orderkey
+), checks AS (
+  SELECT k, 'sum_mismatch' AS kind, gross AS stated, net AS computed FROM stated
+  UNION ALL
+  SELECT k, CASE WHEN least(abs(vat / net - 0.19), abs(vat / net - 0.07)) > 0.005 THEN 'vat_mismatch' ELSE 'sum_mismatch' END, gross, round(net + vat, 2) FROM stated
+), graded AS (
+  SELECT *, round(stated - computed, 2) AS delta FROM checks
+), banded AS (
+  SELECT *, greatest(CASE WHEN abs(delta) > 100 THEN 3 WHEN abs(delta) > 5 THEN 2 WHEN abs(delta) > 0.5 THEN 1 ELSE 0 END,
+    CASE WHEN abs(delta) / stated > 0.01 THEN 3 WHEN abs(delta) / stated > 0.005 THEN 2 WHEN abs(delta) / stated > 0.001 THEN 1 ELSE 0 END) AS band FROM graded
+)
+SELECT k AS "table", kind, stated, computed, delta, ['info', 'low', 'medium', 'high'][band + 1] AS severity FROM banded WHERE band > 0"""
+
+
+@query("a17_table_reconciliation", A17)
 def a17(t):
-    lines = t.lineitem.groupBy("l_orderkey").agg(F.sum(F.expr("l_extendedprice * (1 - l_discount) * (1 + l_tax)")).alias("total"))
-    total = F.coalesce("total", F.lit(0.0))
-    return t.orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.round(total, 2).alias("lines"), F.col("o_totalprice").alias("stated"), (F.abs(total - F.col("o_totalprice")) > 1).alias("mismatch"))
+    """Invoices written as tables of German amounts: positions, net, tax and gross."""
+    german = lambda x: F.concat(F.translate(F.format_number(x, 2), ",.", ".,"), F.lit(" €"))
+    lines = t.lineitem.select(F.col("l_orderkey").alias("table"), F.col("l_linenumber").alias("place"), F.array(F.concat(F.lit("Posten "), F.col("l_linenumber")), german("l_extendedprice")).alias("cells"))
+    net = t.lineitem.groupBy("l_orderkey").agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("cents"))
+    sums = t.orders.join(net, F.col("o_orderkey") == F.col("l_orderkey")).withColumn("net", F.col("cents") / 100).withColumn("vat", F.floor(F.col("cents") * F.when(F.col("o_orderkey") % 3 == 0, 0.16).otherwise(0.19) + 0.5) / 100)
+    ends = [(F.lit("Netto"), "net"), (F.lit("zzgl. USt"), "vat"), (F.lit("Gesamt brutto"), "o_totalprice")]
+    below = sums.select(F.col("o_orderkey").alias("table"), F.posexplode(F.array(*[F.array(label, german(c)) for label, c in ends])).alias("place", "cells"))
+    return TB.findings(TB.totals(lines.unionByName(below.withColumn("place", F.col("place") + 100))))
 
 
 @query("a18_state_counts", "SELECT user_id, sum(CASE WHEN event_type IN ('click', 'view') THEN 1 ELSE 0 END)::BIGINT AS open, count(*) AS total FROM events GROUP BY 1")

@@ -84,10 +84,10 @@ def t7(t):
     return P.page(t.events.select("event_id", "ts"), {}, [F.desc("ts"), F.desc("event_id")], 100)
 
 
-@query("t9_timeline_order", "SELECT o_orderkey, days FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 0 THEN date_diff('day', DATE '1995-01-01', o_orderdate::DATE) END AS days FROM orders) ORDER BY coalesce(days, 99999), o_orderkey LIMIT 500")
+@query("t9_timeline_order", "SELECT o_orderkey, days FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 0 THEN date_diff('day', DATE '1995-01-01', o_orderdate::DATE) END AS days FROM orders)")
 def t9(t):
     days = F.when(F.col("o_orderkey") % 4 != 0, F.datediff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date")).cast("bigint"))
-    return t.orders.select("o_orderkey", days.alias("days")).orderBy(F.coalesce("days", F.lit(99999)), "o_orderkey").limit(500)
+    return t.orders.select("o_orderkey", days.alias("days")).orderBy(F.coalesce("days", F.lit(99999)), "o_orderkey")
 
 
 @query("t10_keyset_scan", "SELECT o_orderkey FROM orders WHERE o_orderkey > 1000 ORDER BY o_orderkey LIMIT 200")
@@ -95,9 +95,9 @@ def t10(t):
     return t.orders.where("o_orderkey > 1000").select("o_orderkey").orderBy("o_orderkey").limit(200)
 
 
-@query("u2_priority_union", "SELECT printf('cp-%04d', row_number() OVER (ORDER BY k)) AS id, k, prio FROM (SELECT k, min(prio) AS prio FROM (SELECT c_nationkey AS k, 1 AS prio FROM customer WHERE c_custkey < 20 UNION ALL SELECT s_nationkey, 2 FROM supplier WHERE s_suppkey < 20 UNION ALL SELECT n_nationkey, 3 FROM nation) GROUP BY k)")
+@query("u2_priority_union", "SELECT printf('cp-%04d', row_number() OVER (ORDER BY k)) AS id, k, prio FROM (SELECT k, min(prio) AS prio FROM (SELECT c_nationkey AS k, 1 AS prio FROM customer UNION ALL SELECT s_nationkey, 2 FROM supplier UNION ALL SELECT n_nationkey, 3 FROM nation) GROUP BY k)")
 def u2(t):
-    parts = [t.customer.where("c_custkey < 20").select(F.col("c_nationkey").alias("k"), F.lit(1).alias("prio")), t.supplier.where("s_suppkey < 20").select(F.col("s_nationkey").alias("k"), F.lit(2).alias("prio")), t.nation.select(F.col("n_nationkey").alias("k"), F.lit(3).alias("prio"))]
+    parts = [t.customer.select(F.col("c_nationkey").alias("k"), F.lit(1).alias("prio")), t.supplier.select(F.col("s_nationkey").alias("k"), F.lit(2).alias("prio")), t.nation.select(F.col("n_nationkey").alias("k"), F.lit(3).alias("prio"))]
     first = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("k").agg(F.min("prio").alias("prio"))
     return M.numbered(first, None, [F.col("k")], "cp-%04d").select("id", "k", "prio")
 

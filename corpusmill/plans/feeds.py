@@ -73,10 +73,9 @@ def s11(t):
     return t.pages.select("page_id", F.posexplode(S.html_segments(F.col("html"))).alias("pos", "s")).select("page_id", "pos", "s.*")
 
 
-@query("s13_page_text_gate", "SELECT doc_id, CASE WHEN length(text) >= 40 THEN 'embedded' ELSE 'ocr' END AS source FROM documents WHERE NOT regexp_matches(text, '[^A-Za-z0-9\\s.,;:]') AND length(text) > 0")
+@query("s13_page_text_gate", "SELECT doc_id, CASE WHEN length(text) >= 40 AND length(regexp_replace(text, '[^\\p{L}\\p{N} \\t\\n\\x0B\\f\\r.,;:!?()§%/''\"-]', '', 'g')) / greatest(length(text), 1) >= 0.6 THEN 'embedded' ELSE 'ocr' END AS source FROM documents")
 def s13(t):
-    plain = t.documents.where(~F.col("text").rlike(r"[^A-Za-z0-9\s.,;:]") & (F.length("text") > 0))
-    return plain.select("doc_id", S.page_text(F.col("text"), F.lit("x"))["source"].alias("source"))
+    return t.documents.select("doc_id", S.page_text(F.col("text"), F.lit("x"))["source"].alias("source"))
 
 
 @query("x6_ingestion_states", "SELECT user_id AS key, arg_max(event_type, event_id) AS state, arg_max(event_type, event_id) IN ('queued', 'processing') AS enqueue FROM events GROUP BY 1")

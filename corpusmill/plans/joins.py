@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.operators import filters as P
+from corpusmill.operators import matching as X
+from corpusmill.operators import vectors as V
 from corpusmill.plans.registry import query
 
 
@@ -32,10 +34,10 @@ def j3(t):
     return joined.select("vec_id", F.when(F.col("parent").isNotNull(), F.col("doc_id")).alias("parent_id"), F.col("parent").isNull().alias("is_orphan"))
 
 
-@query("j4_least_sampled_first", "SELECT c_custkey, coalesce(n, 0) AS n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey ORDER BY n, c_custkey LIMIT 100")
+@query("j4_least_sampled_first", "SELECT c_custkey, coalesce(n, 0) AS n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey")
 def j4(t):
     counted = t.orders.groupBy("o_custkey").agg(F.count("*").alias("k"))
-    return t.customer.join(counted, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("k", F.lit(0)).alias("n")).orderBy("n", "c_custkey").limit(100)
+    return t.customer.join(counted, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("k", F.lit(0)).alias("n")).orderBy("n", "c_custkey")
 
 
 @query("j5_anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
@@ -64,11 +66,9 @@ def j8(t):
 
 @query("j9_scoped_vector_search", "SELECT vec_id, round(s, 5) AS score FROM (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS s FROM embeddings JOIN documents ON vec_id = doc_id WHERE lang = 'en') ORDER BY s DESC, vec_id LIMIT 10")
 def j9(t):
-    from corpusmill.operators import retrieval as R
-
-    probe = t.embeddings.where("vec_id = 0").select(F.col("embedding").alias("q"))
+    probe = t.embeddings.where("vec_id = 0").select(F.lit(0).alias("qid"), F.col("embedding").alias("q"))
     docs = t.embeddings.join(t.documents.where("lang = 'en'"), F.col("vec_id") == F.col("doc_id")).select("vec_id", "embedding")
-    return docs.crossJoin(F.broadcast(probe)).select("vec_id", R.cosine(F.col("embedding"), F.col("q")).alias("s")).orderBy(F.desc("s"), "vec_id").limit(10).select("vec_id", F.round("s", 5).alias("score"))
+    return V.vector_search(probe, docs, id_col="vec_id", vector_col="embedding", k=10, digits=10).select(F.col("id").alias("vec_id"), F.round("score", 5).alias("score"))
 
 
 @query("j10_member_counts", "SELECT n_nationkey, count(s_suppkey) AS members FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey GROUP BY 1")
@@ -82,11 +82,18 @@ def j11(t):
     return t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", F.coalesce(org, "c_nationkey").alias("org"))
 
 
-@query("j15_proximity_join", "SELECT a.conv_id, a.turn AS near, b.turn AS other FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND abs(a.turn - b.turn) < 2 AND a.role = 'user' AND b.role = 'assistant'")
+@query(
+    "j15_proximity_join",
+    """WITH parts AS (
+  SELECT doc_id, kind, string_split(text, mark) AS p FROM documents, (VALUES ('contract', 'License'), ('parcel', 'Version')) AS m(kind, mark) WHERE contains(text, mark)
+), marked AS (
+  SELECT doc_id, kind, unnest(list_transform(range(1, len(p)), lambda k: (1 + 7 * (k - 1) + list_sum(list_transform(p[1:k], lambda x: length(x))))::BIGINT)) AS pos FROM parts
+)
+SELECT a.doc_id, a.pos AS contract_at, b.pos AS parcel_at FROM marked a JOIN marked b ON a.doc_id = b.doc_id AND a.kind = 'contract' AND b.kind = 'parcel' AND abs(a.pos - b.pos) < 2000""",
+)
 def j15(t):
-    a = t.conversations.where("role = 'user'").select("conv_id", F.col("turn").alias("near"))
-    b = t.conversations.where("role = 'assistant'").select("conv_id", F.col("turn").alias("other"))
-    return a.join(b, "conv_id").where(F.abs(F.col("near") - F.col("other")) < 2)
+    """License lines as contracts, versions as parcels: mentions within 2,000 characters."""
+    return X.near_mentions(t.documents, "doc_id", "text", r"License", r"Version", most=2000).select("doc_id", F.col("left_at").alias("contract_at"), F.col("right_at").alias("parcel_at"))
 
 
 @query("j17_gold_enrichment", "SELECT e.vec_id, coalesce(d.lang, 'unknown') AS lang, q.quality FROM embeddings e LEFT JOIN (SELECT doc_id, max_by(quality, toxic) AS quality FROM labels GROUP BY 1) q ON e.vec_id = q.doc_id LEFT JOIN documents d ON e.vec_id = d.doc_id AND d.source <> 'src0'")
@@ -96,9 +103,9 @@ def j17(t):
     return t.embeddings.select("vec_id").join(last, F.col("vec_id") == F.col("doc_id"), "left").join(docs, F.col("vec_id") == F.col("d"), "left").select("vec_id", F.coalesce("lang", F.lit("unknown")).alias("lang"), "quality")
 
 
-@query("j18_probe_baseline", "SELECT e.vec_id AS id, l.quality, 'probe' AS side FROM (SELECT vec_id FROM embeddings WHERE vec_id < 200) e LEFT JOIN labels l ON e.vec_id = l.doc_id UNION ALL SELECT doc_id, quality, 'orphan' FROM labels WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id < 200)")
+@query("j18_probe_baseline", "SELECT e.vec_id AS id, l.quality, 'probe' AS side FROM (SELECT vec_id FROM embeddings WHERE vec_id % 20 = 0) e LEFT JOIN labels l ON e.vec_id = l.doc_id UNION ALL SELECT doc_id, quality, 'orphan' FROM labels WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 20 = 0)")
 def j18(t):
-    probes = t.embeddings.where("vec_id < 200").select("vec_id")
+    probes = t.embeddings.where("vec_id % 20 = 0").select("vec_id")
     told = probes.join(t.labels, F.col("vec_id") == F.col("doc_id"), "left").select(F.col("vec_id").alias("id"), "quality", F.lit("probe").alias("side"))
     return told.unionByName(P.missing(t.labels, probes, "doc_id", "vec_id").select(F.col("doc_id").alias("id"), "quality", F.lit("orphan").alias("side")))
 
@@ -112,6 +119,6 @@ def j19(t):
     return playbook.join(covered, "topic", "left_anti").select("topic", "critical", F.when(F.col("critical"), 4).otherwise(3).alias("severity"))
 
 
-@query("j20_manifest_hydration", "SELECT d.doc_id, coalesce(quality, 0) AS score FROM (SELECT doc_id FROM documents WHERE doc_id < 300) d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+@query("j20_manifest_hydration", "SELECT d.doc_id, coalesce(quality, 0) AS score FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def j20(t):
-    return t.labels.join(t.documents.where("doc_id < 300").select("doc_id"), "doc_id", "right").select("doc_id", F.coalesce("quality", F.lit(0)).alias("score"))
+    return t.labels.join(t.documents.select("doc_id"), "doc_id", "right").select("doc_id", F.coalesce("quality", F.lit(0)).alias("score"))

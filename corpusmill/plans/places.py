@@ -70,10 +70,10 @@ def g7(t):
     return made.select("id", G.geojson_feature(F.col("ring"), F.struct("id", "park")).alias("feature"))
 
 
-@query("j12_parcel_contract_exact", "SELECT c.id, coalesce(f.contract, b.contract) AS contract, CASE WHEN f.contract IS NOT NULL THEN 'exact_full' WHEN b.contract IS NOT NULL THEN 'exact_number' END AS how FROM (SELECT c_custkey AS id, c_custkey % 60 AS number FROM customer) c LEFT JOIN (SELECT o_custkey, arg_max(o_orderkey, o_orderkey) AS contract FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1) f ON c.id = f.o_custkey LEFT JOIN (SELECT o_orderkey % 90 AS number, max(o_orderkey) AS contract FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1) b ON c.number = b.number")
+@query("j12_parcel_contract_exact", "SELECT c.id, coalesce(f.contract, b.contract) AS contract, CASE WHEN f.contract IS NOT NULL THEN 'exact_full' WHEN b.contract IS NOT NULL THEN 'exact_number' END AS how FROM (SELECT c_custkey AS id, c_custkey % 60 AS number FROM customer) c LEFT JOIN (SELECT o_custkey, arg_max(o_orderkey, o_orderkey) AS contract FROM orders GROUP BY 1) f ON c.id = f.o_custkey LEFT JOIN (SELECT o_orderkey % 90 AS number, max(o_orderkey) AS contract FROM orders GROUP BY 1) b ON c.number = b.number")
 def j12(t):
     parcels = t.customer.select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 60).alias("number"))
-    contracts = t.orders.where("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("ref"), (F.col("o_orderkey") % 90).alias("ref_number"), F.col("o_orderkey").alias("contract"), F.col("o_orderkey").alias("ord"))
+    contracts = t.orders.select(F.col("o_custkey").alias("ref"), (F.col("o_orderkey") % 90).alias("ref_number"), F.col("o_orderkey").alias("contract"), F.col("o_orderkey").alias("ord"))
     return X.exact_match(parcels, contracts).select("id", "contract", "how")
 
 

@@ -8,6 +8,7 @@ from corpusmill.operators import dedup as D
 from corpusmill.operators import evaluation as E
 from corpusmill.operators import ranking as W
 from corpusmill.operators import retrieval as R
+from corpusmill.operators import vectors as V
 from corpusmill.plans.registry import query
 
 TOKS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
@@ -19,9 +20,10 @@ stats AS (SELECT count(*) AS n_docs, avg(len) AS mean_len FROM toks),
 found AS (SELECT term, id, len, count(*) AS tf FROM (SELECT id, len, unnest(toks) AS term FROM toks) WHERE term IN (SELECT term FROM wanted) GROUP BY 1, 2, 3),
 df AS (SELECT term, count(*) AS df FROM found GROUP BY 1),
 hits AS (SELECT qid, id, round(sum(ln((n_docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean_len))), 6) AS score FROM found JOIN df USING (term) JOIN wanted USING (term), stats GROUP BY 1, 2),
-bm25 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM hits) WHERE rank <= 30)"""
+bm25_60 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM hits) WHERE rank <= 60),
+bm25 AS (SELECT * FROM bm25_60 WHERE rank <= 30)"""
 DENSE = """
-vq AS (SELECT vec_id AS qid, embedding AS q FROM embeddings WHERE vec_id < 200),
+vq AS (SELECT vec_id AS qid, embedding AS q FROM embeddings WHERE vec_id % 20 = 0),
 vs AS (SELECT qid, vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 6) AS score FROM embeddings, vq),
 dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM vs) WHERE rank <= 30)"""
 FUSE = "SELECT qid, id, score, found_by, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (SELECT qid, id, round(sum(w / (60 + rank)), 9) AS score, array_to_string(list_sort(list(DISTINCT leg)), '+') AS found_by FROM (SELECT qid, id, rank, 'dense' AS leg, {d} AS w FROM dense UNION ALL SELECT qid, id, rank, 'bm25', {b} FROM bm25) GROUP BY 1, 2)) WHERE rank <= 10"
@@ -36,7 +38,12 @@ def lexical(t, k=30):
 
 
 def dense(t, k=30):
-    return R.vector_search(t.embeddings.where("vec_id < 200").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), t.embeddings, id_col="vec_id", vector_col="embedding", k=k)
+    return V.vector_search(t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), t.embeddings, id_col="vec_id", vector_col="embedding", k=k)
+
+
+def gold_documents(t):
+    """The documents that hold a question's passage."""
+    return R.containing(t.documents, t.benchmark, id_col="doc_id", text_col="text", pid_col="item_id", passage_col="text").select(F.col("pid").alias("qid"), F.col("id").alias("doc_id"))
 
 
 def hybrid(t, **how):
@@ -64,10 +71,17 @@ def t1(t):
     return dense(t)
 
 
+@query("t2_cells_top_k")
+def t2(t):
+    """Approximate: the best 30 in the cells near each query; tests/test_vectors.py measures the recall."""
+    index = V.CellIndex(t.embeddings, id_col="vec_id", vector_col="embedding")
+    return index.search(t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), k=30, probes=index.probes_for(0.92, k=30))
+
+
 @query("t3_scoped_knn", "SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 3)), 6) AS score FROM embeddings WHERE label = 4 ORDER BY score DESC, id LIMIT 20")
 def t3(t):
     q = t.embeddings.where("vec_id = 3").select(F.lit(0).alias("qid"), F.col("embedding").alias("q"))
-    return R.vector_search(q, t.embeddings.where("label = 4"), id_col="vec_id", vector_col="embedding", k=20).select("id", "score")
+    return V.vector_search(q, t.embeddings.where("label = 4"), id_col="vec_id", vector_col="embedding", k=20).select("id", "score")
 
 
 @query("r1_truncate_vectors", "SELECT vec_id, round(list_sum(list_transform(embedding[1:16], lambda x: x::DOUBLE)), 5) AS head FROM embeddings")
@@ -102,11 +116,21 @@ def r12(t):
     return W.first_per_key(t.embeddings.select(F.col("label").alias("parent"), F.col("vec_id").alias("id")), ["parent"], [F.col("id")])
 
 
-@query("r14_lexical_overlap", f"SELECT item_id, doc_id, hits FROM (SELECT item_id, doc_id, len(list_intersect(a, b)) AS hits, row_number() OVER (PARTITION BY item_id ORDER BY len(list_intersect(a, b)) DESC, doc_id) AS rn FROM (SELECT item_id, list_distinct({TOKS}) AS a FROM benchmark WHERE item_id < 20), (SELECT doc_id, list_distinct({TOKS}) AS b FROM documents WHERE doc_id < 60)) WHERE rn <= 3")
+@query(
+    "r14_lexical_overlap",
+    f"""WITH {BM25}, pairs AS (
+  SELECT item_id, c.id AS doc_id, len(list_intersect(a, b)) AS hits
+  FROM bm25_60 c JOIN (SELECT item_id, list_distinct({TOKS}) AS a FROM benchmark) q ON c.qid = q.item_id
+  JOIN (SELECT doc_id, list_distinct({TOKS}) AS b FROM documents) d ON c.id = d.doc_id)
+SELECT item_id, doc_id, hits FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, doc_id) AS rn FROM pairs) WHERE rn <= 3""",
+)
 def r14(t):
-    q = F.broadcast(t.benchmark.where("item_id < 20").select("item_id", F.col("text").alias("question")))  # at most 20 questions, as the operator takes 60 passages
-    pairs = t.documents.where("doc_id < 60").crossJoin(q).select("item_id", "doc_id", R.overlap_score(F.col("question"), F.col("text")).cast("bigint").alias("hits"))
-    return W.top_per_group(pairs, ["item_id"], [F.desc("hits"), F.col("doc_id")], 3).select("item_id", "doc_id", "hits")
+    """Each question's own first 60 passages, by the words in common."""
+    asked = t.benchmark.select(F.col("item_id"), F.col("text").alias("question"))
+    found = lexical(t, 60).select(F.col("qid").alias("item_id"), F.col("id").alias("doc_id"))
+    pairs = found.join(t.documents.select("doc_id", "text"), "doc_id").join(asked, "item_id")
+    scored = pairs.select("item_id", "doc_id", R.overlap_score(F.col("question"), F.col("text")).cast("bigint").alias("hits"))
+    return W.top_per_group(scored, ["item_id"], [F.desc("hits"), F.col("doc_id")], 3).select("item_id", "doc_id", "hits")
 
 
 @query("r15_budgeted_selection", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM conversations) WHERE used < 1500")
@@ -135,7 +159,7 @@ def r17(t):
 
 @query("r18_pool_comparison", f"WITH {BM25}, gold AS (SELECT item_id AS qid, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)) SELECT pool, count(*) AS n, count(*) FILTER (best <= 10) AS hits FROM (SELECT pool, q.qid, min(rank) AS best FROM (SELECT unnest(['all', 'even']) AS pool) p, (SELECT DISTINCT qid FROM gold) q LEFT JOIN (SELECT b.qid, b.id, rank FROM bm25 b JOIN gold g ON b.qid = g.qid AND b.id = g.doc_id) h ON h.qid = q.qid AND (pool = 'all' OR h.id % 2 = 0) GROUP BY 1, 2) GROUP BY 1")
 def r18(t):
-    gold = t.documents.crossJoin(F.broadcast(t.benchmark.select(F.col("item_id").alias("qid"), F.col("text").alias("passage")))).where(F.col("text").contains(F.col("passage"))).select("qid", "doc_id")
+    gold = gold_documents(t)
     hits = lexical(t).withColumnRenamed("qid", "q").join(gold, (F.col("id") == F.col("doc_id")) & (F.col("q") == F.col("qid"))).select("qid", "id", "rank")
     pools = gold.select("qid").distinct().crossJoin(F.broadcast(t.spark.createDataFrame([("all",), ("even",)], "pool string")))
     counted = hits.select(F.col("qid").alias("q"), "id", "rank")
@@ -176,7 +200,7 @@ def t8(t):
 @query("a5_lexical_search_eval", f"WITH {BM25}, gold AS (SELECT item_id AS qid, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), first AS (SELECT g.qid, min(rank) AS rank FROM gold g LEFT JOIN bm25 b ON g.qid = b.qid AND b.id = g.doc_id GROUP BY 1) SELECT count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END), 6) AS recall_1, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END), 6) AS recall_10, round(avg(CASE WHEN rank <= 30 THEN 1.0 ELSE 0 END), 6) AS recall_30, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr FROM first")
 def search_eval(t):
     """Recall and reciprocal rank of the lexical leg; gold is any document that holds the passage."""
-    gold = t.documents.crossJoin(F.broadcast(t.benchmark.select(F.col("item_id").alias("qid"), F.col("text").alias("passage")))).where(F.col("text").contains(F.col("passage"))).select("qid", "doc_id")
+    gold = gold_documents(t)
     found = lexical(t).select(F.col("qid").alias("q"), "id", "rank")
     first = gold.join(found, (F.col("qid") == F.col("q")) & (F.col("doc_id") == F.col("id")), "left").groupBy("qid").agg(F.min("rank").alias("rank"))
     return E.recall(first, "rank", [1, 10, 30])

@@ -4,15 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusmill.functions import json as J
 from corpusmill.functions import text as T
 from corpusmill.functions import values as V
 from corpusmill.operators import chunking as C
 from corpusmill.plans.registry import query
 
 
-@query("f1_clean_text", "SELECT doc_id, md5(trim(regexp_replace(regexp_replace(replace(text, '[Picture]', ''), '\\n{3,}', chr(10) || chr(10), 'g'), ' {3,}', '  ', 'g'))) AS h FROM documents WHERE NOT regexp_matches(text, '\\$ \\d|\\w- ')")
+#: Letters that may follow a split word's hyphen: all but capitals and u, o and b.
+JOINED = r"[ac-np-tv-zß-öø-ÿ\p{Lo}\p{Lm}\p{Nd}_]"
+
+
+@query(
+    "f1_clean_text",
+    f"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(text, '[Picture]', ''),
+  '\\n{{3,}}', chr(10) || chr(10), 'g'), ' {{3,}}', '  ', 'g'),
+  '\\$ (\\d+[a-z]?) (Abs|Satz|Nr)\\.', '§ \\1 \\2.', 'g'),
+  '([\\p{{L}}\\p{{M}}\\p{{Nd}}_]{{2,}})- ({JOINED})', '\\1\\2', 'g'))) AS h
+FROM (SELECT doc_id, text || ' Wort- teil und- oder $ 12 Abs. ' || coalesce(lang, '') || '- ' || coalesce(source, '') AS text FROM documents)""",
+)
 def f1(t):
-    return t.documents.where(~F.col("text").rlike(r"(?U)\$ \d|\w- ")).select("doc_id", F.md5(T.clean_text(F.col("text"))).alias("h"))
+    """Every text, with an end to which the rules for split words and paragraph signs apply."""
+    ended = F.concat("text", F.lit(" Wort- teil und- oder $ 12 Abs. "), F.coalesce("lang", F.lit("")), F.lit("- "), F.coalesce("source", F.lit("")))
+    return t.documents.withColumn("text", ended).select("doc_id", F.md5(T.clean_text(F.col("text"))).alias("h"))
+
+
+@query("f2_sentences")
+def f2(t):
+    """How many sentences, and the hash of where they end; tests compare it with a plain version."""
+    s = T.sentences(F.col("text"))
+    return t.documents.select("doc_id", F.size(s).alias("n"), F.md5(F.array_join(s, "\n|\n")).alias("h"))
 
 
 @query("f2_sentences_f7_chunks")
@@ -78,10 +99,10 @@ def f17(t):
     return t.pages.select("page_id", T.html_to_text(F.col("html")).alias("text"))
 
 
-@query("f18_german_numbers", "SELECT o_orderkey, o_totalprice AS value FROM orders WHERE o_totalprice >= 1000 AND o_totalprice < 1000000")
+@query("f18_german_numbers", "SELECT o_orderkey, o_totalprice AS value FROM orders")
 def f18(t):
     written = F.translate(F.format_number("o_totalprice", 2), ",.", ".,")
-    return t.orders.where("o_totalprice >= 1000 and o_totalprice < 1000000").select("o_orderkey", V.german_number(F.concat(written, F.lit(" €"))).alias("value"))
+    return t.orders.select("o_orderkey", V.german_number(F.concat(written, F.lit(" €"))).alias("value"))
 
 
 @query("f19_currency", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'USD' ELSE 'EUR' END AS currency FROM part")
@@ -100,10 +121,20 @@ def f23(t):
     return t.orders.select("o_orderkey", V.parcel_number(raw).alias("number"))
 
 
-@query("f26_f27_salvage", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+@query("f26_f27_salvage", "SELECT conv_id, turn, md5(text) AS h, turn AS said, len(string_split(text, ' ')) AS n_words FROM conversations")
 def f26(t):
-    dirty = F.concat(F.lit("<think>hmm</think>Sure:\n```json\n"), F.regexp_replace("props", r"\}$", ", }"), F.lit("\n```"))
-    return t.events.select("event_id", F.get_json_object(T.salvage_json(T.strip_think(dirty)), "$.k").cast("bigint").alias("k"))
+    """Answers that come fenced, between prose, cut off within a string or with commas too many."""
+    whole = F.to_json(F.struct(F.col("turn"), F.split("text", " ").alias("words"), F.struct(F.col("text")).alias("body")))
+    kinds = [
+        F.concat(F.lit("<think>{hm</think>```json\n"), whole, F.lit("\n```")),
+        F.concat(F.lit("Sure, here: "), whole, F.lit(" - anything [else]?")),
+        F.concat(F.lit("Answer: "), F.left(whole, F.length(whole) - 3), F.lit("<think>and {")),
+        F.regexp_replace(whole, r"\}\}$", ", \n} , }"),
+    ]
+    dirty = F.element_at(F.array(*kinds), F.pmod(F.col("conv_id") + F.col("turn"), F.lit(4)).cast("int") + 1)
+    fixed = t.conversations.select("conv_id", "turn", J.salvage_json(T.strip_think(dirty)).alias("json"))
+    get = lambda path: F.get_json_object("json", path)
+    return fixed.select("conv_id", "turn", F.md5(get("$.body.text")).alias("h"), get("$.turn").cast("bigint").alias("said"), F.json_array_length(get("$.words")).cast("bigint").alias("n_words"))
 
 
 @query("f28_citation_validation")
@@ -160,9 +191,9 @@ def f46(t):
     return t.documents.select("doc_id", T.keyword_hits(["License", "the"], F.col("text")).alias("hits"))
 
 
-@query("f47_evidence_resolution", "SELECT conv_id, n, CASE WHEN n >= 1 AND n <= len(parts) THEN parts[n] END AS excerpt FROM (SELECT conv_id, (conv_id % 6)::INT AS n, list(substr(text, 1, 300) ORDER BY turn) AS parts FROM conversations WHERE turn < 8 GROUP BY conv_id)")
+@query("f47_evidence_resolution", "SELECT conv_id, n, CASE WHEN n >= 1 AND n <= len(parts) THEN parts[n] END AS excerpt FROM (SELECT conv_id, (conv_id % 6)::INT AS n, list(substr(text, 1, 300) ORDER BY turn) AS parts FROM conversations GROUP BY conv_id)")
 def f47(t):
-    parts = t.conversations.where("turn < 8").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 300).alias("x")))), lambda s: s["x"]).alias("parts"))
+    parts = t.conversations.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 300).alias("x")))), lambda s: s["x"]).alias("parts"))
     n = F.regexp_replace(F.concat(F.lit("#"), (F.col("conv_id") % 6).cast("string")), r"\D", "").cast("int")
     return parts.select("conv_id", n.alias("n"), F.when(n >= 1, F.try_element_at("parts", F.greatest(n, F.lit(1)))).alias("excerpt"))
 

@@ -194,9 +194,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     if not good or good == len(label):
         return CoTrained(None, None, math.log((good + 0.5) / (len(label) - good + 0.5)))
     state, taken = Views(text_rows, meta_rows, label), [set(), set()]
-    model, pool = state.fitted(), rows.join(each, "key", "left_anti")
+    model = state.fitted()
     for _ in range(rounds):
-        scored = checkpointed(_pooled(pool, model, len(meta_cols), kind))
+        scored = checkpointed(_pooled(rows, model, len(meta_cols), kind).join(each.select("key"), "key", "left_anti"))  # texts are not shuffled
         lists = []
         for view, column in enumerate(("text_score", "meta_score")):
             for c in (0, 1):

@@ -113,19 +113,6 @@ def stride_windows(text: Column, size: int = 1000, overlap: int = 200) -> Column
     return F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))
 
 
-#: Everyday German and English words.
-GERMAN = ("der", "die", "das", "und", "ist", "nicht", "ein", "eine", "für", "mit", "von", "den", "des", "im", "zu", "auf")
-ENGLISH = ("the", "and", "is", "not", "a", "for", "with", "of", "in", "to", "on", "that", "this", "be", "are", "it")
-
-
-def language(text: Column) -> Column:
-    """de, en, mixed or unknown by everyday words; an umlaut counts as three German ones."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
-    de = F.size(F.filter(words, lambda w: w.isin(*GERMAN))) + F.when(text.rlike("[äöüßÄÖÜ]"), 3).otherwise(0)
-    en = F.size(F.filter(words, lambda w: w.isin(*ENGLISH)))
-    return F.when((F.size(words) < 4) | ((de == 0) & (en == 0)), "unknown").when(de >= 2 * en, "de").when(en >= 2 * de, "en").otherwise("mixed")
-
-
 def word_overlap(a: Column, b: Column) -> Column:
     """The share of a's distinct words of four letters or more that b has."""
     words = lambda t: F.array_distinct(F.filter(F.regexp_extract_all(F.lower(t), F.lit(r"\p{L}{4,}"), F.lit(0)), lambda w: w != ""))

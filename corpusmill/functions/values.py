@@ -71,15 +71,6 @@ def parcel_id(district: Column, field: Column, number: Column) -> Column:
     return F.concat_ws(":", name, F.regexp_replace(F.trim(field), r"^0+(?=\d)", ""), parcel_number(number))
 
 
-PARAGRAPH = r"§{1,2}\s*\d+[a-z]?(?:\s*(?:-|bis)\s*\d+[a-z]?)?(?:\s+Abs\.\s*\d+)?(?:\s+S(?:atz|\.)\s*\d+)?(?:\s+Nr\.\s*\d+)?(?:\s+[A-ZÄÖÜ][A-Za-zÄÖÜäöü]*G[A-Za-z]*|\s+BGB|\s+StGB|\s+ZPO)?"
-ARTICLE = r"Art(?:ikel|\.)\s*\d+[a-z]?(?:\s+Abs\.\s*\d+)?(?:\s+[A-Z]{2,})?"
-
-
-def legal_references(text: Column) -> Column:
-    """Paragraphs and articles, in order, distinct."""
-    return F.array_distinct(F.transform(F.concat(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), F.regexp_extract_all(text, F.lit(ARTICLE), F.lit(0))), lambda r: F.trim(r)))
-
-
 CITATION = r"\[[CM]-\d+\]"
 
 
@@ -102,40 +93,6 @@ def drop_unknown_citations(text: Column, allowed: Column) -> Column:
     return F.array_join(F.transform(sentences, fix), "")
 
 
-#: German states, first match wins.
-STATES = ("baden-württemberg", "bayern", "berlin", "brandenburg", "bremen", "hamburg", "hessen", "mecklenburg-vorpommern", "niedersachsen", "nordrhein-westfalen", "rheinland-pfalz", "saarland", "sachsen-anhalt", "sachsen", "schleswig-holstein", "thüringen")
-
-
-def state(text: Column, words: bool = True) -> Column:
-    """The first state named; with ``words`` only as a whole word."""
-    low = F.lower(text)
-    return F.coalesce(*[F.when(low.rlike(rf"(?U)\b{s}\b") if words else low.contains(s), F.lit(s)) for s in STATES])
-
-
-#: Court names and their level, first contained wins.
-COURTS = {"bundesverfassungsgericht": 1, "bundesgerichtshof": 1, "bundesverwaltungsgericht": 1, "oberlandesgericht": 2, "oberverwaltungsgericht": 2, "verwaltungsgerichtshof": 2, "landgericht": 3, "verwaltungsgericht": 3, "amtsgericht": 4}
-
-
-def court_level(name: Column) -> Column:
-    """1 (federal) to 4 (local), null if unknown."""
-    low = F.lower(name)
-    return F.coalesce(*[F.when(low.contains(c), F.lit(n)) for c, n in COURTS.items()])
-
-
-def query_features(question: Column) -> Column:
-    """Which signs of a specific question there are (F32)."""
-    q = F.lower(question)
-    tests = {"paragraph": question.contains("§"), "article": q.rlike(r"\bart(ikel|\.)"), "court": q.rlike(r"\b(bgh|bverwg|bverfg|olg|ovg)\b"), "number": q.rlike(r"\d"), "date": q.rlike(r"\d{1,2}\.\d{1,2}\.\d{4}"), "quote": q.contains('"'), "definition": q.rlike(r"\b(was ist|what is|definition)\b"), "procedure": q.rlike(r"\b(wie|how)\b")}
-    return F.struct(*[t.alias(k) for k, t in tests.items()], F.when(tests["paragraph"] | tests["article"] | tests["court"], "specific").otherwise("generic").alias("kind"))
-
-
-def route(question: Column, has_contract: Column) -> Column:
-    """contract, rag or chat."""
-    q = F.lower(question)
-    chat = q.rlike(r"^\s*(hi|hallo|hello|danke|thanks|guten (morgen|tag|abend))\b") & (F.length(q) < 40)
-    return F.when(chat, "chat").when(has_contract & q.rlike(r"\b(vertrag|contract|klausel|clause)\b"), "contract").otherwise("rag")
-
-
 def extraction_quality(chars: Column, pages: Column) -> Column:
     """low, medium or high by characters a page."""
     density = chars / F.greatest(pages, F.lit(1))

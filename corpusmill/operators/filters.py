@@ -47,6 +47,20 @@ def missing(df: DataFrame, other: DataFrame, key: str, other_key: str) -> DataFr
     return df.join(other.select(F.col(other_key).alias("__key")), F.col(key) == F.col("__key"), "left_anti")
 
 
+#: Signs of a broken extraction, and everyday words that prose of any length has.
+GARBLED = r"/a\d{2,}|[\u2700-\u27BF\u2190-\u21FF\u2300-\u23FF]{3,}|\uFFFD"
+EVERYDAY = r"(?iU)\b(der|die|das|und|von|für|fuer|ist|nicht|den|dem|des|ein|eine|einen|mit|auf|im|zu|nach|bei|durch|werden|wird|sind|the|and|of|in|to|is|for|with|on)\b"
+#: Marks that count as readable besides letters, digits and white space.
+READABLE_MARKS = r""".,;:!?()\[\]{}§%\-–/€$"'„“”’"""
+
+
+def readable(text: Column) -> Column:
+    """Prose rather than what a broken extraction leaves: not garbled, seven tenths of usual characters, and an everyday word if it has over 120."""
+    odd = F.length(F.regexp_replace(text, rf"(?U)[\p{{L}}\p{{N}}\s{READABLE_MARKS}]", ""))
+    usual = 1 - odd / F.length(text) >= 0.7
+    return F.coalesce((F.trim(text) != "") & ~text.rlike(GARBLED) & usual & ((F.length(text) <= 120) | text.rlike(EVERYDAY)), F.lit(False))
+
+
 def unless_none(df: DataFrame, good: Column, group: Sequence[str]) -> DataFrame:
     """Rows that pass; of a group where none passes, all rows (P8). One shuffle by group."""
     flagged = df.withColumn("__good", F.coalesce(good, F.lit(False)))
@@ -78,3 +92,33 @@ def plausible_text(value: Column, fallback: str) -> Column:
 
 def plausible_power(kw: Column) -> Column:
     return F.when((kw > 0) & (kw <= 10_000), kw)
+
+
+#: States of a document on its way in.
+UNDER_WAY, ARRIVED = ("queued", "processing", "uploading"), ("done", "ready")
+
+
+def empty_grounding(turns: DataFrame, docs: DataFrame) -> DataFrame:
+    """(turn_id, outcome, pages_done, pages_total, reason): what to say to a turn that found nothing to stand on.
+
+    turns (turn_id, session, mode, n_matter, n_all), docs (session, place, status, n_chunks, pages_done, pages_total, error).
+    Only turns about documents are held back: while one is under way (processing, with its pages), when all failed
+    (failed, with the first reason), and else because no passage fits (no_passage). All others generate.
+    """
+    status = F.lower(F.coalesce("status", F.lit("")))
+    going, arrived = status.isin(*UNDER_WAY), status.isin(*ARRIVED)
+    chunks = F.coalesce("n_chunks", F.lit(0))
+    failed = (status == "failed") | (arrived & (chunks == 0))
+    pages = lambda c: F.sum(F.when(going, F.coalesce(c, F.lit(0))).otherwise(0))
+    reason = F.min(F.when(failed & (F.trim("error") != ""), F.struct("place", F.trim("error").alias("error"))))["error"]
+    state = docs.groupBy("session").agg(F.count_if(going).alias("going"), F.count_if(arrived & (chunks > 0)).alias("usable"), F.count_if(failed).alias("failed"), pages("pages_done").alias("pages_done"), pages("pages_total").alias("pages_total"), reason.alias("reason"))
+    found = F.when(F.col("mode") == "rag+contract", F.col("n_all")).otherwise(F.col("n_matter"))
+    outcome = (
+        F.when(~F.col("mode").isin("contract", "rag+contract") | (found > 0), "generate")
+        .when(F.col("going") > 0, "processing")
+        .when((F.col("failed") > 0) & (F.col("usable") == 0), "failed")
+        .otherwise("no_passage")
+    )
+    told = turns.join(state, "session", "left").withColumn("outcome", outcome)
+    held = lambda kind, c: F.when(F.col("outcome") == kind, F.col(c))
+    return told.select("turn_id", "outcome", held("processing", "pages_done").alias("pages_done"), held("processing", "pages_total").alias("pages_total"), held("failed", "reason").alias("reason"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,16 +75,99 @@ def fuse(legs: dict[str, DataFrame], k: int, *, constant: int = 60, weights: dic
     return ranked(fused, k)
 
 
-#: Words that a match expression leaves out.
-STOP_WORDS = ("der", "die", "das", "und", "oder", "ist", "sind", "ein", "eine", "einer", "von", "zu", "mit", "für", "auf", "the", "and", "of", "for", "is", "are", "what", "which")
+#: German words of five letters or more, and a few shorter, that a match expression leaves out.
+STOP_WORDS = (
+    "dieser diese dieses welche welches welcher darauf darin danach davon darüber deren dessen wegen gegen ohne durch nach über unter während zwischen innerhalb außerhalb "
+    "trotzdem deshalb daher sodass weil wenn dann also soll wird werden wurden haben hatte hatten"
+).split()
+
+
+def _words(question: Column) -> Column:
+    """Words between white space, double quotes out."""
+    return F.filter(F.split(F.replace(question, F.lit('"'), F.lit(" ")), r"(?U)\s+"), lambda w: w != "")
+
+
+def longest(words: Column, most: int, longer_than: int) -> Column:
+    """The longest distinct words over a length, or else over two letters; equal ones by name."""
+
+    def pick(least: int) -> Column:
+        keyed = F.transform(F.filter(F.array_distinct(words), lambda w: F.length(w) > least), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))
+        return F.transform(F.slice(F.array_sort(keyed), 1, most), lambda s: s["w"])
+
+    return F.transform(F.array(pick(longer_than)), lambda found: F.when(F.size(found) > 0, found).otherwise(pick(2)))[0]
+
 
+def match_terms(question: Column, variant: str = "v5") -> Column:
+    """The words of a match expression, as its variants pick them."""
+    words = _words(question)
+    if variant == "v5":
+        return longest(F.filter(words, lambda w: ~F.lower(w).isin(*STOP_WORDS)), 6, 4)
+    if variant == "v2":
+        return longest(words, 4, 5)
+    if variant == "v3":
+        return longest(words, 3, 5)
+    if variant == "v6":
+        heads = F.transform(longest(words, 6, 4), lambda w: F.regexp_replace(F.lower(F.substring(w, 1, 5)), r"[^\p{L}\p{N}]", ""))
+        return F.filter(heads, lambda h: F.length(h) >= 3)
+    if variant == "v7":
+        return F.when(F.size(words) >= 8, F.slice(longest(words, 6, 4), 1, 3)).otherwise(longest(words, 6, 4))
+    if variant in ("v1", "v4"):
+        return longest(words, 6, 4)
+    raise ValueError(f"no variant {variant}")
 
-def match_terms(question: Column, *, most: int = 6, least_length: int = 3, stop: Sequence[str] = STOP_WORDS, prefix: int | None = None) -> Column:
-    """The longest distinct tokens, ties by name: the terms of a match expression."""
-    kept = F.filter(F.array_distinct(tokens(question)), lambda w: (F.length(w) >= least_length) & ~w.isin(*stop))
-    keyed = F.array_sort(F.transform(kept, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
-    out = F.slice(F.transform(keyed, lambda s: s["w"]), 1, most)
-    return F.transform(out, lambda w: F.substring(w, 1, prefix)) if prefix else out
+
+def match_expression(question: Column, variant: str = "v5") -> Column:
+    """Quoted words joined by OR; v6 takes prefixes, v7 joins three by AND if the question has eight words (R5). Null without words."""
+    terms = match_terms(question, variant)
+    if variant == "v6":
+        written = F.array_join(F.transform(terms, lambda t: F.concat(t, F.lit("*"))), " OR ")
+    else:
+        quoted = F.transform(terms, lambda t: F.concat(F.lit('"'), t, F.lit('"')))
+        joint = F.when(F.size(_words(question)) >= 8, F.array_join(quoted, " AND ")).otherwise(F.array_join(quoted, " OR ")) if variant == "v7" else F.array_join(quoted, " OR ")
+        written = joint
+    return F.when(written != "", written)
+
+
+#: Characters that a match expression gives a meaning.
+UNSAFE = r'[*()"^]'
+
+
+def expansions(questions: DataFrame, forms: DataFrame, synonyms: DataFrame, variant: str) -> DataFrame:
+    """questions (qid, question) -> (qid, expansions): what a model once gave, without what is unsafe.
+
+    forms (word, forms) has other forms of words, for the three longest of each question (r1); synonyms (key, terms)
+    has phrases under the hash of a whole question (r2); r3 is both. Two joins; a question without an entry has none.
+    """
+    asked = questions.select("qid", "question").where(F.trim("question") != "")
+    parts = []
+    if variant in ("r1", "r3"):
+        words = asked.select("qid", F.posexplode(longest(_words(F.col("question")), 3, 4)).alias("place", "word"))
+        found = words.join(forms, "word").select("qid", "place", "word", F.posexplode("forms").alias("k", "term")).where(F.lower("term") != F.lower("word"))
+        parts.append(found.select("qid", F.struct(F.lit(0).alias("leg"), "place", "k").alias("at"), "term"))
+    if variant in ("r2", "r3"):
+        found = asked.select("qid", F.sha2("question", 256).alias("key")).join(synonyms, "key").select("qid", F.posexplode("terms").alias("k", "term"))
+        parts.append(found.select("qid", F.struct(F.lit(1).alias("leg"), F.lit(0).alias("place"), "k").alias("at"), "term"))
+    if not parts:
+        return questions.select("qid", F.array().cast("array<string>").alias("expansions"))
+    every = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    safe = every.where(F.length("term").between(2, 80) & ~F.col("term").rlike(UNSAFE))
+    # The first of those that differ in case alone; a question has a few.
+    first = safe.groupBy("qid", F.lower("term").alias("low")).agg(F.min(F.struct("at", "term")).alias("t"))
+    listed = first.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["term"]).alias("expansions"))
+    return questions.select("qid").join(listed, "qid", "left").select("qid", F.coalesce("expansions", F.array().cast("array<string>")).alias("expansions"))
+
+
+def expanded(expression: Column, terms: Column) -> Column:
+    """A match expression with further phrases."""
+    more = F.array_join(F.transform(terms, lambda t: F.concat(F.lit('"'), t, F.lit('"'))), " OR ")
+    return F.when((F.size(terms) == 0) | expression.isNull(), expression).otherwise(F.concat(F.lit("("), expression, F.lit(") OR "), more))
+
+
+def augmented(question: Column, synonyms: Column, forms: Column, variant: str) -> Column:
+    """What the reranker is asked: the question, with related terms (q1), forms (q2) or both (q3) in lines of their own."""
+    line = lambda head, terms: F.when(F.size(terms) > 0, F.concat(F.lit(f"\n{head}: "), F.array_join(terms, ", "))).otherwise("")
+    parts = {"q1": [line("Verwandte Begriffe", synonyms)], "q2": [line("Verwandte Formen", forms)], "q3": [line("Verwandte Begriffe", synonyms), line("Verwandte Formen", forms)]}.get(variant, [])
+    return F.when(F.trim(question) == "", question).otherwise(F.concat(question, *parts)) if parts else question
 
 
 def containing(docs: DataFrame, passages: DataFrame, *, id_col: str, text_col: str, pid_col: str, passage_col: str, width: int = 5) -> DataFrame:

@@ -5,34 +5,104 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.functions import guard as U
+from corpusmill.functions import language as L
 from corpusmill.operators import models as O
 from corpusmill.operators import retrieval as R
-from corpusmill.plans.registry import query
+from corpusmill.plans.registry import phrase, query, sql_list, sql_phrase
 
 
-@query("f21_f22_guardrail", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'yellow' ELSE 'green' END AS status, length(text) AS n FROM conversations")
-def f21(t):
-    answer = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("As an AI (chunk 3) "), "text")).otherwise(F.col("text"))
-    s = U.scrub(F.lit("green"), answer)
-    return t.conversations.select("conv_id", "turn", s["status"].alias("status"), (F.length(s["text"]) - F.when(F.col("turn") % 2 == 0, F.length(F.lit("As an AI "))).otherwise(0)).cast("bigint").alias("n"))
+#: Openings and endings of cells: defences, hedges and references in both languages.
+CELLS = (
+    "Die vorliegenden Kontextausschnitte enthalten keine Angaben", "Es gilt das Folgende [#1, 3]", "As an AI I can't say", "The value is perhaps of use and possibly in the list", "Der Wert ist vermutlich und gegebenenfalls von Dauer",
+    "manual review required (findings extraction failed)", "Based on the supplied context it is so", "Es scheint, dass es der Fall ist [#2]", "Unable to tell", "Im vorliegenden Kontext finden sich keine Daten", "12 [#4] 13", "",
+)
+DEFENDS = "regexp_matches(substr(w, 1, 200), '(?i)" + "|".join(U.DEFENSIVE).replace("'", "''") + "') OR regexp_matches(substr(w, 1, 200), '(?i)" + U.EXTRACTION_FAILED + "')"
+TOKENS = "regexp_extract_all(lower(w), '[a-zäöüß]+')"
+
+
+def _hits(words) -> str:
+    return f"len(list_filter({TOKENS}, lambda t: t IN ({', '.join(map(repr, words))})))"
+
+
+CELL_LANGUAGE = f"""CASE WHEN len({TOKENS}) < 4 THEN CASE WHEN regexp_matches(w, '[äöüÄÖÜß]') AND len({TOKENS}) > 0 THEN 'de' ELSE 'unknown' END
+  WHEN {_hits(L.CELL_DE)} + CASE WHEN regexp_matches(w, '[äöüÄÖÜß]') THEN 3 ELSE 0 END >= 2 AND {_hits(L.CELL_EN)} >= 2 THEN 'mixed'
+  WHEN {_hits(L.CELL_DE)} + CASE WHEN regexp_matches(w, '[äöüÄÖÜß]') THEN 3 ELSE 0 END >= 2 THEN 'de' WHEN {_hits(L.CELL_EN)} >= 2 THEN 'en' ELSE 'unknown' END"""
 
 
-@query("f21_hedges", "SELECT conv_id, turn, 1 AS hedges, md5(text) AS h FROM conversations")
-def f21b(t):
-    bare, n = U.strip_hedges(F.concat(F.lit("It seems that "), "text"), "en")
-    return t.conversations.select("conv_id", "turn", n.alias("hedges"), F.md5(bare).alias("h"))
+def _without_hedges(language: str) -> str:
+    """Nested replacements of the hedges of a language, or of both."""
+    out = "w"
+    for lang in ("de", "en") if language == "mixed" else (language,):
+        for p in U.HEDGES[lang]:
+            out = f"regexp_replace({out}, '(?i){p}', '', 'g')"
+    return f"CASE WHEN {out} = w THEN w ELSE trim(regexp_replace({out}, '  +', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(13)) END"
 
 
-@query("f29_jurisdiction", "SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN 1 ELSE 0 END AS warnings FROM conversations")
+SCRUB = f"""WITH given AS (
+  SELECT conv_id, turn, {sql_phrase(CELLS, "conv_id + turn")} || CASE WHEN (conv_id + turn) % 24 < 12 THEN ' ' || substr(text, 1, 60) ELSE '' END AS text,
+         {sql_phrase(("green", "red"), "conv_id")} AS light, {sql_phrase(("", "Frist prüfen [#1]", "x"), "turn")} AS note,
+         CASE WHEN turn % 3 = 0 THEN substr(text, 1, 30 + (conv_id % 60)::INT) ELSE '' END AS action, {sql_phrase(("Permits", "General", ""), "conv_id")} AS domain
+  FROM conversations
+), bare AS (
+  SELECT *, regexp_replace(text, '{U.CHUNK_REF}', '', 'g') AS w FROM given
+), told AS (
+  SELECT *, {DEFENDS} AS defensive, CASE WHEN trim(w) = '' THEN 'unknown' ELSE {CELL_LANGUAGE} END AS language,
+    CASE WHEN length(trim(action)) > 60 THEN rtrim(CASE WHEN regexp_extract(substr(trim(action), 1, 60), '(?s)^(.{{30,}}) [^ ]*$', 1) <> '' THEN regexp_extract(substr(trim(action), 1, 60), '(?s)^(.{{30,}}) [^ ]*$', 1) ELSE substr(trim(action), 1, 60) END, ' ,;:') || '…'
+      WHEN length(trim(action)) > 0 THEN trim(action) WHEN lower(domain) IN ('', 'general') THEN '' ELSE domain END AS hint
+  FROM bare
+)
+SELECT conv_id, turn, CASE WHEN defensive AND light = 'green' THEN 'yellow' ELSE light END AS light,
+  CASE WHEN defensive THEN '{U.MISSING["de"]}' || CASE WHEN hint <> '' THEN ' — ' || hint ELSE '' END
+    WHEN language = 'de' THEN {_without_hedges("de")} WHEN language = 'en' THEN {_without_hedges("en")} WHEN language = 'mixed' THEN {_without_hedges("mixed")} ELSE w END AS text,
+  nullif(trim(regexp_replace(note, '{U.CHUNK_REF}', '', 'g')), '') AS note, defensive, language
+FROM told"""
+
+
+@query("f20_f21_f22_guardrail", SCRUB)
+def f21(t):
+    """Cells with references, defences and hedges, put before real texts."""
+    by = F.col("conv_id") + F.col("turn")
+    head = F.substring("text", 1, 60)
+    text = F.concat(phrase(CELLS, by), F.when(by % 24 < 12, F.concat(F.lit(" "), head)).otherwise(""))
+    action = F.when(F.col("turn") % 3 == 0, F.substring(F.col("text"), F.lit(1), F.lit(30) + (F.col("conv_id") % 60).cast("int"))).otherwise("")
+    s = U.scrub(phrase(("green", "red"), F.col("conv_id")), text, phrase(("", "Frist prüfen [#1]", "x"), F.col("turn")), action, phrase(("Permits", "General", ""), F.col("conv_id")))
+    return t.conversations.select("conv_id", "turn", s.alias("s")).select("conv_id", "turn", "s.light", "s.text", "s.note", "s.defensive", "s.language")
+
+
+#: Endings that name rules of states.
+RULES = ("nach der 10H-Regelung", "gem. Art. 82 BayBO", "10 x H gilt", "laut NBauO zulässig", "LBO SH und BauO NRW", "10Hz", "ohne Regel", "Art. 82a BayBO, NBauO")
+
+
+@query(
+    "f29_jurisdiction",
+    f"""WITH given AS (
+  SELECT conv_id, turn, replace(substr(text, 1, 100), chr(10), ' ') || ' ' || {sql_phrase(RULES, "turn")} || ' ' || replace(text, chr(10), ' ') AS a, {sql_phrase(("bayern", "Hessen", "niedersachsen", ""), "conv_id")} AS state FROM conversations
+), hits AS (
+  SELECT conv_id, turn, state, a, unnest({sql_list([k for k, _, _ in U.STATE_RULES])}) AS belongs_to, unnest([{", ".join("coalesce(" + ", ".join(f"nullif(regexp_extract(a, '{p}'), '')" for p in ps) + ")" for _, _, ps in U.STATE_RULES)}]) AS hit FROM given
+)
+SELECT conv_id, turn, belongs_to, trim(substr(a, greatest(instr(a, hit) - 40, 1), instr(a, hit) - greatest(instr(a, hit) - 40, 1) + length(hit) + 40)) AS excerpt
+FROM hits WHERE hit IS NOT NULL AND state <> '' AND lower(state) <> belongs_to""",
+)
 def f29(t):
-    answer = F.concat(F.lit("Nach der 10H-Regel gilt: "), "text")
-    state = F.when(F.col("conv_id") % 2 == 0, "hessen").otherwise("bayern")
-    return t.conversations.select("conv_id", "turn", F.size(U.jurisdiction_warnings(answer, state)).alias("warnings"))
+    flat = F.regexp_replace("text", "\n", " ")
+    answer = F.concat(F.substring(flat, 1, 100), F.lit(" "), phrase(RULES, F.col("turn")), F.lit(" "), flat)
+    found = U.jurisdiction_warnings(answer, phrase(("bayern", "Hessen", "niedersachsen", ""), F.col("conv_id")))
+    return t.conversations.select("conv_id", "turn", F.explode(found).alias("w")).select("conv_id", "turn", "w.belongs_to", "w.excerpt")
+
+
+#: Answers of a model that labels texts.
+LABELLED = ('["baurecht", "unsinn", "umweltrecht"]', '```json\n["energierecht"]\n```', 'Das ist: ["vertragsrecht"] (sicher)', "keine", '["nichts"]', '["prozessrecht", "allgemein"]')
+SLUGS = ("bgb", "EEG_2014", "bimschg", "unbekannt", "zpo", "gbo", "arbzg")
 
 
-@query("f35_domains", "SELECT doc_id, CASE WHEN length(text) >= 50 THEN 'baurecht,mietrecht' ELSE 'allgemein' END AS domains FROM documents")
+@query(
+    "f35_domains",
+    f"""SELECT doc_id, CASE WHEN length(text) >= 50 AND kept <> '' THEN kept ELSE 'allgemein' END AS domains, {sql_phrase(("vertragsrecht", "energierecht", "immissionsschutzrecht", "allgemein", "prozessrecht", "grundstuecksrecht", "arbeitsrecht"), "doc_id")} AS statute
+FROM (SELECT *, array_to_string(list_filter(regexp_extract_all(regexp_extract({sql_phrase(LABELLED, "doc_id")}, '(?s)\\[.*?\\]'), '"([^"]*)"', 1), lambda d: d IN ({", ".join(map(repr, U.DOMAINS))})), ',') AS kept FROM documents)""",
+)
 def f35(t):
-    return t.documents.select("doc_id", F.array_join(U.domains(F.lit('["Baurecht", "unsinn", "Mietrecht"]'), F.col("text")), ",").alias("domains"))
+    labels = U.domains(phrase(LABELLED, F.col("doc_id")), F.col("text"))
+    return t.documents.select("doc_id", F.array_join(labels, ",").alias("domains"), U.statute_domain(phrase(SLUGS, F.col("doc_id"))).alias("statute"))
 
 
 @query("f37_contents_tables", "SELECT l_orderkey, count(*) >= 3 AS toc FROM lineitem GROUP BY 1")

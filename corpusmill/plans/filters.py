@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.operators import filters as P
-from corpusmill.plans.registry import query
+from corpusmill.plans.registry import phrase, query, sql_phrase
 
 
 @query("p1_exclude_corpora", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE json_extract(props, '$.k') IS NULL OR CAST(json_extract(props, '$.k') AS BIGINT) NOT IN (1, 2, 3)")
@@ -47,9 +47,22 @@ def p7(t):
     return P.visible_to(t.orders.select("o_orderkey", "o_custkey"), t.lineitem.select("l_orderkey", F.col("l_suppkey").cast("bigint").alias("who")), 7, key="o_orderkey", owner="o_custkey", share_key="l_orderkey", share_user="who")
 
 
-@query("p8_readable_or_all", "SELECT conv_id, turn FROM (SELECT *, length(text) >= 200 AS good, bool_or(length(text) >= 200) OVER (PARTITION BY conv_id) AS any_good FROM conversations) WHERE good OR NOT any_good")
+BROKEN = ("", "/a214 ", "zzz qqq " * 20, "✗✘✙ ", "(((###***))) " * 12, "the und ")
+#: Word edges are those of Unicode.
+_EDGE_BEFORE, _EDGE_AFTER = (rf"({end}|[^\p{{L}}\p{{N}}_])" for end in ("^", "$"))
+_EVERYDAY = P.EVERYDAY.split("(", 2)[2].split(")")[0]
+_MARKS = P.READABLE_MARKS.replace("'", "''")
+READABLE = f"""coalesce(trim(x) <> '' AND NOT regexp_matches(x, '/a\\d{{2,}}|[\\x{{2700}}-\\x{{27BF}}\\x{{2190}}-\\x{{21FF}}\\x{{2300}}-\\x{{23FF}}]{{3,}}|\\x{{FFFD}}')
+  AND 1 - length(regexp_replace(x, '[\\p{{L}}\\p{{N}}\\s\\x0B{_MARKS}]', '', 'g')) / length(x) >= 0.7
+  AND (length(x) <= 120 OR regexp_matches(x, '(?i){_EDGE_BEFORE}({_EVERYDAY}){_EDGE_AFTER}')), false)"""
+
+
+@query("p8_readable_or_all", f"WITH given AS (SELECT conv_id, turn, {sql_phrase(BROKEN, 'conv_id + turn // 3')} || substr(text, 1, (turn % 3 * 100)::INT) AS x FROM conversations), told AS (SELECT *, {READABLE} AS good FROM given) SELECT conv_id, turn FROM (SELECT *, bool_or(good) OVER (PARTITION BY conv_id) AS any_good FROM told) WHERE good OR NOT any_good")
 def p8(t):
-    return P.unless_none(t.conversations.select("conv_id", "turn", "text"), F.length("text") >= 200, ["conv_id"]).select("conv_id", "turn")
+    """Readable passages of each conversation, or all if none is."""
+    x = F.concat(phrase(BROKEN, F.col("conv_id") + F.expr("turn div 3")), F.substring(F.col("text"), F.lit(1), (F.col("turn") % 3 * 100).cast("int")))
+    given = t.conversations.select("conv_id", "turn", x.alias("x"))
+    return P.unless_none(given, P.readable(F.col("x")), ["conv_id"]).select("conv_id", "turn")
 
 
 @query("p9_contentless_findings", "SELECT conv_id, turn FROM conversations WHERE length(trim(text)) < 12 OR regexp_matches(lower(text), '^\\s*(not contained|nicht enthalten|keine angaben?)[.! ]*$')")

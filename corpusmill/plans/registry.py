@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpusmill.session import table
 
@@ -33,3 +34,16 @@ def query(name: str, sql: str | None = None):
         return f
 
     return add
+
+
+def phrase(phrases: tuple[str, ...], by: Column) -> Column:
+    """One of the phrases for each row, by a whole number."""
+    return F.element_at(F.array(*map(F.lit, phrases)), F.pmod(by, F.lit(len(phrases))).cast("int") + 1)
+
+
+def sql_list(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def sql_phrase(phrases: tuple[str, ...], by: str) -> str:
+    return f"{sql_list(phrases)}[({by}) % {len(phrases)} + 1]"

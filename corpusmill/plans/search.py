@@ -6,15 +6,39 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators import dedup as D
 from corpusmill.operators import evaluation as E
+from corpusmill.operators import filters as P
 from corpusmill.operators import ranking as W
 from corpusmill.operators import retrieval as R
 from corpusmill.operators import vectors as V
-from corpusmill.plans.registry import query
+from corpusmill.plans.registry import phrase, query
 
 TOKS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
-MATCH = f"SELECT item_id AS qid, list_slice(list_transform(list_sort(list_transform(list_filter(list_distinct({TOKS}), lambda w: length(w) >= 3 AND w NOT IN ({', '.join(repr(w) for w in R.STOP_WORDS)})), lambda w: {{'n': -length(w), 'w': w}})), lambda s: s.w), 1, 6) AS terms FROM benchmark"
-BM25 = f"""
-q AS ({MATCH}), wanted AS (SELECT qid, unnest(terms) AS term FROM q),
+WORDS = "list_filter(string_split_regex(replace(text, '\"', ' '), '[\\s\\x0B]+'), lambda w: w <> '')"
+
+
+def longest_sql(words: str, most: int, longer_than: int) -> str:
+    def pick(least: int) -> str:
+        kept = f"list_filter(list_distinct({words}), lambda w: length(w) > {least})"
+        keyed = f"list_sort(list_transform({kept}, lambda w: {{'n': -length(w), 'w': w}}))"
+        return f"list_slice(list_transform({keyed}, lambda s: s.w), 1, {most})"
+
+    return f"CASE WHEN len({pick(longer_than)}) > 0 THEN {pick(longer_than)} ELSE {pick(2)} END"
+
+
+STOPPED = f"list_filter({WORDS}, lambda w: lower(w) NOT IN ({', '.join(map(repr, R.STOP_WORDS))}))"
+#: The words that each variant of a match expression picks.
+TERMS = {"v1": longest_sql(WORDS, 6, 4), "v2": longest_sql(WORDS, 4, 5), "v3": longest_sql(WORDS, 3, 5), "v5": longest_sql(STOPPED, 6, 4)}
+TERMS["v4"] = TERMS["v1"]
+TERMS["v7"] = f"CASE WHEN len({WORDS}) >= 8 THEN list_slice({TERMS['v1']}, 1, 3) ELSE {TERMS['v1']} END"
+TERMS["v6"] = f"list_filter(list_transform({TERMS['v1']}, lambda w: regexp_replace(lower(substr(w, 1, 5)), '[^\\p{{L}}\\p{{N}}]', '', 'g')), lambda h: length(h) >= 3)"
+#: The tokens of those words are looked up.
+ASKED = "SELECT {qid} AS qid, regexp_extract_all(lower(array_to_string({terms}, ' ')), '[\\p{{L}}\\p{{N}}]+') AS terms FROM benchmark"
+MATCH = ASKED.format(qid="item_id", terms=TERMS["v5"])
+
+
+def bm25_sql(match: str) -> str:
+    return f"""
+q AS ({match}), wanted AS (SELECT qid, unnest(list_distinct(terms)) AS term FROM q),
 toks AS (SELECT doc_id AS id, {TOKS} AS toks, len({TOKS}) AS len FROM documents),
 stats AS (SELECT count(*) AS n_docs, avg(len) AS mean_len FROM toks),
 found AS (SELECT term, id, len, count(*) AS tf FROM (SELECT id, len, unnest(toks) AS term FROM toks) WHERE term IN (SELECT term FROM wanted) GROUP BY 1, 2, 3),
@@ -22,6 +46,9 @@ df AS (SELECT term, count(*) AS df FROM found GROUP BY 1),
 hits AS (SELECT qid, id, round(sum(ln((n_docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean_len))), 6) AS score FROM found JOIN df USING (term) JOIN wanted USING (term), stats GROUP BY 1, 2),
 bm25_60 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM hits) WHERE rank <= 60),
 bm25 AS (SELECT * FROM bm25_60 WHERE rank <= 30)"""
+
+
+BM25 = bm25_sql(MATCH)
 DENSE = """
 vq AS (SELECT vec_id AS qid, embedding AS q FROM embeddings WHERE vec_id % 20 = 0),
 vs AS (SELECT qid, vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 6) AS score FROM embeddings, vq),
@@ -29,8 +56,13 @@ dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY
 FUSE = "SELECT qid, id, score, found_by, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (SELECT qid, id, round(sum(w / (60 + rank)), 9) AS score, array_to_string(list_sort(list(DISTINCT leg)), '+') AS found_by FROM (SELECT qid, id, rank, 'dense' AS leg, {d} AS w FROM dense UNION ALL SELECT qid, id, rank, 'bm25', {b} FROM bm25) GROUP BY 1, 2)) WHERE rank <= 10"
 
 
+def asked_terms(variant="v5"):
+    """The tokens of the words that a variant picks."""
+    return R.tokens(F.array_join(R.match_terms(F.col("text"), variant), " "))
+
+
 def questions(t):
-    return t.benchmark.select(F.col("item_id").alias("qid"), R.match_terms(F.col("text")).alias("terms"))
+    return t.benchmark.select(F.col("item_id").alias("qid"), asked_terms().alias("terms"))
 
 
 def lexical(t, k=30):
@@ -96,19 +128,59 @@ def r2(t):
     return t.embeddings.select("vec_id", F.round(F.sqrt(R.dot(v, v)), 5).alias("norm"), F.round(R.dot(u, u), 6).alias("unit"))
 
 
+def expression_sql(variant: str) -> str:
+    wrapped = f"list_transform({TERMS[variant]}, lambda t: " + ("t || '*')" if variant == "v6" else "'\"' || t || '\"')")
+    any_of, all_of = (f"array_to_string({wrapped}, ' {word} ')" for word in ("OR", "AND"))
+    written = f"CASE WHEN len({WORDS}) >= 8 THEN {all_of} ELSE {any_of} END" if variant == "v7" else any_of
+    return f"SELECT item_id, '{variant}' AS variant, nullif({written}, '') AS expression FROM benchmark"
+
+
+EXPRESSIONS = " UNION ALL ".join(expression_sql(f"v{n}") for n in range(1, 8))
+
+
 @query("r5_match_terms", MATCH)
 def r5(t):
     return questions(t)
 
 
-@query("r8_query_expansion", f"SELECT item_id, list_sort(list_distinct(list_concat({TOKS}, ['synonym']))) AS terms, sha256(text) AS cache_key FROM benchmark")
-def r8(t):
-    return t.benchmark.select("item_id", F.array_sort(F.array_distinct(F.concat(R.tokens(F.col("text")), F.array(F.lit("synonym"))))).alias("terms"), F.sha2("text", 256).alias("cache_key"))
+@query("r5_match_expressions", EXPRESSIONS)
+def r5_all(t):
+    """All seven variants."""
+    variants = F.array(*[F.struct(F.lit(v).alias("variant"), R.match_expression(F.col("text"), v).alias("expression")) for v in ("v1", "v2", "v3", "v4", "v5", "v6", "v7")])
+    return t.benchmark.select("item_id", F.inline(variants))
+
+
+EXPANDED = f"""WITH q AS (
+  SELECT item_id AS qid, text, {longest_sql(WORDS, 3, 4)} AS ws FROM benchmark
+), words AS (
+  SELECT qid, unnest(ws) AS w, unnest(range(len(ws))) AS place FROM q
+), raw AS (
+  SELECT qid, 0 AS leg, place, unnest([0, 1, 2, 3]) AS k, w, unnest([w || 's', upper(w), w || '*', w || 'en']) AS term FROM words
+  UNION ALL
+  SELECT qid, 1, 0, unnest([0, 1]), NULL, unnest(['alles ueber ' || ws[1], ws[1] || 'S']) FROM q WHERE qid % 2 = 0
+), safe AS (
+  SELECT * FROM raw WHERE (w IS NULL OR lower(term) <> lower(w)) AND length(term) BETWEEN 2 AND 80 AND NOT regexp_matches(term, '[*()"^]')
+), first AS (
+  SELECT qid, min({{'leg': leg, 'place': place, 'k': k, 'term': term}}) AS t FROM safe GROUP BY qid, lower(term)
+), listed AS (
+  SELECT qid, list_transform(list_sort(list(t)), lambda x: x.term) AS terms FROM first GROUP BY qid
+)
+SELECT q.qid AS item_id, coalesce(terms, []) AS expansions,
+       q.text || CASE WHEN len(coalesce(terms, [])) > 0 THEN chr(10) || 'Verwandte Begriffe: ' || array_to_string(terms, ', ') ELSE '' END AS question
+FROM q LEFT JOIN listed USING (qid)"""
 
 
-@query("r9_rerank_augmentation", f"SELECT item_id, text || chr(10) || 'Verwandte Begriffe: ' || array_to_string(list_slice({TOKS}, 1, 3), ', ') AS question FROM benchmark")
-def r9(t):
-    return t.benchmark.select("item_id", F.concat("text", F.lit("\nVerwandte Begriffe: "), F.array_join(F.slice(R.tokens(F.col("text")), 1, 3), ", ")).alias("question"))
+@query("r8_r9_query_expansion", EXPANDED)
+def r8(t):
+    """Forms of words and phrases as a model once gave them, here made by rule; half of the questions have phrases."""
+    q = t.benchmark.select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    top = R.longest(R._words(F.col("question")), 3, 4)
+    words = q.select(F.explode(top).alias("word")).distinct()
+    forms = words.select("word", F.array(F.concat("word", F.lit("s")), F.upper("word"), F.concat("word", F.lit("*")), F.concat("word", F.lit("en"))).alias("forms"))
+    named = q.where("qid % 2 = 0").select(F.sha2("question", 256).alias("key"), F.get(top, F.lit(0)).alias("w")).distinct()
+    phrases = named.select("key", F.array(F.concat(F.lit("alles ueber "), "w"), F.concat("w", F.lit("S"))).alias("terms"))
+    found = R.expansions(q, forms, phrases, "r3")
+    return q.join(found, "qid").select(F.col("qid").alias("item_id"), "expansions", R.augmented(F.col("question"), F.col("expansions"), F.array().cast("array<string>"), "q1").alias("question"))
 
 
 @query("r12_dedupe_by_parent", "SELECT label AS parent, arg_min(vec_id, vec_id) AS id FROM embeddings GROUP BY 1")
@@ -142,19 +214,64 @@ def r15(t):
     return R.budgeted(by_size, "conv_id", "rank", "size", "turn", 1500).select("conv_id", "turn", "place")
 
 
-@query("r16_empty_grounding_guard", "SELECT conv_id, CASE WHEN count(*) FILTER (role = 'assistant') = 0 THEN 'no_documents' WHEN max(length(text)) < 100 THEN 'too_short' ELSE 'ok' END AS guard FROM conversations GROUP BY 1")
-def r16(t):
-    guard = F.when(F.count_if(F.col("role") == "assistant") == 0, "no_documents").when(F.max(F.length("text")) < 100, "too_short").otherwise("ok")
-    return t.conversations.groupBy("conv_id").agg(guard.alias("guard"))
-
-
-VARIANTS = "(VALUES ('v1', 0.49, 2859.0), ('v2', 0.455, 1324.0), ('v5', 0.49, 2461.0), ('v6', 0.485, 900.0)) AS v(variant, recall, ms)"
+GUARD = """WITH docs AS (
+  SELECT user_id AS session, event_id AS place, ['queued', 'PROCESSING', 'done', 'failed', 'ready', 'Done'][event_id % 6 + 1] AS status, (event_id % 4)::INT AS n_chunks,
+         (event_id % 7)::INT AS pages_done, CASE WHEN event_id % 5 <> 0 THEN (event_id % 7 + 3)::INT END AS pages_total, CASE WHEN event_id % 3 = 0 THEN ' no text ' || event_id ELSE '' END AS error
+  FROM events WHERE user_id % 3 = 0 OR event_id % 6 > 1
+), state AS (
+  SELECT session, count(*) FILTER (lower(status) IN ('queued', 'processing', 'uploading')) AS going,
+         count(*) FILTER (lower(status) IN ('done', 'ready') AND n_chunks > 0) AS usable,
+         count(*) FILTER (lower(status) = 'failed' OR lower(status) IN ('done', 'ready') AND n_chunks = 0) AS failed,
+         coalesce(sum(pages_done) FILTER (lower(status) IN ('queued', 'processing', 'uploading')), 0) AS pages_done,
+         coalesce(sum(coalesce(pages_total, 0)) FILTER (lower(status) IN ('queued', 'processing', 'uploading')), 0) AS pages_total,
+         arg_min(trim(error), place) FILTER ((lower(status) = 'failed' OR lower(status) IN ('done', 'ready') AND n_chunks = 0) AND trim(error) <> '') AS reason
+  FROM docs GROUP BY 1
+), turns AS (
+  SELECT c_custkey AS turn_id, c_custkey AS session, ['contract', 'rag', 'rag+contract', 'chat'][c_custkey % 4 + 1] AS mode, (c_custkey // 4 % 2)::INT AS n_matter, (c_custkey // 4 % 3)::INT AS n_all FROM customer
+), told AS (
+  SELECT t.*, s.*, CASE WHEN mode NOT IN ('contract', 'rag+contract') OR CASE WHEN mode = 'rag+contract' THEN n_all ELSE n_matter END > 0 THEN 'generate'
+    WHEN going > 0 THEN 'processing' WHEN failed > 0 AND usable = 0 THEN 'failed' ELSE 'no_passage' END AS outcome
+  FROM turns t LEFT JOIN state s ON t.session = s.session
+)
+SELECT turn_id, outcome, CASE WHEN outcome = 'processing' THEN pages_done::BIGINT END AS pages_done, CASE WHEN outcome = 'processing' THEN pages_total::BIGINT END AS pages_total, CASE WHEN outcome = 'failed' THEN reason END AS reason FROM told"""
 
 
-@query("r17_variant_decision", f"SELECT arg_min(variant, ms) AS variant, count(*) AS survivors FROM {VARIANTS} WHERE recall - (SELECT recall FROM {VARIANTS} WHERE variant = 'v1') >= -0.01")
+@query("r16_empty_grounding_guard", GUARD)
+def r16(t):
+    """Events stand in for documents of sessions, customers for turns."""
+    e = F.col("event_id")
+    docs = t.events.where((F.col("user_id") % 3 == 0) | (e % 6 > 1)).select(
+        F.col("user_id").alias("session"), e.alias("place"), phrase(("queued", "PROCESSING", "done", "failed", "ready", "Done"), e).alias("status"), (e % 4).alias("n_chunks"), (e % 7).alias("pages_done"),
+        F.when(e % 5 != 0, e % 7 + 3).alias("pages_total"), F.when(e % 3 == 0, F.concat(F.lit(" no text "), e)).otherwise("").alias("error"),
+    )
+    c = F.col("c_custkey")
+    turns = t.customer.select(c.alias("turn_id"), c.alias("session"), phrase(("contract", "rag", "rag+contract", "chat"), c).alias("mode"), (F.expr("c_custkey div 4") % 2).alias("n_matter"), (F.expr("c_custkey div 4") % 3).alias("n_all"))
+    return P.empty_grounding(turns, docs)
+
+
+SWEPT = ("v1", "v2", "v3", "v5")
+SWEEP = f"""WITH {bm25_sql(" UNION ALL ".join(ASKED.format(qid=f"{{'variant': '{v}', 'item': item_id}}", terms=TERMS[v]) for v in SWEPT))},
+gold AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+firsts AS (SELECT variant, g.item_id, min(rank) AS rank FROM gold g, (SELECT unnest({list(SWEPT)}) AS variant) v LEFT JOIN bm25 b ON b.qid.variant = v.variant AND b.qid.item = g.item_id AND b.id = g.doc_id GROUP BY 1, 2),
+cost AS (SELECT qid.variant AS variant, count(*) AS postings FROM wanted JOIN found USING (term) GROUP BY 1),
+told AS (SELECT variant, round(avg(CASE WHEN rank <= 30 THEN 1.0 ELSE 0 END), 6) AS recall, postings FROM firsts JOIN cost USING (variant) GROUP BY ALL)
+SELECT arg_min(variant, (postings, variant)) AS variant, count(*) AS survivors FROM told WHERE recall - (SELECT recall FROM told WHERE variant = 'v1') >= -0.01"""
+
+
+@query("r17_variant_sweep", SWEEP)
 def r17(t):
-    rows = [("v1", 0.49, 2859.0), ("v2", 0.455, 1324.0), ("v5", 0.49, 2461.0), ("v6", 0.485, 900.0)]
-    return E.choose_variant(t.spark.createDataFrame(rows, "variant string, recall double, ms double"), control="v1", metric="recall", latency="ms")
+    """Recall of variants of the match expression; of those that lose no more than 0.01 the one that walks the fewest postings."""
+    qs = t.benchmark.select(F.inline(F.array(*[F.struct(F.struct(F.lit(v).alias("variant"), F.col("item_id").alias("item")).alias("qid"), asked_terms(v).alias("terms")) for v in SWEPT])))
+    docs = t.documents.select("doc_id", "text")
+    ranks = R.bm25(qs, docs, id_col="doc_id", text_col="text", k=30).select("qid.variant", F.col("qid.item").alias("item"), "id", "rank")
+    gold = gold_documents(t).select(F.col("qid").alias("item"), F.col("doc_id").alias("id"))
+    pools = gold.crossJoin(t.spark.createDataFrame([(v,) for v in SWEPT], "variant string"))
+    first = pools.join(ranks, ["variant", "item", "id"], "left").groupBy("variant", "item").agg(F.min("rank").alias("rank"))
+    recall = first.groupBy("variant").agg(F.round(F.avg(F.when(F.col("rank") <= 30, 1.0).otherwise(0.0)), 6).alias("recall"))
+    terms = qs.select("qid.variant", F.explode(F.array_distinct("terms")).alias("term"))
+    postings = R.postings(docs, "doc_id", "text").groupBy("term").agg(F.count("*").alias("n"))
+    cost = terms.join(postings, "term").groupBy("variant").agg(F.sum("n").cast("double").alias("postings"))
+    return E.choose_variant(recall.join(cost, "variant"), control="v1", metric="recall", latency="postings")
 
 
 @query("r18_pool_comparison", f"WITH {BM25}, gold AS (SELECT item_id AS qid, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)) SELECT pool, count(*) AS n, count(*) FILTER (best <= 10) AS hits FROM (SELECT pool, q.qid, min(rank) AS best FROM (SELECT unnest(['all', 'even']) AS pool) p, (SELECT DISTINCT qid FROM gold) q LEFT JOIN (SELECT b.qid, b.id, rank FROM bm25 b JOIN gold g ON b.qid = g.qid AND b.id = g.doc_id) h ON h.qid = q.qid AND (pool = 'all' OR h.id % 2 = 0) GROUP BY 1, 2) GROUP BY 1")

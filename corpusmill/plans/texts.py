@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.functions import json as J
+from corpusmill.functions import language as L
+from corpusmill.functions import legal as G
+from corpusmill.functions import questions as Q
 from corpusmill.functions import text as T
 from corpusmill.functions import values as V
 from corpusmill.operators import chunking as C
-from corpusmill.plans.registry import query
+from corpusmill.plans.registry import phrase, query, sql_list, sql_phrase
 
 
 #: Letters that may follow a split word's hyphen: all but capitals and u, o and b.
@@ -110,9 +113,33 @@ def f19(t):
     return t.part.select("p_partkey", V.currency(F.when(F.col("p_partkey") % 2 == 0, "$ 5").otherwise("5 €")).alias("currency"))
 
 
-@query("f20_language")
+def _counted(words, letters: str = "a-zäöüß") -> str:
+    return f"len(list_filter(regexp_extract_all(lower(text), '[{letters}]+'), lambda t: t IN ({', '.join(map(repr, words))})))"
+
+
+LANGUAGES = f"""WITH hits AS (
+  SELECT doc_id, text, len(regexp_extract_all(lower(text), '[a-zäöüß]+')) AS n, regexp_matches(lower(text), '[äöüß]') AS umlaut, regexp_matches(text, '[äöüÄÖÜß]') AS marked,
+         {_counted(L.QUESTION_DE)} AS qde, {_counted(L.QUESTION_EN)} AS qen, {_counted(L.CELL_DE)} AS cde, {_counted(L.CELL_EN)} AS cen,
+         len(regexp_extract_all(lower(text), '[a-zäöüßøåæ]+')) AS m, {_counted(L.PASSAGE_DE, "a-zäöüßøåæ")} AS pde, {_counted(L.PASSAGE_EN, "a-zäöüßøåæ")} AS pen,
+         {_counted(L.PASSAGE_DA, "a-zäöüßøåæ")} AS pda, len(regexp_extract_all(lower(text), '[øåæ]')) AS danish
+  FROM (SELECT doc_id, text || ' ' || {sql_phrase(("ist der Vertrag für die Anlage", "what is the permit", "vi har ikke det", "und the", ""), "doc_id")} AS text FROM documents)
+)
+SELECT doc_id,
+  CASE WHEN n = 0 THEN NULL WHEN qde + CASE WHEN umlaut THEN 2 ELSE 0 END > qen THEN 'de' WHEN qen > qde + CASE WHEN umlaut THEN 2 ELSE 0 END THEN 'en' END AS question,
+  CASE WHEN n < 4 THEN CASE WHEN marked AND n > 0 THEN 'de' ELSE 'unknown' END WHEN cde + CASE WHEN marked THEN 3 ELSE 0 END >= 2 AND cen >= 2 THEN 'mixed'
+    WHEN cde + CASE WHEN marked THEN 3 ELSE 0 END >= 2 THEN 'de' WHEN cen >= 2 THEN 'en' ELSE 'unknown' END AS cell,
+  CASE WHEN length(text) < 100 OR m < 20 THEN 'unknown' WHEN danish >= 3 OR pda >= 3 OR pen > pde AND NOT umlaut THEN 'non_de' WHEN pde >= 3 OR umlaut AND pde >= 1 THEN 'de' ELSE 'unknown' END AS passage,
+  CASE WHEN doc_id % 3 = 0 THEN 'fr' WHEN n = 0 THEN NULL WHEN qde + CASE WHEN umlaut THEN 2 ELSE 0 END > qen THEN 'de' WHEN qen > qde + CASE WHEN umlaut THEN 2 ELSE 0 END THEN 'en' END AS answer
+FROM hits"""
+
+
+@query("f20_language", LANGUAGES)
 def f20(t):
-    return t.documents.select("doc_id", T.language(F.col("text")).alias("language"))
+    """Four rules over every text, with an ending in one of three languages."""
+    ended = F.concat("text", F.lit(" "), phrase(("ist der Vertrag für die Anlage", "what is the permit", "vi har ikke det", "und the", ""), F.col("doc_id")))
+    text = F.col("text")
+    rules = {"question": L.of_question(text), "cell": L.of_cell(text), "passage": L.of_passage(text), "answer": L.of_answer(F.when(F.col("doc_id") % 3 == 0, "fr").otherwise(""), text)}
+    return t.documents.withColumn("text", ended).select("doc_id", *[c.alias(n) for n, c in rules.items()])
 
 
 @query("f23_parcel_numbers", "SELECT o_orderkey, (o_orderkey % 90 + 1)::VARCHAR || '/' || (o_custkey % 9)::VARCHAR AS number FROM orders")
@@ -144,20 +171,99 @@ def f28(t):
     return t.conversations.select("conv_id", "turn", V.citations(answer).alias("cited"), checked.alias("checked"), (V.drop_unknown_citations(checked, F.array(F.lit("[C-1]"))) == checked).alias("stable"))
 
 
-@query("f30_f34_state_and_court")
+PLACES = ("in Hessen bei Kassel", "bei Hannover", "in München", "Gut Essenheim", "Sachsen-Anhalt", "Kiel und Berlin", "nirgends", "Halle")
+BENCHES = ("Oberlandesgericht Köln", "Landgericht Hessen", "VG Berlin", "Bayerischer Verwaltungsgerichtshof", "Bundesgerichtshof", "Amtsgericht Jena")
+RULINGS = ("Urteil", "Kammerbeschluss ", "Vorbescheid", "Gerichtsbescheid", "", "geb")
+_FIRST_STATE = " ".join(f"WHEN {' OR '.join(f'contains(lower(x), {w!r})' for w in words.split())} THEN {name!r}" for name, words in G.STATE_WORDS.items())
+_FIRST_COURT = " ".join(f"WHEN contains(court, '{c}') THEN '{c}'" for c in G.COURTS)
+_JURISDICTION = " ".join(f"WHEN level IN ({', '.join(map(repr, levels.split()))}) THEN '{j}'" for j, levels in G.JURISDICTIONS.items())
+_DECISION = " ".join(f"WHEN lower(trim(ruling)) IN ({', '.join(map(repr, names))}) THEN '{kind}'" for kind, names in G.DECISIONS.items())
+
+
+@query(
+    "f30_f34_state_and_court",
+    f"""SELECT *, CASE {_JURISDICTION} ELSE 'Unknown' END AS jurisdiction FROM (
+  SELECT doc_id, CASE {_FIRST_STATE} END AS state, CASE WHEN doc_id % 5 = 0 THEN 'Landgericht' ELSE CASE {_FIRST_COURT} ELSE 'Unknown' END END AS level, CASE {_DECISION} ELSE 'sonstige' END AS decision
+  FROM (SELECT doc_id, {sql_phrase(PLACES, "doc_id")} || ' ' || text AS x, {sql_phrase(BENCHES, "doc_id")} AS court, {sql_phrase(RULINGS, "doc_id")} AS ruling FROM documents))""",
+)
 def f30(t):
-    return t.documents.select("doc_id", V.state(F.col("text")).alias("state"), V.court_level(F.col("text")).alias("level"))
+    """A place before every text; courts and kinds of decisions."""
+    level = G.court_level(F.when(F.col("doc_id") % 5 == 0, "Landgericht").otherwise(""), phrase(BENCHES, F.col("doc_id")))
+    found = t.documents.select("doc_id", G.state(F.concat(phrase(PLACES, F.col("doc_id")), F.lit(" "), "text")).alias("state"), level.alias("level"), G.decision_type(phrase(RULINGS, F.col("doc_id"))).alias("decision"))
+    return found.withColumn("jurisdiction", G.jurisdiction(F.lit(""), F.col("level")))
+
 
+CITING = ("vgl. § 5 Abs. 2 BImSchG und Art. 3 Abs. 1 GG", "§§ 14 bis 18 BauGB, BGH VIII ZR 123/45", "Artikel 12 S. 2", "§ 3a Nr. 4 SGB XII und EEG, BGB", "OVG Bf 12/99", "")
+_CODES = " ".join(f"WHEN '{c}' THEN regexp_matches(text, '\\b{c}\\b')" for c in G.LAW_CODES)
 
-@query("f31_legal_references")
+
+@query(
+    "f31_f55_legal_references",
+    f"""SELECT doc_id, list_transform(regexp_extract_all(text, '{G.PARAGRAPH}', 0), lambda r: trim(r)) AS paragraphs, list_transform(regexp_extract_all(text, '{G.ARTICLE}', 0), lambda r: trim(r)) AS articles,
+  list_transform(regexp_extract_all(text, '{G.DECISION}', 0), lambda r: trim(r)) AS decisions, list_sort(list_filter({sql_list(G.LAW_CODES)}, lambda c: CASE c {_CODES} END)) AS codes
+FROM (SELECT doc_id, text || ' ' || {sql_phrase(CITING, "doc_id")} AS text FROM documents)""",
+)
 def f31(t):
-    return t.documents.select("doc_id", V.legal_references(F.concat("text", F.lit(" vgl. § 5 Abs. 2 BImSchG und Art. 3 Abs. 1 GG"))).alias("refs"))
+    return t.documents.select("doc_id", G.references(F.concat("text", F.lit(" "), phrase(CITING, F.col("doc_id")))).alias("r")).select("doc_id", "r.*")
+
+
+MENTIONS = (
+    "Flurstück 0012/4, Gemarkung Hude, Flur 3 nach Nutzungsvertrag Nr. NV-2020", "Flur 7 Nr. 5-6 und Pachtvertrag vom 1.2.2020", "Gemarkung Lamstedt, Flur 2, Flurstück 9/1; 10 WEA im Windpark Zodel Nord",
+    "insgesamt 12 Anlagen, Grundstücks Nr. 8/2, Windpark Ahaus,", "3 am Anfang", "Vertrag dated 03/04/21 für Parzelle 1/2 und Parzelle 001/2", "nichts",
+)
+_WRITTEN = lambda x: f"list_transform(string_split(regexp_replace({x}, '-', '/', 'g'), '/'), lambda p: CASE WHEN regexp_matches(p, '^0+\\d') THEN regexp_replace(p, '^0+(\\d)', '\\1') ELSE p END)"
+
+
+@query(
+    "f31_parcel_mentions",
+    "WITH given AS (SELECT doc_id, " + sql_phrase(MENTIONS, "doc_id") + " || chr(10) || text AS text FROM documents), raw AS ("
+    + " UNION ALL ".join(
+        f"SELECT doc_id, {k} AS k, unnest(range(len(a))) AS i, unnest(a) AS raw, unnest(b) AS district, unnest(c) AS field FROM (SELECT doc_id, {', '.join(f"regexp_extract_all(text, '{p.replace('(?iu)', '(?i)')}', {g}) AS {n}" for g, n in zip(groups, 'abc'))} FROM given)"
+        for k, (p, groups) in enumerate(G.PARCELS)
+    )
+    + f"), named AS (SELECT doc_id, array_to_string({_WRITTEN('raw')}, '/') AS number, {{'k': k, 'i': i, 'district': coalesce(district, ''), 'field': coalesce(try_cast(field AS INT), 0)}} AS p FROM raw) "
+    "SELECT doc_id, number, min(p).district AS district, min(p).field AS field FROM named GROUP BY 1, 2",
+)
+def f31_parcels(t):
+    """A line with parcels before every text."""
+    return G.parcel_mentions(t.documents.select("doc_id", F.concat(phrase(MENTIONS, F.col("doc_id")), F.lit("\n"), "text").alias("text")), "doc_id", "text")
+
+
+@query("f31_contracts_and_parks")
+def f31_contracts(t):
+    """Contracts with their kind, turbines and parks; tests have the cases."""
+    line = F.concat(phrase(MENTIONS, F.col("doc_id")), F.lit("\n"), "text")
+    return t.documents.select("doc_id", G.contract_mentions(line).alias("contracts"), G.turbine_count(phrase(MENTIONS, F.col("doc_id"))).alias("turbines"), G.parks(line).alias("parks"))
+
+
+ASKS = (
+    "Hallo, ", "Was kann ich hier tun? ", "Welche Rückbaupflicht besteht? ", "Was sagt § 35 BauGB? ", "Wie lange läuft der Vertrag mit der Nordex SE? ", "What is market standard? ", "ok ", "How does this work ",
+    "BGH VIII ZR 12/19 und Windpark Zodel ", "Nenne die Pacht nach Nr. 4 von 2019 ", "Gilt Art. 12? ", "",
+)
+_CONTAINS = lambda words: "(" + " OR ".join(f"contains(lower(q), '{w}')" for w in words) + ")"
+_MATCHES = lambda p, q="q": f"regexp_matches({q}, '{p}')"
+_IDLE = f"(length(trim(q)) < 4 OR {_MATCHES(Q.SMALL_TALK, 'trim(q)')} OR {_MATCHES('(?i)^\\s*(' + '|'.join(Q.ABOUT_PROGRAM) + ')\\b', 'trim(q)')})"
+ROUTES = f"""WITH given AS (
+  SELECT conv_id, turn, {sql_phrase(ASKS, "conv_id + turn")} || CASE WHEN turn % 2 = 0 THEN substr(text, 1, 80) ELSE '' END AS q, conv_id % 3 = 0 AS docs, {sql_phrase(("", "", "rag", "chat", ""), "conv_id")} AS forced FROM conversations
+), told AS (
+  SELECT *, {", ".join(f"{_MATCHES(p)} AS {name}" for name, p in Q.FEATURES.items())}, {_CONTAINS(Q.CORPUS_WORDS)} AS corpus, {_IDLE} AS idle,
+    {_CONTAINS(Q.CORPUS_WORDS)} OR {_MATCHES(Q.STATUTES)} OR {_CONTAINS(Q.DOCTRINE_WORDS)} AS legal FROM given
+), routed AS (
+  SELECT *, docs AND NOT idle AS contract, CASE WHEN forced IN ('rag', 'chat') THEN forced = 'rag' WHEN docs AND NOT idle THEN legal ELSE NOT idle END AS search FROM told
+)
+SELECT conv_id, turn, length(q) AS length, {", ".join(Q.FEATURES)}, {" OR ".join(n for n in Q.FEATURES if n != "has_date")} AS is_specific, corpus, legal, idle,
+  CASE WHEN search AND contract THEN 'rag+contract' WHEN search THEN 'rag' WHEN contract THEN 'contract' ELSE 'chat' END AS mode FROM routed"""
 
 
-@query("f32_f33_question_features")
+@query("f32_f33_question_features", ROUTES)
 def f32(t):
-    q = t.conversations.where("role = 'user'")
-    return q.select("conv_id", "turn", V.query_features(F.col("text")).alias("f"), V.route(F.col("text"), F.lit(True)).alias("mode")).select("conv_id", "turn", "f.*", "mode")
+    """Questions of all kinds, by themselves and before real texts."""
+    by = F.col("conv_id") + F.col("turn")
+    q = F.concat(phrase(ASKS, by), F.when(F.col("turn") % 2 == 0, F.substring("text", 1, 80)).otherwise(""))
+    given = t.conversations.select("conv_id", "turn", q.alias("q"), (F.col("conv_id") % 3 == 0).alias("docs"), phrase(("", "", "rag", "chat", ""), F.col("conv_id")).alias("forced"))
+    x = F.col("q")
+    told = given.select("conv_id", "turn", Q.features(x).alias("f"), Q.wants_corpus(x).alias("corpus"), Q.is_legal(x).alias("legal"), Q.is_idle(x).alias("idle"), Q.mode(x, F.col("docs"), F.col("forced")).alias("mode"))
+    return told.select("conv_id", "turn", "f.length", *[f"f.{n}" for n in Q.FEATURES], "f.is_specific", "corpus", "legal", "idle", "mode")
 
 
 @query("f36_severity_bands", "SELECT o_orderkey, greatest(CASE WHEN d > 100 THEN 3 WHEN d > 5 THEN 2 WHEN d > 0.5 THEN 1 ELSE 0 END, CASE WHEN d / o_totalprice > 0.01 THEN 3 WHEN d / o_totalprice > 0.005 THEN 2 WHEN d / o_totalprice > 0.001 THEN 1 ELSE 0 END) AS severity FROM (SELECT *, abs(o_orderkey % 200 - 100) AS d FROM orders)")

@@ -2,6 +2,7 @@ import pyspark.sql.functions as F
 import pytest
 
 from corpusmill.functions import json as J
+from corpusmill.functions import legal as G
 from corpusmill.functions import text as T
 from corpusmill.functions import values as V
 from corpusmill.operators import chunking as C
@@ -43,8 +44,9 @@ def test_citations(spark):
 
 
 def test_states(spark):
-    assert one(spark, V.state(F.lit("in Hessen und Bayern"))) == "bayern"
-    assert one(spark, V.state(F.lit("Sachsen-Anhalt"))) == "sachsen-anhalt"
+    assert one(spark, G.state(F.lit("in Hessen und Bayern"))) == "nordrhein-westfalen"  # "essen" stands in "Hessen"
+    assert one(spark, G.state(F.lit("in Hessen und Bayern"), whole_words=True)) == "bayern"
+    assert one(spark, G.state(F.lit("Sachsen-Anhalt"))) == "sachsen-anhalt"
 
 
 def test_sentences_and_chunks():

@@ -4,18 +4,76 @@ from __future__ import annotations
 
 import uuid
 
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.plans.registry import query
+from corpusmill.plans.registry import phrase, query, sql_phrase
+from corpusmill.session import shared_folder
 from corpusmill.sources import readers as S
 from corpusmill.streaming import streams as X
 
 
-@query("s2_s3_routes", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'ruling' ELSE 'document' END AS doc_type, CASE WHEN page_id % 3 = 0 THEN 'html' WHEN page_id % 3 = 1 THEN 'pdf' ELSE 'unsupported' END AS kind FROM pages")
+PATHS = (
+    "de/gesetzes/a.PDF", "de/TA Laerm.docx", "en/english/x.txt", "DD Reports/r.doc", "VDRs/x/y.zip", "Libary/b.jsonl", "rss/1.json", "legal_data/hf_cases/2.json", "legal_data/openlegaldata_dump.json", "legal_data/gerdalir/1.jsonl",
+    "legal_data/german_ler.parquet", "legal_data/multilegalpile/de.jsonl", "misc/noext", "misc/.hidden", "a.b/c.htm", "x/HF_Cases/y.pdf",
+)
+_ROUTE = " ".join(f"WHEN starts_with(path, '{p}') THEN '{lang}/{kind}'" for p, lang, kind in S.ROUTES)
+_NAMED = " ".join(f"WHEN contains(lower(path), '{n}') THEN '{n}'" for n in S.NAMED_CONVERTERS)
+_EXT = " ".join(f"WHEN regexp_extract(lower(path), '[^/.][^/]*?(\\.[^./]*)$', 1) IN ({', '.join(map(repr, e.split()))}) THEN '{c}'" for c, e in S.EXTENSIONS.items())
+
+
+@query("s2_s3_routes", f"SELECT page_id, CASE {_ROUTE} ELSE 'de/document' END AS route, CASE {_NAMED} {_EXT} ELSE 'unsupported' END AS kind FROM (SELECT page_id, {sql_phrase(PATHS, 'page_id')} AS path FROM pages)")
 def s2(t):
-    k = F.col("page_id")
-    path = F.concat(F.when(k % 2 == 0, "de/cases/").otherwise("misc/"), k.cast("string"), F.when(k % 3 == 0, ".HTML").when(k % 3 == 1, ".pdf").otherwise(".zip"))
-    return t.pages.select("page_id", S.language_and_type(path)["doc_type"].alias("doc_type"), S.source_type(path).alias("kind"))
+    path = phrase(PATHS, F.col("page_id"))
+    route = S.language_and_type(path)
+    return t.pages.select("page_id", F.concat(route["language"], F.lit("/"), route["doc_type"]).alias("route"), S.source_type(path).alias("kind"))
+
+
+@query(
+    "s8_case_dumps",
+    """SELECT doc_id AS dump, pos, md5(trim(regexp_replace(replace(text, '[Picture]', ''), '\\n{3,}', chr(10) || chr(10), 'g'))) AS h, doc_id || '-' || pos AS case_id, CASE WHEN pos = 0 THEN 'BGH' END AS court_name
+FROM (SELECT doc_id, unnest(CASE WHEN doc_id % 3 = 2 THEN [0] ELSE [0, 1] END) AS pos, substr(regexp_replace(text, '[ $-]+', '_', 'g'), 1, 300) AS text FROM documents) WHERE length(trim(regexp_replace(replace(text, '[Picture]', ''), '\\n{3,}', chr(10) || chr(10), 'g'))) >= 20""",
+)
+def s8(t):
+    """Dumps as lists, under results, or a single case; texts plain or in Markdown."""
+    text = F.substring(F.regexp_replace("text", "[ $-]+", "_"), 1, 300)
+    case = lambda k, field: F.struct(F.concat("doc_id", F.lit(f"-{k}")).alias("id"), text.alias(field), F.struct(F.lit("BGH").alias("name")).alias("court") if k == 0 else F.lit("none").alias("court"))
+    a, b = F.to_json(case(0, "markdown_content")), F.to_json(case(1, "text"))
+    both = F.concat(F.lit("["), a, F.lit(", "), b, F.lit("]"))
+    shape = F.col("doc_id") % 3
+    body = F.when(shape == 0, F.concat(F.lit("junk"), F.lit('{"count": 2, "results": '), both, F.lit("}"))).when(shape == 1, F.concat(F.lit('{"results": '), both, F.lit("}"))).otherwise(a)
+    dumps = t.documents.select(F.col("doc_id").alias("dump"), body.alias("body"))
+    return S.case_records(dumps, "body").select("dump", "pos", F.md5("text").alias("h"), "case_id", "court_name")
+
+
+@query(
+    "s9_s10_line_records",
+    """WITH lines AS (
+  SELECT conv_id, turn, conv_id % 4 AS k, regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g') AS body, ['de', 'GERMAN', 'en', ''][turn % 4 + 1] AS language FROM conversations WHERE (conv_id + turn) % 7 <> 0
+), read AS (
+  SELECT conv_id, turn, ['multilegalpile', 'gerdalir', 'german_ler', 'generic'][k + 1] AS kind,
+    CASE k WHEN 0 THEN CASE WHEN language = '' OR lower(language) IN ('de', 'german', 'deu') THEN trim(body) END WHEN 1 THEN trim(body) WHEN 2 THEN trim(body) || ', (x).' ELSE CASE WHEN length(trim(body)) > 20 THEN trim(body) END END AS text,
+    CASE k WHEN 1 THEN 'T' || turn WHEN 2 THEN 'NER_Sentence' ELSE 'Content' END AS section FROM lines
+)
+SELECT conv_id, turn, kind, md5(text) AS h, section FROM read WHERE length(text) >= 20""",
+)
+def s9(t):
+    """Lines of four collections; every seventh is broken."""
+    body = F.regexp_replace("text", "[^A-Za-z0-9]+", " ")
+    parts = []
+    for k, kind in enumerate(("multilegalpile", "gerdalir", "german_ler", "generic")):
+        given = {
+            "multilegalpile": F.struct(body.alias("text"), phrase(("de", "GERMAN", "en", ""), F.col("turn")).alias("language")),
+            "gerdalir": F.struct(body.alias("text"), F.concat(F.lit("T"), "turn").alias("title")),
+            "german_ler": F.struct(F.concat(F.split(F.trim(body), " "), F.array(*map(F.lit, (",", "(", "x", ")", ".")))).alias("tokens")),
+            "generic": F.struct(F.lit("short").alias("text"), body.alias("body")),
+        }[kind]
+        line = F.when((F.col("conv_id") + F.col("turn")) % 7 == 0, F.left(F.to_json(given), F.lit(9))).otherwise(F.to_json(given))
+        mine = t.conversations.where(F.col("conv_id") % 4 == k).select("conv_id", "turn", line.alias("line"))
+        parts.append(S.line_records(mine, "line", kind).select("conv_id", "turn", F.lit(kind).alias("kind"), F.md5("text").alias("h"), "section"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("s4_s5_json_bodies", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, 2 AS lines FROM events")
@@ -43,11 +101,6 @@ def s14(t):
     return S.law_sections(t.nation.select("n_nationkey", xml.alias("xml")), "xml").select("n_nationkey", "law", "enbez")
 
 
-@query("s15_toc_slugs", "SELECT page_id, string_split(url, '/')[-2] AS slug FROM pages")
-def s15(t):
-    return t.pages.select("page_id", S.toc_slug(F.col("url")).alias("slug"))
-
-
 @query("s17_parcel_features", "SELECT n_nationkey, 'F' || n_nationkey AS number, 4::BIGINT AS corners, 50.0::DOUBLE AS lat FROM nation")
 def s17(t):
     feature = F.concat(F.lit('{"type": "Feature", "properties": {"number": "F'), F.col("n_nationkey").cast("string"), F.lit('"}, "geometry": {"type": "MultiPolygon", "coordinates": [[[[9, 50], [9, 51], [8, 51]]], [[[9, 50], [9, 51], [8, 51], [8, 50]]]]}}'))
@@ -55,17 +108,71 @@ def s17(t):
     return out.select("n_nationkey", "number", F.size("ring").cast("bigint").alias("corners"), F.col("ring")[0][0].alias("lat"))
 
 
-@query("s18_position_lists", "SELECT o_orderkey, 2 AS pairs, o_totalprice AS first FROM orders")
+@query("s15_contents", "SELECT n_nationkey, 0 AS pos, 'Gesetz ' || n_name AS title, 'g' || n_nationkey AS slug, 'https://x.example/g' || n_nationkey || '/xml.zip' AS url FROM nation UNION ALL SELECT n_nationkey, 2, '', 'h', 'https://x.example/h/xml.zip' FROM nation")
+def s15(t):
+    item = lambda title, link: F.concat(F.lit("<item>"), title, F.lit("<link>"), link, F.lit("</link></item>"))
+    key = F.col("n_nationkey").cast("string")
+    first = item(F.concat(F.lit("<title>Gesetz "), "n_name", F.lit("</title>")), F.concat(F.lit("http://x.example/g"), key, F.lit("/xml.zip")))
+    xml = F.concat(F.lit("<items>"), first, F.lit("<item><title>ohne</title></item>"), item(F.lit(""), F.lit("https://x.example/h/xml.zip/")), F.lit("</items>"))
+    return S.contents(t.nation.select("n_nationkey", xml.alias("xml")), "xml").select("n_nationkey", "pos", "title", "slug", F.rtrim("url", F.lit("/")).alias("url"))
+
+
+@query(
+    "s18_parcels_of_gml",
+    """SELECT o_orderkey, pos, CASE WHEN pos = 0 THEN (o_orderkey % 90)::VARCHAR || '/1' ELSE (o_orderkey % 7 + 1)::VARCHAR || '2' END AS number, CASE WHEN pos = 0 THEN o_totalprice ELSE 0 END AS area,
+  CASE WHEN pos = 0 THEN 2 ELSE 0 END AS corners, CASE WHEN pos = 0 THEN (o_orderkey % 5)::DOUBLE END AS lng FROM (SELECT *, unnest([0, 1]) AS pos FROM orders)""",
+)
 def s18(t):
-    text = F.concat_ws(" ", F.col("o_totalprice").cast("string"), F.lit("x"), F.lit("2.5 3 4 5"))
-    p = S.pos_list(text)
-    return t.orders.select("o_orderkey", F.size(p).alias("pairs"), p[0][0].alias("first"))
-
-
-@query("s9_detokenised", "SELECT conv_id, turn, role || ', (' || role || ').' AS text FROM conversations WHERE role IN ('user', 'assistant')")
-def s9(t):
-    tokens = F.array(F.col("role"), F.lit(","), F.lit("("), F.col("role"), F.lit(")"), F.lit("."))
-    return t.conversations.where(F.col("role").isin("user", "assistant") & S.german(F.lit("DE"))).select("conv_id", "turn", S.detokenised(tokens).alias("text"))
+    """Answers with a parcel that has a label and one that has only a reference, under different prefixes."""
+    k = F.col("o_orderkey")
+    ring = F.concat(F.lit("<gml:posList> </gml:posList><gml:posList srsDimension='2'>50.5 9 x 51 "), (k % 5).cast("string"), F.lit(" 7</gml:posList>"))
+    one = F.concat(F.lit("<cp:CadastralParcel gml:id='a'><cp:label>"), (k % 90).cast("string"), F.lit("/1</cp:label><cp:areaValue uom='m2'> "), F.col("o_totalprice").cast("string"), F.lit(" </cp:areaValue>"), ring, F.lit("</cp:CadastralParcel>"))
+    two = F.concat(F.lit("<CadastralParcel><label> </label><nationalCadastralReference>DE-0312-000"), (k % 7 + 1).cast("string"), F.lit("2__</nationalCadastralReference><areaValue>?</areaValue></CadastralParcel>"))
+    xml = F.concat(F.lit("<FeatureCollection>"), one, two, F.lit("</FeatureCollection>"))
+    out = S.parcels_of_gml(t.orders.select("o_orderkey", xml.alias("xml")), "xml")
+    return out.select("o_orderkey", "pos", "number", "area", F.size("ring").alias("corners"), F.get(F.get("ring", F.lit(1)), F.lit(1)).alias("lng"))
+
+
+@query(
+    "s11_document_tree",
+    """WITH parts AS (
+  SELECT conv_id, turn, role, trim(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')) AS body, turn % 5 AS kind FROM conversations
+), shown AS (
+  SELECT conv_id, turn, CASE kind WHEN 1 THEN 'Kapitel ' || turn WHEN 2 THEN '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || turn || ' | x |' WHEN 3 THEN 'k: ' || turn || '!!' ELSE body END AS text,
+         CASE kind WHEN 1 THEN 'Kapitel ' || turn END AS header, CASE kind WHEN 2 THEN 'table' ELSE 'text' END AS type, kind FROM parts WHERE kind <> 4
+), carried AS (
+  SELECT *, coalesce(last_value(header IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), 'General') AS section FROM shown
+)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place, text, section, CASE WHEN kind = 0 THEN turn END AS page_start, CASE WHEN kind = 0 THEN turn + 2 END AS page_end, type FROM carried WHERE length(text) >= 5""",
+)
+def s11_tree(t):
+    """Conversations written as parsed documents: texts, headers, tables and pairs, every second part within two groups, and page footers."""
+    body, turn = F.trim(F.regexp_replace("text", "[^A-Za-z0-9]+", " ")), F.col("turn")
+    kind = turn % 5
+    part = F.when(kind == 2, "tables").when(kind == 3, "key_value_items").otherwise("texts")
+    cell = lambda c: F.struct(c.cast("string").alias("text"))
+    row = lambda *cs: F.array(*map(cell, cs))
+    item = F.struct(
+        F.when(kind == 1, "section_header").when(kind == 4, "page_footer").otherwise("paragraph").alias("label"),
+        F.when(kind == 1, F.concat(F.lit("Kapitel "), turn)).otherwise(body).alias("text"),
+        F.when(kind == 2, F.struct(F.array(row(F.lit("a"), F.lit(" b")), row(turn, F.lit("x"))).alias("grid"))).alias("data"),
+        F.when(kind == 3, cell(F.lit("k"))).alias("key"), F.when(kind == 3, cell(F.concat(turn, F.lit("!!")))).alias("value"),
+        F.when(kind == 0, F.array(F.struct((turn + 2).alias("page_no")), F.struct(turn.alias("page_no")))).alias("prov"),
+    )
+    each = t.conversations.select("conv_id", "turn", part.alias("part"), item.alias("item"))
+    each = each.withColumn("i", F.row_number().over(Window.partitionBy("conv_id", "part").orderBy("turn")) - 1)
+    to = lambda ref: F.struct(ref.alias("$ref"))
+    ref = to(F.concat(F.lit("#/"), "part", F.lit("/"), "i"))
+    in_group = turn % 2 == 1
+    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct("turn", c.alias("x"))))), lambda s: s["x"])
+    group = F.row_number().over(Window.partitionBy("conv_id", in_group).orderBy("turn")) - 1
+    each = each.withColumn("g", group).withColumn("ref", ref)
+    outer, inner = F.struct(F.array(to(F.concat(F.lit("#/groups/"), F.col("g") * 2 + 1))).alias("children")), F.struct(F.array("ref").alias("children"))
+    child = F.when(in_group, to(F.concat(F.lit("#/groups/"), F.col("g") * 2))).otherwise(F.col("ref"))
+    lists = [ordered(F.when(F.col("part") == name, F.col("item"))).alias(name) for name in ("texts", "tables", "key_value_items")]
+    groups = F.flatten(ordered(F.when(in_group, F.array(outer, inner)))).alias("groups")
+    docs = each.groupBy("conv_id").agg(*lists, groups, F.struct(ordered(child).alias("children")).alias("body"))
+    return S.document_tree(docs.select("conv_id", F.to_json(F.struct("texts", "tables", "key_value_items", "groups", "body")).alias("json")), "conv_id", "json")
 
 
 @query("s11_html_segments_w3")
@@ -95,11 +202,12 @@ def s25(t):
 
 
 def _drained(t, stream):
-    """Runs a stream over what is there and reads its result from memory; results are a few rows a window."""
-    name = "s" + uuid.uuid4().hex
-    q = stream.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return t.spark.table(name)
+    """Runs a stream over what is there. Its result, a row a window, is written to the shared folder batch by batch and read from there."""
+    folder = f"{shared_folder(t.spark)}/streams/{uuid.uuid4().hex}"
+    keep = lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/result")
+    writer = stream.writeStream.foreachBatch(keep).outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    writer.start().awaitTermination()
+    return t.spark.read.parquet(f"{folder}/result")
 
 
 def _events(t):
@@ -111,9 +219,14 @@ def x5(t):
     return _drained(t, X.rates(_events(t), "1 day")).select("start", "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("x2_batch_rates_sliding")
-def x2(t):
-    return X.rates(t.events, "1 hour", "30 minutes")
+@query(
+    "x5_sliding_rates",
+    """SELECT start, event_type, count(*) AS n, round(sum(value), 3) AS total
+FROM (SELECT *, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS start FROM events) GROUP BY 1, 2""",
+)
+def x5_sliding(t):
+    """The same as a batch, in windows of an hour that begin every half."""
+    return X.rates(t.events, "1 hour", "30 minutes").select("start", "event_type", "n", F.round("total", 3).alias("total"))
 
 
 @query("x_sessions_extension", "SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS end, count(*) AS n FROM (SELECT user_id, ts, sum(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE >= ts THEN 0 ELSE 1 END AS brk FROM events)) GROUP BY user_id, s")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -19,9 +22,9 @@ def write_segments(df: DataFrame, path: str, key: str, *, force: bool = False) -
         try:
             done = spark.read.json(path).select(F.col(key).alias("__key"))
             todo = df.join(done, F.col(key) == F.col("__key"), "left_anti")
-        except Exception as e:  # nothing written yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e) and "UNRESOLVED_COLUMN" not in str(e):
-                raise
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "UNRESOLVED_COLUMN.WITHOUT_SUGGESTION"):
+                raise  # these three: nothing is written yet
     todo.write.mode("append").json(path)
     return todo
 
@@ -45,3 +48,47 @@ def train_val(df: DataFrame, path: str, flag: str = "val") -> None:
     """JSON lines for training and validation."""
     df.where(~F.col(flag)).drop(flag).write.mode("overwrite").json(f"{path}/train")
     df.where(F.col(flag)).drop(flag).write.mode("overwrite").json(f"{path}/val")
+
+
+def portable(df: DataFrame) -> DataFrame:
+    """Columns in types that any table store has (S22): whole numbers and truth values as bigint, other numbers as double,
+    vectors of floats as packed bytes, other arrays, maps and structures as JSON text, the rest as text."""
+
+    def one(name: str, kind: str):
+        c = F.col(f"`{name}`")
+        if kind in ("tinyint", "smallint", "int", "bigint", "boolean"):
+            return c.cast("bigint")
+        if kind in ("float", "double") or kind.startswith("decimal"):
+            return c.cast("double")
+        if kind == "binary":
+            return c
+        if kind in ("array<float>", "array<double>"):
+            return _packed(c)
+        if kind.startswith(("array", "map", "struct")):
+            return F.to_json(c)
+        return c.cast("string")
+
+    return df.select(*[one(name, kind).alias(name) for name, kind in df.dtypes])
+
+
+@F.pandas_udf("binary")
+def _packed(vectors: pd.Series) -> pd.Series:
+    """Vectors as 32-bit floats side by side."""
+    return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+
+
+def export_tables(spark: SparkSession, tables: list[str], target: str, *, options: dict[str, str] | None = None) -> dict[str, int]:
+    """Tables of the catalogue in portable types, by JDBC if the target is a ``jdbc:`` address and else as Parquet folders; rows of each.
+
+    Executors write their parts side by side; columns and types come from the catalogue.
+    """
+    written = {}
+    for name in tables:
+        df = portable(spark.table(name))
+        if target.startswith("jdbc:"):
+            df.write.format("jdbc").options(url=target, dbtable=name, **(options or {})).mode("overwrite").save()
+            written[name] = df.count()
+        else:
+            df.write.mode("overwrite").options(**(options or {})).parquet(f"{target.rstrip('/')}/{name}")
+            written[name] = spark.read.parquet(f"{target.rstrip('/')}/{name}").count()
+    return written

@@ -32,11 +32,21 @@ def failure_labels(ranks: DataFrame, rank: str, k: int, labels: dict[str, Column
 
 
 def stratified_split(df: DataFrame, stratum: str, key: str, *, share: float, seed: int) -> DataFrame:
-    """An exact share of each stratum, one row at least, in the order of a seeded hash."""
-    w = Window.partitionBy(stratum)
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    placed = df.withColumn("__rn", F.row_number().over(w.orderBy(order, key))).withColumn("__n", F.count("*").over(w))
-    return placed.select(*df.columns, (F.col("__rn") <= F.greatest(F.lit(1), F.floor(F.lit(share) * F.col("__n")))).alias("val"))
+    """An exact share of each stratum, one row at least, in the order of a seeded hash.
+
+    Rows are counted by the first four digits of the hash; only those of the one beginning within which the
+    share ends are sorted, a 65,536th of a stratum. Rows that share hash and key are taken in any order.
+    """
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    hashed = df.withColumn("__h", order).withColumn("__p", F.substring("__h", 1, 4))
+    counts = hashed.groupBy(F.col(stratum).alias("__s"), F.col("__p").alias("__q")).agg(F.count("*").alias("__k"))
+    w = Window.partitionBy("__s")
+    upto = counts.withColumn("__upto", F.sum("__k").over(w.orderBy("__q"))).withColumn("__most", F.greatest(F.lit(1), F.floor(F.lit(share) * F.sum("__k").over(w))))
+    edge = upto.where((F.col("__upto") >= F.col("__most")) & (F.col("__upto") - F.col("__k") < F.col("__most"))).select("__s", F.col("__q").alias("__edge"), (F.col("__most") - (F.col("__upto") - F.col("__k"))).alias("__left"))
+    met = hashed.join(edge, F.col(stratum).eqNullSafe(F.col("__s")))
+    clear = met.where("__p <> __edge").select(*df.columns, (F.col("__p") < F.col("__edge")).alias("val"))
+    close = met.where("__p = __edge").withColumn("__rn", F.row_number().over(Window.partitionBy(stratum).orderBy("__h", key)))
+    return clear.unionByName(close.select(*df.columns, (F.col("__rn") <= F.col("__left")).alias("val")))
 
 
 def choose_variant(results: DataFrame, *, control: str, metric: str, latency: str, most_loss: float = 0.01) -> DataFrame:

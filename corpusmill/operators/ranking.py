@@ -39,3 +39,24 @@ def fair_pick(df: DataFrame, query: str, doc: str, score: str, tie: str, budget:
 def provenance_winners(df: DataFrame, field: str, precedence: str, confidence: str, order: str) -> DataFrame:
     """The winner of each field by (precedence, confidence, order)."""
     return first_per_key(df, [field], [F.col(precedence), F.desc(confidence), F.col(order)])
+
+
+#: Openings that say nothing of a conversation, and the mark of an upload.
+CHITCHAT = ("hi", "hii", "hiii", "hiiii", "hello", "hallo", "hey", "heya", "yo", "sup", "ok", "okay", "okk", "okkk", "test", "testing", "check", "checking", "thanks", "thank you", "danke", "?", "??", "???")
+UPLOAD = "📎"
+
+
+def display_titles(sessions: DataFrame, messages: DataFrame, key: str, *, order: str = "turn") -> DataFrame:
+    """sessions (.., title, filename), messages (.., role, text) -> sessions with ``display``.
+
+    A title that was given; else the beginning of the first message of a user that says something: not an upload, not
+    small talk, twelve characters at least; else the file's name; else that of the first message; else Untitled chat.
+    One aggregation with two minima.
+    """
+    said, user = F.trim("text"), F.col("role") == "user"
+    real = user & (said != "") & (F.substring(said, 1, 1) != UPLOAD) & (F.length(said) >= 12) & ~F.lower(said).isin(*CHITCHAT)
+    first = lambda test: F.min_by(F.when(test, F.substring("text", 1, 80)), F.when(test, F.col(order)))
+    found = messages.groupBy(F.col(key).alias("__key")).agg(first(real).alias("__good"), first(user).alias("__any"))
+    given = lambda c: F.when(F.trim(c) != "", F.trim(c))
+    display = F.coalesce(given("title"), "__good", given("filename"), "__any", F.lit("Untitled chat"))
+    return sessions.join(found, F.col(key) == F.col("__key"), "left").select(*sessions.columns, display.alias("display"))

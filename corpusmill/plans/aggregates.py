@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from corpusmill.operators import tables as TB
+from corpusmill.functions import guard as U
+from corpusmill.operators import audits as A
 from corpusmill.operators import evaluation as E
-from corpusmill.plans.registry import query
+from corpusmill.operators import tables as TB
+from corpusmill.operators import writes as X
+from corpusmill.plans.registry import phrase, query, sql_list, sql_phrase
 
 
 @query("a1_progress_counters", "SELECT count(*) AS n, count(DISTINCT source) AS sources, count(DISTINCT lang) AS langs FROM documents")
@@ -25,11 +28,22 @@ def a3(t):
     return t.documents.groupBy(F.col("lang").alias("domain")).agg(F.count("*").alias("n"), F.coalesce(F.sum("n_chars"), F.lit(0)).alias("sections")).orderBy(F.desc("n"), "domain")
 
 
-@query("a4_toc_dry_run", "SELECT p_brand AS category, count(*) AS n, count(*) FILTER (p_partkey NOT IN (SELECT l_partkey FROM lineitem)) AS vanished FROM part GROUP BY 1 ORDER BY n DESC, category")
+_DOMAIN = "CASE " + " ".join(f"WHEN lower(slug) IN ({', '.join(map(repr, slugs.split()))}) THEN '{d}'" for d, slugs in U.DOMAIN_SLUGS.items()) + " ELSE 'allgemein' END"
+_REGISTRY = tuple(slug for slugs in U.DOMAIN_SLUGS.values() for slug in slugs.split())
+_CONTENTS = f"SELECT CASE WHEN p_partkey % 4 = 0 THEN 'law' || p_partkey ELSE {sql_list(_REGISTRY)}[p_partkey % 20 + 1] END AS slug FROM part"
+
+
+@query(
+    "a4_toc_dry_run",
+    f"WITH toc AS ({_CONTENTS}) SELECT 'domain' AS kind, {_DOMAIN} AS name, count(*) AS n FROM toc GROUP BY 1, 2 UNION ALL SELECT 'missing', slug, NULL FROM (SELECT unnest({sql_list(_REGISTRY)}) AS slug) WHERE slug NOT IN (SELECT slug FROM toc)",
+)
 def a4(t):
-    seen = t.lineitem.select(F.col("l_partkey").alias("k")).distinct()
-    joined = t.part.join(seen, F.col("p_partkey") == F.col("k"), "left")
-    return joined.groupBy(F.col("p_brand").alias("category")).agg(F.count("*").alias("n"), F.count_if(F.col("k").isNull()).alias("vanished")).orderBy(F.desc("n"), "category")
+    """Statutes of a table of contents by domain, and which of the registry it lacks."""
+    k = F.col("p_partkey")
+    contents = t.part.select(F.when(k % 4 == 0, F.concat(F.lit("law"), k)).otherwise(phrase(_REGISTRY[:20], k)).alias("slug"))
+    registry = t.spark.createDataFrame([(s,) for s in _REGISTRY], "slug string")
+    counted, missing = A.domains_of_contents(contents, registry, U.statute_domain(F.col("slug")))
+    return counted.select(F.lit("domain").alias("kind"), F.col("domain").alias("name"), "n").unionByName(missing.select(F.lit("missing").alias("kind"), F.col("slug").alias("name"), F.lit(None).cast("bigint").alias("n")))
 
 
 RANKS = "SELECT l_orderkey AS qid, l_returnflag AS task, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_linenumber END AS rank FROM lineitem"
@@ -63,14 +77,7 @@ def a7(t):
       FROM documents GROUP BY lang)""",
 )
 def a8(t):
-    """The 90th percentile by the exclusive method, at p * (n + 1): two ranks of a window, no list of values."""
-    w = Window.partitionBy("lang").orderBy("n_chars")
-    counted = t.documents.select("lang", "n_chars").withColumn("i", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("lang")))
-    at = F.lit(0.9) * (F.col("n") + 1)
-    value = lambda k: F.max(F.when(F.col("i") == k, F.col("n_chars")))
-    out = counted.groupBy("lang", "n").agg(F.floor(F.avg("n_chars")).alias("mean"), F.floor(F.median("n_chars")).alias("median"), F.max("n_chars").alias("longest"), F.round(F.avg(F.when(F.col("n_chars") < 200, 1.0).otherwise(0.0)), 6).alias("short_rate"), value(F.floor(at)).alias("lo"), value(F.floor(at) + 1).alias("hi"))
-    p90 = F.when(F.col("n") <= 10, F.col("longest").cast("double")).otherwise(F.floor(F.col("lo") + (F.coalesce("hi", "longest") - F.col("lo")) * (at - F.floor(at)) + 0.000001).cast("double"))
-    return out.select("lang", "n", "mean", "median", p90.alias("p90"), "longest", "short_rate")
+    return A.corpus_stats(t.documents, "lang", "n_chars", {"short": F.col("n_chars") < 200})
 
 
 @query("a9_internal_dedup_rate", "SELECT source, round(1 - count(DISTINCT substr(sha256(substr(text, 1, 500)), 1, 16)) / count(*), 6) AS dup_rate FROM documents GROUP BY 1")
@@ -79,10 +86,28 @@ def a9(t):
     return t.documents.groupBy("source").agg(F.round(1 - F.countDistinct(h) / F.count("*"), 6).alias("dup_rate"))
 
 
-@query("a10_grounding_audit", "SELECT lang, count(*) AS n, sum(CASE WHEN contains(text, 'License') THEN 1 ELSE 0 END)::BIGINT AS refs, round(avg(length(text) / 1000.0), 4) AS mean_size, round(100.0 * count(*) FILTER (length(text) < 500 AND source <> 'src1') / count(*), 4) AS low_pct FROM documents GROUP BY 1")
+CITES = ("nach § 14 Abs. 2 und Art. 5", "siehe Nr. 7, Ziffer 3.2", "§§ 99 gilt, Klausel ab", "ohne alles hier", "Artikel 12 BauGB")
+_REFS = "list_concat(list_transform(regexp_extract_all(a, '(?i)§{1,2}\\s*(\\d+[a-z]?)', 1), lambda x: '§ ' || x), list_transform(regexp_extract_all(a, '(?i)\\bArt(?:ikel|\\.)\\s*(\\d+[a-z]?)', 1), lambda x: 'Art ' || x), regexp_extract_all(a, '(?i)(?:Klausel|Nr\\.|Nummer|Ziffer|Ziff\\.)\\s+([A-Za-z]{1,3}|\\d+(?:\\.\\d+)?)', 1))"
+_LONG = lambda x: f"list_distinct(list_filter(string_split_regex(lower({x}), '[^A-Za-zäöüÄÖÜß\\d]+'), lambda w: length(w) >= 4 AND NOT regexp_matches(w, '^\\d+$')))"
+
+
+@query(
+    "a10_f45_grounding_audit",
+    f"""WITH given AS (
+  SELECT ['qa', 'summarize', 'explain', 'draft'][turn % 4 + 1] AS task, {sql_phrase(CITES, "turn")} || ' ' || substr(text, 1, 200) AS a, {sql_phrase(CITES, "turn + conv_id")} || ' ' || substr(text, 101, 400) AS b FROM conversations
+), told AS (
+  SELECT task, len({_REFS}) AS ref_total, len(list_filter({_REFS}, lambda r: contains(replace(lower(b), ' ', ''), replace(lower(r), ' ', '')))) AS ref_found,
+         round(CASE WHEN len({_LONG("a")}) > 0 THEN len(list_intersect({_LONG("a")}, {_LONG("b")})) / len({_LONG("a")}) ELSE 0 END, 3) AS word_overlap FROM given
+)
+SELECT task, count(*) AS n, sum(ref_total)::BIGINT AS ref_total, sum(ref_found)::BIGINT AS ref_found, round(avg(word_overlap), 3) AS avg_word_overlap,
+  round(100 * count(*) FILTER (word_overlap < 0.2 AND task NOT IN ('summarize', 'explain')) / count(*), 2) AS low_overlap_pct, CASE WHEN sum(ref_total) > 0 THEN round(100 * sum(ref_found) / sum(ref_total), 2) END AS cited_pct
+FROM told GROUP BY task""",
+)
 def a10(t):
-    low = (F.length("text") < 500) & (F.col("source") != "src1")
-    return t.documents.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("text").contains("License")).alias("refs"), F.round(F.avg(F.length("text") / 1000.0), 4).alias("mean_size"), F.round(100.0 * F.count_if(low) / F.count("*"), 4).alias("low_pct"))
+    """Answers that cite, and passages of the same text that hold some of it."""
+    turn, conv = F.col("turn"), F.col("conv_id")
+    samples = t.conversations.select(phrase(("qa", "summarize", "explain", "draft"), turn).alias("task"), F.concat(phrase(CITES, turn), F.lit(" "), F.substring("text", 1, 200)).alias("a"), F.concat(phrase(CITES, turn + conv), F.lit(" "), F.substring("text", 101, 400)).alias("b"))
+    return A.grounding_audit(samples, "task", "a", "b")
 
 
 @query(
@@ -99,11 +124,24 @@ def a11(t):
     return facts.join(mode, "p_brand").select(F.col("p_brand").alias("park"), "n", "mw", "models", "kind", "owner")
 
 
-@query("a12_validation_report", "SELECT count(*) AS n, count(DISTINCT l_orderkey) AS ids, count(*) - count(DISTINCT l_orderkey) AS duplicates, count(*) FILTER (l_returnflag = 'R') AS returned, round(count(*) FILTER (l_returnflag = 'R') / count(*), 4) AS coverage, (SELECT count(*) FROM (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) > 1)) AS conflicts FROM lineitem")
+@query(
+    "a12_validation_report",
+    """WITH parcels AS (
+  SELECT CASE WHEN l_linenumber = 7 THEN '' ELSE (l_orderkey // 2)::VARCHAR || '/' || l_linenumber END AS id, ['secured', 'not_secured', 'uncertain', 'other'][l_suppkey % 4 + 1] AS class,
+    CASE l_partkey % 3 WHEN 0 THEN NULL WHEN 1 THEN [[50.0, 9.0], [51.0, (l_partkey % 20)::DOUBLE]] ELSE [[48.0 + l_quantity / 5, 10.0]] END AS ring FROM lineitem
+), bad AS (
+  SELECT *, ring IS NULL OR len(list_filter(ring, lambda p: NOT (p[1] BETWEEN 47.0 AND 55.1 AND p[2] BETWEEN 5.5 AND 15.1))) > 0 AS wrong FROM parcels
+)
+SELECT count(*) AS total, count(*) FILTER (class = 'secured') AS secured, count(*) FILTER (class = 'not_secured') AS not_secured, count(*) FILTER (class = 'uncertain') AS uncertain, count(*) FILTER (class = 'other') AS unclassified,
+  count(*) FILTER (id <> '') - count(DISTINCT id) FILTER (id <> '') AS duplicates, (SELECT count(*) FROM (SELECT id FROM parcels WHERE id <> '' GROUP BY id HAVING count(DISTINCT class) > 1)) AS conflicts,
+  count(*) FILTER (wrong) AS geometry_errors, round(count(*) FILTER (class = 'secured') / count(*), 4) AS coverage FROM bad""",
+)
 def a12(t):
-    """One aggregation by id, then one over the ids: no distinct count of everything in one task."""
-    each = t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("rows"), F.count_if(F.col("l_returnflag") == "R").alias("r"), (F.min("l_returnflag") != F.max("l_returnflag")).alias("mixed"))
-    return each.agg(F.sum("rows").alias("n"), F.count("*").alias("ids"), (F.sum("rows") - F.count("*")).alias("duplicates"), F.sum("r").alias("returned"), F.round(F.sum("r") / F.sum("rows"), 4).alias("coverage"), F.count_if("mixed").alias("conflicts"))
+    """Rows of orders as parcels, some of them twice, in other classes, without a name or out of the country."""
+    part = F.col("l_partkey")
+    ring = F.when(part % 3 == 1, F.array(F.array(F.lit(50.0), F.lit(9.0)), F.array(F.lit(51.0), (part % 20).cast("double")))).when(part % 3 == 2, F.array(F.array(F.lit(48.0) + F.col("l_quantity") / 5, F.lit(10.0))))
+    key = F.when(F.col("l_linenumber") == 7, "").otherwise(F.concat(F.expr("l_orderkey div 2"), F.lit("/"), "l_linenumber"))
+    return A.parcel_validation(t.lineitem.select(key.alias("id"), phrase(("secured", "not_secured", "uncertain", "other"), F.col("l_suppkey")).alias("class"), ring.alias("ring")))
 
 
 @query("a13_blind_tally", "SELECT CASE choice WHEN 2 THEN 'tie' ELSE CASE WHEN (choice = 0) = swapped THEN 'b' ELSE 'a' END END AS winner, count(*) AS n FROM (SELECT l_linenumber % 3 AS choice, l_orderkey % 2 = 0 AS swapped FROM lineitem) GROUP BY 1")
@@ -113,9 +151,19 @@ def a13(t):
     return votes.groupBy(winner.alias("winner")).agg(F.count("*").alias("n"))
 
 
-@query("a14_probe_summary", "SELECT source, count(*) AS n, count(*) FILTER (lang = 'de') AS de, round(avg(n_chars), 4) AS mean_len, round(avg(CASE WHEN lang = 'de' THEN n_chars END), 4) AS mean_de FROM documents GROUP BY 1")
+@query(
+    "a14_probe_summary",
+    """WITH probes AS (
+  SELECT source AS category, lang AS language, text AS base, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN replace(text, 'e', 'é') ELSE substr(text, 1, 50) END AS tuned FROM documents
+)
+SELECT category, count(*) AS n, count(*) FILTER (base = tuned) AS equal, round(avg(length(base)), 4) AS mean_base, round(avg(length(tuned)), 4) AS mean_tuned,
+  round(avg(CASE WHEN language = 'de' THEN length(regexp_replace(tuned, '[^\\x00-\\x7F]', '', 'g')) / greatest(length(tuned), 1) - length(regexp_replace(base, '[^\\x00-\\x7F]', '', 'g')) / greatest(length(base), 1) END), 6) AS de_drift
+FROM probes GROUP BY 1""",
+)
 def a14(t):
-    return t.documents.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("lang") == "de").alias("de"), F.round(F.avg("n_chars"), 4).alias("mean_len"), F.round(F.avg(F.when(F.col("lang") == "de", F.col("n_chars"))), 4).alias("mean_de"))
+    k = F.col("doc_id") % 3
+    tuned = F.when(k == 0, F.col("text")).when(k == 1, F.replace("text", F.lit("e"), F.lit("é"))).otherwise(F.substring("text", 1, 50))
+    return A.probe_summary(t.documents.select(F.col("source").alias("category"), F.col("lang").alias("language"), F.col("text").alias("base"), tuned.alias("tuned")))
 
 
 @query("a15_stratified_split", "SELECT doc_id, lang, rn <= greatest(1, floor(0.05 * n)) AS val FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('7:' || doc_id), doc_id) AS rn, count(*) OVER (PARTITION BY lang) AS n FROM documents)")
@@ -160,26 +208,46 @@ def a17(t):
     return TB.findings(TB.totals(lines.unionByName(below.withColumn("place", F.col("place") + 100))))
 
 
-@query("a18_state_counts", "SELECT user_id, sum(CASE WHEN event_type IN ('click', 'view') THEN 1 ELSE 0 END)::BIGINT AS open, count(*) AS total FROM events GROUP BY 1")
+_STATUS = ("queued", "processing", "done", "failed", "processing")
+
+
+@query(
+    "a18_state_counts",
+    f"""WITH docs AS (SELECT user_id, {sql_phrase(_STATUS, "event_id")} AS status, event_id % 7 AS pages_done, CASE WHEN event_id % 4 <> 0 THEN event_id % 7 + 3 END AS pages_total FROM events)
+SELECT user_id, count(*) FILTER (status = 'queued') AS queued, count(*) FILTER (status = 'processing') AS processing, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'done') AS done,
+  coalesce(sum(pages_done) FILTER (status IN ('queued', 'processing')), 0)::BIGINT AS pages_done, coalesce(sum(coalesce(pages_total, 0)) FILTER (status IN ('queued', 'processing')), 0)::BIGINT AS pages_total FROM docs GROUP BY 1""",
+)
 def a18(t):
-    return t.events.groupBy("user_id").agg(F.count_if(F.col("event_type").isin("click", "view")).alias("open"), F.count("*").alias("total"))
+    e = F.col("event_id")
+    return X.progress(t.events.select("user_id", phrase(_STATUS, e).alias("status"), (e % 7).alias("pages_done"), F.when(e % 4 != 0, e % 7 + 3).alias("pages_total")), "user_id")
 
 
 @query(
     "a19_schema_audit",
-    """SELECT path, count(*) AS present, count(*) FILTER (v = '') AS empty, count(DISTINCT v) AS distinct_values, list_sort(list(length(v)))[count(*) // 2 + 1] AS len_p50, max(length(v)) AS len_max
-       FROM (SELECT unnest(['event_type', 'k']) AS path, unnest([event_type, coalesce(json_extract_string(props, '$.k'), '')]) AS v FROM events) GROUP BY 1""",
+    """WITH flat AS (
+  SELECT unnest(['event_type', 'props', 'props.k', 'tags', 'note', 'none']) AS path, unnest(['str', 'dict', 'int', 'list', 'str', 'null']) AS type,
+    unnest([false, false, false, event_id % 3 = 0, event_id % 5 = 0, true]) AS empty, unnest([event_type, NULL, NULL, NULL, CASE WHEN event_id % 5 = 0 THEN '' ELSE repeat('x', (event_id % 90)::INT) END, NULL]) AS text,
+    unnest([true, true, true, true, true, event_id % 2 = 0]) AS there
+  FROM events
+), kept AS (
+  SELECT * FROM flat WHERE there
+), sized AS (
+  SELECT path, list_sort(list(length(text))) AS lens FROM kept WHERE text IS NOT NULL GROUP BY 1
+), vals AS (
+  SELECT path, count(*) AS n_values, list_sum(list_slice(list_reverse_sort(list(k)), 1, 10)) AS top FROM (SELECT path, text, count(*) AS k FROM kept WHERE length(text) < 50 GROUP BY 1, 2) GROUP BY 1
+)
+SELECT c.*, lens[len(lens) // 2 + 1] AS p50, lens[floor(len(lens) * 0.95)::BIGINT + 1] AS p95, lens[len(lens)] AS longest, coalesce(n_values, 0) AS n_values, coalesce(n_values BETWEEN 3 AND 30 AND top >= present * 0.9, false) AS enum
+FROM (SELECT path, count(*) AS present, count(*) FILTER (empty) AS empty, any_value(type) || ':' || count(*) AS types FROM kept GROUP BY 1) c LEFT JOIN sized USING (path) LEFT JOIN vals USING (path)""",
 )
 def a19(t):
-    paths = F.array(F.struct(F.lit("event_type").alias("path"), F.col("event_type").alias("v")), F.struct(F.lit("k").alias("path"), F.coalesce(F.get_json_object("props", "$.k"), F.lit("")).alias("v")))
-    flat = t.events.select(F.inline(paths))
-    # The element at n // 2 of the sorted lengths, from a histogram of lengths rather than a list of them.
-    hist = flat.groupBy("path", F.length("v").alias("len")).agg(F.count("*").alias("k"))
-    w = Window.partitionBy("path").orderBy("len")
-    upto = hist.withColumn("upto", F.sum("k").over(w)).withColumn("n", F.sum("k").over(Window.partitionBy("path")))
-    middle = upto.where(F.col("upto") > F.expr("n div 2")).groupBy("path").agg(F.min("len").alias("len_p50"))
-    counts = flat.groupBy("path").agg(F.count("*").alias("present"), F.count_if(F.col("v") == "").alias("empty"), F.countDistinct("v").alias("distinct_values"), F.max(F.length("v")).alias("len_max"))
-    return counts.join(middle, "path").select("path", "present", "empty", "distinct_values", "len_p50", "len_max")
+    """Events as JSON with a nested object, a list that may be empty, and values that may be null or missing."""
+    e = F.col("event_id")
+    fields = F.concat_ws(
+        ",", F.concat(F.lit('"event_type":"'), "event_type", F.lit('"')), F.concat(F.lit('"props":'), "props"),
+        F.concat(F.lit('"tags":['), F.when(e % 3 != 0, F.concat(F.lit('"t'), e % 4, F.lit('","u"'))).otherwise(""), F.lit("]")),
+        F.concat(F.lit('"note":"'), F.when(e % 5 != 0, F.repeat(F.lit("x"), (e % 90).cast("int"))).otherwise(""), F.lit('"')), F.when(e % 2 == 0, F.lit('"none":null')),
+    )
+    return A.schema_audit(t.events.select(F.concat(F.lit("{"), fields, F.lit("}")).alias("json")), "json")
 
 
 @query("a20_manifest_histogram", "SELECT source, CASE WHEN n_chars < 1000 THEN 'small' WHEN n_chars < 5000 THEN 'medium' ELSE 'large' END AS size, count(*) AS n FROM documents GROUP BY 1, 2")
@@ -188,10 +256,20 @@ def a20(t):
     return t.documents.groupBy("source", size.alias("size")).agg(F.count("*").alias("n"))
 
 
-@query("a21_rate_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n, round(count(*) FILTER (event_type = 'error') / greatest(count(*), 1e-9), 6) AS error_rate, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1")
+_BOUNDS = (5, 10, 25, 50, 75, 100)
+_CUMULATED = ", ".join(f"count(*) FILTER (value <= {b}) AS c{i}" for i, b in enumerate(_BOUNDS))
+
+
+def _quantile(q: float) -> str:
+    cases = " ".join(
+        f"WHEN c{i} >= {q} * total THEN CASE WHEN c{i} - {f'c{i - 1}' if i else 0} > 0 THEN {_BOUNDS[i - 1] if i else 0} + {b - (_BOUNDS[i - 1] if i else 0)} * ({q} * total - {f'c{i - 1}' if i else 0}) / (c{i} - {f'c{i - 1}' if i else 0}) ELSE {_BOUNDS[i - 1] if i else 0} END" for i, b in enumerate(_BOUNDS)
+    )
+    return f"round(CASE WHEN total > 0 THEN CASE {cases} ELSE {_BOUNDS[-1]} END END, 6) AS p{round(100 * q)}"
+
+
+@query("a21_rate_windows", f"SELECT start, n, error_rate, {', '.join(map(_quantile, (0.5, 0.95, 0.99)))} FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n, round(count(*) FILTER (event_type = 'error') / greatest(count(*), 1e-9), 6) AS error_rate, count(value) AS total, {_CUMULATED} FROM events GROUP BY 1)")
 def a21(t):
-    w = F.window("ts", "1 hour")
-    return t.events.groupBy(w.alias("w")).agg(F.count("*").alias("n"), F.round(F.count_if(F.col("event_type") == "error") / F.greatest(F.count("*"), F.lit(1e-9)), 6).alias("error_rate"), F.round(F.percentile("value", 0.5), 6).alias("p50"), F.round(F.percentile("value", 0.95), 6).alias("p95")).select(F.col("w.start").alias("start"), "n", "error_rate", "p50", "p95")
+    return A.rate_panels(t.events, "ts", "value", "1 hour", _BOUNDS, F.col("event_type") == "error")
 
 
 @query("a22_first_seen_distinct", "SELECT user_id, arg_min(event_id, ts) AS event_id FROM (SELECT user_id, event_id, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1) GROUP BY 1")
@@ -211,8 +289,24 @@ def a24(t):
     return t.events.select("event_id", (size("$.f") + size("$.g")).cast("bigint").alias("n"))
 
 
-@query("a25_next_in_group", "SELECT conv_id, name, top + row_number() OVER (PARTITION BY conv_id ORDER BY name) AS idx FROM (SELECT conv_id, unnest(['a', 'b']) AS name, max(turn) AS top FROM conversations GROUP BY conv_id)")
+@query(
+    "a25_next_in_group",
+    """WITH existing AS (
+  SELECT conv_id AS session, turn + 1 AS doc_index, 'f' || turn || '.pdf' AS filename, CASE WHEN turn % 3 = 0 THEN 'failed' ELSE 'done' END AS status FROM conversations WHERE turn < 5
+), new AS (
+  SELECT DISTINCT session, filename, min(pos) OVER (PARTITION BY session, filename) AS pos FROM (
+    SELECT conv_id AS session, 'f' || turn * 2 || '.pdf' AS filename, 100 - turn AS pos FROM conversations UNION ALL SELECT conv_id + 100000, 'a.pdf', turn FROM conversations)
+), met AS (
+  SELECT n.*, e.doc_index, e.status FROM new n LEFT JOIN (SELECT session, filename, max(doc_index) AS doc_index, any_value(status) AS status FROM existing GROUP BY 1, 2) e USING (session, filename)
+)
+SELECT session, filename, doc_index::BIGINT AS doc_index, CASE WHEN status = 'failed' THEN 'retry' ELSE 'existing' END AS outcome FROM met WHERE status IS NOT NULL
+UNION ALL
+SELECT session, filename, coalesce((SELECT max(doc_index) FROM existing e WHERE e.session = met.session), 0) + row_number() OVER (PARTITION BY session ORDER BY pos, filename), 'added' FROM met WHERE status IS NULL""",
+)
 def a25(t):
-    top = t.conversations.groupBy("conv_id").agg(F.max("turn").alias("top"))
-    batch = top.select("conv_id", "top", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("name"))
-    return batch.select("conv_id", "name", (F.col("top") + F.row_number().over(Window.partitionBy("conv_id").orderBy("name"))).alias("idx"))
+    """Files added to sessions: some are there, some failed before, some come with folders or twice."""
+    c = t.conversations.select(F.col("conv_id").alias("session"), "turn")
+    name = lambda n: F.concat(F.lit("f"), n, F.lit(".pdf"))
+    old = c.where("turn < 5").distinct().select("session", (F.col("turn") + 1).alias("doc_index"), name(F.col("turn")).alias("filename"), F.when(F.col("turn") % 3 == 0, "failed").otherwise("done").alias("status"))
+    new = c.select("session", F.concat(F.lit("x/y/"), name(F.col("turn") * 2)).alias("filename"), (F.lit(100) - F.col("turn")).alias("at"))
+    return X.add_documents(old, new.unionByName(c.select((F.col("session") + 100_000).alias("session"), F.lit("a.pdf").alias("filename"), F.col("turn").alias("at"))))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from corpusmill.operators import feed as M
 from corpusmill.operators import filters as P
 from corpusmill.operators import ranking as W
-from corpusmill.plans.registry import query
+from corpusmill.operators import writes as X
+from corpusmill.plans.registry import phrase, query, sql_phrase
 
 
 @query("w1_rank_in_ranking", "SELECT qid, id, rank FROM (SELECT o_custkey AS qid, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 5")
@@ -34,19 +35,35 @@ def w4(t):
     return W.merge_intervals(t.events.select("user_id", at.alias("a"), (at + 600).alias("b")), ["user_id"], "a", "b", 20000, 300)
 
 
-@query("w5_conversation_title", "SELECT conv_id, coalesce(max(good), max(anyuser), 'Untitled chat') AS title FROM (SELECT conv_id, arg_min(CASE WHEN role = 'user' AND length(text) >= 12 THEN substr(text, 1, 80) END, CASE WHEN role = 'user' AND length(text) >= 12 THEN turn END) AS good, arg_min(CASE WHEN role = 'user' THEN substr(text, 1, 80) END, CASE WHEN role = 'user' THEN turn END) AS anyuser FROM conversations GROUP BY conv_id) GROUP BY conv_id")
+OPENERS = ("hello", " Danke ", "📎 vertrag.pdf hochgeladen", "ok", "test", "")
+CHITCHAT = ", ".join(map(repr, W.CHITCHAT))
+
+
+@query(
+    "w5_conversation_title",
+    f"""WITH said AS (
+  SELECT conv_id, turn, role, CASE WHEN turn % 3 = 0 THEN {sql_phrase(OPENERS, "conv_id")} ELSE text END AS text FROM conversations
+), picks AS (
+  SELECT conv_id, arg_min(substr(text, 1, 80), turn) FILTER (role = 'user' AND trim(text) <> '' AND substr(trim(text), 1, 1) <> '📎' AND length(trim(text)) >= 12 AND lower(trim(text)) NOT IN ({CHITCHAT})) AS good,
+    arg_min(substr(text, 1, 80), turn) FILTER (role = 'user') AS anything FROM said GROUP BY conv_id
+)
+SELECT conv_id, coalesce(CASE WHEN conv_id % 10 = 0 THEN 'Mein Titel' END, good, CASE WHEN conv_id % 3 = 0 THEN 'file' || conv_id || '.pdf' END, anything, 'Untitled chat') AS title FROM picks""",
+)
 def w5(t):
-    user = F.col("role") == "user"
-    head = F.substring("text", 1, 80)
-    pick = lambda test: F.min_by(F.when(test, head), F.when(test, F.col("turn")))
-    return t.conversations.groupBy("conv_id").agg(F.coalesce(pick(user & (F.length("text") >= 12)), pick(user), F.lit("Untitled chat")).alias("title"))
+    """Titles that users gave, first real questions, file names, and what else was said."""
+    c = F.col("conv_id")
+    said = t.conversations.select("conv_id", "turn", "role", F.when(F.col("turn") % 3 == 0, phrase(OPENERS, c)).otherwise(F.col("text")).alias("text"))
+    named = t.conversations.select("conv_id").distinct().select("conv_id", F.when(c % 10 == 0, " Mein Titel ").otherwise(" ").alias("title"), F.when(c % 3 == 0, F.concat(F.lit("file"), c, F.lit(".pdf"))).alias("filename"))
+    return W.display_titles(named, said, "conv_id").select("conv_id", F.col("display").alias("title"))
 
 
 @query("w6_duplicate_titles", "SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY lang || source ORDER BY doc_id DESC) > 1 THEN lang || source || ' (' || doc_id || ')' ELSE lang || source END AS title FROM documents")
 def w6(t):
-    title = F.concat("lang", "source")
-    rn = F.row_number().over(Window.partitionBy(title).orderBy(F.desc("doc_id")))
-    return t.documents.select("doc_id", F.when(rn > 1, F.concat(title, F.lit(" ("), F.col("doc_id").cast("string"), F.lit(")"))).otherwise(title).alias("title"))
+    """All but the newest of a title get a suffix; the newest is a maximum, so no title is sorted whole."""
+    titled = t.documents.select("doc_id", F.concat("lang", "source").alias("title"))
+    newest = titled.groupBy(F.col("title").alias("t")).agg(F.max("doc_id").alias("newest"))
+    joined = titled.join(newest, F.col("title").eqNullSafe(F.col("t")))
+    return joined.select("doc_id", F.when(F.col("doc_id") < F.col("newest"), F.concat("title", F.lit(" ("), F.col("doc_id").cast("string"), F.lit(")"))).otherwise(F.col("title")).alias("title"))
 
 
 @query("w7_spiral_jitter", "SELECT c_custkey, round(0.003 * cos(2 * pi() * (j - 1) / n), 6) AS dx, round(0.003 * sin(2 * pi() * (j - 1) / n), 6) AS dy FROM (SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS j, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer) WHERE n > 1")
@@ -156,10 +173,13 @@ def m5(t):
     return M.cascade(t.lineitem.select("l_orderkey", "l_linenumber"), t.orders.where("o_orderpriority <> '1-URGENT'"), "l_orderkey", "o_orderkey")
 
 
-@query("m6_retention_purge", "SELECT count(*) FILTER (ts < TIMESTAMP '2024-01-10') AS purged, count(*) FILTER (ts >= TIMESTAMP '2024-01-10') AS kept FROM events")
+@query("m6_retention_purge", "SELECT event_id, NULL::BIGINT AS purged, NULL::BIGINT AS kept FROM events WHERE ts >= TIMESTAMP '2024-01-20' - INTERVAL 10 DAY UNION ALL SELECT NULL, count(*) FILTER (ts < TIMESTAMP '2024-01-10'), count(*) FILTER (ts >= TIMESTAMP '2024-01-10') FROM events")
 def m6(t):
-    old = F.col("ts") < F.lit("2024-01-10").cast("timestamp")
-    return t.events.agg(F.count_if(old).alias("purged"), F.count_if(~old).alias("kept"))
+    """The rows that stay, and a dry run's counts."""
+    as_of = F.lit("2024-01-20").cast("timestamp")
+    none = F.lit(None).cast("bigint")
+    stay = X.purge(t.events, "ts", as_of, 10).select("event_id", none.alias("purged"), none.alias("kept"))
+    return stay.unionByName(X.purge(t.events, "ts", as_of, 10, dry_run=True).select(none.alias("event_id"), "purged", "kept"))
 
 
 @query("m7_orphan_reaper", "SELECT event_id, CASE WHEN event_type IN ('click', 'view') AND ts < TIMESTAMP '2024-01-29 21:00:00' THEN 'failed' ELSE event_type END AS state FROM events")
@@ -168,32 +188,128 @@ def m7(t):
     return t.events.select("event_id", F.when(stale, "failed").otherwise(F.col("event_type")).alias("state"))
 
 
-@query("m8_request_fingerprint", "SELECT conv_id, sha256(concat_ws('|', 'u1', array_to_string(list_sort(list(turn::VARCHAR)), ','), 'full', 'r')) AS fp FROM conversations GROUP BY conv_id")
+@query(
+    "m8_request_reuse",
+    """WITH asked AS (
+  SELECT conv_id, 'u' || conv_id % 3 AS usr, sha256('u' || conv_id % 3 || '|' || array_to_string(list_sort(list(DISTINCT (turn % 4)::VARCHAR)), ',') || '|full|r' || conv_id % 2) AS fp FROM conversations GROUP BY conv_id
+), reports AS (
+  SELECT a.conv_id * 10 + k AS report, fp, usr, ['done', 'running', 'failed', 'queued'][(conv_id + k) % 4 + 1] AS status, TIMESTAMP '2024-01-20' - INTERVAL (conv_id % 5 + k) HOUR AS created, CASE WHEN conv_id % 2 = 0 THEN TIMESTAMP '2024-01-20' - INTERVAL (k) HOUR END AS started
+  FROM asked a, (SELECT unnest([0, 1, 2]) AS k) WHERE conv_id % 7 <> 0
+), live AS (
+  SELECT fp, usr, max({'created': created, 'report': report, 'status': status}) AS r FROM reports WHERE status = 'done' OR status IN ('queued', 'running') AND coalesce(started, created) > TIMESTAMP '2024-01-20' - INTERVAL 2 HOUR GROUP BY 1, 2
+)
+SELECT conv_id, fp, r.report AS report, r.status AS status FROM asked LEFT JOIN live USING (fp, usr)""",
+)
 def m8(t):
-    ids = t.conversations.groupBy("conv_id").agg(F.collect_list("turn").alias("ids"))
-    return ids.select("conv_id", M.fingerprint(F.lit("u1"), F.col("ids"), F.lit("full"), F.lit("r")).alias("fp"))
-
-
-@query("m9_id_rebase", "SELECT doc_id + 100000000 AS id FROM documents")
+    """Requests over sets of documents, and reports of earlier ones in all states."""
+    c = F.col("conv_id")
+    ids = t.conversations.groupBy("conv_id").agg(F.collect_set((F.col("turn") % 4).cast("string")).alias("ids"))
+    user = F.concat(F.lit("u"), c % 3)
+    asked = ids.select("conv_id", X.request_key(user, F.shuffle("ids"), F.lit(" FULL"), F.concat(F.lit("R"), c % 2)).alias("fp"), user.alias("user"))
+    as_of = F.lit("2024-01-20").cast("timestamp")
+    before = lambda hours: as_of - F.make_dt_interval(F.lit(0), hours.cast("int"))
+    k = F.col("k")
+    reports = asked.where(c % 7 != 0).select("*", F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("k")).select(
+        (c * 10 + k).alias("report"), "fp", "user", phrase(("done", "running", "failed", "queued"), c + k).alias("status"), before(c % 5 + k).alias("created"), F.when(c % 2 == 0, before(k)).alias("started")
+    )
+    return X.reusable(asked, reports, as_of).select("conv_id", "fp", "report", "status")
+
+
+@query("m9_id_rebase", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN doc_id + 100000000 ELSE doc_id + 100000000 END AS id FROM documents WHERE doc_id % 3 <> 1 UNION ALL SELECT doc_id, doc_id + 100000000 FROM documents WHERE doc_id % 3 = 1")
 def m9(t):
-    return t.documents.select((F.col("doc_id") + 100_000_000).alias("id"))
+    """Ids missing in two of three rows; the others were rebased before, and doing it twice changes nothing."""
+    rows = t.documents.select("doc_id", F.when(F.col("doc_id") % 3 == 1, F.col("doc_id") + 100_000_000).alias("id"))
+    return X.rebase(X.rebase(rows, "id", "doc_id"), "id", "doc_id")
 
 
-@query("m10_conditional_upsert", "SELECT user_id, arg_max(value, event_id) AS value, 'open' AS part FROM events WHERE event_type <> 'purchase' GROUP BY 1 UNION ALL SELECT user_id, value, 'closed' FROM events WHERE event_type = 'purchase'")
+@query(
+    "m10_conditional_upsert",
+    """WITH rows AS (
+  SELECT user_id % 20 AS org, 'm' || user_id AS email, event_id AS invite, ts AS created, CASE WHEN event_type = 'purchase' THEN ts END AS accepted FROM events WHERE event_id % 2 = 0 AND event_type = 'purchase'
+  UNION ALL
+  SELECT user_id % 20, 'm' || user_id, max(event_id), arg_max(ts, event_id), NULL FROM events WHERE event_id % 2 = 0 AND event_type <> 'purchase' GROUP BY user_id
+), asked AS (
+  SELECT user_id % 20 AS org, 'm' || user_id AS email, max(event_id) AS invite, arg_max(ts, event_id) AS created, NULL::TIMESTAMP AS accepted FROM events WHERE event_id % 2 = 1 AND user_id % 4 = 0 GROUP BY user_id
+)
+SELECT * FROM rows WHERE accepted IS NOT NULL UNION ALL SELECT * FROM rows r WHERE accepted IS NULL AND NOT EXISTS (SELECT 1 FROM asked a WHERE a.org = r.org AND a.email = r.email) UNION ALL SELECT * FROM asked""",
+)
 def m10(t):
-    open_ = t.events.where("event_type <> 'purchase'").groupBy("user_id").agg(F.max_by("value", "event_id").alias("value")).withColumn("part", F.lit("open"))
-    return open_.unionByName(t.events.where("event_type = 'purchase'").select("user_id", "value", F.lit("closed").alias("part")))
+    """Invitations: accepted ones stay, open ones are replaced by the last request of the same address."""
+    e = t.events.select((F.col("user_id") % 20).alias("org"), F.concat(F.lit("m"), "user_id").alias("email"), F.col("event_id").alias("invite"), F.col("ts").alias("created"), F.when(F.col("event_type") == "purchase", F.col("ts")).alias("accepted"), "user_id", "event_type")
+    old = e.where("invite % 2 = 0")
+    open_ = X.invite(old.where("false").drop("user_id", "event_type"), old.where("event_type <> 'purchase'").drop("user_id", "event_type"), ["org", "email"], "invite", "accepted")
+    existing = old.where("event_type = 'purchase'").drop("user_id", "event_type").unionByName(open_)
+    asked = e.where("invite % 2 = 1 and user_id % 4 = 0").withColumn("accepted", F.lit(None).cast("timestamp")).drop("user_id", "event_type")
+    return X.invite(existing, asked, ["org", "email"], "invite", "accepted")
 
 
-@query("m11_single_use_consume", "SELECT event_id, event_type <> 'purchase' AND ts > TIMESTAMP '2024-01-15' AS consumed FROM events")
+@query(
+    "m11_single_use_consume",
+    """WITH tokens AS (
+  SELECT c_custkey AS hash, TIMESTAMP '2024-01-15' + INTERVAL (c_custkey % 10) DAY AS expires, CASE WHEN c_custkey % 5 = 0 THEN TIMESTAMP '2024-01-01' END AS consumed FROM customer
+), first AS (
+  SELECT user_id AS hash, min({'ts': ts, 'request': event_id}) AS f FROM events GROUP BY 1
+)
+SELECT event_id AS request, coalesce(f.request = event_id AND consumed IS NULL AND expires > f.ts, false) AS granted
+FROM events e LEFT JOIN first ON e.user_id = first.hash LEFT JOIN tokens ON e.user_id = tokens.hash""",
+)
 def m11(t):
-    return t.events.select("event_id", ((F.col("event_type") != "purchase") & (F.col("ts") > F.lit("2024-01-15").cast("timestamp"))).alias("consumed"))
+    """Requests for tokens that are new, used, expired or not known."""
+    k = F.col("c_custkey")
+    tokens = t.customer.select(k.alias("hash"), (F.lit("2024-01-15").cast("timestamp") + F.make_dt_interval((k % 10).cast("int"))).alias("expires"), F.when(k % 5 == 0, F.lit("2024-01-01").cast("timestamp")).alias("consumed"))
+    asked = t.events.select(F.col("event_id").alias("request"), F.col("user_id").alias("hash"), F.col("ts").cast("timestamp").alias("at"))
+    return X.consume(tokens, asked, F.lit("2024-01-20").cast("timestamp"))[1]
 
 
-@query("m12_share_grant", "SELECT DISTINCT o_orderkey AS session, o_custkey % 50 AS who FROM orders WHERE o_custkey % 50 <> o_orderkey % 50")
+@query(
+    "m12_share_grant",
+    """WITH owners AS (SELECT c_custkey AS session, c_custkey % 7 AS owner FROM customer), shares AS (SELECT c_custkey AS session, 3 AS who, c_custkey % 7 AS granted_by FROM customer WHERE c_custkey % 7 <> 3), asked AS (
+  SELECT o_orderkey AS request, CASE WHEN o_orderkey % 4 = 0 THEN 'revoke' ELSE 'grant' END AS kind, o_custkey AS session, o_orderkey % 5 AS who, CASE WHEN o_orderkey % 9 = 0 THEN 6 ELSE o_custkey % 7 END AS by_whom FROM orders
+), told AS (
+  SELECT a.*, CASE WHEN owner IS NULL OR owner <> by_whom THEN 'refused' WHEN kind = 'grant' AND who = owner THEN 'own' ELSE kind END AS outcome FROM asked a LEFT JOIN owners USING (session)
+), last AS (
+  SELECT session, who, arg_max(kind, request) AS kind, arg_max(by_whom, request) AS by_whom FROM told WHERE outcome IN ('grant', 'revoke') GROUP BY 1, 2
+)
+SELECT session, who, granted_by FROM shares s WHERE NOT EXISTS (SELECT 1 FROM last l WHERE l.session = s.session AND l.who = s.who) UNION ALL SELECT session, who, by_whom FROM last WHERE kind = 'grant'""",
+)
 def m12(t):
-    asked = t.orders.select(F.col("o_orderkey").alias("session"), (F.col("o_custkey") % 50).alias("who"))
-    return asked.where("who <> session % 50").distinct()
+    """Grants and revocations, some by others than the owner or to the owner."""
+    c, o = F.col("c_custkey"), F.col("o_orderkey")
+    owners = t.customer.select(c.alias("session"), (c % 7).alias("owner"))
+    shares = t.customer.where(c % 7 != 3).select(c.alias("session"), F.lit(3).cast("bigint").alias("user"), (c % 7).alias("granted_by"))
+    asked = t.orders.select(o.alias("request"), o.alias("at"), F.when(o % 4 == 0, "revoke").otherwise("grant").alias("kind"), F.col("o_custkey").alias("session"), (o % 5).alias("user"), F.when(o % 9 == 0, 6).otherwise(F.col("o_custkey") % 7).alias("by"))
+    return X.share(owners, shares, asked)[0].select("session", F.col("user").alias("who"), "granted_by")
+
+
+@query(
+    "u6_first_source",
+    """WITH every AS (
+  SELECT c_nationkey AS k, c_custkey AS row_id, 0 AS source FROM customer WHERE c_nationkey < 8 UNION ALL SELECT s_nationkey, s_suppkey, 1 FROM supplier WHERE s_nationkey < 16 UNION ALL SELECT n_nationkey, -n_nationkey, 2 FROM nation
+)
+SELECT k, min({'source': source, 'row_id': row_id}).source AS source, min({'source': source, 'row_id': row_id}).row_id AS row_id FROM every GROUP BY k""",
+)
+def u6(t):
+    """Nations by customers, else by suppliers, else by themselves; a last resort that is not needed."""
+    a = t.customer.where("c_nationkey < 8").select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("row_id"))
+    b = t.supplier.where("s_nationkey < 16").select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("row_id"))
+    c = t.nation.select(F.col("n_nationkey").alias("k"), (-F.col("n_nationkey")).alias("row_id"))
+    return X.first_source([a, b, c], "k", only_if_none=c.select((F.col("k") + 100).alias("k"), "row_id"))
+
+
+@query(
+    "x4_expiring_cache",
+    """WITH cache AS (SELECT event_id % 500 AS key, event_id AS value, CASE WHEN event_id % 5 <> 0 THEN ts + INTERVAL 7 DAY END AS expires FROM events WHERE event_id % 2 = 0), live AS (
+  SELECT key, value, expires FROM cache WHERE expires > TIMESTAMP '2024-01-20'
+), fetched AS (SELECT event_id % 500 AS key, max(event_id) AS value, TIMESTAMP '2024-01-20' + INTERVAL 90 DAY AS expires FROM events WHERE event_id % 7 = 3 AND event_id % 500 < 100 GROUP BY 1)
+SELECT key, value, expires FROM live WHERE key NOT IN (SELECT key FROM fetched) UNION ALL SELECT * FROM fetched""",
+)
+def x4(t):
+    """The cache after a fetch: live entries that were not fetched again, and the fetched for 90 days."""
+    as_of = F.lit("2024-01-20").cast("timestamp")
+    key = (F.col("event_id") % 500).alias("key")
+    cache = t.events.where("event_id % 2 = 0").select(key, F.col("event_id").alias("value"), F.when(F.col("event_id") % 5 != 0, F.col("ts").cast("timestamp") + F.expr("INTERVAL 7 DAYS")).alias("expires"))
+    fetched = t.events.where("event_id % 7 = 3 and event_id % 500 < 100").select(key, F.col("event_id").alias("value"))
+    return X.cache_after(cache, fetched, as_of, 90)
 
 
 @query("m13_fill_nulls_merge", "SELECT c_custkey, coalesce(CASE WHEN c_custkey % 3 = 0 THEN 'NEW' END, c_mktsegment) AS c_mktsegment FROM customer")

@@ -161,17 +161,6 @@ def contents_table(title: Column, cells: Column) -> Column:
     return F.lower(title).rlike(r"inhalt|contents|verzeichnis") | ((F.size(numbers) >= 3) & (F.size(small) > 0.7 * F.size(numbers)))
 
 
-def park_size(text: Column, summed: Column) -> Column:
-    """Megawatts: an explicit total, none if it is called undeterminable, else the sum."""
-    total = F.replace(F.regexp_extract(text, r"(?i)gesamtleistung\D{0,20}(\d+(?:[.,]\d+)?)\s*MW", 1), F.lit(","), F.lit(".")).try_cast("double")
-    return F.when(total.isNotNull(), total).when(F.lower(text).contains("nicht bestimmbar"), F.lit(None).cast("double")).otherwise(summed / 1000)
-
-
 def uncovered(topics: DataFrame, seen: DataFrame) -> DataFrame:
     """Required types that are missing, by exact name."""
     return topics.join(seen.select(F.col("kind").alias("required")).distinct(), "required", "left_anti").withColumn("severity", F.lit("high"))
-
-
-def rows_with_evidence(ampel: Column, value: Column, citation: Column, reranked: Column) -> Column:
-    """An invalid light is none; a real value without a citation cites the two best passages."""
-    return F.struct(F.when(ampel.isin("green", "yellow", "red"), ampel).alias("ampel"), F.when(citation.isNotNull(), F.array(citation)).when(value.isNotNull() & (value != ""), F.slice(reranked, 1, 2)).otherwise(F.array().cast("array<string>")).alias("evidence"))

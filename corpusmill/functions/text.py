@@ -73,6 +73,27 @@ def degenerate(text: Column) -> Column:
     return (F.length(text) >= 30) & (unique_gram_ratio(text) < 0.20)
 
 
+#: Spans of time in figures, and phrases of one who doesn't know.
+SPAN = r"(?iU)\b\d+\s+(jahre?n?|monate?n?|tage?n?|wochen?)\b"
+NOT_KNOWN = (
+    "fiktiv", "kenne nicht", "kann nicht beantworten", "kann ich nicht", "ich kann nicht", "weiß nicht", "weiss nicht", "existiert nicht", "keine information",
+    "keine spezifischen informationen", "kein gesetz", "fictional", "no such", "i don't know", "i don't have", "i cannot",
+)
+
+
+def invented_deadline(text: Column) -> Column:
+    """An answer that states a span of time and nowhere says that it does not know (F16)."""
+    low = F.lower(text)
+    return text.rlike(SPAN) & ~F.greatest(*[low.contains(p) for p in NOT_KNOWN])
+
+
+def law_hash(code: Column, sections: Column) -> Column:
+    """SHA-256 over a statute's abbreviation and the heads and texts of its sections, an array of (enbez, titel, text); an edit of any changes it."""
+    line = lambda c: F.when(c != "", F.concat(c, F.lit("\n"))).otherwise("")
+    body = F.array_join(F.transform(sections, lambda s: F.concat(line(F.coalesce(s["enbez"], F.lit(""))), line(F.coalesce(s["titel"], F.lit(""))), F.coalesce(s["text"], F.lit("")), F.lit("\n---\n"))), "")
+    return F.sha2(F.concat(line(F.coalesce(code, F.lit(""))), body), 256)
+
+
 #: Common HTML entities.
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&auml;": "ä", "&ouml;": "ö", "&uuml;": "ü", "&szlig;": "ß", "&sect;": "§", "&amp;": "&"}
 
@@ -107,19 +128,6 @@ def page_passages(text: Column, least: int = 40) -> Column:
     return F.flatten(each)
 
 
-def stride_windows(text: Column, size: int = 1000, overlap: int = 200) -> Column:
-    """Windows of a fixed size that overlap (F8)."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(size - overlap))
-    return F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))
-
-
-def word_overlap(a: Column, b: Column) -> Column:
-    """The share of a's distinct words of four letters or more that b has."""
-    words = lambda t: F.array_distinct(F.filter(F.regexp_extract_all(F.lower(t), F.lit(r"\p{L}{4,}"), F.lit(0)), lambda w: w != ""))
-    x = words(a)
-    return F.size(F.array_intersect(x, words(b))) / F.greatest(F.size(x), F.lit(1))
-
-
 def keyword_hits(keywords: list[str], text: Column) -> Column:
     """How many of the keywords a text has, whatever the case."""
     return sum((F.lower(text).contains(k.lower()).cast("int") for k in keywords), F.lit(0))

@@ -91,14 +91,3 @@ def drop_unknown_citations(text: Column, allowed: Column) -> Column:
         return F.when(F.size(wrong) > 0, marked).otherwise(s)
 
     return F.array_join(F.transform(sentences, fix), "")
-
-
-def extraction_quality(chars: Column, pages: Column) -> Column:
-    """low, medium or high by characters a page."""
-    density = chars / F.greatest(pages, F.lit(1))
-    return F.when(density < 200, "low").when(density < 800, "medium").otherwise("high")
-
-
-def sample_count(chars: Column) -> Column:
-    """Training samples for a text of a length."""
-    return F.when(chars < 500, 2).when(chars < 2000, 3).when(chars < 4000, 4).otherwise(5)

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import guard as U
 from corpusmill.functions import language as L
+from corpusmill.functions import legal as G
+from corpusmill.operators import findings as FN
 from corpusmill.operators import models as O
 from corpusmill.operators import retrieval as R
 from corpusmill.plans.registry import phrase, query, sql_list, sql_phrase
@@ -111,18 +113,51 @@ def f37(t):
     return cells.select("l_orderkey", U.contents_table(F.lit("x"), F.col("cells")).alias("toc"))
 
 
-@query("f39_derived_findings", "SELECT o_orderkey, 'deadline' AS kind, 4 AS severity FROM orders WHERE o_orderdate < TIMESTAMP '1993-01-01' UNION ALL SELECT o_orderkey, 'bond', 3 FROM orders WHERE o_totalprice < 5000")
+DATED = ("permit_expiry", "Pachtvertrag Ablauf", "construction_milestone", "objection_period", "other", "Gewährleistung")
+
+
+@query(
+    "f39_derived_findings",
+    f"""WITH timeline AS (
+  SELECT o_custkey AS report, {sql_phrase(DATED, "o_orderkey")} AS kind, ['expired', 'urgent', 'soon', 'future'][o_orderkey % 4 + 1] AS urgency, o_orderpriority AS description FROM orders
+)
+SELECT report, 'deadline' AS kind, CASE WHEN urgency = 'expired' THEN 'red' ELSE 'yellow' END AS severity, CASE WHEN contains(kind, 'permit') OR contains(kind, 'objection') THEN 'Regulatory' ELSE 'General' END AS domain,
+  CASE kind WHEN 'permit_expiry' THEN 'Permit Expiry' WHEN 'objection_period' THEN 'Objection Period' ELSE kind END || ': ' || description AS subject
+FROM timeline WHERE urgency IN ('expired', 'urgent') AND kind NOT IN ('construction_milestone', 'other')
+UNION ALL SELECT c_custkey, 'rueckbau', CASE WHEN c_custkey % 3 = 0 THEN 'red' ELSE 'yellow' END, 'Regulatory', CASE WHEN c_custkey % 3 = 0 THEN 'none' ELSE (c_custkey % 5)::VARCHAR END FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 3 = 1 AND c_custkey % 2 = 0
+UNION ALL SELECT s_suppkey, 'grundbuch', 'red', 'Land', s_suppkey::VARCHAR FROM supplier WHERE s_suppkey % 2 = 0 AND s_suppkey % 10 >= 5""",
+)
 def f39(t):
-    o = t.orders
-    rules = [("deadline", 4, F.col("o_orderdate") < F.lit("1993-01-01").cast("timestamp")), ("bond", 3, F.col("o_totalprice") < 5000)]
-    hits = F.array_compact(F.array(*[F.when(test, F.struct(F.lit(k).alias("kind"), F.lit(s).alias("severity"))) for k, s, test in rules]))
-    return o.select("o_orderkey", F.inline(hits))
+    """Orders as dates, customers as bonds, suppliers as owners of parcels."""
+    c, s = F.col("c_custkey"), F.col("s_suppkey")
+    timeline = t.orders.select(F.col("o_custkey").alias("report"), phrase(DATED, F.col("o_orderkey")).alias("kind"), phrase(("expired", "urgent", "soon", "future"), F.col("o_orderkey")).alias("urgency"), F.col("o_orderpriority").alias("description"))
+    bonds = t.customer.select(c.alias("report"), F.when(c % 3 != 0, c % 5).alias("amount"), F.when(c % 3 == 1, c % 2 == 1).alias("sufficient"))
+    owners = t.supplier.select(s.alias("report"), s.alias("parcel"), F.when(s % 2 == 0, False).otherwise(F.lit(None).cast("boolean")).alias("owner_match"), ((s % 10) / 10).alias("confidence"))
+    return FN.derived(timeline, bonds, owners)
+
+
+SIZES = ("2 MW pro Einheit fuer 10 Einheiten", "20,5 MW Gesamtleistung", "Leistung unbekannt", "rund 12", "3.2 MW je WEA", "")
+COUNTS = ("10 Anlagen", "nicht eindeutig", "12", "", "7 WEA")
 
 
-@query("f41_park_size", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 12.5 WHEN 1 THEN NULL ELSE p_size / 1000 END AS mw FROM part")
+@query(
+    "f41_park_size",
+    f"""WITH given AS (
+  SELECT p_partkey, {sql_phrase(SIZES, "p_partkey")} AS cap, {sql_phrase(COUNTS, "p_partkey")} AS num, [10, 0, 12, 0, 7][p_partkey % 5 + 1] AS counted, (p_partkey % 14)::INT AS n_rows, p_size * 100 AS kw FROM part
+), read AS (
+  SELECT *, CASE WHEN contains(cap, '10 Einheiten') OR contains(num, '10 Anlagen') THEN 10 WHEN contains(num, '7 WEA') THEN 7 END AS stated_n, CASE WHEN contains(cap, '2 MW pro') THEN 2.0 WHEN contains(cap, '3.2 MW je') THEN 3.2 END AS per,
+    CASE WHEN contains(cap, 'Gesamt') THEN 20.5 END AS total FROM given
+), told AS (
+  SELECT *, coalesce(n_rows > 0 AND counted > 0 AND abs(n_rows - counted) > greatest(2, round_even(counted * 0.25, 0)), false) AS far FROM read
+)
+SELECT p_partkey, CASE WHEN total IS NOT NULL THEN total WHEN stated_n IS NOT NULL AND per IS NOT NULL THEN round(stated_n * per, 3) WHEN contains(cap, 'unbekannt') THEN NULL ELSE round(kw / 1000, 3) END::DOUBLE AS total_mw,
+  (CASE WHEN stated_n IS NOT NULL THEN stated_n WHEN contains(num, 'eindeutig') AND counted = 0 THEN 0 WHEN far THEN counted WHEN n_rows > 0 THEN n_rows ELSE counted END)::INT AS turbines, far AS diverges FROM told""",
+)
 def f41(t):
-    text = F.when(F.col("p_partkey") % 3 == 0, "Gesamtleistung: 12,5 MW").when(F.col("p_partkey") % 3 == 1, "nicht bestimmbar").otherwise("")
-    return t.part.select("p_partkey", U.park_size(text, F.col("p_size")).alias("mw"))
+    k = F.col("p_partkey")
+    counted = F.element_at(F.array(*map(F.lit, (10, 0, 12, 0, 7))), (k % 5).cast("int") + 1)
+    size = FN.park_size(phrase(SIZES, k), phrase(COUNTS, k), counted, (k % 14).cast("int"), F.col("p_size") * 100)
+    return t.part.select("p_partkey", size.alias("s")).select("p_partkey", "s.*")
 
 
 @query("f43_contract_labels", "SELECT p_partkey, CASE WHEN contains(lower(p_type), 'steel') THEN 'STEEL' WHEN contains(lower(p_type), 'tin') THEN 'TIN' END AS label FROM part")
@@ -130,17 +165,25 @@ def f43(t):
     return t.part.select("p_partkey", U.first_label(F.col("p_type"), ["STEEL", "TIN"]).alias("label"))
 
 
-@query("f50_record_packers", "SELECT doc_id, substr(sha256('corpus:' || doc_id), 1, 16) AS key, 'Corpus doc ' || doc_id || ' (part ' || i || ')' AS title FROM (SELECT doc_id, unnest(range(1, ceil(length(text) / 4000)::BIGINT + 1)) AS i FROM documents WHERE length(text) >= 50)")
-def f50(t):
-    id_ = F.col("doc_id").cast("string")
-    parts = t.documents.where(F.length("text") >= 50).select("doc_id", F.explode(F.sequence(F.lit(1), F.ceil(F.length("text") / 4000).cast("int"))).alias("i"))
-    return parts.select("doc_id", F.substring(F.sha2(F.concat(F.lit("corpus:"), id_), 256), 1, 16).alias("key"), F.concat(F.lit("Corpus doc "), id_, F.lit(" (part "), F.col("i").cast("string"), F.lit(")")).alias("title"))
-
-
-@query("f51_evidence_rows", "SELECT doc_id, CASE WHEN quality = 1 THEN 'green' END AS ampel, CASE WHEN toxic = 1 THEN 1 ELSE 2 END AS n FROM labels")
+@query(
+    "f51_evidence_rows",
+    """WITH given AS (
+  SELECT doc_id, ['Wert', '', 'null', NULL][doc_id % 4 + 1] AS value, ['green', 'grün', 'red'][doc_id % 3 + 1] AS light, CASE doc_id % 5 WHEN 0 THEN [2, 9, 2, 1] WHEN 1 THEN [] WHEN 2 THEN NULL WHEN 3 THEN [0] ELSE [3] END AS cited,
+    CASE WHEN doc_id % 7 = 0 THEN NULL ELSE ['a', 'b', 'c'] END AS reranked, CASE WHEN doc_id % 11 = 0 THEN repeat('fehler ', 20) END AS error FROM documents
+), named AS (
+  SELECT *, value IS NOT NULL AND value NOT IN ('', 'null') AS real, CASE WHEN reranked IS NULL THEN [] ELSE CASE doc_id % 5 WHEN 0 THEN ['b', 'a'] WHEN 4 THEN ['c'] ELSE [] END END AS good FROM given
+)
+SELECT doc_id AS row, CASE WHEN error IS NOT NULL THEN 'Could not extract' WHEN real THEN value ELSE 'Information not found in documents' END AS value, CASE WHEN error IS NOT NULL THEN 'red' WHEN light IN ('green', 'red') THEN light END AS light,
+  CASE WHEN error IS NOT NULL THEN [] WHEN len(good) > 0 THEN good WHEN real AND reranked IS NOT NULL THEN ['a', 'b'] ELSE [] END AS evidence, CASE WHEN error IS NOT NULL THEN 'Error: ' || substr(error, 1, 80) END AS note FROM named""",
+)
 def f51(t):
-    row = U.rows_with_evidence(F.when(F.col("quality") == 1, "green").otherwise("grün"), F.lit("v"), F.when(F.col("toxic") == 1, "c"), F.array(F.lit("a"), F.lit("b"), F.lit("c")))
-    return t.labels.select("doc_id", row["ampel"].alias("ampel"), F.size(row["evidence"]).alias("n"))
+    k = F.col("doc_id")
+    ints = lambda *xs: F.array(*map(F.lit, xs)).cast("array<int>") if xs else F.array().cast("array<int>")
+    cited = F.when(k % 5 == 0, ints(2, 9, 2, 1)).when(k % 5 == 1, ints()).when(k % 5 == 3, ints(0)).when(k % 5 == 4, ints(3))
+    value = F.when(k % 4 == 0, "Wert").when(k % 4 == 1, "").when(k % 4 == 2, "null")
+    passages = F.when(k % 7 != 0, F.array(F.lit("a"), F.lit("b"), F.lit("c")))
+    answers = t.documents.select(k.alias("row"), value.alias("value"), phrase(("green", "grün", "red"), k).alias("light"), cited.alias("cited"), passages.alias("reranked"), F.when(k % 11 == 0, "fehler " * 20).alias("error"))
+    return FN.assembled(answers)
 
 
 @query("f52_missing_types", "SELECT required, 'high' AS severity FROM (VALUES ('en'), ('pt'), ('de')) AS r(required) WHERE required NOT IN (SELECT lang FROM documents)")
@@ -148,21 +191,61 @@ def f52(t):
     return U.uncovered(t.spark.createDataFrame([("en",), ("pt",), ("de",)], "required string"), t.documents.select(F.col("lang").alias("kind")))
 
 
-@query("f53_table_rows", "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN '' ELSE n_name END AS name FROM nation")
+@query(
+    "f53_table_rows",
+    """SELECT o_orderkey AS "table", CASE WHEN o_orderkey % 2 = 0 THEN 'Liste ' || o_orderkey ELSE 'Tabelle' END AS title, n FROM orders JOIN (
+  SELECT l_orderkey, list('{"Nr":"' || l_linenumber || '","Wert":"' || CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE l_returnflag END || '"}' ORDER BY l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE l_returnflag END) AS n FROM lineitem GROUP BY 1 HAVING count(*) FILTER (l_linenumber = 1 AND l_orderkey % 5 = 0) = 0) ON o_orderkey = l_orderkey""",
+)
 def f53(t):
-    return t.nation.select("n_nationkey", F.when(F.col("n_nationkey") % 2 == 1, F.col("n_name")).alias("name")).na.fill("", ["name"])
+    """Orders as tables; every fifth has a row too wide."""
+    k = F.col("l_orderkey")
+    value = F.when(F.col("l_linenumber") % 3 == 0, F.when(k % 2 == 0, "NaN")).otherwise(F.col("l_returnflag"))
+    values = F.array(F.col("l_linenumber").cast("string"), value)
+    wide = (k % 5 == 0) & (F.col("l_linenumber") == 1)
+    cells = t.lineitem.select(k.alias("table"), F.when(k % 2 == 0, F.concat(F.lit("Liste "), k)).otherwise("").alias("caption"), F.col("l_linenumber").alias("place"), F.array(F.lit("Nr"), F.lit("Wert")).alias("columns"), F.when(wide, F.concat(values, values)).otherwise(values).alias("values"))
+    return FN.table_records(cells).select("table", "title", F.col("rows").alias("n"))
 
 
-@query("f54_cited_rows", "SELECT DISTINCT l.l_orderkey AS doc, substr(o_orderpriority, 1, 50) AS excerpt FROM lineitem l JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1 AND o_orderstatus = 'F'")
+@query(
+    "f54_cited_rows",
+    """WITH rows AS (
+  SELECT 's' || l_linenumber % 3 AS section, 'k' || l_orderkey AS label, l_suppkey AS doc, repeat('x', 60) || l_linenumber % 2 || l_returnflag AS excerpt, l_linenumber FROM lineitem
+), cites AS (
+  SELECT o_orderkey AS finding, unnest([0, 1, 2]) AS i, unnest(['s1', 's2', 's9']) AS section, 'k' || o_orderkey AS label FROM orders WHERE o_orderkey % 4 <> 0
+), met AS (
+  SELECT finding, doc, min(i) AS i FROM cites JOIN rows USING (section, label) GROUP BY 1, 2
+), dropped AS (
+  SELECT finding, count(*) FILTER (NOT EXISTS (SELECT 1 FROM rows r WHERE r.section = c.section AND r.label = c.label)) AS dropped FROM cites c GROUP BY 1
+)
+SELECT finding, ['red', 'yellow', 'yellow'][finding % 3 + 1] AS severity, coalesce((SELECT list_sort(list(doc)) FROM met m WHERE m.finding = d.finding), []) AS docs, dropped FROM dropped d""",
+)
 def f54(t):
-    cited = t.lineitem.where("l_linenumber = 1").select("l_orderkey")
-    return cited.join(t.orders.where("o_orderstatus = 'F'"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_orderkey").alias("doc"), F.substring("o_orderpriority", 1, 50).alias("excerpt")).dropDuplicates(["doc", "excerpt"])
+    """Findings that cite rows by section and label; one of three labels names no row."""
+    k = F.col("o_orderkey")
+    label = F.concat(F.lit("k"), k)
+    cite = lambda s: F.struct(F.lit(s).alias("section"), F.concat(F.lit(" "), label).alias("label"))
+    found = t.orders.select(k.alias("finding"), F.when(k % 4 == 0, " ").otherwise("text").alias("text"), phrase(("red", "yellow", "orange"), k).alias("severity"), F.array(cite("s1"), cite("s2"), cite("s9")).alias("cited"))
+    rows = t.lineitem.select(F.concat(F.lit("s"), F.col("l_linenumber") % 3).alias("section"), F.concat(F.lit("k"), "l_orderkey").alias("label"), F.col("l_suppkey").cast("bigint").alias("doc"), F.concat(F.lit("x" * 60), F.col("l_linenumber") % 2, "l_returnflag").alias("excerpt"))
+    out = FN.cited_evidence(found, rows)
+    return out.select("finding", "severity", F.array_sort(F.transform("evidence", lambda e: e["doc"])).alias("docs"), "dropped")
+
+
+ASKED = ("Urteil des BGH zu § 5 BImSchG", "BauGB Stand 01.02.2020", "Beschluss vom 3.4.2021", "allgemein", "VG Berlin und EEG damals")
+INTENTS = ("court_ruling", "historical_law", "current_law", "general")
 
 
-@query("f57_query_filters", "SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'ruling' ELSE 'any' END AS doc_type, item_id % 2 = 0 AS current_only FROM benchmark")
+@query(
+    "f57_query_filters",
+    f"""WITH q AS (SELECT item_id, {sql_phrase(ASKED, "item_id")} || ' ' || text AS x, {sql_phrase(INTENTS, "item_id")} AS intent FROM benchmark), read AS (
+  SELECT *, list_sort(list_filter({sql_list(G.LAW_CODES)}, lambda c: CASE c {" ".join(f"WHEN '{c}' THEN regexp_matches(x, '\\b{c}\\b')" for c in G.LAW_CODES)} END)) AS codes, nullif(regexp_extract(x, '\\d{{1,2}}\\.\\d{{1,2}}\\.\\d{{4}}'), '') AS dated FROM q
+)
+SELECT item_id, nullif(array_to_string(codes, ','), '') AS law_refs, CASE WHEN intent = 'historical_law' THEN dated END AS effective_to, CASE WHEN intent <> 'historical_law' AND dated IS NOT NULL THEN true END AS current_only, CASE WHEN intent = 'court_ruling' THEN 'ruling' END AS doc_type,
+  (regexp_matches(x, '(?i)(?:vergleich|unterschied|abgrenzung)')::INT + regexp_matches(x, '(?i)\\bund\\b.*\\bund\\b')::INT + regexp_matches(x, '§\\s*\\d+.*§\\s*\\d+')::INT + regexp_matches(x, '(?i)sowohl\\s.*\\sals auch')::INT + regexp_matches(x, '(?i)einerseits\\s.*\\sandererseits')::INT) AS complexity FROM read""",
+)
 def f57(t):
-    q = F.concat("text", F.when(F.col("item_id") % 3 == 0, " Urteil des BGH").otherwise(""), F.when(F.col("item_id") % 2 == 1, " Stand 01.02.2020").otherwise(""))
-    return t.benchmark.select("item_id", F.when(q.rlike(r"\b(Urteil|BGH|Beschluss)\b"), "ruling").otherwise("any").alias("doc_type"), (~q.rlike(r"\d{1,2}\.\d{1,2}\.\d{4}")).alias("current_only"))
+    """Filters that a parsed question asks for, and how many signs of a complex one it has."""
+    q = t.benchmark.select("item_id", F.concat(phrase(ASKED, F.col("item_id")), F.lit(" "), "text").alias("x"), phrase(INTENTS, F.col("item_id")).alias("intent"))
+    return q.select("item_id", G.search_filters(F.col("x"), F.col("intent")).alias("f"), G.complexity(F.col("x")).alias("complexity")).select("item_id", F.when(F.size("f.law_refs") > 0, F.array_join("f.law_refs", ",")).alias("law_refs"), "f.effective_to", "f.current_only", "f.doc_type", "complexity")
 
 
 @query("r4_all_terms_rank", "SELECT conv_id, turn, list_sum([CASE WHEN w IN ('the', 'of') THEN 1 ELSE 0 END for w in regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')])::INT AS tf FROM conversations WHERE list_contains(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), 'the') AND list_contains(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), 'of')")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.operators import filters as P
+from corpusmill.operators import findings as FN
 from corpusmill.operators import matching as X
 from corpusmill.operators import vectors as V
 from corpusmill.plans.registry import query
@@ -110,13 +111,21 @@ def j18(t):
     return told.unionByName(P.missing(t.labels, probes, "doc_id", "vec_id").select(F.col("doc_id").alias("id"), "quality", F.lit("orphan").alias("side")))
 
 
-@query("j19_topic_coverage", "SELECT topic, critical, CASE WHEN critical THEN 4 ELSE 3 END AS severity FROM (VALUES ('promo', true, ['PROMO', 'SALE']), ('steel', false, ['STEEL']), ('blank', true, ['BLANK', 'VOID'])) AS p(topic, critical, words) WHERE NOT EXISTS (SELECT 1 FROM part, (SELECT unnest(words) AS w) WHERE contains(upper(p_type), w))")
+@query(
+    "f44_j19_topic_coverage",
+    """WITH topics AS (
+  SELECT n_nationkey AS contract, topic, critical, words FROM nation, (VALUES ('Promo', true, ['promo burnished', 'promo anodized']), ('steel', false, []), ('Blank', true, ['blank', 'void']), ('Tin', false, ['nickel', 'brushed tin'])) AS p(topic, critical, words)
+), seen AS (
+  SELECT p_partkey % 25 AS contract, lower(p_type) AS kind FROM part WHERE p_partkey % 3 = 0
+)
+SELECT contract, topic, CASE WHEN critical THEN 4 ELSE 3 END AS severity FROM topics t WHERE NOT EXISTS (SELECT 1 FROM seen s, (SELECT unnest(CASE WHEN len(words) > 0 THEN words ELSE [lower(topic)] END) AS w) WHERE s.contract = t.contract AND contains(kind, w))""",
+)
 def j19(t):
-    playbook = t.spark.createDataFrame([("promo", True, ["PROMO", "SALE"]), ("steel", False, ["STEEL"]), ("blank", True, ["BLANK", "VOID"])], "topic string, critical boolean, words array<string>")
-    seen = t.part.select(F.upper("p_type").alias("kind")).distinct()
-    words = F.broadcast(playbook.select("topic", F.explode("words").alias("w")))
-    covered = seen.join(words, F.col("kind").contains(F.col("w"))).select("topic").distinct()
-    return playbook.join(covered, "topic", "left_anti").select("topic", "critical", F.when(F.col("critical"), 4).otherwise(3).alias("severity"))
+    """Topics that each contract's clauses should cover; nations as contracts, kinds of parts as clauses."""
+    playbook = t.spark.createDataFrame([("Promo", True, ["promo burnished", "promo anodized"]), ("steel", False, []), ("Blank", True, ["blank", "void"]), ("Tin", False, ["nickel", "brushed tin"])], "topic string, critical boolean, synonyms array<string>")
+    topics = t.nation.select(F.col("n_nationkey").cast("bigint").alias("contract")).crossJoin(F.broadcast(playbook))
+    seen = t.part.where("p_partkey % 3 = 0").select((F.col("p_partkey") % 25).alias("contract"), F.col("p_type").alias("kind"))
+    return FN.topic_gaps(topics, seen)
 
 
 @query("j20_manifest_hydration", "SELECT d.doc_id, coalesce(quality, 0) AS score FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")

@@ -47,9 +47,17 @@ def g2b(t):
     return made.select("id", F.size("ring").cast("bigint").alias("n"), F.round(G.centroid(F.col("ring"))["lat"], 4).alias("lat"), F.round(G.centroid(F.col("ring"))["lng"], 4).alias("lng"))
 
 
-@query("g3_ring_area", f"SELECT id, 0.0004::DOUBLE AS area FROM ({PLACE})")
+@query("g3_g4_project_areas", f"SELECT id, CASE WHEN id % 4 = 0 THEN 'user_drawn' WHEN id % 4 = 1 THEN 'wea_convex_hull' WHEN id % 4 = 2 THEN 'center_buffer' ELSE 'none' END AS source, CASE WHEN id % 4 = 0 THEN round(round(0.02 * 111 * 0.03 * 111 * cos(radians(lat::DOUBLE + 0.01)), 4), 3) END AS drawn_km2 FROM ({PLACE})")
 def g3(t):
-    return places(t).select("id", F.round(G.ring_area(ring(F.col("lat"), F.col("lng"))), 6).alias("area"))
+    """Areas that were drawn, follow from turbines or from a centre; tests compare hulls and areas with plain versions."""
+    p, k = places(t), F.col("id")
+    lat, lng = F.col("lat"), F.col("lng")
+    none = F.lit(None).cast("array<array<double>>")
+    drawn = F.when(k % 4 == 0, F.array(F.array(lat, lng), F.array(lat, lng + 0.03), F.array(lat + 0.02, lng + 0.03), F.array(lat + 0.02, lng))).otherwise(none)
+    turbines = F.when(k % 4 == 1, F.array(F.array(lat, lng), F.array(lat + 0.01, lng), F.array(lat, lng + 0.01), F.array(lat + 0.002, lng + 0.002), F.array(F.lit(0.0), F.lit(0.0)))).otherwise(none)
+    area = G.project_area(drawn, turbines, F.when(k % 4 == 2, lat), lng)
+    made = p.select("id", area.alias("a"))
+    return made.select("id", "a.source", F.when(F.col("a.source") == "user_drawn", F.round(G.area_km2(F.col("a.ring")), 3)).alias("drawn_km2"))
 
 
 @query("g5_grid_points", f"SELECT id, (count(*))::BIGINT AS n FROM (SELECT id, unnest(range(0, 4)) FROM ({PLACE})) GROUP BY 1")
@@ -64,10 +72,38 @@ def g6(t):
     return places(t).select("id", G.contains_point(box, F.col("lat"), F.col("lng")).alias("inside"))
 
 
-@query("g7_parcel_squares_g8_geojson")
+@query("g6_polygons_meet", f"SELECT id, abs(lat::DOUBLE - 49.25) <= 0.203 AND abs(lng::DOUBLE - 10.25) <= 0.203 AS meet FROM ({PLACE})")
+def g6_meet(t):
+    """Squares of a tenth of a degree around places, against a diamond's box of three tenths."""
+    box = lambda lat, lng, d: F.array(*[F.array(lat + a * d, lng + b * d) for a, b in ((-1, -1), (-1, 1), (1, 1), (1, -1))])
+    return places(t).select("id", G.polygons_meet(box(F.col("lat"), F.col("lng"), 0.05), box(F.lit(49.25), F.lit(10.25), 0.153)).alias("meet"))
+
+
+@query("g7_g8_maps", f"SELECT park AS project, count(*) FILTER (id % 3 <> 0) AS parcels, count(*) FILTER (id % 5 = 0) AS wea, 0::BIGINT AS project_area, 0::BIGINT AS clearance_zones, count(*) FILTER (id % 3 <> 0) + count(*) FILTER (id % 5 = 0) AS total FROM ({PLACE}) GROUP BY 1")
 def g7(t):
-    made = places(t).withColumn("ring", G.square(F.col("lat"), F.col("lng"), F.lit(10_000.0)))
-    return made.select("id", G.geojson_feature(F.col("ring"), F.struct("id", "park")).alias("feature"))
+    """Maps of parks with squares as parcels and points as turbines; some have no ring, some points lie at nothing."""
+    p, k = places(t), F.col("id")
+    none = F.lit(None).cast("array<array<double>>")
+    text = lambda name, c: F.create_map(F.lit(name), c.cast("string"))
+    parcels = p.select(F.col("park").alias("project"), F.lit("parcels").alias("layer"), k.alias("place"), F.when(k % 3 != 0, G.square(F.col("lat"), F.col("lng"), F.lit(10_000.0))).alias("ring"), "lat", "lng", text("id", k).alias("properties"))
+    turbines = p.select(F.col("park").alias("project"), F.lit("wea").alias("layer"), k.alias("place"), none.alias("ring"), F.when(k % 5 == 0, F.col("lat")).otherwise(0.0).alias("lat"), F.when(k % 5 == 0, F.col("lng")).otherwise(0.0).alias("lng"), text("name", k).alias("properties"))
+    made = G.geojson_collections(parcels.unionByName(turbines))
+    total = F.get_json_object("geojson", "$.metadata.total_features").cast("bigint")
+    return made.select("project", "parcels", "wea", "project_area", "clearance_zones", total.alias("total"))
+
+
+def _first_state(boxes) -> str:
+    return "CASE " + " ".join(f"WHEN lat BETWEEN {s} AND {n} AND lng BETWEEN {w} AND {e} THEN '{name}'" for name, (s, n, w, e) in boxes.items()) + " END"
+
+
+@query("g9_states", f"SELECT id, {_first_state(G.LOOKUP_BOXES)} AS looked_up, {_first_state(G.CHECK_BOXES)} AS checked, CASE id % 4 WHEN 0 THEN lat BETWEEN 47.27 AND 55.06 AND lng BETWEEN 5.86 AND 15.04 WHEN 1 THEN lat BETWEEN 47.2701 AND 50.5647 AND lng BETWEEN 8.9764 AND 13.8396 WHEN 2 THEN true ELSE lat BETWEEN 49.3953 AND 51.6578 AND lng BETWEEN 7.7725 AND 10.2364 END AS allowed FROM (SELECT id, (lat + (id % 7) - 1)::DOUBLE AS lat, (lng - (id % 5))::DOUBLE AS lng FROM ({PLACE}))")
+def g9(t):
+    """States by either table of boxes, and whether a place may be in the one that is named."""
+    k = F.col("id")
+    p = places(t).select("id", (F.col("lat") + k % 7 - 1).alias("lat"), (F.col("lng") - k % 5).alias("lng"))
+    named = F.when(k % 4 == 1, "bayern").when(k % 4 == 2, "atlantis").when(k % 4 == 3, "hessen")
+    lat, lng = F.col("lat"), F.col("lng")
+    return p.select("id", G.state_at(lat, lng).alias("looked_up"), G.state_at(lat, lng, G.CHECK_BOXES).alias("checked"), G.in_state(lat, lng, named).alias("allowed"))
 
 
 @query("j12_parcel_contract_exact", "SELECT c.id, coalesce(f.contract, b.contract) AS contract, CASE WHEN f.contract IS NOT NULL THEN 'exact_full' WHEN b.contract IS NOT NULL THEN 'exact_number' END AS how FROM (SELECT c_custkey AS id, c_custkey % 60 AS number FROM customer) c LEFT JOIN (SELECT o_custkey, arg_max(o_orderkey, o_orderkey) AS contract FROM orders GROUP BY 1) f ON c.id = f.o_custkey LEFT JOIN (SELECT o_orderkey % 90 AS number, max(o_orderkey) AS contract FROM orders GROUP BY 1) b ON c.number = b.number")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusmill.operators import dedup as D
 from corpusmill.operators import evaluation as E
 from corpusmill.operators import filters as P
+from corpusmill.operators import findings as FN
 from corpusmill.operators import ranking as W
 from corpusmill.operators import retrieval as R
 from corpusmill.operators import vectors as V
@@ -183,9 +184,15 @@ def r8(t):
     return q.join(found, "qid").select(F.col("qid").alias("item_id"), "expansions", R.augmented(F.col("question"), F.col("expansions"), F.array().cast("array<string>"), "q1").alias("question"))
 
 
-@query("r12_dedupe_by_parent", "SELECT label AS parent, arg_min(vec_id, vec_id) AS id FROM embeddings GROUP BY 1")
+@query(
+    "r12_dedupe_by_parent",
+    f"""WITH {BM25}, own AS (SELECT qid, id, rank, CASE WHEN id % 5 = 0 THEN -id ELSE id % 40 END AS parent FROM bm25), first AS (SELECT qid, parent, min({{'rank': rank, 'id': id}}) AS h FROM own GROUP BY 1, 2)
+SELECT qid, parent, h.rank AS rank, h.id AS id FROM first QUALIFY row_number() OVER (PARTITION BY qid ORDER BY h.rank, h.id) <= 10""",
+)
 def r12(t):
-    return W.first_per_key(t.embeddings.select(F.col("label").alias("parent"), F.col("vec_id").alias("id")), ["parent"], [F.col("id")])
+    """Hits of a question, one a parent; every fifth has none and stands for itself."""
+    hits = lexical(t).withColumn("owner", F.when(F.col("id") % 5 != 0, F.col("id") % 40))
+    return FN.by_parent(hits, "qid", "id", "owner", "rank", 10)
 
 
 @query(

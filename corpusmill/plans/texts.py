@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from corpusmill.functions import json as J
 from corpusmill.functions import language as L
 from corpusmill.functions import legal as G
+from corpusmill.functions import packing as PK
 from corpusmill.functions import questions as Q
 from corpusmill.functions import text as T
 from corpusmill.functions import values as V
 from corpusmill.operators import chunking as C
+from corpusmill.operators import findings as FN
 from corpusmill.plans.registry import phrase, query, sql_list, sql_phrase
 
 
@@ -49,10 +51,17 @@ def f4(t):
     return C.family_table(t.documents)
 
 
-@query("f8_stride_windows", "SELECT doc_id, len(range(1, greatest(length(text), 1) + 1, 800)) AS n, length(substr(text, 801, 1000)) AS second FROM documents")
+@query("f8_stride_windows", "SELECT doc_id, list_transform(range(1, greatest(length(text), 1) + 1, 800), lambda i: md5(substr(text, i, 1000))) AS windows FROM documents")
 def f8(t):
-    w = T.stride_windows(F.col("text"))
-    return t.documents.select("doc_id", F.size(w).cast("bigint").alias("n"), F.length(F.substring("text", 801, 1000)).cast("bigint").alias("second"))
+    return t.documents.select("doc_id", F.transform(PK.stride_windows(F.col("text")), lambda w: F.md5(w)).alias("windows"))
+
+
+@query("f8_f50_packets")
+def f50(t):
+    """Paragraphs packed, windows that end at empty lines, sections packed with overlap, and records; tests compare each with a plain version."""
+    text = F.col("text")
+    made = t.documents.select("doc_id", PK.clause_windows(text).alias("windows"), PK.section_packets(F.split(text, "\n")).alias("sections"), PK.ruling_record(F.col("doc_id").cast("string"), F.col("source"), text).alias("ruling"), PK.shard_record(F.lit("s"), F.col("doc_id").cast("string"), F.lit("caselaw"), text).alias("line"))
+    return made.select("doc_id", F.size("windows").alias("windows"), F.size("sections").alias("sections"), "ruling", "line")
 
 
 @query("f9_page_passages", "SELECT conv_id, count(*) AS n FROM (SELECT conv_id, unnest(string_split(text, chr(10))) AS p FROM conversations) WHERE length(trim(p)) >= 40 GROUP BY 1")
@@ -72,9 +81,16 @@ def f11(t):
     return t.pages.select("page_id", T.safe_id(F.col("url")).alias("safe"), T.slug(F.col("url")).alias("slug"))
 
 
-@query("f12_hash_keys", "SELECT doc_id, substr(md5(source || ':' || doc_id), 1, 16) AS key, substr(sha256(text), 1, 24) AS content FROM documents")
+@query(
+    "f12_hash_keys",
+    """SELECT doc_id, substr(md5(source || ':' || doc_id), 1, 16) AS key, substr(sha256(text), 1, 24) AS content,
+  sha256(CASE WHEN lang = 'de' THEN '' ELSE lang || chr(10) END || source || chr(10) || text || chr(10) || '---' || chr(10) || '§ 2' || chr(10) || 'T' || chr(10) || chr(10) || '---' || chr(10)) AS law FROM documents""",
+)
 def f12(t):
-    return t.documents.select("doc_id", T.doc_key(F.concat("source", F.lit(":"), F.col("doc_id").cast("string"))).alias("key"), F.substring(F.sha2("text", 256), 1, 24).alias("content"))
+    section = lambda a, b, c: F.struct(a.alias("enbez"), b.alias("titel"), c.alias("text"))
+    sections = F.array(section(F.col("source"), F.lit(None).cast("string"), F.col("text")), section(F.lit("§ 2"), F.lit("T"), F.lit(None).cast("string")))
+    law = T.law_hash(F.when(F.col("lang") != "de", F.col("lang")), sections)
+    return t.documents.select("doc_id", T.doc_key(F.concat("source", F.lit(":"), F.col("doc_id").cast("string"))).alias("key"), F.substring(F.sha2("text", 256), 1, 24).alias("content"), law.alias("law"))
 
 
 @query("f13_head_tail", "SELECT doc_id, md5(CASE WHEN length(text) > 4000 THEN substr(text, 1, 2000) || chr(10) || '[...]' || chr(10) || right(text, 2000) ELSE text END) AS h FROM documents")
@@ -92,9 +108,19 @@ def f15(t):
     return t.documents.select("doc_id", F.round(T.ascii_ratio(F.col("text")), 6).alias("ratio"))
 
 
-@query("f16_degenerate_answers", "SELECT item_id, round(len(list_distinct(g)) / len(g), 6) AS ratio FROM (SELECT item_id, list_transform(range(1, length(text) - 3), lambda i: substr(text, i, 5)) AS g FROM benchmark)")
+SPANS = ("in 30 Jahren", "Frist: 14 Tage, weiß nicht", "nach 2 Wochen", "12 Monate; I don't know", "vier Wochen", "3Tage", "ab 5 Jahre alt", "")
+
+
+@query(
+    "f16_degenerate_answers",
+    f"""SELECT doc_id, CASE WHEN length(x) < 30 THEN false ELSE len(list_distinct(g)) / len(g) < 0.2 END AS degenerate,
+  regexp_matches(x, '(?i)\\b\\d+\\s+(jahre?n?|monate?n?|tage?n?|wochen?)\\b') AND NOT ({" OR ".join("contains(lower(x), '" + p.replace("'", "''") + "')" for p in T.NOT_KNOWN)}) AS invented
+FROM (SELECT doc_id, x, list_transform(range(1, greatest(length(x) - 3, 2)), lambda i: substr(x, i, 5)) AS g FROM (
+  SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN repeat('la ', 30) ELSE substr(text, 1, 300) END || ' ' || {sql_phrase(SPANS, "doc_id")} AS x FROM documents))""",
+)
 def f16(t):
-    return t.benchmark.select("item_id", F.round(T.unique_gram_ratio(F.col("text")), 6).alias("ratio"))
+    x = F.concat(F.when(F.col("doc_id") % 4 == 0, "la " * 30).otherwise(F.substring("text", 1, 300)), F.lit(" "), phrase(SPANS, F.col("doc_id")))
+    return t.documents.select("doc_id", x.alias("x")).select("doc_id", T.degenerate(F.col("x")).alias("degenerate"), T.invented_deadline(F.col("x")).alias("invented"))
 
 
 @query("f17_html_to_text")
@@ -282,14 +308,20 @@ def f40(t):
     return t.lineitem.join(winner, "l_partkey").groupBy("l_partkey").agg(F.count_if(V.diverges(F.col("l_quantity"), F.col("w"))).alias("diverging"))
 
 
-@query("f42_f49_quality_and_samples", "SELECT doc_id, CASE WHEN n_chars / 3 < 200 THEN 'low' WHEN n_chars / 3 < 800 THEN 'medium' ELSE 'high' END AS quality, CASE WHEN n_chars < 500 THEN 2 WHEN n_chars < 2000 THEN 3 WHEN n_chars < 4000 THEN 4 ELSE 5 END AS samples FROM documents")
+@query(
+    "f42_f49_quality_and_samples",
+    """WITH graded AS (
+  SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN CASE WHEN n_chars < 5000 THEN 'low' ELSE 'high' END WHEN n_chars / (doc_id % 4) < 1800 THEN 'low' WHEN n_chars / (doc_id % 4) < 2500 THEN 'medium' ELSE 'high' END AS quality, (doc_id % 3 + 2)::INT AS severity, n_chars FROM documents
+)
+SELECT doc_id, quality, CASE WHEN quality = 'low' THEN greatest(2, severity - 1) ELSE severity END AS severity, quality = 'low' AS low_confidence, CASE WHEN n_chars < 500 THEN 2 WHEN n_chars < 2000 THEN 3 WHEN n_chars < 4000 THEN 4 ELSE 5 END AS samples, 'rag_qa' AS first FROM graded""",
+)
 def f42(t):
-    return t.documents.select("doc_id", V.extraction_quality(F.col("n_chars"), F.lit(3)).alias("quality"), V.sample_count(F.col("n_chars")).alias("samples"))
-
-
-@query("f45_word_overlap")
-def f45(t):
-    return t.documents.select("doc_id", F.round(T.word_overlap(F.substring("text", 1, 200), F.col("text")), 6).alias("overlap"))
+    """Quality by pages, what it does to missing clauses, and the plan of samples."""
+    quality = FN.extraction_quality(F.col("n_chars"), F.col("doc_id") % 4)
+    plan = FN.sample_plan(F.col("n_chars"), F.col("doc_id"), ("rag_qa", "summarize", "explain", "draft", "compare", "extract"))
+    made = t.documents.select("doc_id", quality.alias("quality"), (F.col("doc_id") % 3 + 2).cast("int").alias("s"), plan.alias("plan"))
+    kept = F.filter("plan", lambda p: p != "refusal")
+    return made.select("doc_id", "quality", FN.missing_clauses(F.col("quality"), F.col("s")).alias("m"), F.size(kept).alias("samples"), F.col("plan")[0].alias("first")).select("doc_id", "quality", "m.*", "samples", "first")
 
 
 @query("f46_keyword_hits", "SELECT doc_id, contains(lower(text), 'license')::INT + contains(lower(text), 'the')::INT AS hits FROM documents")

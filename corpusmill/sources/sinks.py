@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 
 def write_sections(df: DataFrame, path: str, by: str = "slug") -> None:
@@ -71,7 +72,7 @@ def portable(df: DataFrame) -> DataFrame:
     return df.select(*[one(name, kind).alias(name) for name, kind in df.dtypes])
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def _packed(vectors: pd.Series) -> pd.Series:
     """Vectors as 32-bit floats side by side."""
     return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())

@@ -126,5 +126,6 @@ def test_project_area(spark):
     from corpusmill.functions import geo
 
     none = F.array().cast("array<array<double>>")
-    assert len(one(spark, geo.project_area(none, none, F.lit(50.0), F.lit(9.0)))) == 64
-    assert one(spark, geo.project_area(none, none, F.lit(None).cast("double"), F.lit(9.0))) is None
+    area = one(spark, geo.project_area(none, none, F.lit(50.0), F.lit(9.0)))
+    assert (len(area.ring), area.source) == (32, "center_buffer")
+    assert one(spark, geo.project_area(none, none, F.lit(None).cast("double"), F.lit(9.0))).source == "none"

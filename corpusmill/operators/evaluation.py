@@ -54,3 +54,16 @@ def choose_variant(results: DataFrame, *, control: str, metric: str, latency: st
     base = results.where(F.col("variant") == control).select(F.col(metric).alias("__base"))
     kept = results.crossJoin(F.broadcast(base)).where(F.col(metric) - F.col("__base") >= -most_loss)
     return kept.agg(F.min_by("variant", F.struct(latency, "variant")).alias("variant"), F.count("*").alias("survivors"))
+
+
+def pool_comparison(hits: DataFrame, members: DataFrame, gold: DataFrame, k: int) -> DataFrame:
+    """hits (qid, id, score), members (pool, id), gold (qid, id) -> (pool, n, recall, mrr): what further documents do to a search.
+
+    A question's hits are ranked anew among the documents of each pool. Questions without a gold document in any pool count in none.
+    """
+    inside = hits.join(members, "id")
+    ranked = inside.withColumn("rank", F.row_number().over(Window.partitionBy("pool", "qid").orderBy(F.desc("score"), "id")))
+    asked = gold.select("qid").distinct().crossJoin(F.broadcast(members.select("pool").distinct()))  # a few pools
+    best = ranked.join(gold, ["qid", "id"]).groupBy("pool", "qid").agg(F.min("rank").alias("rank"))
+    told = asked.join(best, ["pool", "qid"], "left")
+    return told.groupBy("pool").agg(F.count("*").alias("n"), F.round(F.avg(hit("rank", k)), 6).alias("recall"), F.round(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"))

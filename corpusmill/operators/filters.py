@@ -76,6 +76,40 @@ def drop_reasons(df: DataFrame, reasons: dict[str, Column]) -> Column:
     return out
 
 
+def shard_counts(records: DataFrame, languages: Sequence[str], types: Sequence[str] = (), jurisdictions: Sequence[str] = (), sample: int = 5) -> DataFrame:
+    """records (shard, index, language, type, jurisdiction) -> (shard, skipped, seen, wrong_language, wrong_type, wrong_jurisdiction, kept).
+
+    A shard whose first records are all of one language that is not asked for is skipped whole. Of several reasons
+    the first counts; empty lists allow everything.
+    """
+    first = records.where(F.col("index") < sample).groupBy("shard").agg(F.countDistinct(F.coalesce("language", F.lit(""))).alias("k"), F.max("language").alias("one"))
+    skipped = F.coalesce((F.col("k") == 1) & ~F.col("one").isin(*languages), F.lit(False))
+    allowed = lambda c, values: F.lit(True) if not values else F.coalesce(F.col(c).isin(*values), F.lit(False))
+    lang, kind, law = allowed("language", languages), allowed("type", types), allowed("jurisdiction", jurisdictions)
+    counted = records.groupBy("shard").agg(F.count("*").alias("seen"), F.count_if(~lang).alias("wrong_language"), F.count_if(lang & ~kind).alias("wrong_type"), F.count_if(lang & kind & ~law).alias("wrong_jurisdiction"), F.count_if(lang & kind & law).alias("kept"))
+    told = counted.join(first, "shard", "left").withColumn("skipped", skipped)
+    none = lambda c: F.when(F.col("skipped"), 0).otherwise(F.col(c)).cast("bigint").alias(c)
+    return told.select("shard", "skipped", *map(none, ("seen", "wrong_language", "wrong_type", "wrong_jurisdiction", "kept")))
+
+
+def share_targets(users: DataFrame, shared: DataFrame, *, caller: Column, owner: Column, org: Column, text: str, limit: int = 10) -> DataFrame:
+    """users (id, org, status, name, email), shared (id) -> whom a session may be shared with, the likest first.
+
+    Active users of the organisation whose name or address has the text, but the caller, the owner and those who have
+    it. Texts under two characters find none; 1 to 50 are returned.
+    """
+    from corpusmill.operators.retrieval import trigram_similarity
+
+    low = text.strip().lower()
+    if len(low) < 2:
+        return users.limit(0).select("id", "name", "email", F.lit(0.0).alias("likeness"))
+    name, email = F.lower("name"), F.col("email")
+    found = users.where((F.col("status") == "active") & (F.col("org") == org) & (F.col("id") != caller) & (F.col("id") != owner) & (name.contains(low) | email.contains(low)))
+    likeness = F.round(F.greatest(trigram_similarity(name, F.lit(low)), trigram_similarity(email, F.lit(low))), 6)
+    left = missing(found, shared, "id", "id")
+    return left.select("id", "name", "email", likeness.alias("likeness")).orderBy(F.desc("likeness"), "name", "id").limit(max(1, min(50, limit)))
+
+
 def unexpired(expires: Column, as_of: Column) -> Column:
     """A null expiry counts as expired."""
     return expires.isNotNull() & (expires > as_of)

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.operators import writes as W
 from corpusmill.plans.registry import phrase, query, sql_phrase
 from corpusmill.session import shared_folder
 from corpusmill.sources import readers as S
@@ -185,9 +186,19 @@ def s13(t):
     return t.documents.select("doc_id", S.page_text(F.col("text"), F.lit("x"))["source"].alias("source"))
 
 
-@query("x6_ingestion_states", "SELECT user_id AS key, arg_max(event_type, event_id) AS state, arg_max(event_type, event_id) IN ('queued', 'processing') AS enqueue FROM events GROUP BY 1")
+@query(
+    "x6_ingestion_states",
+    """SELECT c_custkey AS key, CASE c_custkey % 4 WHEN 0 THEN 'done' WHEN 1 THEN 'failed' WHEN 2 THEN 'queued' ELSE 'processing' END AS state, CASE WHEN c_custkey % 4 = 1 THEN substr(repeat('e' || c_custkey, 200), 1, 500) END AS error,
+  CASE c_custkey % 4 WHEN 0 THEN 9 WHEN 1 THEN 3 WHEN 2 THEN 0 ELSE 5 END::BIGINT AS pages_done, CASE WHEN c_custkey % 4 = 3 THEN 1 ELSE 0 END::BIGINT AS refused, c_custkey % 4 >= 2 AS enqueue FROM customer""",
+)
 def x6(t):
-    return X.latest_state(t.events.select(F.col("user_id").alias("key"), F.col("event_id").alias("ord"), F.col("event_type").alias("state"), F.lit("").alias("error"))).select("key", "state", "enqueue")
+    """Customers as documents: done, failed, queued again after a failure, and one that was called done too early."""
+    k = F.col("c_custkey")
+    event = lambda n, state, pages=0: F.struct(F.lit(n).alias("ord"), F.lit(state).alias("state"), F.when(F.lit(state == "failed"), F.repeat(F.concat(F.lit("e"), k), F.lit(200))).alias("error"), F.lit(pages).alias("pages"))
+    begun = (event(1, "queued"), event(2, "processing", 3))
+    ways = (F.array(*begun, event(3, "done", 9)), F.array(*begun, event(3, "failed")), F.array(*begun, event(3, "failed"), event(4, "queued")), F.array(event(1, "queued"), event(2, "done", 7), event(3, "processing", 5)))
+    mine = F.when(k % 4 == 0, ways[0]).when(k % 4 == 1, ways[1]).when(k % 4 == 2, ways[2]).otherwise(ways[3])
+    return W.ingestion(t.customer.select(k.alias("key"), F.inline(mine)))
 
 
 @query("x8_stale_uploads", "SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-01-20' - INTERVAL 24 HOUR")

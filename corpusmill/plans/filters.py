@@ -76,10 +76,24 @@ def p10(t):
     return t.documents.where(n >= 50).select("doc_id", (n >= 20).alias("any_text"), (n >= 200).alias("long_text"), F.length(F.substring("text", 1, 10000)).cast("bigint").alias("cut"))
 
 
-@query("p11_drop_reasons", "SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM (SELECT CASE WHEN lang NOT IN ('en', 'de') THEN 'language' WHEN length(text) < 200 THEN 'short' WHEN source = 'src1' THEN 'source' END AS reason FROM documents) GROUP BY 1")
+@query(
+    "p11_drop_reasons",
+    """WITH records AS (
+  SELECT conv_id AS shard, turn AS index, CASE WHEN conv_id % 3 = 0 THEN 'fr' WHEN turn % 4 = 3 THEN 'en' ELSE 'de' END AS language, ['caselaw', 'contracts', 'other'][turn % 3 + 1] AS type, ['DE', 'AT', 'CH'][conv_id % 3 + 1] AS law FROM conversations
+), head AS (
+  SELECT shard, count(DISTINCT language) = 1 AND max(language) <> 'de' AS skipped FROM records WHERE index < 5 GROUP BY 1
+)
+SELECT shard, coalesce(any_value(skipped), false) AS skipped, CASE WHEN coalesce(any_value(skipped), false) THEN 0 ELSE count(*) END AS seen,
+  CASE WHEN coalesce(any_value(skipped), false) THEN 0 ELSE count(*) FILTER (language <> 'de') END AS wrong_language, CASE WHEN coalesce(any_value(skipped), false) THEN 0 ELSE count(*) FILTER (language = 'de' AND type = 'other') END AS wrong_type,
+  CASE WHEN coalesce(any_value(skipped), false) THEN 0 ELSE count(*) FILTER (language = 'de' AND type <> 'other' AND law = 'CH') END AS wrong_jurisdiction,
+  CASE WHEN coalesce(any_value(skipped), false) THEN 0 ELSE count(*) FILTER (language = 'de' AND type <> 'other' AND law <> 'CH') END AS kept
+FROM records LEFT JOIN head USING (shard) GROUP BY shard""",
+)
 def p11(t):
-    why = P.drop_reasons(t.documents, {"language": ~F.col("lang").isin("en", "de"), "short": F.length("text") < 200, "source": F.col("source") == "src1"})
-    return t.documents.select(F.coalesce(why, F.lit("kept")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+    """Conversations as shards of records; every third is of another language from its head on."""
+    conv, turn = F.col("conv_id"), F.col("turn")
+    records = t.conversations.select(conv.alias("shard"), turn.alias("index"), F.when(conv % 3 == 0, "fr").when(turn % 4 == 3, "en").otherwise("de").alias("language"), phrase(("caselaw", "contracts", "other"), turn).alias("type"), phrase(("DE", "AT", "CH"), conv).alias("jurisdiction"))
+    return P.shard_counts(records, ["de"], ["caselaw", "contracts"], ["DE", "AT"])
 
 
 @query("p12_live_gold", "SELECT doc_id FROM labels WHERE doc_id IN (SELECT vec_id FROM embeddings)")
@@ -105,8 +119,19 @@ def p15(t):
     return t.part.select("p_partkey", P.plausible_text(F.col("p_brand"), "?").alias("brand"), P.plausible_power(F.col("p_retailprice")).alias("price"))
 
 
-@query("p16_typeahead", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey < 400) AND c_nationkey = 3 AND contains(lower(c_name), '1') ORDER BY c_name, c_custkey LIMIT 10")
+TRIGRAMS = lambda x: f"list_distinct(flatten(list_transform(list_filter(string_split_regex(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+LIKENESS = lambda a, b: f"(len(list_intersect({TRIGRAMS(a)}, {TRIGRAMS(b)})) / greatest(len(list_distinct(list_concat({TRIGRAMS(a)}, {TRIGRAMS(b)}))), 1))"
+
+
+@query(
+    "p16_typeahead",
+    f"""SELECT id, name, email, round(greatest({LIKENESS("lower(name)", "'customer 12'")}, {LIKENESS("email", "'customer 12'")}), 6) AS likeness FROM (
+  SELECT c_custkey AS id, c_nationkey % 3 AS org, CASE WHEN c_custkey % 5 = 0 THEN 'locked' ELSE 'active' END AS status, replace(c_name, '#', ' ') AS name, 'customer ' || c_custkey % 130 || '@x' AS email FROM customer)
+WHERE status = 'active' AND org = 1 AND id NOT IN (7, 11) AND (contains(lower(name), 'customer 12') OR contains(email, 'customer 12')) AND id NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey < 400) ORDER BY likeness DESC, name, id LIMIT 20""",
+)
 def p16(t):
-    taken = t.orders.where("o_orderkey < 400")
-    found = P.missing(t.customer.where((F.col("c_nationkey") == 3) & F.lower("c_name").contains("1")), taken, "c_custkey", "o_custkey")
-    return found.orderBy("c_name", "c_custkey").limit(10).select("c_custkey", "c_name")
+    """Customers as users of three organisations; some are locked, some have it already."""
+    k = F.col("c_custkey")
+    users = t.customer.select(k.alias("id"), (F.col("c_nationkey") % 3).alias("org"), F.when(k % 5 == 0, "locked").otherwise("active").alias("status"), F.replace("c_name", F.lit("#"), F.lit(" ")).alias("name"), F.concat(F.lit("customer "), k % 130, F.lit("@x")).alias("email"))
+    shared = t.orders.where("o_orderkey < 400").select(F.col("o_custkey").alias("id")).distinct()
+    return P.share_targets(users, shared, caller=F.lit(7), owner=F.lit(11), org=F.lit(1), text=" Customer 12 ", limit=20)

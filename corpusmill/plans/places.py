@@ -29,7 +29,13 @@ def g1(t):
     return places(t).select("id", F.round(G.haversine_km(F.col("lat"), F.col("lng"), F.lit(49.0), F.lit(10.0)), 4).alias("km"))
 
 
-@query("g1_median_outliers")
+@query(
+    "g1_median_outliers",
+    f"""WITH p AS (SELECT id, park, lat::DOUBLE AS lat, lng::DOUBLE AS lng FROM ({PLACE})), m AS (
+  SELECT park, count(*) AS n, list_sort(list(lat))[count(*) // 2 + 1] AS b_lat, list_sort(list(lng))[count(*) // 2 + 1] AS b_lng FROM p GROUP BY 1
+), d AS (SELECT p.*, n, {HAVERSINE} <= 60 AS close FROM p JOIN m USING (park))
+SELECT id, park, lat, lng FROM (SELECT *, bool_or(close) OVER (PARTITION BY park) AS any_close FROM d) WHERE n <= 2 OR close OR NOT any_close""",
+)
 def g1b(t):
     return X.near_centre(places(t), "park", "lat", "lng", 60.0)
 

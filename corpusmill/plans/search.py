@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusmill.functions import quality as Q
 from corpusmill.operators import dedup as D
 from corpusmill.operators import evaluation as E
 from corpusmill.operators import filters as P
@@ -11,7 +12,8 @@ from corpusmill.operators import findings as FN
 from corpusmill.operators import ranking as W
 from corpusmill.operators import retrieval as R
 from corpusmill.operators import vectors as V
-from corpusmill.plans.registry import phrase, query
+from corpusmill.plans.filters import LIKENESS
+from corpusmill.plans.registry import phrase, query, sql_phrase
 
 TOKS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
 WORDS = "list_filter(string_split_regex(replace(text, '\"', ' '), '[\\s\\x0B]+'), lambda w: w <> '')"
@@ -281,14 +283,24 @@ def r17(t):
     return E.choose_variant(recall.join(cost, "variant"), control="v1", metric="recall", latency="postings")
 
 
-@query("r18_pool_comparison", f"WITH {BM25}, gold AS (SELECT item_id AS qid, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)) SELECT pool, count(*) AS n, count(*) FILTER (best <= 10) AS hits FROM (SELECT pool, q.qid, min(rank) AS best FROM (SELECT unnest(['all', 'even']) AS pool) p, (SELECT DISTINCT qid FROM gold) q LEFT JOIN (SELECT b.qid, b.id, rank FROM bm25 b JOIN gold g ON b.qid = g.qid AND b.id = g.doc_id) h ON h.qid = q.qid AND (pool = 'all' OR h.id % 2 = 0) GROUP BY 1, 2) GROUP BY 1")
+@query(
+    "r18_pool_comparison",
+    f"""WITH {BM25}, gold AS (SELECT item_id AS qid, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), members AS (
+  SELECT 'baseline' AS pool, doc_id AS id FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT 'signal', doc_id FROM documents WHERE doc_id % 2 = 0 OR lang = 'en' UNION ALL SELECT 'noise', doc_id FROM documents WHERE doc_id % 2 = 0 OR lang <> 'en'
+), ranked AS (
+  SELECT pool, qid, h.id, row_number() OVER (PARTITION BY pool, qid ORDER BY score DESC, h.id) AS rank FROM hits h JOIN members m ON h.id = m.id
+), best AS (
+  SELECT pool, r.qid, min(rank) AS rank FROM ranked r JOIN gold g ON r.qid = g.qid AND r.id = g.id GROUP BY 1, 2
+)
+SELECT pool, count(*) AS n, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END), 6) AS recall, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr FROM (SELECT * FROM (SELECT DISTINCT qid FROM gold), (SELECT unnest(['baseline', 'signal', 'noise']) AS pool)) q LEFT JOIN best USING (pool, qid) GROUP BY 1""",
+)
 def r18(t):
-    gold = gold_documents(t)
-    hits = lexical(t).withColumnRenamed("qid", "q").join(gold, (F.col("id") == F.col("doc_id")) & (F.col("q") == F.col("qid"))).select("qid", "id", "rank")
-    pools = gold.select("qid").distinct().crossJoin(F.broadcast(t.spark.createDataFrame([("all",), ("even",)], "pool string")))
-    counted = hits.select(F.col("qid").alias("q"), "id", "rank")
-    best = pools.join(counted, (F.col("qid") == F.col("q")) & ((F.col("pool") == "all") | (F.col("id") % 2 == 0)), "left").groupBy("pool", "qid").agg(F.min("rank").alias("best"))
-    return best.groupBy("pool").agg(F.count("*").alias("n"), F.count_if(F.col("best") <= 10).alias("hits"))
+    """Half of the documents, and what those of one language, or of the others, add."""
+    even = F.col("doc_id") % 2 == 0
+    pools = F.array_compact(F.array(F.when(even, "baseline"), F.when(even | (F.col("lang") == "en"), "signal"), F.when(even | (F.col("lang") != "en"), "noise")))
+    members = t.documents.select(F.explode(pools).alias("pool"), F.col("doc_id").alias("id"))
+    hits = R.bm25(questions(t), t.documents.select("doc_id", "text"), id_col="doc_id", text_col="text", k=1 << 30)
+    return E.pool_comparison(hits.select("qid", "id", "score"), members, gold_documents(t).select("qid", F.col("doc_id").alias("id")), 10)
 
 
 @query("r19_minhash_near_duplicates")
@@ -301,22 +313,47 @@ def exact(t):
     return D.exact_duplicates(t.documents, "doc_id", "text")
 
 
-@query("r20_quality_filter", "SELECT doc_id FROM documents WHERE lang IN ('de', 'en') AND length(text) BETWEEN 100 AND 50000 AND length(regexp_replace(text, '[^A-Za-z]', '', 'g')) >= 0.6 * length(text)")
+TERM_LIST = ", ".join("'" + w + "'" for w in Q.LEGAL_TERMS)
+TERM_ENDS = ("§ 5 BGB und Urteil", "Art. 3 StGB Gericht", "nothing", "Gericht Gericht Urteil §")
+
+
+@query(
+    "r20_quality_filter",
+    f"""WITH given AS (SELECT doc_id, lang, substr(text, 1, (doc_id % 5 * 120)::INT) || ' ' || {sql_phrase(TERM_ENDS, "doc_id")} AS x FROM documents), counted AS (
+  SELECT *, len(list_filter(string_split_regex(x, '[\\s\\x0B]+'), lambda w: w <> '')) AS n, len(list_filter(string_split_regex(x, '[\\s\\x0B]+'), lambda w: w IN ({TERM_LIST}))) AS k FROM given
+)
+SELECT doc_id, round(100.0 * k / greatest(n, 1), 4) AS density FROM counted WHERE lang IN ('de', 'en') AND length(x) BETWEEN 100 AND 50000 AND 100.0 * k / greatest(n, 1) >= 1 AND NOT contains(x, chr(65533))""",
+)
 def r20(t):
-    letters = F.length(F.regexp_replace("text", "[^A-Za-z]", ""))
-    return t.documents.where(F.col("lang").isin("de", "en") & F.length("text").between(100, 50_000) & (letters >= 0.6 * F.length("text"))).select("doc_id")
+    """Texts of any length with legal endings."""
+    x = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("doc_id") % 5 * 120).cast("int")), F.lit(" "), phrase(TERM_ENDS, F.col("doc_id")))
+    made = t.documents.select("doc_id", "lang", x.alias("x"))
+    return made.where(Q.keeps(F.col("x"), F.col("lang"))).select("doc_id", F.round(Q.term_density(F.col("x")), 4).alias("density"))
 
 
-@query("r21_domain_scoring", "SELECT doc_id, score FROM (SELECT doc_id, CASE WHEN contains(lower(text), 'license') THEN 8 ELSE 0 END + CASE WHEN contains(lower(text), 'version') THEN 4 ELSE 0 END + CASE WHEN contains(lower(text), 'apache') THEN 3 ELSE 0 END AS score, (contains(lower(text), 'license')::INT + contains(lower(text), 'version')::INT + contains(lower(text), 'apache')::INT) AS k FROM documents) WHERE score >= 8 AND k >= 2")
+def _domain_score(domain: str) -> str:
+    return "(" + " + ".join(f"CASE WHEN contains(lower(x), '{w}') THEN {n} ELSE 0 END" for w, n in Q.KEYWORDS[domain].items()) + ")"
+
+
+def _domain_hits(domain: str) -> str:
+    return "(" + " + ".join(f"contains(lower(x), '{w}')::INT" for w in Q.KEYWORDS[domain]) + ")"
+
+
+SUBJECTS = ("Die Genehmigung nach Immissionsschutz mit Lärm und Emission", "Pacht und Vertrag mit Kündigung", "Netzanschluss und Einspeisung nach EEG", "license version apache", "Steuer", "Bebauungsplan und Bauantrag, Vertrag mit Kündigung und Haftung")
+
+
+@query(
+    "r21_domain_scoring",
+    "SELECT doc_id, domain, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, domain) AS rn FROM ("
+    + " UNION ALL ".join(f"SELECT doc_id, '{d}' AS domain, {_domain_score(d)} AS score, {_domain_hits(d)} AS k FROM (SELECT doc_id, {sql_phrase(SUBJECTS, 'doc_id')} || ' ' || text AS x FROM documents)" for d in Q.KEYWORDS)
+    + ") WHERE score >= 8 AND k >= 2) WHERE rn = 1",
+)
 def r21(t):
-    words = {"license": 8, "version": 4, "apache": 3}
-    low = F.lower("text")
-    score = sum((F.when(low.contains(w), n).otherwise(0) for w, n in words.items()), F.lit(0))
-    k = sum((low.contains(w).cast("int") for w in words), F.lit(0))
-    return t.documents.select("doc_id", score.alias("score"), k.alias("k")).where("score >= 8 and k >= 2").select("doc_id", "score")
+    best = Q.best_domain(F.concat(phrase(SUBJECTS, F.col("doc_id")), F.lit(" "), "text"))
+    return t.documents.select("doc_id", best.alias("b")).where("b is not null").select("doc_id", "b.domain", "b.score")
 
 
-@query("t8_trigram_order")
+@query("t8_trigram_order", f"SELECT c_custkey, c_name, round({LIKENESS('c_name', "'Customer 12'")}, 6) AS s FROM customer WHERE contains(lower(c_name), '12') ORDER BY s DESC, c_name, c_custkey LIMIT 20")
 def t8(t):
     return t.customer.where(F.lower("c_name").contains("12")).select("c_custkey", "c_name", F.round(R.trigram_similarity(F.col("c_name"), F.lit("Customer 12")), 6).alias("s")).orderBy(F.desc("s"), "c_name", "c_custkey").limit(20)
 

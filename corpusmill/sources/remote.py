@@ -1,7 +1,8 @@
-"""Remote registries as a Spark data source: the reader takes a fetch function, which offline is a fixed answer."""
+"""Remote registries as a Spark data source: the reader takes a fetch function by name, which offline is a fixed answer."""
 
 from __future__ import annotations
 
+import importlib
 import json
 import time
 from collections.abc import Callable, Iterator
@@ -39,18 +40,30 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.keys = [k for k in options.get("keys", "").split(",") if k]
         self.per_task = int(options.get("pertask", "50"))
+        self.fetch = options.get("fetch", "corpusmill.sources.remote:offline")
+        self.times, self.wait = int(options.get("times", "3")), float(options.get("wait", "0"))
+        self.per_second = float(options.get("persecond", "0"))
 
     def partitions(self) -> list[InputPartition]:
         return [_Keys(self.keys[i : i + self.per_task]) for i in range(0, len(self.keys), self.per_task)] or [_Keys([])]
 
     def read(self, partition: _Keys) -> Iterator[tuple[str, str]]:
-        fetch = with_retry(offline)
+        module, _, name = self.fetch.partition(":")
+        fetch = with_retry(getattr(importlib.import_module(module), name), self.times, self.wait)
         for key in partition.keys:
-            yield key, fetch(key)
+            began = time.monotonic()
+            answer = fetch(key)
+            if self.per_second:
+                time.sleep(max(0.0, 1 / self.per_second - (time.monotonic() - began)))
+            yield key, answer
 
 
 class Registry(DataSource):
-    """``spark.read.format("registry").option("keys", "a,b")``: one row a key, dealt over tasks."""
+    """``spark.read.format("registry").option("keys", "a,b")``: one row a key, dealt over tasks.
+
+    Options: ``fetch`` (module:function that takes a key and returns text), ``pertask`` (keys), ``times`` and ``wait`` (retries
+    after connection errors), ``persecond`` (requests of one task at most; with tasks side by side divide the registry's limit).
+    """
 
     @classmethod
     def name(cls) -> str:

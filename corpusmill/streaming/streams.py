@@ -40,16 +40,6 @@ def top_up(stream: DataFrame, merge: Callable[[DataFrame, int], None], checkpoin
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-#: The states of an ingestion and what each may become.
-STATES = {"queued": ("processing", "failed"), "processing": ("done", "failed"), "failed": ("queued",), "done": ()}
-
-
-def latest_state(events: DataFrame) -> DataFrame:
-    """events (key, ord, state, error): the last state of each key, errors cut at 500 characters; unfinished keys go back to the queue."""
-    last = events.groupBy("key").agg(F.max(F.struct("ord", "state", "error")).alias("l"))
-    return last.select("key", "l.state", F.substring("l.error", 1, 500).alias("error"), F.col("l.state").isin("queued", "processing").alias("enqueue"))
-
-
 def stale(uploads: DataFrame, touched: str, as_of, hours: int = 24) -> DataFrame:
     """Uploads last touched over a day ago."""
     return uploads.where(F.col(touched) < as_of - F.expr(f"INTERVAL {hours} HOURS"))

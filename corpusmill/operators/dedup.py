@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,18 +22,38 @@ def exact_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def shingles(text: Column, width: int) -> Column:
-    """Hashes of the distinct word n-grams."""
+    """Hashes of the distinct word n-grams. Words are cut once: a lambda works out again whatever it captures."""
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    spans = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - width + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(width)), " ")))
-    return F.array_distinct(spans)
+
+    def hashed(ws: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(ws) - width + 1, F.lit(1)))
+        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(ws, i, F.lit(width)), " "))))
+
+    return F.when(text.isNotNull(), F.transform(F.array(words), hashed)[0])
+
+
+def _minima(hashes: np.ndarray, bands: int, rows: int) -> list[int]:
+    out = []
+    for b in range(bands):
+        key = np.uint64(b + 1)
+        for r in range(rows):
+            odd = np.uint64((0x9E3779B97F4A7C15 * (2 * (b * rows + r) + 1)) % (1 << 64) | 1)
+            mixed = (hashes ^ (hashes >> np.uint64(31))) * odd
+            least = (mixed ^ (mixed >> np.uint64(29))).min()
+            key = (key ^ least) * np.uint64(0xBF58476D1CE4E5B9)
+            key ^= key >> np.uint64(32)
+        out.append(key)
+    return np.array(out, np.uint64).view(np.int64).tolist()
 
 
 def minhash(hashes: Column, bands: int, rows: int) -> Column:
-    """One hash for each band: of the minima of its rows, under as many seeded hashes."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(bands - 1)),
-        lambda b: F.xxhash64(b, *[F.array_min(F.transform(hashes, lambda h, r=r: F.xxhash64(h, b * rows + r))) for r in range(rows)]),
-    )
+    """One key for each band: of the minima of its rows, each under a mixing of the hashes of its own. In numpy, in Arrow batches."""
+
+    def run(column: pa.Array) -> pa.Array:
+        with np.errstate(over="ignore"):
+            return pa.array([None if not h else _minima(np.array(h, np.int64).view(np.uint64), bands, rows) for h in column.to_pylist()], pa.list_(pa.int64()))
+
+    return F.arrow_udf(run, "array<bigint>")(hashes)
 
 
 def _similar(pairs: DataFrame, cut: DataFrame, threshold: float) -> DataFrame:

@@ -123,7 +123,13 @@ def f16(t):
     return t.documents.select("doc_id", x.alias("x")).select("doc_id", T.degenerate(F.col("x")).alias("degenerate"), T.invented_deadline(F.col("x")).alias("invented"))
 
 
-@query("f17_html_to_text")
+_BLOCKS = "(?i)</(p|div|li|h[1-6]|tr|table|section|article)>|<br\\s*/?>"
+_BARE = f"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\\b.*?</(script|style)>', '', 'g'), '{_BLOCKS}', chr(10), 'g'), '(?s)<[^>]*>', '', 'g')"
+for _name, _char in T.ENTITIES.items():
+    _BARE = "replace(" + _BARE + f", '{_name}', '" + _char.replace("'", "''") + "')"
+
+
+@query("f17_html_to_text", f"SELECT page_id, trim(regexp_replace(regexp_replace({_BARE}, '[ \\t]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), ' ' || chr(10)) AS text FROM pages")
 def f17(t):
     return t.pages.select("page_id", T.html_to_text(F.col("html")).alias("text"))
 

@@ -40,6 +40,22 @@ def top_up(stream: DataFrame, merge: Callable[[DataFrame, int], None], checkpoin
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def watch(spark: SparkSession, folder: str, glob: str, done: Callable[[], DataFrame], process: Callable[[DataFrame], None], checkpoint: str, *, per_trigger: int = 100) -> StreamingQuery:
+    """Files of a folder that have no result yet.
+
+    Each batch of new files (path, modificationTime, length, content) loses those whose stem ``done()`` has, which is
+    read anew for every batch, and goes to ``process``; the checkpoint remembers which files were seen.
+    """
+    stem = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
+
+    def batch(df: DataFrame, _: int) -> None:
+        named = df.withColumn("stem", stem)
+        process(named.join(done().select("stem").distinct(), "stem", "left_anti"))
+
+    found = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", glob).option("maxFilesPerTrigger", per_trigger).load(folder)
+    return found.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def stale(uploads: DataFrame, touched: str, as_of, hours: int = 24) -> DataFrame:
     """Uploads last touched over a day ago."""
     return uploads.where(F.col(touched) < as_of - F.expr(f"INTERVAL {hours} HOURS"))

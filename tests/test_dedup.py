@@ -1,6 +1,7 @@
 import random
 
 from corpusmill.operators import dedup as D
+from corpusmill.session import table
 
 
 def test_near_duplicates_within_buckets(spark):
@@ -29,3 +30,14 @@ def test_near_duplicates_within_buckets(spark):
         first.setdefault(None if t is None else t.lower(), i)
     same = [first[None if t is None else t.lower()] for t in texts]
     assert got == {i: (same[i], root[same[i]]) for i in range(len(texts))}
+
+
+def test_recall_over_a_whole_table(spark, sf_dir):
+    """Of all pairs of documents that are similar by brute force, nine tenths at least are in one component."""
+    docs = table(spark, sf_dir, "documents")
+    sets = {r.doc_id: set(r.s) for r in docs.select("doc_id", D.shingles(docs.text, 5).alias("s")).collect() if r.s}
+    ids = sorted(sets)
+    similar = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    got = {r.doc_id: r.component for r in D.near_duplicates(docs, "doc_id", "text").collect()}
+    assert set(got) == {r.doc_id for r in docs.select("doc_id").collect()}
+    assert similar and sum(got[a] == got[b] for a, b in similar) >= 0.9 * len(similar)

@@ -93,11 +93,30 @@ def test_top_up_stream(spark, tmp_path):
     assert sorted(seen) == [0, 1, 2, 3, 4]
 
 
+def test_watcher(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name in ("a.pdf", "b.pdf", "c.txt"):
+        (tmp_path / "in" / name).write_text(name)
+    seen = []
+    done = lambda: spark.createDataFrame([("b",), *[(s,) for s in seen]], "stem string")
+    go = lambda: streams.watch(spark, str(tmp_path / "in"), "*.pdf", done, lambda df: seen.extend(r.stem for r in df.collect()), str(tmp_path / "check")).awaitTermination()
+    go()
+    (tmp_path / "in" / "d.pdf").write_text("d")
+    go()
+    assert seen == ["a", "d"]
+
+
+def shout(key):
+    return key.upper()
+
+
 def test_registry_source(spark):
     from corpusmill.sources.remote import Registry, with_retry
 
     spark.dataSource.register(Registry)
     assert {r.key for r in spark.read.format("registry").option("keys", "a,b,c").option("pertask", "2").load().collect()} == {"a", "b", "c"}
+    loud = spark.read.format("registry").option("keys", "a,b").option("fetch", "tests.test_units:shout").option("persecond", "50").load()
+    assert {r.answer for r in loud.collect()} == {"A", "B"}
     calls = []
 
     def flaky(key):

@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a table; all but the last keep
 the columns of documents. Between stages the table is written and read again
 (here as a checkpoint), so a lost executor never costs more than one stage.
+
+Defined results: null and empty texts have no words and go with the first stage. Of
+repeated rows and of near copies one stays, that of the least id. Texts of any length
+are read whole. An empty table gives none after any stage. Other columns of documents
+are handed on to the last stage, whatever their names, and the names of the operators'
+own columns may be among them. What ties decide stands with each operator.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ Only pieces that fail are merged exactly.
 Defined results: a null or empty text has no tokens (0, hash of the empty
 string). Repeated rows give repeated rows; other columns of the input are
 ignored unless asked for. Very long texts and very long words are handled in
-O(n log n). Text that cannot be UTF-8 (lone surrogates) cannot occur in Spark.
+O(n log n). Text that cannot be UTF-8 (lone surrogates) cannot occur in Spark. An
+empty table gives no rows; of merges of one rank the leftmost is made first.
 """
 
 from __future__ import annotations

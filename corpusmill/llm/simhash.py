@@ -16,7 +16,9 @@ near each. That gives the same components from a bounded number of rows a class.
 
 Defined results: null or wordless texts have fingerprint zero and are linked
 like any other; fewer than three words make one shingle. A null id takes part
-but never names a component. Repeated rows give repeated rows.
+but never names a component. Repeated rows give repeated rows, an empty table none.
+Bits that half the hashes have are 0. Texts of any length are hashed whole; other
+columns are not read, whatever their names, and ``keep_one`` hands them on.
 """
 
 from __future__ import annotations

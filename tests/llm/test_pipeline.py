@@ -31,7 +31,8 @@ def test_whole_pipeline_against_brute_force(spark, sf_dir):
 
 def test_stages_keep_the_columns(spark, sf_dir, tmp_path):
     odd = [(None, "no id " * 60, "en", "s", 7, "k"), (1, None, None, None, None, None), (2, "", "en", "s", 0, "k"), (3, " ".join(f"w{i}" for i in range(90)), "en", "s", 400, "k"), (3, " ".join(f"w{i}" for i in range(90)), "en", "s", 400, "k")]
-    docs = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long, fp string")
+    odd = [(*r, 1, "w", 2, 3, 4) for r in odd]
+    docs = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long, fp string, n_words long, whole string, component long, key long, label long")
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         for given in (docs, docs.limit(0)):
             out = stage(spark, given, sf_dir)

@@ -196,7 +196,10 @@ def f26(t):
     return fixed.select("conv_id", "turn", F.md5(get("$.body.text")).alias("h"), get("$.turn").cast("bigint").alias("said"), F.json_array_length(get("$.words")).cast("bigint").alias("n_words"))
 
 
-@query("f28_citation_validation")
+@query(
+    "f28_citation_validation",
+    """SELECT conv_id, turn, list_concat(['[C-1]', '[C-9]'], list_filter(regexp_extract_all(text, '\\[[CM]-\\d+\\]'), lambda h: h NOT IN ('[C-1]', '[C-9]'))) AS cited, 'First point [C-1]. Second point (unbelegt). ' || text AS checked, true AS stable FROM conversations""",
+)
 def f28(t):
     answer = F.concat(F.lit("First point [C-1]. Second point [C-9]. "), "text")
     checked = V.drop_unknown_citations(answer, F.array(F.lit("[C-1]")))

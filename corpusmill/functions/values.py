@@ -14,6 +14,10 @@ def german_number(text: Column) -> Column:
     """
     bare = F.regexp_replace(F.regexp_replace(text, r"€|EUR|Euro|USD|\$", ""), r"(?i)%|\bProzent\b", "")
     run = F.regexp_replace(F.regexp_extract(bare, r"-?\d(?:[\d.,\s\u00a0]*\d)?", 0), r"[\s\u00a0]", "")
+    return F.transform(F.array(run), _number_of_run)[0]  # the run is worked out once
+
+
+def _number_of_run(run: Column) -> Column:
     comma, dot = F.instr(run, ","), F.instr(run, ".")
     both = (comma > 0) & (dot > 0)
     german = F.replace(F.replace(run, F.lit("."), F.lit("")), F.lit(","), F.lit("."))

@@ -33,8 +33,8 @@ def row_role(label: Column) -> Column:
 
 def totals(rows: DataFrame, *, table: str = "table", place: str = "place", cells: str = "cells") -> DataFrame:
     """A row for each table: stated_total, computed_total, net, vat and gross; of several rows of a role the last counts."""
-    each = rows.select(F.col(table).alias("table"), F.col(place).alias("place"), row_role(row_label(F.col(cells))).alias("role"), row_amount(F.col(cells)).alias("amount")).where("amount is not null")
-    last = lambda *roles: F.max_by("amount", F.when(F.col("role").isin(*roles), F.col("place")))
+    each = rows.select(F.col(table).alias("table"), F.col(place).alias("place"), F.transform(F.array(row_label(F.col(cells))), row_role)[0].alias("role"), row_amount(F.col(cells)).alias("amount"))
+    last = lambda *roles: F.max_by("amount", F.when(F.col("role").isin(*roles) & F.col("amount").isNotNull(), F.col("place")))
     lines = F.sum(F.when(F.col("role") == "line", F.col("amount")))
     return each.groupBy("table").agg(last("total", "gross").alias("stated_total"), F.round(lines, 2).alias("computed_total"), last("net").alias("net"), last("vat").alias("vat"), last("gross").alias("gross"))
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import bpe, chat, cotrain, decontam, langid, lm, rules, secrets, simhash, urlfilter
+from corpusmill.llm import bpe, chat, cotrain, decontam, langid, lm, rules, secrets, simhash, tokencount, urlfilter
 from corpusmill.llm.common import id_bucket, table
+from corpusmill.session import shared_folder
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,6 +150,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache stays in the shared folder, one for each input folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or shared_folder(spark)
+    cache = f"{shared}/token-counts-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    return tokencount.count(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cache)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
@@ -160,6 +169,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm_scoring": op8_lm_scoring,
         "op9_quality_rules": op9_quality_rules,
         "op10_decontamination": op10_decontamination,
+        "op11_token_counts": op11_token_counts,
     }
 
 

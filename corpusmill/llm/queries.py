@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import bpe, chat, cotrain, decontam, langid, lm, rules, secrets, simhash, tokencount, urlfilter
+from corpusmill.llm import bpe, chat, cotrain, decontam, langid, lm, rules, secrets, simhash, tokencount, trie, urlfilter
 from corpusmill.llm.common import id_bucket, table
 from corpusmill.session import shared_folder
 
@@ -157,6 +157,49 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cache)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.build(*trie.rebuilt(trie.ordered(table(spark, sf_dir, "conversations"))))
+
+
+#: The same by the digests of all beginnings of all conversations.
+OP13_SQL = """
+WITH turns AS (
+  SELECT conv_id, key, n, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, key) AS pos
+  FROM (SELECT conv_id, turn, sha256(strlen(role) || ':' || role || text) AS key, length(text) AS n
+        FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL))
+), ids AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, xor(4294967295, list_reduce(
+      list_concat([4294967295], list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda a, b: list_reduce(list_concat([xor(a, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)
+), sizes AS (
+  SELECT i.conv_id, base, h, (SELECT count(*) FROM turns t WHERE t.conv_id = base AND pos <= h) AS have FROM ids i
+), rows AS (
+  SELECT i.conv_id, pos AS depth, key, n FROM sizes i JOIN turns t ON t.conv_id = base WHERE pos <= h
+  UNION ALL
+  SELECT i.conv_id, pos - h + have, key, n FROM sizes i JOIN turns t ON t.conv_id = i.conv_id WHERE pos > h
+), members AS (
+  SELECT conv_id, depth, n, string_agg(key, '') OVER w AS path, coalesce(string_agg(key, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS above
+  FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY depth)
+  UNION ALL
+  SELECT conv_id, 0, 0, '', NULL FROM ids
+), nodes AS (
+  SELECT path, depth, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(n) AS own FROM members GROUP BY path, depth
+), tops AS (
+  SELECT above AS path, count(*) AS n_children FROM nodes WHERE above IS NOT NULL GROUP BY above
+), pairs AS (
+  SELECT DISTINCT a.path, b.path AS below FROM members a JOIN members b ON a.conv_id = b.conv_id AND b.depth >= a.depth
+), sums AS (
+  SELECT p.path, count(*) FILTER (n_children IS NULL) AS n_leaves, sum(own) AS saved FROM pairs p JOIN nodes n ON n.path = p.below LEFT JOIN tops t ON t.path = p.below GROUP BY p.path
+), ends AS (
+  SELECT path, sha256(string_agg(m.conv_id::VARCHAR, ',' ORDER BY m.conv_id)) AS hash
+  FROM members m JOIN (SELECT conv_id, max(depth) AS size FROM members GROUP BY conv_id) s ON m.conv_id = s.conv_id AND m.depth = s.size GROUP BY path
+)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, coalesce(hash, sha256('')) AS ends_sha256
+FROM nodes n LEFT JOIN nodes u ON u.path = n.above LEFT JOIN tops t ON t.path = n.path JOIN sums s ON s.path = n.path LEFT JOIN ends e ON e.path = n.path
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
@@ -170,6 +213,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_rules": op9_quality_rules,
         "op10_decontamination": op10_decontamination,
         "op11_token_counts": op11_token_counts,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
@@ -177,4 +221,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_chat_formatting": OP3_SQL,
         "op5_url_filter": OP5_SQL,
+        "op13_prefix_trie": OP13_SQL,
     }

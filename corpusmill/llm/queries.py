@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import bpe, chat, cotrain, decontam, langid, lm, rules, secrets, simhash, tokencount, trie, urlfilter
+from corpusmill.llm import bpe, chat, cotrain, decontam, hardneg, langid, lm, rules, secrets, simhash, tokencount, trie, urlfilter
 from corpusmill.llm.common import id_bucket, table
 from corpusmill.session import shared_folder
 
@@ -157,6 +157,30 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cache)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors, number = table(spark, sf_dir, "embeddings"), F.col("vec_id")
+    label = F.when(number % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(vectors, number % 50 == 0, label=label)
+
+
+#: The same by the scores of all rows with each anchor.
+OP12_SQL = """
+WITH vectors AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND NOT coalesce(list_bool_or(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x))), false)
+), scores AS (
+  SELECT a.vec_id AS anchor, b.vec_id AS other, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+), positives AS (
+  SELECT anchor, other AS positive, score FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other) <= 5
+)
+SELECT p.anchor AS anchor_id, positive AS positive_id, (row_number() OVER w)::INTEGER AS rank, other AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM positives p JOIN scores s ON p.anchor = s.anchor AND NOT same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+WINDOW w AS (PARTITION BY p.anchor, positive ORDER BY s.score DESC, other) QUALIFY row_number() OVER w <= 3
+"""
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.build(*trie.rebuilt(trie.ordered(table(spark, sf_dir, "conversations"))))
 
@@ -213,6 +237,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_rules": op9_quality_rules,
         "op10_decontamination": op10_decontamination,
         "op11_token_counts": op11_token_counts,
+        "op12_hard_negatives": op12_hard_negatives,
         "op13_prefix_trie": op13_prefix_trie,
     }
 
@@ -221,5 +246,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_chat_formatting": OP3_SQL,
         "op5_url_filter": OP5_SQL,
+        "op12_hard_negatives": OP12_SQL,
         "op13_prefix_trie": OP13_SQL,
     }

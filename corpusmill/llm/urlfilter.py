@@ -1,6 +1,7 @@
 """URL filters: a Bloom filter cascade over listed hosts, under a few path rules.
 
-A key is a host or one of its parent domains. Level 0 is a Bloom filter of the
+A key is a host or one of its parent domains, of no more characters than the longest listed
+key has: longer ones cannot be listed, and are not asked. Level 0 is a Bloom filter of the
 listed keys; level 1 holds the keys of the corpus that level 0 lets through
 wrongly; level 2 the listed keys that level 1 lets through wrongly; and so on
 until a level lets nothing through wrongly. Over the corpus's own keys, all of
@@ -44,11 +45,14 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)\A.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def keys_of(host: Column) -> Column:
-    """The host and its parent domains, without empty ones."""
-    labels = F.split(host, r"\.", -1)
+def keys_of(host: Column, most: int) -> Column:
+    """The host and its parent domains, without empty ones and those of over ``most`` characters.
+
+    Only the last ``most`` characters and the one before are cut into labels, so a host of any length costs no more.
+    """
+    labels = F.split(F.right(host, F.lit(most + 1)), r"\.", -1)
     each = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    return F.array_distinct(F.filter(each, lambda k: k != ""))
+    return F.filter(each, lambda k: (k != "") & (F.length(k) <= most))
 
 
 @dataclass(frozen=True)
@@ -179,8 +183,10 @@ def build(universe: DataFrame, listed: DataFrame, *, rate: float = 0.125, most_l
 def judge(pages: DataFrame, listed: DataFrame, rules: list[Rule], *, id_col: str = "page_id", url_col: str = "url", **how) -> DataFrame:
     """Per row: host, path, the rule that fits (null: none), and allow or block."""
     spark = pages.sparkSession
+    listed = listed.toDF("key")
+    most = listed.agg(F.coalesce(F.max(F.length("key")), F.lit(0))).first()[0]
     urls = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    universe = urls.select("host").distinct().select(F.explode(keys_of(F.col("host"))).alias("key")).distinct()
+    universe = urls.select("host").distinct().select(F.explode(keys_of(F.col("host"), most)).alias("key")).distinct()
     cascade = build(universe, listed, **how)
     sent = spark.sparkContext.broadcast(cascade)
     depth = len(cascade.levels)
@@ -197,7 +203,7 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[Rule], *, id_col: str
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     if depth:
         seeds = [s for k in range(depth) for s in _seeds(k)]
-        hashes = F.flatten(F.transform(keys_of(F.col("host")), lambda key: F.array(*[F.pmod(_hash(key, s), F.lit(1 << 40)) for s in seeds])))
+        hashes = F.flatten(F.transform(keys_of(F.col("host"), most), lambda key: F.array(*[F.pmod(_hash(key, s), F.lit(1 << 40)) for s in seeds])))
         blocked = F.arrow_udf(run, "boolean", F.ArrowUDFType.SCALAR_ITER)(hashes)
     else:
         blocked = F.lit(False)

@@ -274,10 +274,13 @@ class WordBpe:
 
 
 class Encoder:
-    """Encodes texts and remembers chunks: those seen first stay, which are mostly the frequent ones; the rest are forgotten after each batch."""
+    """Encodes texts and remembers chunks of up to ``longest`` characters: those seen first stay, which are mostly the frequent ones.
 
-    def __init__(self, bpe: WordBpe, remember: int = 200_000):
-        self.bpe, self.remember = bpe, remember
+    The rest, and longer chunks, are forgotten after each batch; so what is held is bounded in bytes, whatever the script.
+    """
+
+    def __init__(self, bpe: WordBpe, remember: int = 200_000, longest: int = 32):
+        self.bpe, self.remember, self.longest = bpe, remember, longest
         self.ids: dict[str, str] = {}
         self.text: dict[str, str] = {}
 
@@ -292,8 +295,11 @@ class Encoder:
             decoded[c] = self.bpe.decode(ids)
         for cs in chunks:
             yield " ".join(map(known.__getitem__, cs)), " ".join(map(decoded.__getitem__, cs))
-        for c in new[max(0, room) :]:
-            del known[c], decoded[c]
+        for c in new:
+            if len(c) > self.longest or room <= 0:
+                del known[c], decoded[c]
+            else:
+                room -= 1
 
 
 def tokenizer_file(path: str) -> str:

@@ -67,6 +67,16 @@ def test_encode_frame(spark, theirs):
     assert again[8] == "the</w> the</w> the</w>"
 
 
+def test_what_is_remembered_is_bounded_in_bytes(ours, theirs):
+    rng = random.Random(6)
+    coder = bpe.Encoder(ours, remember=50)
+    texts = ["".join(rng.choice("文字语言学习机器模型数据的是") for _ in range(3000)) for _ in range(20)] + [f"word{i} other" for i in range(200)]
+    for at in range(0, len(texts), 10):
+        for text, (numbers, _) in zip(texts[at : at + 10], list(coder.batch(texts[at : at + 10]))):
+            assert numbers == " ".join(map(str, theirs.encode(text, add_special_tokens=False).ids))
+        assert len(coder.ids) == len(coder.text) <= 50 and all(len(c) <= 32 for c in coder.ids)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.encode(docs, PATH).collect() == []

@@ -7,16 +7,16 @@ first few segments of a chain this says which segments must be equal, and those
 are the join keys; what meets there must pass the whole chain test before the
 full Hamming check.
 
-Equal fingerprints are one class, so copies meet only once. A bucket of few
-classes is joined with itself. A large bucket, where pairs would grow with the
-square, is linked through the fingerprints between: two classes are t or fewer
-bits apart exactly if some value is within t//2 bits of one and t - t//2 of the
-other, so each class lists the values around it and is linked to the least class
-near each. That gives the same components from a bounded number of rows a class.
+Equal fingerprints are one class, so copies meet only once. Classes that meet under
+a key may still be many. They agree in the key's segments, so all their differing
+bits lie in the others: these are cut into a ring of their own, finer, whose chains
+give further segments that must be equal. So large buckets are split until they
+have few classes, or so few free bits that these bound them.
 
 Defined results: null or wordless texts have fingerprint zero and are linked
-like any other; fewer than three words make one shingle. A null id takes part
-but never names a component. Repeated rows give repeated rows, an empty table none.
+like any other; fewer than three words make one shingle. A row without an id links
+others like any row, but never names a component; one of such rows alone has none.
+Repeated rows give repeated rows, an empty table none.
 Bits that half the hashes have are 0. Texts of any length are hashed whole; other
 columns are not read, whatever their names, and ``keep_one`` hands them on.
 """
@@ -24,7 +24,7 @@ columns are not read, whatever their names, and ``keep_one`` hands them on.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 from itertools import combinations
 
 import numpy as np
@@ -81,10 +81,11 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
 
 
-def ring(segments: int) -> list[tuple[int, int]]:
-    """(first bit, width) of each segment."""
-    edges = [BITS * i // segments for i in range(segments + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+def ring(segments: int, bits: list[int] | None = None) -> list[list[int]]:
+    """The bits of each segment, of all bits or of some."""
+    bits = list(range(BITS)) if bits is None else bits
+    edges = [len(bits) * i // segments for i in range(segments + 1)]
+    return [bits[a:b] for a, b in zip(edges, edges[1:])]
 
 
 def budgets(segments: int, distance: int) -> list[int]:
@@ -106,8 +107,8 @@ def _signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
-def _mask(places: list[tuple[int, int]]) -> int:
-    return sum(((1 << w) - 1) << a for a, w in places)
+def _mask(places: list[list[int]]) -> int:
+    return sum(1 << b for place in places for b in place)
 
 
 def chain_test(x: Column, segments: int, distance: int) -> Column:
@@ -123,48 +124,50 @@ def chain_test(x: Column, segments: int, distance: int) -> Column:
     return found
 
 
-def links(classes: DataFrame, *, distance: int = 2, segments: int = 4, length: int = 3, pair_bucket: int = 32) -> DataFrame:
-    """classes (fp, rep), fp unique -> edges (src, dst) between reps that give the right components.
+def _masks(free: list[int], segments: int, distance: int, length: int) -> list[int]:
+    """For a ring over the free bits, the masks of what is equal in some chain."""
+    places = ring(segments, free)
+    return [_mask([places[i] for i in k]) for k in chain_keys(segments, distance, length)]
 
-    Every pair within the distance is connected; no edge joins what no such pairs join.
-    Buckets of up to ``pair_bucket`` classes are compared pair by pair, larger ones through the values between.
+
+def links(classes: DataFrame, *, distance: int = 2, segments: int = 4, length: int = 3, few: int = 32, least_bits: int = 8) -> DataFrame:
+    """classes (fp), each once -> edges (src, dst) between the fingerprints that are within the distance.
+
+    Buckets of over ``few`` classes are split by a ring over their free bits, down to ``least_bits`` of them.
     """
     spark = classes.sparkSession
-    places = ring(segments)
-    keys = chain_keys(segments, distance, length)
-    masks = [_mask([places[i] for i in k]) for k in keys]
-    keyed = classes.select("fp", "rep", F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("part")) for i, m in enumerate(masks)])).alias("key")).select("fp", "rep", "key.kind", "key.part")
-    sizes = keyed.groupBy("kind", "part").agg(F.count("*").alias("n")).where("n > 1")
-    met = checkpointed(keyed.join(sizes, ["kind", "part"]))
-    few = met.where(F.col("n") <= pair_bucket).select("kind", "part", "fp", "rep")
-    other = few.select("kind", "part", F.col("fp").alias("fp2"), F.col("rep").alias("rep2"))
-    apart = F.col("fp").bitwiseXOR(F.col("fp2"))
-    pairs = (
-        few.join(other, ["kind", "part"])
-        .where(F.col("fp") < F.col("fp2"))
-        .where(chain_test(apart, segments, distance))
-        .where(F.bit_count(apart) <= distance)
-        .select(F.col("rep").alias("src"), F.col("rep2").alias("dst"))
-    )
-    near, far = distance // 2, distance - distance // 2
-    flips = []
-    for i, m in enumerate(masks):
-        free = [b for b in range(BITS) if not m >> b & 1]
-        flips += [(i, _signed(sum(1 << b for b in bits)), r <= near) for r in range(far + 1) for bits in combinations(free, r)]
-    around = F.broadcast(spark.createDataFrame(flips, "kind int, flip bigint, near boolean"))  # fixed by the parameters, not by the data
-    spread = met.where(F.col("n") > pair_bucket).join(around, "kind").select("kind", F.col("fp").bitwiseXOR(F.col("flip")).alias("value"), "rep", "near")
-    centre = spread.groupBy("kind", "value").agg(F.min(F.when(F.col("near"), F.col("rep"))).alias("least"), F.count("*").alias("m")).where("m > 1 and least is not null").drop("m")
-    between = spread.select("kind", "value", "rep").join(centre, ["kind", "value"]).where("rep <> least").select(F.col("rep").alias("src"), F.col("least").alias("dst"))
-    return pairs.unionByName(between).distinct()
+    buckets, every = classes.select("fp", F.lit(0).cast("bigint").alias("mask")), []
+    known = {0: list(range(BITS))}
+    while known:
+        finer = {m: [m | more for more in _masks(free, segments, distance, length)] for m, free in known.items()}
+        rows = [(_signed(m), _signed(k)) for m, keys in finer.items() for k in keys]
+        keys = F.broadcast(spark.createDataFrame(rows, "mask bigint, key bigint"))  # fixed by the parameters, not by the data
+        keyed = buckets.join(keys, "mask").select("fp", F.col("key").alias("mask"), F.col("fp").bitwiseAND(F.col("key")).alias("part"))
+        keyed = keyed.distinct() if every else keyed  # finer keys can be reached by several ways
+        sizes = keyed.groupBy("mask", "part").agg(F.count("*").alias("n")).where("n > 1")
+        met = checkpointed(keyed.join(sizes, ["mask", "part"]))
+        known = {k: free for m in finer for k in finer[m] if len(free := [b for b in range(BITS) if not k >> b & 1]) > least_bits}
+        split = (F.col("n") > few) & F.col("mask").isin([_signed(k) for k in known])
+        one = met.where(~split).select("mask", "part", "fp")
+        other = one.select("mask", "part", F.col("fp").alias("fp2"))
+        apart = F.col("fp").bitwiseXOR(F.col("fp2"))
+        near = one.join(other, ["mask", "part"]).where(F.col("fp") < F.col("fp2")).where(chain_test(apart, segments, distance)).where(F.bit_count(apart) <= distance)
+        every.append(near.select(F.col("fp").alias("src"), F.col("fp2").alias("dst")))
+        buckets = met.where(split).select("fp", "mask")
+        if not known or buckets.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, every).distinct()
 
 
 def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, distance: int = 2, segments: int = 4, length: int = 3) -> DataFrame:
     """(id, fp, component) for each row: component is the least id whose fingerprint can be reached by links."""
     prints = checkpointed(fingerprints(docs, id_col=id_col, text_col=text_col, width=width, seed=seed))
     classes = checkpointed(prints.groupBy("fp").agg(F.min("id").alias("rep")))
-    named = classes.where("rep is not null")
-    reached = connected_components(links(named, distance=distance, segments=segments, length=length))
-    labelled = classes.join(reached, classes.rep == reached.node, "left").select(F.col("fp").alias("class"), F.coalesce("component", "rep").alias("component"))
+    reached = connected_components(links(classes.select("fp"), distance=distance, segments=segments, length=length))
+    linked = checkpointed(classes.join(reached, classes.fp == reached.node).select("fp", "rep", F.col("component").alias("root")))
+    least = linked.groupBy("root").agg(F.min("rep").alias("least")).withColumnRenamed("root", "top")
+    named = linked.join(least, linked.root == least.top).select(F.col("fp").alias("linked"), "least")
+    labelled = classes.join(named, classes.fp == named.linked, "left").select(F.col("fp").alias("class"), F.when(F.col("linked").isNotNull(), F.col("least")).otherwise(F.col("rep")).alias("component"))
     return prints.join(labelled, prints.fp == labelled["class"]).select("id", "fp", "component")
 
 
@@ -177,7 +180,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One document of each component stays: the one with the least id.
 
-    Rows without an id stay. Of repeated rows with one id one stays; only those rows are compared by id.
+    Rows without an id stay. Of repeated rows with one id that of the least text hash stays, then that of the least
+    hash of the whole row; only those rows are compared by id.
     """
     found = components(docs, id_col=id_col, text_col=text_col, **how)
     per_id = checkpointed(found.groupBy("id").agg(F.min("component").alias("component"), F.count("*").alias("copies")).where("id is not null and (id <> component or copies > 1)"))
@@ -186,5 +190,6 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     repeated = per_id.where("id = component").select(F.col("id").alias(id_col))
     if repeated.isEmpty():
         return kept
-    once = kept.join(repeated, id_col, "left_semi").dropDuplicates([id_col])
+    order = F.struct(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256), F.sha2(F.to_json(F.struct(*docs.columns)), 256))
+    once = kept.join(repeated, id_col, "left_semi").groupBy(id_col).agg(F.min_by(F.struct(*docs.columns), order).alias("__row")).select("__row.*")
     return kept.join(repeated, id_col, "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))

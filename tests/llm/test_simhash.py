@@ -51,18 +51,43 @@ def test_chain_keys_miss_no_pair(segments, distance, length):
         assert any(x & m == 0 for m in masks)
 
 
-@pytest.mark.parametrize("distance,bucket", [(2, 32), (2, 2), (3, 2), (3, 32)])
-def test_links_give_the_right_components(spark, distance, bucket):
+@pytest.mark.parametrize("distance,few,bits", [(2, 32, 8), (2, 2, 8), (2, 0, 3), (3, 2, 20)])
+def test_links_are_all_near_pairs(spark, distance, few, bits):
     rng = random.Random(distance)
     prints = {0, (1 << 64) - 1}
     for _ in range(6):
         at = rng.getrandbits(64)
         prints |= {at ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5))) for _ in range(25)}
         prints |= {at ^ (rng.getrandbits(6) << 40) for _ in range(25)}
-    items = [(i, p) for i, p in enumerate(sorted(prints, key=lambda p: hash(str(p))))]
-    frame = spark.createDataFrame([(simhash._signed(p), i) for i, p in items], "fp long, rep long")
-    found = {r.node: r.component for r in connected_components(simhash.links(frame, distance=distance, pair_bucket=bucket)).collect()}
-    assert {i: found.get(i, i) for i, _ in items} == plain_components(items, distance)
+    frame = spark.createDataFrame([(simhash._signed(p),) for p in prints], "fp long")
+    found = [tuple(r) for r in simhash.links(frame, distance=distance, few=few, least_bits=bits).collect()]
+    want = {tuple(sorted((simhash._signed(a), simhash._signed(b)))) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= distance}
+    assert len(found) == len(set(found)) and set(found) == want
+
+
+def test_rows_without_an_id_link_others(spark, monkeypatch):
+    rng = random.Random(11)
+    prints = [(rng.choice([None, i]), p) for i, p in enumerate([0, 3, 15, *(rng.getrandbits(3) << 7 * rng.randint(0, 8) for _ in range(60))])]
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, **how: docs)
+    frame = spark.createDataFrame([(i, simhash._signed(p)) for i, p in [(1, 0), (None, 3), (2, 15)]], "id long, fp long")
+    assert [r.component for r in simhash.components(frame).collect()] == [1, 1, 1]
+    got = sorted((r.fp, -1 if r.id is None else r.id, r.component) for r in simhash.components(spark.createDataFrame(prints, "id long, fp long")).collect())
+    want = plain_components([(k, p) for k, (_, p) in enumerate(prints)])
+    least = {}
+    for k, (i, _) in enumerate(prints):
+        if i is not None:
+            least[want[k]] = min(least.get(want[k], i), i)
+    assert got == sorted((p, -1 if i is None else i, least.get(want[k])) for k, (i, p) in enumerate(prints))
+
+
+def test_of_one_id_the_least_text_hash_stays(spark):
+    import hashlib
+
+    texts = [f"text number {i} of one id, unlike the others in {i * i} words" for i in range(5)]
+    for turn in (texts, texts[::-1]):
+        docs = spark.createDataFrame([(4, t, {"k": 1}) for t in turn], "doc_id long, text string, extra map<string, int>").repartition(3)
+        (row,) = simhash.keep_one(docs).collect()
+        assert row.text == min(texts, key=lambda t: hashlib.sha256(t.encode()).hexdigest())
 
 
 def test_odd_rows(spark):

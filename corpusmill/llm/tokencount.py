@@ -20,8 +20,9 @@ runs at once may both append a count, which is the same, and counts as one when
 
 Defined results: a null text counts as an empty one, with no bytes and no tokens. Repeated
 rows, repeated and null ids get a row each; an empty table gives none. Texts are encoded
-whole: byte-level tokenizers take those of over a million characters in pieces cut between a
-letter and a blank with a letter, where none of their tokens can reach across. Other columns
+whole: byte-level tokenizers cut them into words and the like, which no token crosses, and a
+worker encodes such a piece once while it remembers it; texts of over a million characters are
+taken in parts cut between a letter and a blank with a letter. Other columns
 are not read, whatever their names. There are no ties.
 """
 
@@ -44,6 +45,13 @@ LONG = 1_000_000
 #: Digests that a task remembers in order to drop copies before the shuffle; more cost copies, not results.
 REMEMBERED = 500_000
 _CUT = regex.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
+#: How byte-level tokenizers cut a text into pieces, none of which a token crosses.
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Characters of which the regex module and the tokenizers library know the same (a test asks for each); texts with others are cut by the library.
+_AGREED = regex.compile(r"[\x00-\u052F\u0600-\u06FF\u0900-\u0BFF\u0E00-\u0E7F\u1E00-\u206F\u20A0-\u2BFF\u3000-\u9FFF\uAC00-\uD7A3\uFE00-\uFE0F\uFF00-\uFFEF\U0001F300-\U0001FAFF]*+")
+#: Pieces whose counts a worker remembers: so many, of so many characters at most.
+_PIECES_KEPT, _PIECE_LENGTH = 400_000, 32
+_KNOWN: dict[str, dict[str, int]] = {}
 
 
 class Tokenizer:
@@ -68,6 +76,11 @@ class Tokenizer:
             self.normal = self.coder.normalizer.normalize_str
             if added:
                 self.special = regex.compile("(" + "|".join(regex.escape(t["content"]) for t in sorted(added, key=lambda t: -len(t["content"]))) + ")")
+        if self.normal is None and added:
+            self.split = regex.compile("(" + "|".join(regex.escape(t["content"]) for t in sorted(added, key=lambda t: -len(t["content"]))) + ")").split
+        else:
+            self.split = lambda text: [text]
+        self.known = _KNOWN.setdefault(hashlib.sha256(data).hexdigest(), {})
         self.cut = (
             self.normal is None and cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True) and not cutter.get("add_prefix_space", True)
             and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
@@ -89,10 +102,33 @@ class Tokenizer:
     def counts(self, texts: list[str]) -> list[int]:
         if self.pieces:
             return [len(self.coder.encode(t)) for t in texts]
+        if not self.cut:
+            return self._encoded(texts)
+        by_pieces = [_AGREED.fullmatch(t) is not None for t in texts]
+        whole = iter(self._encoded([t for t, fine in zip(texts, by_pieces) if not fine]))
+        return [sum(map(self._in_pieces, self.parts(t))) if fine else next(whole) for t, fine in zip(texts, by_pieces)]
+
+    def _encoded(self, texts: list[str]) -> list[int]:
         cut = [self.parts(t) for t in texts]
         found = iter(map(len, self.coder.encode_batch_fast([p for ps in cut for p in ps], add_special_tokens=False)))
         return [sum(next(found) for _ in ps) for ps in cut]
 
+    def _in_pieces(self, text: str) -> int:
+        """The sum over pieces, each of which the library encodes once while it is remembered."""
+        known, total = self.known, 0
+        for k, part in enumerate(self.split(text)):
+            if k % 2:
+                total += 1
+                continue
+            pieces = _PIECES.findall(part)
+            if new := list({p for p in pieces if p not in known}):
+                known.update(zip(new, map(len, self.coder.encode_batch_fast(new, add_special_tokens=False))))
+            total += sum(map(known.__getitem__, pieces))
+            for p in new:
+                if len(p) > _PIECE_LENGTH or len(known) > _PIECES_KEPT:
+                    del known[p]
+        return total
+
 
 class Cache:
     """Counts by digest of one tokenizer, as Parquet in a folder that all machines share; the folder's name is the tokenizer's digest."""

@@ -76,6 +76,29 @@ def test_long_texts_in_pieces(monkeypatch):
     assert ours.counts(texts) == [want(t) for t in texts]
 
 
+def test_pieces_are_those_of_the_library(monkeypatch):
+    coder = Tokenizer.from_file(BYTES)
+    agreed = [c for c in map(chr, [*range(0xD800), *range(0xE000, 0x20000)]) if tokencount._AGREED.fullmatch(c)]
+    assert len(agreed) > 40_000
+    for i in range(0, len(agreed), 2000):
+        text = "\nq ".join(f"a{c}b1{c}2!{c}? {c} {c}{c} \n{c}" for c in agreed[i : i + 2000])
+        assert [at for _, at in coder.pre_tokenizer.pre_tokenize_str(text)] == [m.span() for m in tokencount._PIECES.finditer(text)]
+
+
+def test_random_texts_in_pieces(monkeypatch):
+    import random
+
+    with open(BYTES, "rb") as f:
+        ours = tokencount.Tokenizer("x.json", f.read())
+    monkeypatch.setattr(tokencount, "_PIECES_KEPT", 500)
+    ours.known.clear()
+    rng, want = random.Random(9), plain(BYTES)
+    letters = "aeinrst" * 6 + "AÉß语あ🙂12½²'’sdmltrev  \n\t\r\x1c\x85\xa0\u3000\u200d.,!?<|>_-" + "\u0558\U000323b0"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(4000)] + ["x" * 40, "a<|endoftext|><|endoftext|> b <|endoftext|"]
+    assert ours.counts(texts) == [want(t) for t in texts]
+    assert len(ours.known) <= 501
+
+
 def test_whole_table(spark, sf_dir):
     want = plain(BYTES)
     texts = {r.doc_id: r.text or "" for r in table(spark, sf_dir, "documents").collect()}

@@ -62,8 +62,10 @@ def pool_comparison(hits: DataFrame, members: DataFrame, gold: DataFrame, k: int
     A question's hits are ranked anew among the documents of each pool. Questions without a gold document in any pool count in none.
     """
     inside = hits.join(members, "id")
-    ranked = inside.withColumn("rank", F.row_number().over(Window.partitionBy("pool", "qid").orderBy(F.desc("score"), "id")))
+    # A gold document's rank is one more than the number of hits before it: counted, not sorted.
+    first = inside.join(gold, ["qid", "id"]).groupBy("pool", "qid").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("id").alias("i"))).alias("first"))
+    before = (F.col("score") > -F.col("first.s")) | ((F.col("score") == -F.col("first.s")) & (F.col("id") < F.col("first.i")))
+    best = inside.join(first, ["pool", "qid"]).groupBy("pool", "qid").agg((F.count_if(before) + 1).alias("rank"))
     asked = gold.select("qid").distinct().crossJoin(F.broadcast(members.select("pool").distinct()))  # a few pools
-    best = ranked.join(gold, ["qid", "id"]).groupBy("pool", "qid").agg(F.min("rank").alias("rank"))
     told = asked.join(best, ["pool", "qid"], "left")
     return told.groupBy("pool").agg(F.count("*").alias("n"), F.round(F.avg(hit("rank", k)), 6).alias("recall"), F.round(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"))

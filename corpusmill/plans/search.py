@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpusmill.functions import quality as Q
@@ -9,11 +11,13 @@ from corpusmill.operators import dedup as D
 from corpusmill.operators import evaluation as E
 from corpusmill.operators import filters as P
 from corpusmill.operators import findings as FN
+from corpusmill.operators import lexical as L
 from corpusmill.operators import ranking as W
 from corpusmill.operators import retrieval as R
 from corpusmill.operators import vectors as V
 from corpusmill.plans.filters import LIKENESS
 from corpusmill.plans.registry import phrase, query, sql_phrase
+from corpusmill.session import shared_folder
 
 TOKS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
 WORDS = "list_filter(string_split_regex(replace(text, '\"', ' '), '[\\s\\x0B]+'), lambda w: w <> '')"
@@ -68,8 +72,14 @@ def questions(t):
     return t.benchmark.select(F.col("item_id").alias("qid"), asked_terms().alias("terms"))
 
 
+def index(t):
+    """The kept index of the documents; built by the first query that asks these files."""
+    folder = t.spark.conf.get("spark.checkpoint.dir", None) or shared_folder(t.spark)
+    return L.index_of(t.spark, f"{folder}/lexical-index", t.documents, id_col="doc_id", text_col="text", source=L.snapshot(t.documents))
+
+
 def lexical(t, k=30):
-    return R.bm25(questions(t), t.documents.select("doc_id", "text"), id_col="doc_id", text_col="text", k=k)
+    return index(t).top_k(questions(t), k)
 
 
 def dense(t, k=30):
@@ -101,6 +111,26 @@ def r3(t):
     return lexical(t)
 
 
+@query("r3_bm25_without_an_index", f"WITH {BM25} SELECT * FROM bm25")
+def r3_scan(t):
+    """The same from the texts, for a table that is asked once."""
+    return R.bm25(questions(t), t.documents.select("doc_id", "text"), id_col="doc_id", text_col="text", k=30)
+
+
+CHANGED = BM25.replace("FROM documents", "FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN text || ' ' || text || ' added words' ELSE text END AS text FROM documents WHERE doc_id % 10 <> 7)")
+
+
+@query("r3_bm25_after_changes", f"WITH {CHANGED} SELECT * FROM bm25")
+def r3_changed(t):
+    """A tenth of the documents taken off and another given new texts, in an index of its own."""
+    folder = t.spark.conf.get("spark.checkpoint.dir", None) or shared_folder(t.spark)
+    kept = L.LexicalIndex(t.spark, f"{folder}/changed-index/{uuid.uuid4().hex}")
+    kept.add(t.documents, id_col="doc_id", text_col="text")
+    kept.remove(t.documents.where("doc_id % 10 = 7").select("doc_id"))
+    kept.add(t.documents.where("doc_id % 10 = 3").select("doc_id", F.concat("text", F.lit(" "), "text", F.lit(" added words")).alias("text")), id_col="doc_id", text_col="text")
+    return kept.top_k(questions(t), 30)
+
+
 @query("t1_vector_top_k", f"WITH {DENSE} SELECT * FROM dense")
 def t1(t):
     return dense(t)
@@ -271,15 +301,14 @@ SELECT arg_min(variant, (postings, variant)) AS variant, count(*) AS survivors F
 def r17(t):
     """Recall of variants of the match expression; of those that lose no more than 0.01 the one that walks the fewest postings."""
     qs = t.benchmark.select(F.inline(F.array(*[F.struct(F.struct(F.lit(v).alias("variant"), F.col("item_id").alias("item")).alias("qid"), asked_terms(v).alias("terms")) for v in SWEPT])))
-    docs = t.documents.select("doc_id", "text")
-    ranks = R.bm25(qs, docs, id_col="doc_id", text_col="text", k=30).select("qid.variant", F.col("qid.item").alias("item"), "id", "rank")
+    kept = index(t)
+    ranks = kept.top_k(qs, 30).select("qid.variant", F.col("qid.item").alias("item"), "id", "rank")
     gold = gold_documents(t).select(F.col("qid").alias("item"), F.col("doc_id").alias("id"))
     pools = gold.crossJoin(t.spark.createDataFrame([(v,) for v in SWEPT], "variant string"))
     first = pools.join(ranks, ["variant", "item", "id"], "left").groupBy("variant", "item").agg(F.min("rank").alias("rank"))
     recall = first.groupBy("variant").agg(F.round(F.avg(F.when(F.col("rank") <= 30, 1.0).otherwise(0.0)), 6).alias("recall"))
     terms = qs.select("qid.variant", F.explode(F.array_distinct("terms")).alias("term"))
-    postings = R.postings(docs, "doc_id", "text").groupBy("term").agg(F.count("*").alias("n"))
-    cost = terms.join(postings, "term").groupBy("variant").agg(F.sum("n").cast("double").alias("postings"))
+    cost = terms.join(kept.frequencies(terms), "term").groupBy("variant").agg(F.sum("df").cast("double").alias("postings"))
     return E.choose_variant(recall.join(cost, "variant"), control="v1", metric="recall", latency="postings")
 
 
@@ -299,8 +328,7 @@ def r18(t):
     even = F.col("doc_id") % 2 == 0
     pools = F.array_compact(F.array(F.when(even, "baseline"), F.when(even | (F.col("lang") == "en"), "signal"), F.when(even | (F.col("lang") != "en"), "noise")))
     members = t.documents.select(F.explode(pools).alias("pool"), F.col("doc_id").alias("id"))
-    hits = R.bm25(questions(t), t.documents.select("doc_id", "text"), id_col="doc_id", text_col="text", k=1 << 30)
-    return E.pool_comparison(hits.select("qid", "id", "score"), members, gold_documents(t).select("qid", F.col("doc_id").alias("id")), 10)
+    return E.pool_comparison(index(t).scores(questions(t)), members, gold_documents(t).select("qid", F.col("doc_id").alias("id")), 10)
 
 
 @query("r19_minhash_near_duplicates")

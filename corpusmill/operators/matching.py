@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from corpusmill.functions import geo as G
+from corpusmill.operators import setjoin as S
 
 
 def exact_match(parcels: DataFrame, contracts: DataFrame) -> DataFrame:
@@ -35,12 +36,40 @@ def fuzzy_score(p: dict[str, Column], r: dict[str, Column]) -> Column:
     return F.when(p["id"] == r["id"], 1.0).when(same_number & same_field & missing, 0.9).when(same_number & same_field, near).when(same_number, 0.5).otherwise(similarity_ratio(p["id"], r["id"]))
 
 
-def fuzzy_match(parcels: DataFrame, refs: DataFrame, least: float = 0.6, most_refs: int = 5_000) -> DataFrame:
-    """The best reference of each parcel, the earliest of equals (J13). refs are few (one project's contracts): their number is checked before they are broadcast."""
-    if refs.count() > most_refs:
-        raise ValueError(f"over {most_refs} references: match project by project")
-    r = refs.select(*(F.col(c).alias(f"r_{c}") for c in ("id", "number", "field", "district", "ord")))
-    pairs = parcels.crossJoin(F.broadcast(r))
+def letters(text: Column) -> Column:
+    """Each character with the number of its occurrences before it: sets whose common part bounds the matching blocks from above."""
+    sure = F.split(text, "")
+    chars = F.filter(F.array_sort(sure), lambda c: c != "")
+    return F.transform(chars, lambda c, i: F.concat(c, (i - F.array_position(chars, c) + 1).cast("string")))
+
+
+def similar_ids(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """left, right (id), each once -> (a, b) whose ratio of matching blocks is ``least`` or more.
+
+    The blocks of two ids hold no more characters than both have in common, so the ratio is at most the
+    Dice similarity of their characters: pairs that reach it meet by prefixes, and only they get the exact ratio.
+    """
+    sets = [side.select("id", letters(F.col("id")).alias("tokens")) for side in (left, right)]
+    met = S.join(*sets, measure="dice", threshold=least)
+    return met.withColumn("ratio", similarity_ratio(F.col("a"), F.col("b"))).where(F.col("ratio") >= least).select("a", "b")
+
+
+def fuzzy_match(parcels: DataFrame, refs: DataFrame, least: float = 0.6) -> DataFrame:
+    """The best reference of each parcel, the earliest of equals.
+
+    Every way to reach the score is an equi-join: equal ids, equal numbers (and fields, where the number alone
+    isn't enough), and ids of a similarity.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("least: over 0, at most 1")
+    p = parcels.select("id", "number", "field", "district").where("id is not null").distinct()
+    r = refs.groupBy("id", "number", "field", "district").agg(F.min("ord").alias("ord")).select(*(F.col(c).alias(f"r_{c}") for c in ("id", "number", "field", "district", "ord")))
+    same = p.join(r, F.col("id") == F.col("r_id"))
+    keys = (F.col("number") == F.col("r_number")) if least <= 0.5 else (F.col("number") == F.col("r_number")) & (F.col("field") == F.col("r_field"))
+    numbered = p.join(r, keys)
+    alike = similar_ids(p.select("id").distinct(), refs.where("id is not null").select("id").distinct(), least)
+    near = p.join(alike, F.col("id") == F.col("a")).join(r, F.col("b") == F.col("r_id")).drop("a", "b")
+    pairs = same.unionByName(numbered).unionByName(near)
     score = fuzzy_score({c: F.col(c) for c in ("id", "number", "field", "district")}, {c: F.col(f"r_{c}") for c in ("id", "number", "field", "district")})
     best = pairs.withColumn("score", score).where(F.col("score") >= least).groupBy("id").agg(F.max(F.struct("score", (-F.col("r_ord")).alias("o"), F.col("r_id").alias("ref"))).alias("b"))
     return best.select("id", F.col("b.ref").alias("ref"), F.round("b.score", 6).alias("score"))
@@ -72,12 +101,6 @@ def first_box(points: DataFrame, boxes: list[tuple[str, float, float, float, flo
     return F.coalesce(*[F.when(F.col(lat).between(s, n) & F.col(lng).between(w, e), F.lit(name)) for name, s, w, n, e in boxes])
 
 
-def in_area(parcels: DataFrame, area: DataFrame, ring: str) -> DataFrame:
-    """Parcels whose box meets the project's; those without geometry stay (J14). area has one row."""
-    one = F.broadcast(area.limit(1).select(G.bbox(F.col("area")).alias("__area")))
-    return parcels.crossJoin(one).where(F.col(ring).isNull() | G.boxes_meet(G.bbox(F.col(ring)), F.col("__area"))).drop("__area")
-
-
 def near_centre(points: DataFrame, group: str, lat: str, lng: str, most_km: float = 25.0) -> DataFrame:
     """Points within a distance of their group's upper median; groups of two or fewer, or that would vanish, stay whole (G1)."""
     g = Window.partitionBy(group)

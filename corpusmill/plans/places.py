@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import geo as G
 from corpusmill.operators import matching as X
-from corpusmill.plans.registry import query
+from corpusmill.operators import spatial as SP
+from corpusmill.plans.registry import phrase, query
 
 # Customers stand for parcels: a place on a lattice, a number and a field follow from the key.
 PLACE = "SELECT c_custkey AS id, c_nationkey AS park, 48.0 + (c_custkey % 40) * 0.05 AS lat, 9.0 + (c_custkey % 70) * 0.05 AS lng FROM customer"
@@ -121,17 +122,44 @@ def j12(t):
 
 @query("j13_parcel_contract_fuzzy")
 def j13(t):
+    """Customers as parcels, suppliers as contracts' references; tests/test_matching.py compares all pairs."""
+    return X.fuzzy_match(*fuzzy_sides(t))
+
+
+def fuzzy_sides(t):
     number, field = (F.col("c_custkey") % 40).cast("string"), (F.col("c_custkey") % 3).cast("string")
     made = t.customer.select(F.concat_ws(":", F.lower("c_mktsegment"), field, number, F.col("c_custkey").cast("string")).alias("id"), number.alias("number"), field.alias("field"), F.lower("c_mktsegment").alias("district"))
-    refs = t.spark.createDataFrame([("machinery:1:7", "7", "1", "machinery", 0), ("building:2:8", "8", "2", None, 1), ("x:0:39", "39", "9", "x", 2)], "id string, number string, field string, district string, ord int")
-    return X.fuzzy_match(made, refs)
+    k = F.col("s_suppkey")
+    names = phrase(("machinery", "building", "furniture", "x"), k)
+    refs = t.supplier.select(
+        F.concat_ws(":", names, (k % 4).cast("string"), (k % 50).cast("string")).alias("id"), (k % 50).cast("string").alias("number"), (k % 4).cast("string").alias("field"), F.when(k % 3 != 0, names).alias("district"), k.alias("ord")
+    )
+    return made, refs
 
 
 @query("j14_spatial_filter", f"SELECT id FROM ({PLACE}) WHERE id % 5 = 0 OR (lat - 0.01 <= 49.5 AND lat + 0.01 >= 49.0 AND lng - 0.01 <= 10.5 AND lng + 0.01 >= 10.0)")
 def j14(t):
     area = t.spark.range(1).select(F.array(*[F.array(F.lit(a), F.lit(b)) for a, b in ((49.0, 10.0), (49.0, 10.5), (49.5, 10.5), (49.5, 10.0))]).alias("area"))
     made = places(t).withColumn("ring", F.when(F.col("id") % 5 != 0, ring(F.col("lat"), F.col("lng"))))
-    return X.in_area(made, area, "ring").select("id")
+    return SP.in_areas(made, area.withColumn("area_id", F.lit(1)), id_col="id", ring="ring").select("id")
+
+
+AREAS = "SELECT s_suppkey AS area_id, 48.0 + (s_suppkey % 37) * 0.06 AS lat, 9.0 + (s_suppkey % 53) * 0.07 AS lng, CASE WHEN s_suppkey % 4 = 0 THEN 0.6 ELSE 0.003 * (s_suppkey % 9 + 1) END AS half FROM supplier"
+
+
+@query(
+    "j14_polygon_join",
+    f"""SELECT id, area_id FROM (SELECT id, lat::DOUBLE AS lat, lng::DOUBLE AS lng FROM ({PLACE}) WHERE id % 5 <> 0), (SELECT area_id, lat::DOUBLE AS a, lng::DOUBLE AS b, half::DOUBLE AS half FROM ({AREAS}))
+WHERE greatest(abs(lat - a) - 0.0101, 0) + greatest(abs(lng - b) - 0.0101, 0) <= half""",
+)
+def j14_many(t):
+    """Every pair of a parcel (a square) and an area (a square on its corner, of one of many sizes) that share a point."""
+    k = F.col("s_suppkey")
+    half = F.when(k % 4 == 0, F.lit(0.6)).otherwise(F.lit(0.003) * (k % 9 + 1))
+    lat, lng = F.lit(48.0) + (k % 37) * F.lit(0.06), F.lit(9.0) + (k % 53) * F.lit(0.07)
+    corners = F.array(*[F.array(lat + a * half, lng + b * half) for a, b in ((-1, 0), (0, 1), (1, 0), (0, -1))])
+    made = places(t).where("id % 5 <> 0").withColumn("ring", ring(F.col("lat"), F.col("lng"), 0.0101))
+    return SP.polygon_join(made, t.supplier.select(k.alias("area_id"), corners.alias("area")), left_id="id", left_ring="ring", right_id="area_id", right_ring="area")
 
 
 @query("j16_point_in_box", f"SELECT id, CASE WHEN lat BETWEEN 48 AND 49 AND lng BETWEEN 9 AND 11 THEN 'south' WHEN lat BETWEEN 47 AND 51 AND lng BETWEEN 9 AND 12 THEN 'wide' ELSE 'rest' END AS box FROM ({PLACE})")

@@ -14,6 +14,7 @@ from corpusmill.operators import findings as FN
 from corpusmill.operators import lexical as L
 from corpusmill.operators import ranking as W
 from corpusmill.operators import retrieval as R
+from corpusmill.operators import setjoin as S
 from corpusmill.operators import vectors as V
 from corpusmill.plans.filters import LIKENESS
 from corpusmill.plans.registry import phrase, query, sql_phrase
@@ -386,6 +387,15 @@ def t8(t):
     return t.customer.where(F.lower("c_name").contains("12")).select("c_custkey", "c_name", F.round(R.trigram_similarity(F.col("c_name"), F.lit("Customer 12")), 6).alias("s")).orderBy(F.desc("s"), "c_name", "c_custkey").limit(20)
 
 
+@query("f25_similar_names", f"SELECT n_nationkey AS qid, c_custkey AS id, round({LIKENESS('c_name', 'needle')}, 6) AS similarity FROM customer, (SELECT n_nationkey, 'customer ' || n_nationkey * 5 AS needle FROM nation) WHERE round({LIKENESS('c_name', 'needle')}, 6) >= 0.6")
+def f25(t):
+    """A batch of needles against the names' kept trigrams; every name that is similar enough."""
+    folder = t.spark.conf.get("spark.checkpoint.dir", None) or shared_folder(t.spark)
+    names = S.TrigramIndex(t.spark, f"{folder}/trigrams/{uuid.uuid4().hex}", 0.6).build(t.customer, id_col="c_custkey", name_col="c_name")
+    needles = t.nation.select(F.col("n_nationkey").alias("qid"), F.concat(F.lit("customer "), F.col("n_nationkey") * 5).alias("needle"))
+    return names.search(needles).select("qid", "id", F.round("similarity", 6).alias("similarity"))
+
+
 @query("a5_lexical_search_eval", f"WITH {BM25}, gold AS (SELECT item_id AS qid, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), first AS (SELECT g.qid, min(rank) AS rank FROM gold g LEFT JOIN bm25 b ON g.qid = b.qid AND b.id = g.doc_id GROUP BY 1) SELECT count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END), 6) AS recall_1, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END), 6) AS recall_10, round(avg(CASE WHEN rank <= 30 THEN 1.0 ELSE 0 END), 6) AS recall_30, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr FROM first")
 def search_eval(t):
     """Recall and reciprocal rank of the lexical leg; gold is any document that holds the passage."""

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from corpusmill.functions import quality as Q
+from corpusmill.operators import cover as C
 from corpusmill.operators import dedup as D
 from corpusmill.operators import evaluation as E
 from corpusmill.operators import filters as P
@@ -387,6 +388,43 @@ def t8(t):
     return t.customer.where(F.lower("c_name").contains("12")).select("c_custkey", "c_name", F.round(R.trigram_similarity(F.col("c_name"), F.lit("Customer 12")), 6).alias("s")).orderBy(F.desc("s"), "c_name", "c_custkey").limit(20)
 
 
+COVERS = """WITH q AS (
+  SELECT qid, unnest(terms) AS word, len(terms) AS n FROM (
+    SELECT item_id AS qid, list_distinct(list_slice(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda w: length(w) > 2), 1, 2)) AS terms FROM benchmark)
+), places AS (
+  SELECT doc_id AS id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents)
+), hits AS (
+  SELECT qid, id, n, word, pos, row_number() OVER (PARTITION BY qid, id ORDER BY pos) AS i FROM places JOIN q USING (word)
+), lasts AS (
+  SELECT h.qid, h.id, h.n, h.i, h.pos, (SELECT min(m) FROM (SELECT max(g.i) AS m FROM hits g WHERE g.qid = h.qid AND g.id = h.id AND g.i <= h.i GROUP BY g.word HAVING true) x) AS b,
+         (SELECT count(DISTINCT g.word) FROM hits g WHERE g.qid = h.qid AND g.id = h.id AND g.i <= h.i) AS words
+  FROM hits h
+), covers AS (
+  SELECT qid, id, b, min(i) AS i FROM lasts WHERE words = n GROUP BY qid, id, b
+), scored AS (
+  SELECT c.qid, c.id, round(sum(0.1 / (1 + (e.pos - s.pos) - (c.i - c.b))), 6) AS score
+  FROM covers c JOIN hits e ON e.qid = c.qid AND e.id = c.id AND e.i = c.i JOIN hits s ON s.qid = c.qid AND s.id = c.id AND s.i = c.b GROUP BY 1, 2
+)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM scored) WHERE rank <= 10"""
+
+
+def short_questions(t):
+    """The first two words of over two letters of each question."""
+    words = F.slice(F.filter(R.tokens(F.col("text")), lambda w: F.length(w) > 2), 1, 2)
+    return t.benchmark.select(F.col("item_id").alias("qid"), F.array_join(words, " ").alias("question"))
+
+
+@query("r4_cover_density", COVERS)
+def r4_covers(t):
+    return C.cover_density(short_questions(t), t.documents, id_col="doc_id", text_col="text", k=10, stem=None)
+
+
+@query("r4_stemmed_cover_density")
+def r4_stems(t):
+    """The same over German stems; tests/test_cover.py has a plain version."""
+    return C.cover_density(short_questions(t), t.documents, id_col="doc_id", text_col="text", k=10)
+
+
 @query("f25_similar_names", f"SELECT n_nationkey AS qid, c_custkey AS id, round({LIKENESS('c_name', 'needle')}, 6) AS similarity FROM customer, (SELECT n_nationkey, 'customer ' || n_nationkey * 5 AS needle FROM nation) WHERE round({LIKENESS('c_name', 'needle')}, 6) >= 0.6")
 def f25(t):
     """A batch of needles against the names' kept trigrams; every name that is similar enough."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -56,46 +58,95 @@ def minhash(hashes: Column, bands: int, rows: int) -> Column:
     return F.arrow_udf(run, "array<bigint>")(hashes)
 
 
+def sketches(rows: DataFrame, bands: int, depth: int) -> DataFrame:
+    """(id, hash, s) -> (id, hash, keys): the band keys of each row's shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            with np.errstate(over="ignore"):
+                keys = [None if not h else _minima(np.array(h, np.int64).view(np.uint64), bands, depth) for h in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["id", "hash", "keys"])
+
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, hash string, keys array<bigint>")
+
+
 def _similar(pairs: DataFrame, cut: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity) of the pairs that pass the check."""
-    left, right = cut.select(F.col("id").alias("a"), F.col("s").alias("sa")), cut.select(F.col("id").alias("b"), F.col("s").alias("sb"))
+    """(a, b) of the pairs whose shingles pass the check."""
+    left, right = cut.select(F.col("hash").alias("a"), F.col("s").alias("sa")), cut.select(F.col("hash").alias("b"), F.col("s").alias("sb"))
     jaccard = F.size(F.array_intersect("sa", "sb")) / F.size(F.array_union("sa", "sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", F.round(jaccard, 6).alias("similarity")).where(F.col("similarity") >= threshold)
+    return pairs.join(left, "a").join(right, "b").where(F.round(jaccard, 6) >= threshold).select("a", "b")
 
 
 def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """rows (id, ...) with the component that the links give an id; its own where there are none."""
+    """rows (hash, ...) with the component that the links give; their own hash where there are none."""
     found = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    return rows.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    return rows.join(found.withColumnRenamed("node", "hash"), "hash", "left").withColumn("component", F.coalesce("component", "hash"))
+
 
+def prefix_pairs(members: DataFrame, cut: DataFrame, threshold: float) -> DataFrame:
+    """members (hash, component, keys), cut (hash, s) -> (a, b) of other components that share a key and can reach the threshold.
 
-def near_duplicates(docs: DataFrame, id_col: str, text_col: str, *, width: int = 5, bands: int = 16, rows: int = 4, threshold: float = 0.8, rounds: int = 2) -> DataFrame:
+    Shingles are ordered from rare to frequent. Of two sets that are similar enough the smaller has one of its
+    first n - 2tn / (1 + t) + 1 shingles among the first n - tn + 1 of the larger; where these lie bounds what
+    can still be common. So members that differ in their own, rare shingles meet nobody, however many share the rest.
+    """
+    each = cut.join(members.select("hash"), "hash", "left_semi").select("hash", F.explode("s").alias("token"))
+    counts = each.groupBy("token").count().where("count > 1")
+    sizes = members.join(cut, "hash").select("hash", "component", "keys", F.size("s").alias("n"))
+    # Shingles of one member alone come first of all: they take places, and are no keys.
+    shared = each.join(counts, "token").groupBy("hash").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("tokens"))
+    placed = sizes.join(shared, "hash").withColumn("alone", F.col("n") - F.size("tokens"))
+    probe = F.col("n") - F.ceil(F.col("n") * (threshold - 1e-6)) + 1
+    index = F.col("n") - F.ceil(F.col("n") * (2 * (threshold - 1e-6) / (1 + threshold))) + 1
+
+    def keys(length: Column) -> DataFrame:
+        first = F.slice("tokens", 1, F.greatest(length - F.col("alone"), F.lit(0)).cast("int"))
+        each = placed.select("hash", "component", "keys", "n", "alone", F.posexplode(first).alias("at", "t"))
+        return each.select("hash", "component", "keys", "n", (F.col("alone") + F.col("at")).alias("place"), F.col("t.token").alias("token"))
+
+    small, large = keys(index), keys(probe).withColumnsRenamed({c: f"{c}2" for c in ("hash", "component", "keys", "n", "place")})
+    met = small.join(large, "token").where("component <> component2 and (n < n2 or n = n2 and hash < hash2)")
+    need = (F.col("n") + F.col("n2")) * ((threshold - 1e-6) / (1 + threshold))
+    fine = met.where((F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) >= need) & F.arrays_overlap("keys", "keys2"))
+    return fine.select(F.least("hash", "hash2").alias("a"), F.greatest("hash", "hash2").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, id_col: str, text_col: str, *, width: int = 5, bands: int = 16, rows: int = 4, threshold: float = 0.8) -> DataFrame:
     """(id, class, component) of every row.
 
-    class is the least id of the same content hash; component the least id that can be
-    reached over pairs of classes that share a band and pass the check. Each of the
-    rounds links members of a bucket to its least one, and goes on with those that were
-    not reached; this is linear. Then members of one bucket that are still of different
-    components are checked in pairs, so the rounds save work and change no result.
+    class is the least id of the same content hash; component the least id that can be reached over pairs of
+    classes that share a band and pass the check. Texts stay where they are: what is shuffled are hashes and bands,
+    and the shingles of classes that share a band with another.
+
+    In rounds, members of a bucket are linked to its least one, and those that were not go on, as long as a
+    twentieth at least is linked; a round is linear. Then members of one bucket that are still of different
+    components meet by the prefixes of their shingles. The rounds save work and change no result.
     """
-    named = docs.select(F.col(id_col).alias("id"), F.coalesce(content_hash(F.col(text_col)), F.lit("")).alias("hash"), F.col(text_col).alias("text"))
-    classes = named.groupBy("hash").agg(F.min(F.struct("id", "text")).alias("r")).select("hash", "r.id", "r.text")
-    cut = classes.select("id", shingles(F.col("text"), width).alias("s"))
-    left = banded = checkpointed(cut.select("id", F.size("s").alias("n"), F.posexplode(minhash(F.col("s"), bands, rows)).alias("band", "key")))
-    links = None
-    for _ in range(rounds):
-        least = left.groupBy("band", "key").agg(F.min("id").alias("a"), F.count("*").alias("m")).where("m > 1").drop("m")
-        met = checkpointed(left.join(least, ["band", "key"]).where("id <> a"))
-        new = checkpointed(_similar(met.select("a", F.col("id").alias("b")).distinct(), cut, threshold))
-        links = new if links is None else links.unionByName(new)
-        linked = new.select("a", F.col("b").alias("id"))
-        left = met.join(linked, ["a", "id"], "left_anti").select("id", "n", "band", "key")
-    member = checkpointed(_labelled(banded, links) if links is not None else banded.withColumn("component", F.col("id")))
+    hashed = docs.select(F.col(id_col).alias("id"), F.coalesce(content_hash(F.col(text_col)), F.lit("")).alias("hash"), F.col(text_col).alias("text"))
+    sketched = checkpointed(sketches(hashed.select("id", "hash", shingles(F.col("text"), width).alias("s")), bands, rows))
+    classes = checkpointed(sketched.groupBy("hash").agg(F.min("id").alias("id"), F.any_value("keys").alias("keys")))
+    every = classes.where("keys is not null").select("hash", F.posexplode("keys").alias("band", "key"))
+    sizes = every.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1").drop("m")
+    left = banded = checkpointed(every.join(sizes, ["band", "key"]))
+    needed = banded.select("hash").distinct()
+    # Rows of one hash have the same words, so any of them has the class's shingles.
+    cut = checkpointed(hashed.select("hash", shingles(F.col("text"), width).alias("s")).join(needed, "hash", "left_semi").groupBy("hash").agg(F.any_value("s").alias("s")))
+    links = checkpointed(banded.limit(0).select(F.col("hash").alias("a"), F.col("hash").alias("b")))
+    while True:
+        least = left.groupBy("band", "key").agg(F.min("hash").alias("a"), F.count("*").alias("m")).where("m > 1").drop("m")
+        met = checkpointed(left.join(least, ["band", "key"]).where("hash <> a"))
+        pairs = met.select("a", F.col("hash").alias("b")).distinct()
+        new = checkpointed(_similar(pairs, cut, threshold))
+        links = links.unionByName(new)
+        found, tried = new.count(), met.count()
+        left = met.join(new.withColumnRenamed("b", "hash"), ["a", "hash"], "left_anti").select("hash", "band", "key")
+        if not tried or found < tried / 20 / bands:
+            break
+    member = checkpointed(_labelled(banded, links))
     live = member.groupBy("band", "key").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first < last").select("band", "key")
-    one = member.join(live, ["band", "key"])
-    other = one.select("band", "key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-    apart = one.join(other, ["band", "key"]).where("component < component2").where(F.least("n", "n2") >= (threshold - 1e-6) * F.greatest("n", "n2"))
-    more = _similar(apart.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct(), cut, threshold)
-    links = checkpointed(more if links is None else links.unionByName(more))
-    reached = _labelled(classes.select("hash", "id"), links).select("hash", F.col("id").alias("class"), "component")
-    return named.select("id", "hash").join(reached, "hash").select(F.col("id").alias(id_col), "class", "component")
+    open_ = member.join(live, ["band", "key"]).groupBy("hash", "component").agg(F.collect_set(F.struct("band", "key")).alias("keys"))  # one for each band at most
+    more = checkpointed(_similar(prefix_pairs(checkpointed(open_), cut, threshold), cut, threshold))
+    reached = checkpointed(_labelled(classes.select("hash", "id"), links.unionByName(more)))
+    least = reached.groupBy("component").agg(F.min("id").alias("least"))
+    named = reached.join(least, "component").select("hash", F.col("id").alias("class"), F.col("least").alias("component"))
+    return sketched.select("id", "hash").join(named, "hash").select(F.col("id").alias(id_col), "class", "component")

@@ -41,3 +41,31 @@ def test_recall_over_a_whole_table(spark, sf_dir):
     got = {r.doc_id: r.component for r in D.near_duplicates(docs, "doc_id", "text").collect()}
     assert set(got) == {r.doc_id for r in docs.select("doc_id").collect()}
     assert similar and sum(got[a] == got[b] for a, b in similar) >= 0.9 * len(similar)
+
+
+def test_a_large_bucket_stays_linear(spark, monkeypatch):
+    """Templates with a tenth to a fifth of their words of their own share bands, but are not similar: nobody meets."""
+    from pyspark.sql import functions as F
+
+    n = 20_000
+    template = F.array(*[F.lit(f"t{i}") for i in range(60)])
+    own = F.transform(F.sequence(F.lit(0), F.lit(13)), lambda i: F.concat(F.lit("o"), F.col("id").cast("string"), F.lit("x"), i.cast("string")))
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.array_join(F.concat(own, template), " ").alias("text"))
+    cut = docs.select(F.md5("text").alias("hash"), D.shingles(F.col("text"), 5).alias("s"))
+    members = cut.select("hash", F.col("hash").alias("component"), F.array(F.struct(F.lit(1).alias("band"), F.lit(1).alias("key"))).alias("keys"))
+    assert D.prefix_pairs(members, cut, 0.8).count() == 0
+    # With one word of their own all are similar, and the first round links them.
+    near = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.concat(F.lit("o"), "id"), F.lit(" "), F.array_join(template, " ")).alias("text"))
+    assert {r.component for r in D.near_duplicates(near, "doc_id", "text").collect()} == {0}
+
+
+def test_prefix_pairs_lose_nothing(spark):
+    rng = random.Random(3)
+    sets = [[rng.randrange(60) for _ in range(rng.randint(1, 40))] for _ in range(80)]
+    sets += [[*s, rng.randrange(60)] for s in sets[:40]]
+    sets = [sorted(set(s)) for s in sets]
+    cut = spark.createDataFrame([(f"{i:03}", s) for i, s in enumerate(sets)], "hash string, s array<bigint>")
+    members = spark.createDataFrame([(f"{i:03}", f"{i:03}", [i % 2]) for i in range(len(sets))], "hash string, component string, keys array<int>")
+    got = {tuple(r) for r in D.prefix_pairs(members, cut, 0.8).collect()}
+    want = {(f"{i:03}", f"{j:03}") for j in range(len(sets)) for i in range(j) if i % 2 == j % 2 and len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j]))}
+    assert want <= got and len(want) > 10 and len(got) < len(sets) ** 2 / 8

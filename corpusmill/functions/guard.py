@@ -120,26 +120,29 @@ def jurisdiction_warnings(text: Column, state: Column, around: int = 40) -> Colu
 
 
 #: Domains of texts, and of statutes by their slug.
-DOMAINS = "immissionsschutzrecht energierecht baurecht umweltrecht vertragsrecht gesellschaftsrecht grundstuecksrecht arbeitsrecht steuerrecht verwaltungsrecht prozessrecht allgemein".split()
+DOMAINS = (
+    "immissionsschutzrecht", "energierecht", "baurecht", "umweltrecht", "vertragsrecht", "gesellschaftsrecht", "grundstuecksrecht", "arbeitsrecht", "steuerrecht",
+    "verwaltungsrecht", "prozessrecht", "allgemein",
+)
 DOMAIN_SLUGS = {
-    "immissionsschutzrecht": "bimschg",
-    "energierecht": "eeg_2014 enwg_2005 windseeg windbg kwkg_2016",
-    "baurecht": "bbaug baunvo rog_2008",
-    "umweltrecht": "bnatschg_2009 uvpg whg_2009 uschadg",
-    "vertragsrecht": "bgb hgb",
-    "gesellschaftsrecht": "gmbhg aktg",
-    "grundstuecksrecht": "gbo erbbauv",
-    "arbeitsrecht": "kschg betrvg arbzg",
-    "steuerrecht": "estg kstg_1977 ustg_1980 gewstg",
-    "verwaltungsrecht": "vwvfg",
-    "prozessrecht": "vwgo zpo",
+    "immissionsschutzrecht": ("bimschg",),
+    "energierecht": ("eeg_2014", "enwg_2005", "windseeg", "windbg", "kwkg_2016"),
+    "baurecht": ("bbaug", "baunvo", "rog_2008"),
+    "umweltrecht": ("bnatschg_2009", "uvpg", "whg_2009", "uschadg"),
+    "vertragsrecht": ("bgb", "hgb"),
+    "gesellschaftsrecht": ("gmbhg", "aktg"),
+    "grundstuecksrecht": ("gbo", "erbbauv"),
+    "arbeitsrecht": ("kschg", "betrvg", "arbzg"),
+    "steuerrecht": ("estg", "kstg_1977", "ustg_1980", "gewstg"),
+    "verwaltungsrecht": ("vwvfg",),
+    "prozessrecht": ("vwgo", "zpo"),
 }
 
 
 def statute_domain(slug: Column) -> Column:
     """The domain of a statute; allgemein if its slug is not listed."""
     low = F.lower(slug)
-    return F.coalesce(*[F.when(low.isin(*slugs.split()), domain) for domain, slugs in DOMAIN_SLUGS.items()], F.lit("allgemein"))
+    return F.coalesce(*[F.when(low.isin(*slugs), domain) for domain, slugs in DOMAIN_SLUGS.items()], F.lit("allgemein"))
 
 
 def domains(answer: Column, text: Column) -> Column:

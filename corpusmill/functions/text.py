@@ -135,13 +135,13 @@ def keyword_hits(keywords: list[str], text: Column) -> Column:
 
 #: Abbreviations whose full stop ends no sentence (legal references, common legal, courts, codes, titles, months).
 ABBREVIATIONS = (
-    "abs art nr s rn rz hs var lit ziff anh anl bd begr erl "
-    "vgl bzw bzgl ggf gem sog u.a z.b d.h i.v.m i.s.d i.s.v a.a.o a.f n.f m.w.n m.e h.m h.l a.a e.v o.g u.u i.d.r i.e.s i.w.s a.e z.t u.ä "
-    "bgh bverwg bverfg bag bsg bfh olg lg ag vg ovg fg lsg arbg lag sg "
-    "bimschg baugb bnatschg uvpg baunutzvo roeiv bverfgg vwgo vwvfg zpo stpo bgb stgb hgb gmbhg aktg gwb eeg enwg bimschv ta windseeg lwg whg fig "
-    "dr prof dipl ing mr mrs jr sr ca etc st inkl excl max min zzgl abschn kap aufl hrsg verl "
-    "jan feb mär apr mai jun jul aug sep okt nov dez"
-).split()
+    "abs", "art", "nr", "s", "rn", "rz", "hs", "var", "lit", "ziff", "anh", "anl", "bd", "begr", "erl", "vgl", "bzw", "bzgl", "ggf", "gem", "sog", "u.a", "z.b", "d.h",
+    "i.v.m", "i.s.d", "i.s.v", "a.a.o", "a.f", "n.f", "m.w.n", "m.e", "h.m", "h.l", "a.a", "e.v", "o.g", "u.u", "i.d.r", "i.e.s", "i.w.s", "a.e", "z.t", "u.ä", "bgh",
+    "bverwg", "bverfg", "bag", "bsg", "bfh", "olg", "lg", "ag", "vg", "ovg", "fg", "lsg", "arbg", "lag", "sg", "bimschg", "baugb", "bnatschg", "uvpg", "baunutzvo",
+    "roeiv", "bverfgg", "vwgo", "vwvfg", "zpo", "stpo", "bgb", "stgb", "hgb", "gmbhg", "aktg", "gwb", "eeg", "enwg", "bimschv", "ta", "windseeg", "lwg", "whg", "fig",
+    "dr", "prof", "dipl", "ing", "mr", "mrs", "jr", "sr", "ca", "etc", "st", "inkl", "excl", "max", "min", "zzgl", "abschn", "kap", "aufl", "hrsg", "verl", "jan", "feb",
+    "mär", "apr", "mai", "jun", "jul", "aug", "sep", "okt", "nov", "dez",
+)
 
 
 def sentences(text: Column) -> Column:

@@ -77,9 +77,10 @@ def fuse(legs: dict[str, DataFrame], k: int, *, constant: int = 60, weights: dic
 
 #: German words of five letters or more, and a few shorter, that a match expression leaves out.
 STOP_WORDS = (
-    "dieser diese dieses welche welches welcher darauf darin danach davon darüber deren dessen wegen gegen ohne durch nach über unter während zwischen innerhalb außerhalb "
-    "trotzdem deshalb daher sodass weil wenn dann also soll wird werden wurden haben hatte hatten"
-).split()
+    "dieser", "diese", "dieses", "welche", "welches", "welcher", "darauf", "darin", "danach", "davon", "darüber", "deren", "dessen", "wegen", "gegen", "ohne", "durch",
+    "nach", "über", "unter", "während", "zwischen", "innerhalb", "außerhalb", "trotzdem", "deshalb", "daher", "sodass", "weil", "wenn", "dann", "also", "soll", "wird",
+    "werden", "wurden", "haben", "hatte", "hatten",
+)
 
 
 def _words(question: Column) -> Column:

@@ -28,8 +28,8 @@ def a3(t):
     return t.documents.groupBy(F.col("lang").alias("domain")).agg(F.count("*").alias("n"), F.coalesce(F.sum("n_chars"), F.lit(0)).alias("sections")).orderBy(F.desc("n"), "domain")
 
 
-_DOMAIN = "CASE " + " ".join(f"WHEN lower(slug) IN ({', '.join(map(repr, slugs.split()))}) THEN '{d}'" for d, slugs in U.DOMAIN_SLUGS.items()) + " ELSE 'allgemein' END"
-_REGISTRY = tuple(slug for slugs in U.DOMAIN_SLUGS.values() for slug in slugs.split())
+_DOMAIN = "CASE " + " ".join(f"WHEN lower(slug) IN ({', '.join(map(repr, slugs))}) THEN '{d}'" for d, slugs in U.DOMAIN_SLUGS.items()) + " ELSE 'allgemein' END"
+_REGISTRY = tuple(slug for slugs in U.DOMAIN_SLUGS.values() for slug in slugs)
 _CONTENTS = f"SELECT CASE WHEN p_partkey % 4 = 0 THEN 'law' || p_partkey ELSE {sql_list(_REGISTRY)}[p_partkey % 20 + 1] END AS slug FROM part"
 
 

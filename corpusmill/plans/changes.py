@@ -119,9 +119,11 @@ def u2(t):
     return M.numbered(first, None, [F.col("k")], "cp-%04d").select("id", "k", "prio")
 
 
-@query("u3_set_difference", "SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier")
+@query("u3_set_difference", "SELECT o_custkey AS k FROM orders WHERE o_orderkey % 3 = 0 EXCEPT SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 1")
 def u3(t):
-    return t.customer.select(F.col("c_nationkey").alias("k")).subtract(t.supplier.select("s_nationkey"))
+    """Customers with an order of one kind and none of another."""
+    kind = F.col("o_orderkey") % 3
+    return t.orders.where(kind == 0).select(F.col("o_custkey").alias("k")).subtract(t.orders.where(kind == 1).select("o_custkey"))
 
 
 @query(

@@ -22,7 +22,7 @@ PATHS = (
 )
 _ROUTE = " ".join(f"WHEN starts_with(path, '{p}') THEN '{lang}/{kind}'" for p, lang, kind in S.ROUTES)
 _NAMED = " ".join(f"WHEN contains(lower(path), '{n}') THEN '{n}'" for n in S.NAMED_CONVERTERS)
-_EXT = " ".join(f"WHEN regexp_extract(lower(path), '[^/.][^/]*?(\\.[^./]*)$', 1) IN ({', '.join(map(repr, e.split()))}) THEN '{c}'" for c, e in S.EXTENSIONS.items())
+_EXT = " ".join(f"WHEN regexp_extract(lower(path), '[^/.][^/]*?(\\.[^./]*)$', 1) IN ({', '.join(map(repr, e))}) THEN '{c}'" for c, e in S.EXTENSIONS.items())
 
 
 @query("s2_s3_routes", f"SELECT page_id, CASE {_ROUTE} ELSE 'de/document' END AS route, CASE {_NAMED} {_EXT} ELSE 'unsupported' END AS kind FROM (SELECT page_id, {sql_phrase(PATHS, 'page_id')} AS path FROM pages)")

@@ -65,9 +65,18 @@ def p8(t):
     return P.unless_none(given, P.readable(F.col("x")), ["conv_id"]).select("conv_id", "turn")
 
 
-@query("p9_contentless_findings", "SELECT conv_id, turn FROM conversations WHERE length(trim(text)) < 12 OR regexp_matches(lower(text), '^\\s*(not contained|nicht enthalten|keine angaben?)[.! ]*$')")
+SAID = ("nicht enthalten.", "Keine Angabe", "not contained!", "too short", "Die Pacht ist nicht enthalten", "keine Angaben ...")
+
+
+@query(
+    "p9_contentless_findings",
+    f"WITH given AS (SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 3 = 0 THEN '  ' || {sql_phrase(SAID, 'conv_id + 2 * turn')} ELSE text END AS x FROM conversations) SELECT conv_id, turn FROM given WHERE length(trim(x)) < 12 OR regexp_matches(lower(x), '^\\s*(not contained|nicht enthalten|keine angaben?)[.! ]*$')",
+)
 def p9(t):
-    return t.conversations.where((F.length(F.trim("text")) < 12) | F.lower("text").rlike(r"^\s*(not contained|nicht enthalten|keine angaben?)[.! ]*$")).select("conv_id", "turn")
+    """A third of the messages say what findings without content say, or nearly that."""
+    x = F.when((F.col("conv_id") + F.col("turn")) % 3 == 0, F.concat(F.lit("  "), phrase(SAID, F.col("conv_id") + 2 * F.col("turn")))).otherwise(F.col("text"))
+    given = t.conversations.select("conv_id", "turn", x.alias("x"))
+    return given.where((F.length(F.trim("x")) < 12) | F.lower("x").rlike(r"^\s*(not contained|nicht enthalten|keine angaben?)[.! ]*$")).select("conv_id", "turn")
 
 
 @query("p10_length_gates", "SELECT doc_id, length(text) >= 20 AS any_text, length(text) >= 200 AS long_text, length(substr(text, 1, 10000)) AS cut FROM documents WHERE length(text) >= 50")

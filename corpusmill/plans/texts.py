@@ -209,9 +209,9 @@ def f28(t):
 PLACES = ("in Hessen bei Kassel", "bei Hannover", "in München", "Gut Essenheim", "Sachsen-Anhalt", "Kiel und Berlin", "nirgends", "Halle")
 BENCHES = ("Oberlandesgericht Köln", "Landgericht Hessen", "VG Berlin", "Bayerischer Verwaltungsgerichtshof", "Bundesgerichtshof", "Amtsgericht Jena")
 RULINGS = ("Urteil", "Kammerbeschluss ", "Vorbescheid", "Gerichtsbescheid", "", "geb")
-_FIRST_STATE = " ".join(f"WHEN {' OR '.join(f'contains(lower(x), {w!r})' for w in words.split())} THEN {name!r}" for name, words in G.STATE_WORDS.items())
+_FIRST_STATE = " ".join(f"WHEN {' OR '.join(f'contains(lower(x), {w!r})' for w in words)} THEN {name!r}" for name, words in G.STATE_WORDS.items())
 _FIRST_COURT = " ".join(f"WHEN contains(court, '{c}') THEN '{c}'" for c in G.COURTS)
-_JURISDICTION = " ".join(f"WHEN level IN ({', '.join(map(repr, levels.split()))}) THEN '{j}'" for j, levels in G.JURISDICTIONS.items())
+_JURISDICTION = " ".join(f"WHEN level IN ({', '.join(map(repr, levels))}) THEN '{j}'" for j, levels in G.JURISDICTIONS.items())
 _DECISION = " ".join(f"WHEN lower(trim(ruling)) IN ({', '.join(map(repr, names))}) THEN '{kind}'" for kind, names in G.DECISIONS.items())
 
 

@@ -25,7 +25,12 @@ ROUTES = (
 )
 #: Parts of a path that name a converter, in order, and then extensions.
 NAMED_CONVERTERS = ("multilegalpile", "hf_cases", "openlegaldata", "gerdalir", "german_ler")
-EXTENSIONS = {"docling": ".pdf .docx .pptx .xlsx .txt .md .html .htm", "legacy": ".doc .ppt .xls", "json_generic": ".json", "jsonl_generic": ".jsonl"}
+EXTENSIONS = {
+    "docling": (".pdf", ".docx", ".pptx", ".xlsx", ".txt", ".md", ".html", ".htm"),
+    "legacy": (".doc", ".ppt", ".xls"),
+    "json_generic": (".json",),
+    "jsonl_generic": (".jsonl",),
+}
 
 
 def files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -45,7 +50,7 @@ def source_type(path: Column) -> Column:
     low = F.lower(path)
     ext = F.regexp_extract(low, r"[^/.][^/]*?(\.[^./]*)$", 1)
     named = [F.when(low.contains(n), F.lit(n)) for n in NAMED_CONVERTERS]
-    return F.coalesce(*named, *[F.when(ext.isin(*exts.split()), F.lit(c)) for c, exts in EXTENSIONS.items()], F.lit("unsupported"))
+    return F.coalesce(*named, *[F.when(ext.isin(*exts), F.lit(c)) for c, exts in EXTENSIONS.items()], F.lit("unsupported"))
 
 
 def json_body(content: Column) -> Column:

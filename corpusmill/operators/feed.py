@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.operators.ranking import placed
 from corpusmill.session import checkpointed
 
 
@@ -64,11 +65,11 @@ def changes(state: DataFrame, snapshot: DataFrame, key: str, digest: str) -> Dat
 def numbered(df: DataFrame, group: str | None, order: Sequence[Column], template: str) -> DataFrame:
     """Ids like cp-0001 in order, in each group.
 
-    Without a group rows are sorted in ranges and each range is numbered from where the one before ends,
-    so no task gets the whole table.
+    Rows are sorted in ranges and each range is numbered from where the one before ends, so no task gets the whole
+    table or a whole group.
     """
     if group:
-        return df.withColumn("id", F.format_string(template, F.row_number().over(Window.partitionBy(group).orderBy(*order))))
+        return placed(df, [group], list(order)).withColumn("id", F.format_string(template, "place")).drop("place")
     ranges = checkpointed(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
     sizes = sorted(ranges.groupBy("__range").count().collect())  # a row for each range
     starts, at = {}, 0

@@ -5,12 +5,14 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from corpusmill.functions import geo as G
 from corpusmill.operators import setjoin as S
+from corpusmill.operators.ranking import placed
+from corpusmill.session import checkpointed
 
 
 def exact_match(parcels: DataFrame, contracts: DataFrame) -> DataFrame:
@@ -102,17 +104,22 @@ def first_box(points: DataFrame, boxes: list[tuple[str, float, float, float, flo
 
 
 def near_centre(points: DataFrame, group: str, lat: str, lng: str, most_km: float = 25.0) -> DataFrame:
-    """Points within a distance of their group's upper median; groups of two or fewer, or that would vanish, stay whole (G1)."""
-    g = Window.partitionBy(group)
+    """Points within a distance of their group's upper median; groups of two or fewer, or that would vanish, stay whole (G1).
 
-    def upper(c: str) -> Column:
-        ranked = F.row_number().over(Window.partitionBy(group).orderBy(c))
-        return F.when(ranked == F.expr("__n div 2 + 1"), F.col(c))
-
-    counted = points.withColumn("__n", F.count("*").over(g)).withColumn("__a", upper(lat)).withColumn("__b", upper(lng))
-    centred = counted.withColumn("__lat", F.max("__a").over(g)).withColumn("__lng", F.max("__b").over(g))
-    close = centred.withColumn("__close", G.haversine_km(F.col(lat), F.col(lng), F.col("__lat"), F.col("__lng")) <= most_km).withColumn("__any", F.max("__close").over(g))
-    return close.where("__n <= 2 or __close or not __any").select(*points.columns)
+    Medians come from places in sorted ranges and the rest are sums, so no task sorts a group. Without a group rows take no part.
+    """
+    points = points.where(F.col(group).isNotNull())
+    sizes = checkpointed(points.groupBy(group).agg(F.count("*").alias("__n")))
+
+    def upper(c: str) -> DataFrame:
+        ranked = placed(points.select(group, c), [group], [F.col(c)]).join(sizes, group)
+        return ranked.where("place = __n div 2 + 1").select(group, F.col(c).alias(f"__{c}"))
+
+    centres = checkpointed(sizes.join(upper(lat), group).join(upper(lng), group))
+    near = G.haversine_km(F.col(lat), F.col(lng), F.col(f"__{lat}"), F.col(f"__{lng}")) <= most_km
+    close = points.join(centres, group).withColumn("__close", near)
+    some = close.groupBy(group).agg(F.max("__close").alias("__any"))
+    return close.join(some, group).where("__n <= 2 or __close or not __any").select(*points.columns)
 
 
 def reconcile(candidates: DataFrame, field: str, value: str, precedence: str, confidence: str, order: str) -> DataFrame:

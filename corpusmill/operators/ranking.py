@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.session import checkpointed
+
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key in an order (A22, R12). Keeps whole rows, so a window; one shuffle."""
@@ -60,3 +63,20 @@ def display_titles(sessions: DataFrame, messages: DataFrame, key: str, *, order:
     given = lambda c: F.when(F.trim(c) != "", F.trim(c))
     display = F.coalesce(given("title"), "__good", given("filename"), "__any", F.lit("Untitled chat"))
     return sessions.join(found, F.col(key) == F.col("__key"), "left").select(*sessions.columns, display.alias("display"))
+
+
+def placed(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
+    """df with ``place``, each row's number in its group by an order, from 1.
+
+    Rows are sorted in ranges of group and order together, so a group of any size lies in many; each range counts on
+    from where the ones before end. Ranges lie side by side, so at most one group of a range began in an earlier one:
+    what is broadcast has no more rows than there are ranges. Ties are numbered in any order.
+    """
+    ranges = checkpointed(df.repartitionByRange(*group, *order).withColumn("__range", F.spark_partition_id()))
+    inside = F.row_number().over(Window.partitionBy("__range", *group).orderBy(*order))
+    sizes = ranges.groupBy("__range", *group).agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    begun = sizes.withColumn("__before", F.sum("__n").over(earlier)).where("__before > 0").drop("__n").withColumnsRenamed({c: f"__{k}" for k, c in enumerate(["__range", *group])})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{k}")) for k, c in enumerate(["__range", *group])])
+    met = ranges.withColumn("__place", inside).join(F.broadcast(begun), same, "left")
+    return met.withColumn("place", F.col("__place") + F.coalesce("__before", F.lit(0))).select(*df.columns, "place")

@@ -68,10 +68,11 @@ def w6(t):
 
 @query("w7_spiral_jitter", "SELECT c_custkey, round(0.003 * cos(2 * pi() * (j - 1) / n), 6) AS dx, round(0.003 * sin(2 * pi() * (j - 1) / n), 6) AS dy FROM (SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS j, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer) WHERE n > 1")
 def w7(t):
-    g = Window.partitionBy("c_nationkey")
-    placed = t.customer.select("c_custkey", F.row_number().over(g.orderBy("c_custkey")).alias("j"), F.count("*").over(g).alias("n")).where("n > 1")
-    angle = 2 * F.pi() * (F.col("j") - 1) / F.col("n")
-    return placed.select("c_custkey", F.round(0.003 * F.cos(angle), 6).alias("dx"), F.round(0.003 * F.sin(angle), 6).alias("dy"))
+    points = t.customer.select("c_custkey", "c_nationkey")
+    sizes = points.groupBy("c_nationkey").agg(F.count("*").alias("n")).where("n > 1")
+    numbered = W.placed(points, ["c_nationkey"], [F.col("c_custkey")]).join(sizes, "c_nationkey")
+    angle = 2 * F.pi() * (F.col("place") - 1) / F.col("n")
+    return numbered.select("c_custkey", F.round(0.003 * F.cos(angle), 6).alias("dx"), F.round(0.003 * F.sin(angle), 6).alias("dy"))
 
 
 @query("w9_last_messages", "SELECT conv_id, turn, CASE WHEN length(text) > 2000 THEN substr(text, 1, 2000) || '[...truncated]' ELSE text END AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn <= 4")

@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.operators import writes as W
-from corpusmill.plans.registry import phrase, query, sql_phrase
+from corpusmill.plans.registry import SQL, phrase, query, sql_phrase
 from corpusmill.session import shared_folder
 from corpusmill.sources import readers as S
+from corpusmill.sources import remote as RM
+from corpusmill.sources import sinks as K
+from corpusmill.streaming import state as ST
 from corpusmill.streaming import streams as X
 
 
@@ -193,12 +196,16 @@ def s13(t):
 )
 def x6(t):
     """Customers as documents: done, failed, queued again after a failure, and one that was called done too early."""
+    return W.ingestion(ingestion_events(t.customer))
+
+
+def ingestion_events(customers):
     k = F.col("c_custkey")
     event = lambda n, state, pages=0: F.struct(F.lit(n).alias("ord"), F.lit(state).alias("state"), F.when(F.lit(state == "failed"), F.repeat(F.concat(F.lit("e"), k), F.lit(200))).alias("error"), F.lit(pages).alias("pages"))
     begun = (event(1, "queued"), event(2, "processing", 3))
     ways = (F.array(*begun, event(3, "done", 9)), F.array(*begun, event(3, "failed")), F.array(*begun, event(3, "failed"), event(4, "queued")), F.array(event(1, "queued"), event(2, "done", 7), event(3, "processing", 5)))
     mine = F.when(k % 4 == 0, ways[0]).when(k % 4 == 1, ways[1]).when(k % 4 == 2, ways[2]).otherwise(ways[3])
-    return W.ingestion(t.customer.select(k.alias("key"), F.inline(mine)))
+    return customers.select(k.alias("key"), F.inline(mine))
 
 
 @query("x8_stale_uploads", "SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-01-20' - INTERVAL 24 HOUR")
@@ -225,6 +232,109 @@ def _events(t):
     return t.spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/events.parquet*")
 
 
+def _changes(t, stream, mode):
+    """Runs a stream with state over what is there and returns what its batches gave."""
+    folder = f"{shared_folder(t.spark)}/streams/{uuid.uuid4().hex}"
+    keep = lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/result/batch={n}")
+    with ST.rocksdb(t.spark):
+        stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(f"{folder}/result").drop("batch")
+
+
+@query("x6_ingestion_stream", SQL["x6_ingestion_states"])
+def x6_stream(t):
+    """The same events as a stream; of each document its last row."""
+    customers = t.spark.readStream.schema(t.customer.schema).parquet(f"{t.sf_dir}/customer.parquet*")
+    events = ingestion_events(customers).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("ord")))
+    return ST.latest(_changes(t, ST.ingestion(events), "update")).select("key", "state", "error", "pages_done", "refused", "enqueue")
+
+
+@query("x9_cadence_stream", "SELECT session, unnest(range(3, n + 1, 3)) AS turns FROM (SELECT user_id AS session, count(*) AS n FROM events GROUP BY 1) WHERE n >= 3")
+def x9_stream(t):
+    """A row for every third event of a user."""
+    return _changes(t, ST.cadence(_events(t).select(F.col("user_id").alias("session"))), "append").select("session", "turns")
+
+
+@query(
+    "x4_cache_stream",
+    """WITH e AS (SELECT event_id % 50 AS key, ts, CASE WHEN event_id % 3 = 0 THEN 'v' || event_id END AS value, CASE WHEN event_id % 9 <> 0 THEN ts + INTERVAL 1 DAY END AS expires, event_id FROM events), f AS (
+  SELECT key, ts, event_id, value, last_value(CASE WHEN value IS NOT NULL THEN {'v': value, 'x': expires} END IGNORE NULLS) OVER (PARTITION BY key ORDER BY ts, value IS NULL, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS held FROM e
+) SELECT key, ts, CASE WHEN held.x > ts THEN held.v END AS value, coalesce(held.x > ts, false) AS hit FROM f WHERE value IS NULL""",
+)
+def x4_stream(t):
+    """Every third event is an entry of its key, some without an expiry; the others are requests."""
+    k = F.col("event_id")
+    given = X.timed(_events(t)).select((k % 50).alias("key"), "ts", F.when(k % 3 == 0, F.concat(F.lit("v"), k)).alias("value"), F.when(k % 9 != 0, F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("expires"))
+    return _changes(t, ST.expiring(given), "append").select("key", "ts", "value", "hit")
+
+
+@query("x1_top_up", "SELECT event_type, count(*) AS n, max(event_id) AS mark FROM events GROUP BY 1")
+def x1(t):
+    """A table topped up by a stream, read by its ledger."""
+    folder = f"{shared_folder(t.spark)}/top-up/{uuid.uuid4().hex}"
+    table = X.TopUp(t.spark, f"{folder}/table", "event_id")
+    table.run(_events(t).select("event_id", "event_type"), f"{folder}/state").awaitTermination()
+    return table.rows("event_id bigint, event_type string").groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("mark"))
+
+
+@query("s19_law_store", "SELECT c_mktsegment AS slug, c_custkey AS seq, sha256(CASE WHEN c_mktsegment = 'BUILDING' THEN 'new ' ELSE '' END || c_name) AS sha256, CASE WHEN c_mktsegment = 'BUILDING' THEN 2 ELSE 1 END AS version FROM customer")
+def s19(t):
+    """Segments as laws, written twice; one of them has changed."""
+    store = K.LawStore(t.spark, f"{shared_folder(t.spark)}/laws/{uuid.uuid4().hex}")
+    text = lambda head: F.concat(F.when(F.col("c_mktsegment") == "BUILDING", head).otherwise(""), F.col("c_name"))
+    given = lambda head: t.customer.select(F.col("c_mktsegment").alias("slug"), F.lit("x").alias("source"), F.col("c_custkey").alias("seq"), F.concat(F.lit("§ "), "c_custkey").alias("enbez"), F.lit(None).cast("string").alias("title"), text(head).alias("text"))
+    store.write(given(""))
+    store.write(given("new "))
+    return store.sections().select("slug", "seq", "sha256", "version")
+
+
+@query("s21_backup_and_restore", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'lost' END AS c_name FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 2 = 0")
+def s21(t):
+    """Customers of whom half are backed up; then names are lost and rows vanish."""
+    path = f"{shared_folder(t.spark)}/backups/{uuid.uuid4().hex}"
+    K.backup(t.customer.where("c_custkey % 2 = 0").select("c_custkey", "c_name"), path)
+    now = t.customer.where("c_custkey % 3 <> 0").select("c_custkey", F.lit("lost").alias("c_name"))
+    return K.restore(now, path, ["c_custkey"], t.spark)
+
+
+@query("s20_segments_once", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'first' ELSE 'second' END AS run FROM documents")
+def s20(t):
+    """Segments written in two runs; the second adds those that are not there yet."""
+    path = f"{shared_folder(t.spark)}/segments/{uuid.uuid4().hex}"
+    K.write_segments(t.documents.where("doc_id % 2 = 0").select("doc_id", F.lit("first").alias("run")), path, "doc_id")
+    K.write_segments(t.documents.select("doc_id", F.lit("second").alias("run")), path, "doc_id")
+    return t.spark.read.schema("doc_id bigint, run string").json(path)
+
+
+@query("s22_portable_export", "SELECT o_orderkey, o_totalprice::DOUBLE AS o_totalprice, o_orderstatus FROM orders")
+def s22(t):
+    path, name = f"{shared_folder(t.spark)}/exports/{uuid.uuid4().hex}", f"orders_{uuid.uuid4().hex}"
+    t.orders.select("o_orderkey", "o_totalprice", "o_orderstatus").createOrReplaceTempView(name)
+    K.export_tables(t.spark, [name], path)
+    return t.spark.read.parquet(f"{path}/{name}")
+
+
+@query("s23_audit_csv", "SELECT s_suppkey::VARCHAR AS s_suppkey, s_name, '[' || s_nationkey || ',' || s_suppkey || ']' AS keys FROM supplier")
+def s23(t):
+    path = f"{shared_folder(t.spark)}/audits/{uuid.uuid4().hex}"
+    K.audit_csv(t.supplier.select("s_suppkey", "s_name", F.array("s_nationkey", "s_suppkey").alias("keys")), path, ["s_suppkey", "s_name", "keys"])
+    return t.spark.read.option("header", "true").csv(path)
+
+
+@query("s24_training_stats", "SELECT lang, count(*) FILTER (doc_id % 10 <> 0) AS train, count(*) FILTER (doc_id % 10 = 0) AS val, count(*) AS total FROM documents GROUP BY 1")
+def s24(t):
+    """The numbers that the training export writes beside its files."""
+    path = f"{shared_folder(t.spark)}/training/{uuid.uuid4().hex}"
+    K.train_val(t.documents.select("doc_id", "lang", "text", (F.col("doc_id") % 10 == 0).alias("val")), path, by="lang")
+    return t.spark.read.schema("lang string, train bigint, val bigint, total bigint").json(f"{path}/stats")
+
+
+@query("s16_answers_by_key", "SELECT c_custkey::VARCHAR AS key, '{\"key\": \"' || c_custkey || '\", \"found\": true}' AS answer FROM customer")
+def s16(t):
+    """A key table asked in the tasks; offline the answer is the stand-in's."""
+    return RM.fetched(t.customer.select(F.col("c_custkey").alias("key")), "corpusmill.sources.remote:offline")
+
+
 @query("x5_streaming_rates", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def x5(t):
     return _drained(t, X.rates(_events(t), "1 day")).select("start", "event_type", "n", F.round("total", 4).alias("total"))

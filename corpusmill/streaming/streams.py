@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -36,10 +36,46 @@ def first_seen(events: DataFrame, key: str, late: str = "10 minutes") -> DataFra
 
 
 def top_up(stream: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Every batch goes through an idempotent merge; the checkpoint replaces a high-water mark."""
+    """Every batch goes through a merge that gives the same if it is run again."""
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+class TopUp:
+    """A table that a stream tops up, with a ledger.
+
+    A batch's rows stand in a folder of the batch's number, its row in the ledger is written after them: number,
+    rows, bytes of the mark column's greatest value so far. So a batch that is run again replaces itself, one that failed
+    halfway isn't read, and counts come from the pass that writes, by observation.
+    """
+
+    LEDGER = "batch bigint, rows bigint, mark {kind}"
+
+    def __init__(self, spark: SparkSession, folder: str, mark: str):
+        self.spark, self.folder, self.mark = spark, folder.rstrip("/"), mark
+
+    def ledger(self, kind: str = "bigint") -> DataFrame:
+        none = self.spark.range(0).select(F.lit(0).cast("bigint").alias("rows"), F.lit(None).cast(kind).alias("mark"), F.col("id").alias("batch"))
+        none.write.mode("ignore").partitionBy("batch").parquet(f"{self.folder}/ledger")
+        return self.spark.read.schema(self.LEDGER.format(kind=kind)).parquet(f"{self.folder}/ledger")
+
+    def put(self, df: DataFrame, batch: int) -> None:
+        kind, seen = df.schema[self.mark].dataType.simpleString(), Observation()
+        if self.ledger(kind).where(F.col("batch") == batch).count():
+            return
+        df.observe(seen, F.count("*").alias("rows"), F.max(self.mark).alias("mark")).write.mode("overwrite").parquet(f"{self.folder}/rows/batch={batch}")
+        found = seen.get
+        row = self.spark.createDataFrame([(found.get("rows") or 0, found.get("mark"))], f"rows bigint, mark {kind}")
+        row.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/ledger/batch={batch}")
+
+    def rows(self, schema: str) -> DataFrame:
+        """The rows of the batches that the ledger names."""
+        named = self.ledger().select("batch")
+        return self.spark.read.schema(f"{schema}, batch bigint").parquet(f"{self.folder}/rows").join(F.broadcast(named), "batch", "left_semi")  # a row for each batch
+
+    def run(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
+        return top_up(stream, self.put, checkpoint)
+
+
 def watch(spark: SparkSession, folder: str, glob: str, done: Callable[[], DataFrame], process: Callable[[DataFrame], None], checkpoint: str, *, per_trigger: int = 100) -> StreamingQuery:
     """Files of a folder that have no result yet.
 
@@ -59,21 +95,3 @@ def watch(spark: SparkSession, folder: str, glob: str, done: Callable[[], DataFr
 def stale(uploads: DataFrame, touched: str, as_of, hours: int = 24) -> DataFrame:
     """Uploads last touched over a day ago."""
     return uploads.where(F.col(touched) < as_of - F.expr(f"INTERVAL {hours} HOURS"))
-
-
-def cadence(turns: DataFrame, every: int = 3) -> DataFrame:
-    """turns (session, turn) of users, as a stream: a row whenever a session has had so many more turns."""
-    import pandas as pd
-
-    def step(key, batches, state):
-        n = state.get[0] if state.exists else 0
-        due = []
-        for b in batches:
-            for _ in range(len(b)):
-                n += 1
-                if n % every == 0:
-                    due.append(n)
-        state.update((n,))
-        yield pd.DataFrame({"session": [key[0]] * len(due), "turns": due})
-
-    return turns.groupBy("session").applyInPandasWithState(step, "session long, turns long", "n long", "append", "NoTimeout")

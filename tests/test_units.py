@@ -65,14 +65,11 @@ def test_sentences_and_chunks():
 
 def test_sources_and_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], "slug string, n int, t string")
-    sinks.write_sections(df, str(tmp_path / "laws"))
-    sinks.write_sections(df.where("slug = 'a'").withColumn("n", F.lit(9)), str(tmp_path / "laws"))
-    assert {(r.slug, r.n) for r in spark.read.json(str(tmp_path / "laws")).collect()} == {("a", 9), ("b", 2)}
     assert sinks.write_segments(df, str(tmp_path / "seg"), "slug").count() == 2
     more = df.unionByName(spark.createDataFrame([("c", 3, "z")], df.schema))
     sinks.write_segments(more, str(tmp_path / "seg"), "slug")
     assert spark.read.json(str(tmp_path / "seg")).count() == 3
-    assert sinks.backup(df, str(tmp_path / "backup")) == {"rows": 2}
+    assert sinks.backup(df, str(tmp_path / "backup"))["rows"] == 2
     sinks.audit_csv(df.withColumn("s", F.struct("n")), str(tmp_path / "audit"), ["slug", "s"])
     assert spark.read.option("header", "true").csv(str(tmp_path / "audit")).where("slug = 'a'").first().s == '{"n":1}'
     sinks.train_val(df.withColumn("val", F.col("n") == 1), str(tmp_path / "split"))
@@ -134,13 +131,6 @@ def test_html_segments(spark):
     assert got == [("Title one", "section_header", "Title one"), ("Title one", "text", "First text & more"), ("Title one", "text", "item text"), ("Second", "section_header", "Second"), ("Second", "text", "Last text")]
 
 
-def test_cadence_stream(spark, tmp_path):
-    spark.createDataFrame([(i % 2, i) for i in range(10)], "session long, turn long").write.parquet(str(tmp_path / "turns"))
-    out = streams.cadence(streams.files(spark, str(tmp_path / "turns"), "session long, turn long"))
-    out.writeStream.format("memory").queryName("cadence").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    assert sorted((r.session, r.turns) for r in spark.table("cadence").collect()) == [(0, 3), (1, 3)]
-
-
 def test_project_area(spark):
     from corpusmill.functions import geo
 
@@ -148,3 +138,21 @@ def test_project_area(spark):
     area = one(spark, geo.project_area(none, none, F.lit(50.0), F.lit(9.0)))
     assert (len(area.ring), area.source) == (32, "center_buffer")
     assert one(spark, geo.project_area(none, none, F.lit(None).cast("double"), F.lit(9.0))).source == "none"
+
+
+def test_places_in_groups_of_any_size(spark):
+    from corpusmill.operators import feed, ranking
+
+    rows = [("hot" if i % 3 else None if i % 2 else f"g{i % 5}", (i * 7919) % 1009, i) for i in range(1200)]
+    frame = spark.createDataFrame(rows, "g string, v int, i int").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.i: r.place for r in ranking.placed(frame, ["g"], [F.desc("v"), F.col("i")]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {}
+    for g in {r[0] for r in rows}:
+        want |= {i: n for n, (_, _, i) in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2])), 1)}
+    assert got == want
+    named = feed.numbered(frame.where("g is not null"), "g", [F.col("i")], "x-%d").where("g = 'hot'")
+    assert {r.id for r in named.collect()} == {f"x-{n}" for n in range(1, 801)}

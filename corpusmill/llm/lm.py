@@ -289,8 +289,12 @@ class Automaton:
         return weight
 
 
-def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text", order: int = 3, strength: float = 64.0, block_bytes: int = 16_000_000, bucket_bytes: int = 4_000_000) -> DataFrame:
-    """Per row: held_out, n_tokens, n_known, train_tokens, base_score and score. The rows that are not held out are the training texts."""
+def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text", order: int = 3, strength: float = 256.0, block_bytes: int = 16_000_000, bucket_bytes: int = 4_000_000) -> DataFrame:
+    """Per row: held_out, n_tokens, n_known, train_tokens, base_score and score. The rows that are not held out are the training texts.
+
+    The default ``strength`` was chosen within training texts: of 4, 16, 64, 256 and 1024 it gave those with crc32 modulo 10
+    equal to 1 the highest probability after learning from those with 2 to 9. No held-out text took part.
+    """
     if not 1 <= order <= 3:
         raise ValueError("order: from 1 to 3")  # one bit of a key
     kind = docs.schema[id_col].dataType.simpleString()

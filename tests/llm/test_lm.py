@@ -108,7 +108,7 @@ def test_same_as_a_plain_automaton(spark, order, sizes):
 
 def test_whole_table_is_scored_as_by_a_plain_automaton(spark, sf_dir):
     rows = [(r.doc_id, r.text, zlib.crc32(str(r.doc_id).encode()) % 10 == 0) for r in table(spark, sf_dir, "documents").collect()]
-    automaton = plain_automaton([t for _, t, held in rows if not held], 3, 64.0)
+    automaton = plain_automaton([t for _, t, held in rows if not held], 3, 256.0)
     got = {r.doc_id: r.score for r in queries.op8_lm_scoring(spark, sf_dir).collect()}
     assert [got[i] for i, *_ in rows] == pytest.approx([plain_walk(automaton, t) for _, t, _ in rows], rel=1e-9)
 

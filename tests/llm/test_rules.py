@@ -77,3 +77,45 @@ def test_held_out_labels(spark):
     good = [j.kept for j, q in rest if q == 1]
     assert sum(bad) <= 0.1 * len(bad) and sum(good) >= 0.98 * len(good)
     assert {i for i, j in judged.items() if j.kept} == {r.doc_id for r in rules.keep(docs, found).collect()}
+
+
+def plain_features(text):
+    """Each feature from the text itself, by definitions of its own."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [line for line in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", line)]
+    chars, ratio = "".join(words), lambda a, b: a / max(b, 1)
+    n_words, _, n_symbols, n_dup_lines, n_repeat_words = plain_counts(text)
+    return {
+        "words": n_words,
+        "word_length": ratio(len(chars), n_words),
+        "symbols_per_word": ratio(n_symbols, n_words),
+        "symbol_word_share": ratio(sum(any(c in "#*$%&|<>" for c in w) for w in words), n_words),
+        "dup_line_share": ratio(n_dup_lines, len(lines)),
+        "repeat_word_share": ratio(n_repeat_words, n_words),
+        "distinct_share": ratio(len(set(words)), n_words),
+        "words_per_line": ratio(n_words, len(lines)),
+        "upper_share": ratio(sum("A" <= c <= "Z" for c in chars), len(chars)),
+        "digit_share": ratio(sum(c in "0123456789" for c in chars), len(chars)),
+        "stops_per_word": ratio(sum(c in ".!?" for c in chars), n_words),
+    }
+
+
+def test_whole_table_by_plain_evaluation(spark, sf_dir):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    found = rules.learn_from(docs, table(spark, "/root/testdata/sf0.01", "labels"))
+    # The learned list, and one with a condition on every feature, near the middle of its values.
+    small = table(spark, sf_dir, "documents")
+    texts = {r.doc_id: r.text for r in small.select("doc_id", "text").collect() if len(r.text or "") < 6000}
+    values = {i: plain_features(t) for i, t in texts.items()}
+    middle = {f: sorted(v[f] for v in values.values())[len(values) // 2] for f in rules.FEATURES}
+    names = list(rules.FEATURES)
+    pairs = [(rules.Condition(a, True, middle[a] * 1.02), rules.Condition(b, False, middle[b] * 0.99)) for a, b in zip(names, names[1:] + names[:1])]
+    for listed in (found, pairs):
+        got = {r.doc_id: r.kept for r in rules.judge(small, listed).collect() if r.doc_id in texts}
+        want = {}
+        for i, v in values.items():
+            failed = v["words"] < 50 or 2 * v["repeat_word_share"] * max(v["words"], 1) > v["words"]
+            hit = any(all(v[c.feature] > c.threshold if c.above else v[c.feature] <= c.threshold for c in rule) for rule in listed)
+            want[i] = not failed and not hit
+        assert got == want
+    assert found and set(want.values()) == {True, False}

@@ -16,6 +16,7 @@ from corpusmill.operators import lexical as L
 from corpusmill.operators import ranking as W
 from corpusmill.operators import retrieval as R
 from corpusmill.operators import setjoin as S
+from corpusmill.operators import vector_graph as VG
 from corpusmill.operators import vectors as V
 from corpusmill.plans.filters import LIKENESS
 from corpusmill.plans.registry import phrase, query, sql_phrase
@@ -145,6 +146,13 @@ def t2(t):
     return index.search(t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), k=30, probes=index.probes_for(0.92, k=30))
 
 
+@query("t2_graph_top_k")
+def t2_graph(t):
+    """Approximate: the best 30 that walks over graphs of blocks find; tests/test_vector_graph.py measures the recall."""
+    index = VG.GraphIndex(t.embeddings, id_col="vec_id", vector_col="embedding")
+    return index.search(t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), k=30, ef=96)
+
+
 @query("t3_scoped_knn", "SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 3)), 6) AS score FROM embeddings WHERE label = 4 ORDER BY score DESC, id LIMIT 20")
 def t3(t):
     q = t.embeddings.where("vec_id = 3").select(F.lit(0).alias("qid"), F.col("embedding").alias("q"))

@@ -94,7 +94,7 @@ _LONG = lambda x: f"list_distinct(list_filter(string_split_regex(lower({x}), '[^
 @query(
     "a10_f45_grounding_audit",
     f"""WITH given AS (
-  SELECT ['qa', 'summarize', 'explain', 'draft'][turn % 4 + 1] AS task, {sql_phrase(CITES, "turn")} || ' ' || substr(text, 1, 200) AS a, {sql_phrase(CITES, "turn + conv_id")} || ' ' || substr(text, 101, 400) AS b FROM conversations
+  SELECT ['qa', 'summarize', 'explain', 'draft'][turn % 4 + 1] AS task, {sql_phrase(CITES, "turn")} || ' ' || text AS a, {sql_phrase(CITES, "turn + conv_id")} || ' ' || text AS b FROM conversations
 ), told AS (
   SELECT task, len({_REFS}) AS ref_total, len(list_filter({_REFS}, lambda r: contains(replace(lower(b), ' ', ''), replace(lower(r), ' ', '')))) AS ref_found,
          round(CASE WHEN len({_LONG("a")}) > 0 THEN len(list_intersect({_LONG("a")}, {_LONG("b")})) / len({_LONG("a")}) ELSE 0 END, 3) AS word_overlap FROM given
@@ -106,7 +106,7 @@ FROM told GROUP BY task""",
 def a10(t):
     """Answers that cite, and passages of the same text that hold some of it."""
     turn, conv = F.col("turn"), F.col("conv_id")
-    samples = t.conversations.select(phrase(("qa", "summarize", "explain", "draft"), turn).alias("task"), F.concat(phrase(CITES, turn), F.lit(" "), F.substring("text", 1, 200)).alias("a"), F.concat(phrase(CITES, turn + conv), F.lit(" "), F.substring("text", 101, 400)).alias("b"))
+    samples = t.conversations.select(phrase(("qa", "summarize", "explain", "draft"), turn).alias("task"), F.concat(phrase(CITES, turn), F.lit(" "), "text").alias("a"), F.concat(phrase(CITES, turn + conv), F.lit(" "), "text").alias("b"))
     return A.grounding_audit(samples, "task", "a", "b")
 
 

@@ -38,11 +38,11 @@ def s2(t):
 @query(
     "s8_case_dumps",
     """SELECT doc_id AS dump, pos, md5(trim(regexp_replace(replace(text, '[Picture]', ''), '\\n{3,}', chr(10) || chr(10), 'g'))) AS h, doc_id || '-' || pos AS case_id, CASE WHEN pos = 0 THEN 'BGH' END AS court_name
-FROM (SELECT doc_id, unnest(CASE WHEN doc_id % 3 = 2 THEN [0] ELSE [0, 1] END) AS pos, substr(regexp_replace(text, '[ $-]+', '_', 'g'), 1, 300) AS text FROM documents) WHERE length(trim(regexp_replace(replace(text, '[Picture]', ''), '\\n{3,}', chr(10) || chr(10), 'g'))) >= 20""",
+FROM (SELECT doc_id, unnest(CASE WHEN doc_id % 3 = 2 THEN [0] ELSE [0, 1] END) AS pos, regexp_replace(text, '[ $-]+', '_', 'g') AS text FROM documents) WHERE length(trim(regexp_replace(replace(text, '[Picture]', ''), '\\n{3,}', chr(10) || chr(10), 'g'))) >= 20""",
 )
 def s8(t):
     """Dumps as lists, under results, or a single case; texts plain or in Markdown."""
-    text = F.substring(F.regexp_replace("text", "[ $-]+", "_"), 1, 300)
+    text = F.regexp_replace("text", "[ $-]+", "_")
     case = lambda k, field: F.struct(F.concat("doc_id", F.lit(f"-{k}")).alias("id"), text.alias(field), F.struct(F.lit("BGH").alias("name")).alias("court") if k == 0 else F.lit("none").alias("court"))
     a, b = F.to_json(case(0, "markdown_content")), F.to_json(case(1, "text"))
     both = F.concat(F.lit("["), a, F.lit(", "), b, F.lit("]"))

@@ -57,10 +57,10 @@ READABLE = f"""coalesce(trim(x) <> '' AND NOT regexp_matches(x, '/a\\d{{2,}}|[\\
   AND (length(x) <= 120 OR regexp_matches(x, '(?i){_EDGE_BEFORE}({_EVERYDAY}){_EDGE_AFTER}')), false)"""
 
 
-@query("p8_readable_or_all", f"WITH given AS (SELECT conv_id, turn, {sql_phrase(BROKEN, 'conv_id + turn // 3')} || substr(text, 1, (turn % 3 * 100)::INT) AS x FROM conversations), told AS (SELECT *, {READABLE} AS good FROM given) SELECT conv_id, turn FROM (SELECT *, bool_or(good) OVER (PARTITION BY conv_id) AS any_good FROM told) WHERE good OR NOT any_good")
+@query("p8_readable_or_all", f"WITH given AS (SELECT conv_id, turn, {sql_phrase(BROKEN, 'conv_id + turn // 3')} || CASE WHEN turn % 3 > 0 THEN text ELSE '' END AS x FROM conversations), told AS (SELECT *, {READABLE} AS good FROM given) SELECT conv_id, turn FROM (SELECT *, bool_or(good) OVER (PARTITION BY conv_id) AS any_good FROM told) WHERE good OR NOT any_good")
 def p8(t):
     """Readable passages of each conversation, or all if none is."""
-    x = F.concat(phrase(BROKEN, F.col("conv_id") + F.expr("turn div 3")), F.substring(F.col("text"), F.lit(1), (F.col("turn") % 3 * 100).cast("int")))
+    x = F.concat(phrase(BROKEN, F.col("conv_id") + F.expr("turn div 3")), F.when(F.col("turn") % 3 > 0, F.col("text")).otherwise(""))
     given = t.conversations.select("conv_id", "turn", x.alias("x"))
     return P.unless_none(given, P.readable(F.col("x")), ["conv_id"]).select("conv_id", "turn")
 

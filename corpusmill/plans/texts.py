@@ -13,6 +13,7 @@ from corpusmill.functions import text as T
 from corpusmill.functions import values as V
 from corpusmill.operators import chunking as C
 from corpusmill.operators import findings as FN
+from corpusmill.operators.ranking import placed
 from corpusmill.plans.registry import phrase, query, sql_list, sql_phrase
 
 
@@ -279,7 +280,7 @@ _CONTAINS = lambda words: "(" + " OR ".join(f"contains(lower(q), '{w}')" for w i
 _MATCHES = lambda p, q="q": f"regexp_matches({q}, '{p}')"
 _IDLE = f"(length(trim(q)) < 4 OR {_MATCHES(Q.SMALL_TALK, 'trim(q)')} OR {_MATCHES('(?i)^\\s*(' + '|'.join(Q.ABOUT_PROGRAM) + ')\\b', 'trim(q)')})"
 ROUTES = f"""WITH given AS (
-  SELECT conv_id, turn, {sql_phrase(ASKS, "conv_id + turn")} || CASE WHEN turn % 2 = 0 THEN substr(text, 1, 80) ELSE '' END AS q, conv_id % 3 = 0 AS docs, {sql_phrase(("", "", "rag", "chat", ""), "conv_id")} AS forced FROM conversations
+  SELECT conv_id, turn, {sql_phrase(ASKS, "conv_id + turn")} || CASE WHEN turn % 2 = 0 THEN text ELSE '' END AS q, conv_id % 3 = 0 AS docs, {sql_phrase(("", "", "rag", "chat", ""), "conv_id")} AS forced FROM conversations
 ), told AS (
   SELECT *, {", ".join(f"{_MATCHES(p)} AS {name}" for name, p in Q.FEATURES.items())}, {_CONTAINS(Q.CORPUS_WORDS)} AS corpus, {_IDLE} AS idle,
     {_CONTAINS(Q.CORPUS_WORDS)} OR {_MATCHES(Q.STATUTES)} OR {_CONTAINS(Q.DOCTRINE_WORDS)} AS legal FROM given
@@ -294,7 +295,7 @@ SELECT conv_id, turn, length(q) AS length, {", ".join(Q.FEATURES)}, {" OR ".join
 def f32(t):
     """Questions of all kinds, by themselves and before real texts."""
     by = F.col("conv_id") + F.col("turn")
-    q = F.concat(phrase(ASKS, by), F.when(F.col("turn") % 2 == 0, F.substring("text", 1, 80)).otherwise(""))
+    q = F.concat(phrase(ASKS, by), F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise(""))
     given = t.conversations.select("conv_id", "turn", q.alias("q"), (F.col("conv_id") % 3 == 0).alias("docs"), phrase(("", "", "rag", "chat", ""), F.col("conv_id")).alias("forced"))
     x = F.col("q")
     told = given.select("conv_id", "turn", Q.features(x).alias("f"), Q.wants_corpus(x).alias("corpus"), Q.is_legal(x).alias("legal"), Q.is_idle(x).alias("idle"), Q.mode(x, F.col("docs"), F.col("forced")).alias("mode"))
@@ -338,11 +339,14 @@ def f46(t):
     return t.documents.select("doc_id", T.keyword_hits(["License", "the"], F.col("text")).alias("hits"))
 
 
-@query("f47_evidence_resolution", "SELECT conv_id, n, CASE WHEN n >= 1 AND n <= len(parts) THEN parts[n] END AS excerpt FROM (SELECT conv_id, (conv_id % 6)::INT AS n, list(substr(text, 1, 300) ORDER BY turn) AS parts FROM conversations GROUP BY conv_id)")
+@query("f47_evidence_resolution", "SELECT conv_id, n, CASE WHEN n >= 1 AND n <= len(parts) THEN parts[n] END AS excerpt FROM (SELECT conv_id, (conv_id % 6)::INT AS n, list(text ORDER BY turn) AS parts FROM conversations GROUP BY conv_id)")
 def f47(t):
-    parts = t.conversations.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 300).alias("x")))), lambda s: s["x"]).alias("parts"))
+    """The n-th message of each conversation, as a whole; none where there are fewer."""
     n = F.regexp_replace(F.concat(F.lit("#"), (F.col("conv_id") % 6).cast("string")), r"\D", "").cast("int")
-    return parts.select("conv_id", n.alias("n"), F.when(n >= 1, F.try_element_at("parts", F.greatest(n, F.lit(1)))).alias("excerpt"))
+    named = placed(t.conversations.select("conv_id", "turn", "text"), ["conv_id"], [F.col("turn")]).withColumn("n", n)
+    found = named.where(F.col("place") == F.col("n")).select("conv_id", F.col("text").alias("excerpt"))
+    asked = named.select("conv_id", "n").distinct()
+    return asked.join(found, "conv_id", "left").select("conv_id", "n", "excerpt")
 
 
 @query("f48_approx_tokens", "SELECT doc_id, greatest(1, length(text) // 4) AS tokens FROM documents")

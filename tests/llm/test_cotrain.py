@@ -111,3 +111,43 @@ def test_clashing_columns(spark):
     labels = spark.createDataFrame([(i, i % 2, 5, 6) for i in range(30)], "doc_id long, quality int, label int, key int")
     got = cotrain.score(docs, cotrain.fit(docs, labels)).collect()
     assert len(got) == 190 and all(r.kept == bool(r.doc_id % 2) for r in got)
+
+
+def plain_text_view(text):
+    """The text's view by definitions of its own: buckets of distinct words, shares of bytes, shape."""
+    import math
+    import re
+    import zlib
+
+    out = [0.0] * (512 + 256 + 4)
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    if not words:
+        return out
+    each, data = set(words), text.encode()
+    for w in each:
+        out[zlib.crc32(w.encode()) % 512] += 0.3 / math.sqrt(len(each))
+    for b in range(256):
+        out[512 + b] = 3 * math.sqrt(data.count(b) / len(data))
+    out[768:] = [3 * x for x in (len(each) / len(words), math.log10(len(words)) / 4, len(data) / len(words) / 20, min(1.0, len(text.split("\n")) / len(words)))]
+    return out
+
+
+def plain_meta_view(values):
+    import math
+    import zlib
+
+    out = [0.0] * (64 * len(values))
+    for i, v in enumerate(values):
+        if v is not None:
+            key = repr(v) if isinstance(v, str) else repr(round(math.log2(1 + abs(v)) / 0.5)) if math.isfinite(v) else repr("?")
+            out[64 * i + zlib.crc32(key.encode()) % 64] = 1.0
+    return out
+
+
+def test_views_by_their_definitions(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("text", "lang", "source", "n_chars").collect()
+    texts = [None, "", " \n", "One one ONE é É", "a\x1cb\x85c\nd", *(r.text for r in rows)]
+    for t in texts:
+        assert np.allclose(cotrain.text_view(t), plain_text_view(t), atol=1e-5)
+    for values in [[None, None, None], ["x", "", 0], ["y", None, -7], ["z", "s", float("nan")], *([r.lang, r.source, r.n_chars] for r in rows)]:
+        assert np.allclose(cotrain.meta_view(values), plain_meta_view(values))

@@ -93,3 +93,43 @@ def test_predictions_are_those_of_each_text_alone(spark):
         each = np.concatenate([langid.label_positions(weights, np.frombuffer(p.ljust(64), np.uint8)[:, None])[: len(p), :, 0] for p in parts])
         mean = each.mean(axis=0)
         assert abs(r.score - mean.max()) < 1e-4 and (r.lang_pred == weights.langs[int(mean.argmax())] or np.ptp(np.sort(mean)[-2:]) < 1e-4)
+
+
+def plain_positions(w, data):
+    """Probabilities of each byte by scalar arithmetic: both directions, gate by gate, unit by unit."""
+    h, n = w.hidden, len(data)
+    gate = lambda x: min(1.0, max(0.0, 0.25 * x + 0.5))
+    states = []
+    for side in (0, 1):
+        embed, recur = w.embed[side].tolist(), w.recur[side].tolist()
+        state, found = [0.0] * h, {}
+        for t in range(n) if side == 0 else reversed(range(n)):
+            back = [sum(recur[u][j] * state[j] for j in range(h)) for u in range(3 * h)]
+            into = [embed[u][data[t]] for u in range(3 * h)]
+            keep = [gate(into[u] + back[u]) for u in range(h)]
+            reset = [gate(into[h + u] + back[h + u]) for u in range(h)]
+            raw = [into[2 * h + u] + reset[u] * back[2 * h + u] for u in range(h)]
+            state = [keep[u] * state[u] + (1 - keep[u]) * raw[u] / (1 + abs(raw[u])) for u in range(h)]
+            found[t] = state
+        states.append(found)
+    out = []
+    for t in range(n):
+        scores = [w.bias[k, 0] + sum(w.out[s][k, u] * states[s][t][u] for s in (0, 1) for u in range(h)) for k in range(len(w.langs))]
+        top = max(scores)
+        each = [float(np.exp(s - top)) for s in scores]
+        out.append([e / sum(each) for e in each])
+    return np.array(out)
+
+
+def test_the_network_by_scalar_arithmetic(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    weights = langid.fit(docs, id_bucket("doc_id", 4) != 2, rounds=30)
+    for r in docs.where("text is not null").orderBy("doc_id").limit(12).collect():
+        data = r.text.encode()[:64]
+        got = langid.label_positions(weights, np.frombuffer(data, np.uint8)[:, None])[:, :, 0]
+        assert np.allclose(got, plain_positions(weights, data), atol=1e-4)
+        whole = r.text.encode()[:200]
+        parts = [whole[i : i + 64] for i in range(0, len(whole), 64)]
+        last = plain_positions(weights, parts[-1].ljust(64))[: len(parts[-1])]
+        want = np.concatenate([*(plain_positions(weights, p) for p in parts[:-1]), last]).mean(axis=0)
+        assert np.allclose(langid.pool(weights, [whole])[0], want, atol=1e-4)

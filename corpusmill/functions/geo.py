@@ -147,7 +147,7 @@ def polygons_meet(a: Column, b: Column) -> Column:
 
     cross = F.exists(sides(a), lambda s: F.exists(sides(b), lambda t: crosses(s, t)))
     inside = contains_point(a, b[0][0], b[0][1]) | contains_point(b, a[0][0], a[0][1])
-    return F.coalesce((F.size(a) >= 3) & (F.size(b) >= 3) & boxes_meet(bbox(a), bbox(b)) & (cross | inside), F.lit(False))
+    return F.coalesce((F.size(a) >= 3) & (F.size(b) >= 3) & boxes_meet(bbox(a), bbox(b)) & (inside | cross), F.lit(False))
 
 
 def project_area(drawn: Column, turbines: Column, lat: Column, lng: Column) -> Column:

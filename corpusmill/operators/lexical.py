@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators.retrieval import MOST_TERMS, tokens
 from corpusmill.operators.vectors import ranked
+from corpusmill.session import checkpointed
 
 _LEDGER = "segment int, added boolean, n_docs bigint, total bigint, blocks bigint, bucket_count int, kind string, source string"
 
@@ -53,7 +54,7 @@ class LexicalIndex:
         self.spark, self.folder, self.block = spark, folder.rstrip("/"), block
         spark.range(0).select(*(F.lit(None).cast(kind).alias(name) for name, kind in (c.split(" ") for c in _LEDGER.split(", ")))).write.mode("ignore").parquet(f"{self.folder}/ledger")
         rows = self._ledger()
-        self.buckets = rows[0].bucket_count if rows else buckets
+        self.buckets, self.begun = rows[0].bucket_count if rows else buckets, bool(rows)
 
     def _ledger(self) -> list:
         """A row for each addition and removal."""
@@ -78,8 +79,8 @@ class LexicalIndex:
     def _segment(self, name: str, segment: int, schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}/segment={segment}")
 
-    def postings(self) -> DataFrame:
-        rows = self._ledger()
+    def postings(self, rows: list | None = None) -> DataFrame:
+        rows = self._ledger() if rows is None else rows
         return self._read("postings", f"{_postings(_kind(rows))}, segment int, bucket int", rows, True)
 
     def documents(self) -> DataFrame:
@@ -106,7 +107,7 @@ class LexicalIndex:
         if any(r.added for r in self._ledger()):
             self.remove(rows.select("id"))
         segment, kind = self._next(), rows.schema["id"].dataType.simpleString()
-        toks = rows.select("id", tokens(F.col("text")).alias("toks"))
+        toks = checkpointed(rows.select("id", tokens(F.col("text")).alias("toks")))  # cut once
         lengths = toks.select("id", F.size("toks").alias("len"), F.array_distinct("toks").alias("terms"))
         self._write(lengths.withColumn("bucket", _bucket("id", self.buckets)), "documents", segment, "id")
         kept = self._segment("documents", segment, f"id {kind}, len int")
@@ -115,7 +116,7 @@ class LexicalIndex:
         counted = toks.select("id", F.size("toks").alias("len"), F.explode("toks").alias("term")).groupBy("term", "id", "len").agg(F.count("*").cast("int").alias("tf"))
         placed = counted.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
         packed = placed.groupBy("term", "block").agg(F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), F.sort_array(F.collect_list(F.struct("id", "tf", "len"))).alias("docs"))
-        self._write(packed.withColumn("bucket", _bucket("term", self.buckets)), "postings", segment, "term", "block")
+        self._write(checkpointed(packed.withColumn("bucket", _bucket("term", self.buckets))), "postings", segment, "term", "block")
         made = self._segment("postings", segment, f"{_postings(kind)}, bucket int")
         self._write(made.groupBy("bucket", "term").agg(F.sum(F.size("docs")).cast("bigint").alias("df")), "terms", segment, "term")
         self._named(segment, True, stats, blocks, kind, source)
@@ -140,22 +141,25 @@ class LexicalIndex:
             self._named(segment, False, stats, 0, kind, "")
         return -stats.n_docs
 
-    def frequencies(self, wanted: DataFrame, folders: list[int] | None = None) -> DataFrame:
+    def frequencies(self, wanted: DataFrame, folders: list[int] | None = None, rows: list | None = None) -> DataFrame:
         """(term, df) of the wanted terms (column term), from their buckets."""
+        rows = self._ledger() if rows is None else rows
         some = wanted.select("term").distinct().withColumn("bucket", _bucket("term", self.buckets))
         folders = folders if folders is not None else [r.bucket for r in some.select("bucket").distinct().collect()]
-        every = self._read("terms", "term string, df bigint, segment int, bucket int", self._ledger())
+        every = self._read("terms", "term string, df bigint, segment int, bucket int", rows)
         return every.where(F.col("bucket").isin(folders)).join(some, ["term", "bucket"], "left_semi").groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
 
     def _asked(self, queries: DataFrame, k1: float, b: float):
-        """(postings of the terms' buckets, terms with their weights, a document's weight, what leaves removed documents out)."""
+        """(postings of the terms' buckets with the terms' weights, a document's weight, what scores postings, number of hits)."""
         rows = self._ledger()
         n, total = sum(r.n_docs for r in rows), sum(r.total for r in rows)
         mean = total / n if n else 1.0
         wanted = queries.select("qid", F.explode(F.array_distinct("terms")).alias("term")).withColumn("bucket", _bucket("term", self.buckets))
         size, folders = wanted.agg(F.count("*"), F.collect_set("bucket")).first()  # no more than buckets
         idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-        weighed = wanted.join(self.frequencies(wanted, folders), "term").select("qid", "term", idf.alias("idf"), "bucket")
+        weighed = checkpointed(wanted.join(self.frequencies(wanted, folders, rows), "term").select("qid", "term", idf.alias("idf"), "bucket", "df"))
+        hits = weighed.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+        weighed = weighed.drop("df")
         weighed = F.broadcast(weighed) if size <= MOST_TERMS else weighed
         gone = self._gone(rows, _kind(rows)) if any(not r.added for r in rows) else None
 
@@ -167,12 +171,17 @@ class LexicalIndex:
             each = each if gone is None else each.join(gone, ["id", "segment"], "left_anti")
             return each.groupBy("qid", "id").agg(F.round(F.sum(weight("tf", "len")), 6).alias("score"))
 
-        return self.postings().where(F.col("bucket").isin(folders)).join(weighed, ["bucket", "term"]), weight, live
+        return self.postings(rows).where(F.col("bucket").isin(folders)).join(weighed, ["bucket", "term"]), weight, live, hits
+
+    def top_k(self, queries: DataFrame, k: int, *, k1: float = 1.2, b: float = 0.75, first: int = 4, few: int = 2_000_000) -> DataFrame:
+        """queries (qid, terms) -> (qid, id, score, rank): the best k of each, as ``retrieval.bm25`` gives them.
 
-    def top_k(self, queries: DataFrame, k: int, *, k1: float = 1.2, b: float = 0.75, first: int = 4) -> DataFrame:
-        """queries (qid, terms) -> (qid, id, score, rank): the best k of each, as ``retrieval.bm25`` gives them."""
-        met, weight, live = self._asked(queries, k1, b)
-        bounds = met.groupBy("qid", "segment", "block").agg(F.sum(weight("max_tf", "min_len")).alias("bound"))
+        Up to ``few`` hits of all questions are scored at once, which is less work than bounds; the rows are the same.
+        """
+        met, weight, live, hits = self._asked(queries, k1, b)
+        if hits <= few:
+            return ranked(live(met), k)
+        bounds = checkpointed(met.groupBy("qid", "segment", "block").agg(F.sum(weight("max_tf", "min_len")).alias("bound")))
         place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("bound"), "segment", "block"))
         best = bounds.withColumn("place", place).where(F.col("place") <= first).select("qid", "segment", "block")
         kth = ranked(live(met.join(best, ["qid", "segment", "block"], "left_semi")), k).where(F.col("rank") == k).select("qid", F.col("score").alias("kth"))
@@ -181,7 +190,7 @@ class LexicalIndex:
 
     def scores(self, queries: DataFrame, *, k1: float = 1.2, b: float = 0.75) -> DataFrame:
         """(qid, id, score) of every document that holds a term; nothing is ranked."""
-        met, _, live = self._asked(queries, k1, b)
+        met, _, live, _ = self._asked(queries, k1, b)
         return live(met)
 
 
@@ -194,6 +203,6 @@ def snapshot(files: DataFrame) -> str:
 def index_of(spark: SparkSession, folder: str, docs: DataFrame, *, id_col: str, text_col: str, source: str) -> LexicalIndex:
     """The index of a table as it stands: kept under its source's mark, and built where there is none yet."""
     index = LexicalIndex(spark, f"{folder.rstrip('/')}/{source}")
-    if not index._ledger():
+    if not index.begun:
         index.add(docs, id_col=id_col, text_col=text_col, source=source)
     return index

@@ -48,6 +48,8 @@ def test_additions_and_removals(spark, queries, tmp_path):
     again = lexical.LexicalIndex(spark, str(tmp_path / "i"), buckets=99)
     assert again.buckets == 8
     assert rows(again.top_k(queries, 5)) == scan(queries, frame(spark, list(now.items())))
+    for few in (0, 10**9):  # by bounds of blocks, and all at once
+        assert rows(again.top_k(queries, 5, few=few, first=2)) == scan(queries, frame(spark, list(now.items())))
     assert rows(again.top_k(queries, 1000)) == scan(queries, frame(spark, list(now.items())), 1000)
     assert sorted((r.qid, r.id, r.score) for r in again.scores(queries).collect()) == [r[:3] for r in scan(queries, frame(spark, list(now.items())), 1000)]
     again.add(frame(spark, [(7, "w39 back")]), id_col="doc_id", text_col="text")
@@ -72,7 +74,7 @@ def test_only_the_buckets_of_the_terms_are_read(spark, tmp_path):
     index = lexical.LexicalIndex(spark, str(tmp_path / "i"), buckets=64, block=8)
     index.add(frame(spark, list(enumerate(texts(3, 200)))), id_col="doc_id", text_col="text")
     asked = spark.createDataFrame([(1, ["w3", "w9"])], "qid long, terms array<string>")
-    plan = index.top_k(asked, 3)._jdf.queryExecution().toString()
+    plan = index.top_k(asked, 3, few=0)._jdf.queryExecution().toString()
     wanted = {r.b for r in asked.select(F.explode("terms").alias("term")).select(lexical._bucket("term", 64).alias("b")).collect()}
     reads = [line for line in plan.splitlines() if "PartitionFilters" in line and "max_tf" in line]
     assert reads and all("bucket" in line.split("PartitionFilters")[1] for line in reads)

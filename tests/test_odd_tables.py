@@ -19,3 +19,24 @@ def test_any_order_excludes_a_customer(spark, tmp_path):
     orders = ([(2, 10), (4, 20)], "o_orderkey long, o_custkey long")
     found = beside_sql(spark, tmp_path, "j5_anti_join", customer=([(10,), (20,), (30,)], "c_custkey long"), orders=orders)
     assert [r.c_custkey for r in found] == [30]
+
+
+QUESTIONS = ("Undäge und so", "und\u000bund üund", "und\rund", "Sowohl a\nals auch, ſowohl b als auch", "§ 1\u2028§ 2", "BGBä und äBGB, SGB II", "Dieschteßach dieenerßß ŉabcde", "ﬁnance ᾳβγδε straße", "", None)
+
+
+def test_questions_filters_as_re2_reads_them(spark, tmp_path):
+    beside_sql(spark, tmp_path, "f57_query_filters", benchmark=([(4 * i + k, q) for i, q in enumerate(QUESTIONS) for k in range(4)], "item_id long, text string"))
+
+
+def test_capitals_of_letters_without_one(spark, tmp_path):
+    beside_sql(spark, tmp_path, "r8_r9_query_expansion", benchmark=([(i, q) for i, q in enumerate(QUESTIONS[:-1])], "item_id long, text string"))
+
+
+def test_questions_features_as_re2_reads_them(spark, tmp_path):
+    texts = ("Jaä 2019ö", "noö", "äVG und VGä", "Windpark Ödä\u000bx", "Nordexä SEö", "BGH 12/19", "Art. 3", "Klausel\u000bx", " hallo", "ÖAB 12/19ä", "Nr. ä", " ok", None, "")
+    rows = [(c, 2 * i, "user", t) for i, t in enumerate(texts) for c in range(12)]
+    beside_sql(spark, tmp_path, "f32_f33_question_features", conversations=(rows, "conv_id long, turn long, role string, text string"))
+
+
+def test_law_references_as_re2_reads_them(spark, tmp_path):
+    beside_sql(spark, tmp_path, "f31_f55_legal_references", documents=([(i, q) for i, q in enumerate((*QUESTIONS, "§\u000b5 BGB, § 6, Art. 3\u000bAbs. 2", "BGH I\u000bZR 1/20 SGB XII SGB XIV_"))], "doc_id long, text string"))

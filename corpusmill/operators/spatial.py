@@ -4,6 +4,8 @@ The cells are a quadtree's: a polygon lies in the cells of the level whose width
 own extent, so in four at most, whatever its size. Polygons of different levels meet at the coarser
 level, for which the finer one names the cells above its own. A pair that shares several cells counts
 in the one that holds the lower left corner of what their boxes have in common, so nothing is made twice.
+
+Equal rings are dealt and compared once; their ids come in only when the pairs of rings are known.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import geo as G
+from corpusmill.session import checkpointed
 
 #: Width of the finest cells in degrees, and the number of levels; the coarsest are wider than the earth.
 FINEST, LEVELS = 0.01, 17
@@ -37,15 +40,22 @@ def _levels(rows: DataFrame, ring: str) -> list[int]:
     return sorted(r[0] for r in _dealt(rows, ring, []).select("__own").distinct().collect())
 
 
+def _shapes(rows: DataFrame, id_col: str, ring: str, side: str) -> tuple[DataFrame, DataFrame]:
+    """(members, shapes): each row's id with the number of its ring, and each distinct ring once. Numbers are kept, so they hold."""
+    named = rows.select(F.col(id_col).alias(side), F.col(ring).alias(f"ring_{side}")).where(F.col(f"ring_{side}").isNotNull())
+    shapes = checkpointed(named.select(f"ring_{side}").distinct().withColumn(f"shape_{side}", F.monotonically_increasing_id()))
+    return checkpointed(named.join(shapes, f"ring_{side}").select(side, f"shape_{side}")), shapes
+
+
 def polygon_join(left: DataFrame, right: DataFrame, *, left_id: str, left_ring: str, right_id: str, right_ring: str) -> DataFrame:
     """(left_id, right_id) of all pairs of polygons that share a point (J14, G6). Rings are arrays of [lat, lng]."""
-    a = left.select(F.col(left_id).alias("a"), F.col(left_ring).alias("ring_a"))
-    b = right.select(F.col(right_id).alias("b"), F.col(right_ring).alias("ring_b"))
+    (members_a, a), (members_b, b) = _shapes(left, left_id, left_ring, "a"), _shapes(right, right_id, right_ring, "b")
     dealt_a, dealt_b = _dealt(a, "ring_a", _levels(b, "ring_b")), _dealt(b, "ring_b", _levels(a, "ring_a"))
     dealt_b = dealt_b.withColumnsRenamed({"__box": "__box2", "__own": "__own2"})
     met = dealt_a.join(dealt_b, ["__level", "__x", "__y"]).where(F.col("__level") == F.greatest("__own", "__own2"))
     corner = (F.col("__x") == _cell(F.greatest("__box.south", "__box2.south"), F.col("__level"))) & (F.col("__y") == _cell(F.greatest("__box.west", "__box2.west"), F.col("__level")))
-    pairs = met.where(corner & G.boxes_meet(F.col("__box"), F.col("__box2"))).where(G.polygons_meet(F.col("ring_a"), F.col("ring_b")))
+    shared = met.where(corner & G.boxes_meet(F.col("__box"), F.col("__box2"))).where(G.polygons_meet(F.col("ring_a"), F.col("ring_b"))).select("shape_a", "shape_b")
+    pairs = checkpointed(shared).join(members_b, "shape_b").join(members_a, "shape_a")
     return pairs.select(F.col("a").alias(left_id), F.col("b").alias(right_id))
 
 

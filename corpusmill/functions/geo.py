@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -109,20 +109,26 @@ def _hull(points: list) -> list:
     return [list(p) for p in half(pts) + half(pts[::-1])]
 
 
-@F.pandas_udf(ArrayType(ArrayType(DoubleType())))
-def convex_hull(points: pd.Series) -> pd.Series:
+@F.arrow_udf(ArrayType(ArrayType(DoubleType())))
+def convex_hull(points: pa.Array) -> pa.Array:
     """Corners of the convex hull of [lat, lng] points (G3). Stacks of points have no built-in; a list holds a project's few."""
-    return points.map(lambda ps: None if ps is None else _hull(ps))
+    return pa.array([None if ps is None else _hull(ps) for ps in points.to_pylist()], pa.list_(pa.list_(pa.float64())))
 
 
 def buffered_hull(points: Column, degrees: float = 0.005, steps: int = 64) -> Column:
     """The hull with a rim of so many degrees, its corners rounded by as many-sided circles (G3); under three points their box with the rim."""
-    moved = lambda a: F.transform(points, lambda p: F.array(p[0] + degrees * math.cos(a), p[1] + degrees * math.sin(a)))
-    spread = F.flatten(F.array(*[moved(2 * math.pi * i / steps) for i in range(steps)]))
+    turns = [2 * math.pi * i / steps for i in range(steps)]
+    rims = [(degrees * math.cos(a), degrees * math.sin(a)) for a in turns]
+
+    @F.arrow_udf(ArrayType(ArrayType(DoubleType())))
+    def rimmed(points: pa.Array) -> pa.Array:
+        made = lambda ps: _hull([(p[0] + x, p[1] + y) for p in ps if p is not None and None not in p for x, y in rims])
+        return pa.array([None if ps is None or len(ps) < 3 else made(ps) for ps in points.to_pylist()], pa.list_(pa.list_(pa.float64())))
+
     box = bbox(points)
     s, w, n, e = box["south"] - degrees, box["west"] - degrees, box["north"] + degrees, box["east"] + degrees
     rim = F.array(F.array(n, w), F.array(n, e), F.array(s, e), F.array(s, w))
-    return F.when(F.size(points) >= 3, convex_hull(spread)).when(F.size(points) > 0, rim)
+    return F.when(F.size(points) >= 3, rimmed(points)).when(F.size(points) > 0, rim)
 
 
 def area_km2(ring: Column) -> Column:

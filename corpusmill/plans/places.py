@@ -57,7 +57,8 @@ def g2b(t):
 @query("g3_g4_project_areas", f"SELECT id, CASE WHEN id % 4 = 0 THEN 'user_drawn' WHEN id % 4 = 1 THEN 'wea_convex_hull' WHEN id % 4 = 2 THEN 'center_buffer' ELSE 'none' END AS source, CASE WHEN id % 4 = 0 THEN round(round(0.02 * 111 * 0.03 * 111 * cos(radians(lat::DOUBLE + 0.01)), 4), 3) END AS drawn_km2 FROM ({PLACE})")
 def g3(t):
     """Areas that were drawn, follow from turbines or from a centre; tests compare hulls and areas with plain versions."""
-    p, k = places(t), F.col("id")
+    # A hull is far more work than its row is large, so rows are dealt to all cores, however few files there are.
+    p, k = places(t).repartition(4 * t.spark.sparkContext.defaultParallelism), F.col("id")
     lat, lng = F.col("lat"), F.col("lng")
     none = F.lit(None).cast("array<array<double>>")
     drawn = F.when(k % 4 == 0, F.array(F.array(lat, lng), F.array(lat, lng + 0.03), F.array(lat + 0.02, lng + 0.03), F.array(lat + 0.02, lng))).otherwise(none)

@@ -16,3 +16,19 @@ def test_equal_rings_are_compared_once_and_all_pairs_come_back(spark):
     found = SP.polygon_join(left, right, left_id="id", left_ring="ring", right_id="area_id", right_ring="area").collect()
     at = {0: [*range(0, 60, 3), None], 1: [*range(1, 60, 3)]}
     assert sorted(found, key=repr) == sorted(((i, j) for j in range(20) for i in at[j % 2]), key=repr)
+
+
+def test_hulls_are_rimmed_in_one_step_on_all_cores(spark):
+    import math
+
+    from pyspark.sql import functions as F
+
+    from corpusmill import plans
+    from corpusmill.functions import geo as G
+
+    points = [[48.0, 9.0], [48.01, 9.0], [48.0, 9.01], [48.002, 9.002]]
+    spread = [[p[0] + 0.005 * math.cos(2 * math.pi * i / 64), p[1] + 0.005 * math.sin(2 * math.pi * i / 64)] for i in range(64) for p in points]
+    df = spark.createDataFrame([(points, spread), (None, None)], "points array<array<double>>, spread array<array<double>>")
+    rimmed = df.select(G.buffered_hull(F.col("points")).alias("a"), G.convex_hull("spread").alias("b")).collect()
+    assert all(r.a == r.b for r in rimmed) and len(rimmed[0].a) > 60
+    assert plans.QUERIES["g3_g4_project_areas"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

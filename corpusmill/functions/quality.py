@@ -34,12 +34,14 @@ KEYWORDS = {
 
 def best_domain(text: Column, *, least: int = 8, words: int = 2) -> Column:
     """(domain, score) of the highest sum of weights with enough of it and enough different words, ties by name; else null."""
-    low = F.lower(text)
-    scored = []
-    for name, weights in KEYWORDS.items():
-        hits = [low.contains(w) for w in weights]
-        score = sum((F.when(h, n).otherwise(0) for h, n in zip(hits, weights.values())), F.lit(0))
-        count = sum((h.cast("int") for h in hits), F.lit(0))
-        scored.append(F.when((score >= least) & (count >= words), F.struct((-score).alias("s"), F.lit(name).alias("domain"))))
-    best = F.array_min(F.array_compact(F.array(*scored)))
-    return F.when(best.isNotNull(), F.struct(best["domain"].alias("domain"), (-best["s"]).alias("score")))
+    names = F.array(*map(F.lit, KEYWORDS))
+
+    def best(low: Column) -> Column:
+        # One number a domain: a hundred times its weights and one for each word, so a word is looked for once.
+        sums = F.array(*[sum((F.when(low.contains(w), F.lit(100 * n + 1)).otherwise(F.lit(0)) for w, n in weights.items()), F.lit(0)) for weights in KEYWORDS.values()])
+        enough = lambda x: (x >= 100 * least) & (x % 100 >= words)
+        scored = F.transform(sums, lambda x, i: F.when(enough(x), F.struct((-F.floor(x / 100)).cast("int").alias("s"), F.get(names, i).alias("domain"))))
+        return F.array_min(F.array_compact(scored))
+
+    found = F.transform(F.array(F.lower(text)), best)
+    return F.transform(found, lambda b: F.when(b.isNotNull(), F.struct(b["domain"].alias("domain"), (-b["s"]).alias("score"))))[0]

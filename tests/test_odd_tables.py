@@ -40,3 +40,10 @@ def test_questions_features_as_re2_reads_them(spark, tmp_path):
 
 def test_law_references_as_re2_reads_them(spark, tmp_path):
     beside_sql(spark, tmp_path, "f31_f55_legal_references", documents=([(i, q) for i, q in enumerate((*QUESTIONS, "§\u000b5 BGB, § 6, Art. 3\u000bAbs. 2", "BGH I\u000bZR 1/20 SGB XII SGB XIV_"))], "doc_id long, text string"))
+
+
+def test_domains_lower_a_text_once(spark, tmp_path):
+    texts = ("Vertrag KÜNDIGUNG Haftung", "Umsatzsteuer", "Umsatzsteuer, Gewerbesteuer, Naturschutz und Artenschutz", "", None)
+    beside_sql(spark, tmp_path, "r21_domain_scoring", documents=([(6 * i + k, x) for i, x in enumerate(texts) for k in range(6)], "doc_id long, text string"))
+    plan = plans.QUERIES["r21_domain_scoring"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1

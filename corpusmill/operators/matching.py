@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from corpusmill.functions import geo as G
-from corpusmill.operators import setjoin as S
 from corpusmill.operators.ranking import placed
 from corpusmill.session import checkpointed
 
@@ -38,42 +40,110 @@ def fuzzy_score(p: dict[str, Column], r: dict[str, Column]) -> Column:
     return F.when(p["id"] == r["id"], 1.0).when(same_number & same_field & missing, 0.9).when(same_number & same_field, near).when(same_number, 0.5).otherwise(similarity_ratio(p["id"], r["id"]))
 
 
-def letters(text: Column) -> Column:
-    """Each character with the number of its occurrences before it: sets whose common part bounds the matching blocks from above."""
-    sure = F.split(text, "")
-    chars = F.filter(F.array_sort(sure), lambda c: c != "")
-    return F.transform(chars, lambda c, i: F.concat(c, (i - F.array_position(chars, c) + 1).cast("string")))
-
-
-def similar_ids(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """left, right (id), each once -> (a, b) whose ratio of matching blocks is ``least`` or more.
-
-    The blocks of two ids hold no more characters than both have in common, so the ratio is at most the
-    Dice similarity of their characters: pairs that reach it meet by prefixes, and only they get the exact ratio.
+#: Parcels and references that are compared at once: what a task holds is bounded by their product.
+PARCELS, REFERENCES = 1024, 512
+
+
+def _common(a: list[str], b: list[str]) -> np.ndarray:
+    """For each pair an upper bound of the characters in matching blocks: those that both have, or, where b has up to 63, the longest common subsequence."""
+    held = [Counter(x) for x in b]
+    most = np.zeros((len(a), len(b)), np.int64)
+    counts = [Counter(x) for x in a]
+    for c in {c for h in held for c in h}:
+        mine = np.array([x[c] for x in counts])
+        if mine.any():
+            most += np.minimum.outer(mine, np.array([h[c] for h in held]))
+    short = np.array([j for j, x in enumerate(b) if len(x) < 64], np.int64)
+    if not len(short):
+        return most
+    # Bits of a word stand for the characters of b; a bit that is cleared is one more character in common.
+    codes = {c: i for i, c in enumerate(sorted({c for j in short for c in b[j]}))}
+    marks = np.zeros((len(codes) + 1, len(short)), np.uint64)
+    for k, j in enumerate(short):
+        for at, c in enumerate(b[j]):
+            marks[codes[c], k] |= np.uint64(1 << at)
+    open_ = np.full((len(a), len(short)), np.uint64(2**64 - 1))
+    order = sorted(range(len(a)), key=lambda i: -len(a[i]))
+    lengths = [len(a[i]) for i in order]
+    for at in range(lengths[0] if lengths else 0):
+        rows = np.array(order[: sum(n > at for n in lengths)])
+        old = open_[rows]
+        met = old & marks[[codes.get(a[i][at], len(codes)) for i in rows]]
+        open_[rows] = (old + met) | (old - met)
+    masks = np.array([(1 << len(b[j])) - 1 for j in short], np.uint64)
+    most[:, short] = np.minimum(most[:, short], np.bitwise_count(~open_ & masks))
+    return most
+
+
+def best_ratios(parcels: list[dict], refs: list[dict]) -> list[dict]:
+    """The reference of the greatest ratio, and the earliest of equals, for each parcel (id, number, floor) whose floor one reaches; refs (id, number, ord).
+
+    Pairs are tried from the greatest upper bound down, until it falls under the best ratio found. References of the parcel's own number take no part.
     """
-    sets = [side.select("id", letters(F.col("id")).alias("tokens")) for side in (left, right)]
-    met = S.join(*sets, measure="dice", threshold=least)
-    return met.withColumn("ratio", similarity_ratio(F.col("a"), F.col("b"))).where(F.col("ratio") >= least).select("a", "b")
+    a, b = [p["id"] for p in parcels], [r["id"] for r in refs]
+    sums = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :]
+    bounds = 2.0 * _common(a, b) / np.maximum(sums, 1)
+    numbers = {n: i for i, n in enumerate({r["number"] for r in refs} - {None})}
+    own, theirs = (np.array([numbers.get(x["number"], none) for x in side]) for side, none in ((parcels, -1), (refs, -2)))
+    bounds[own[:, None] == theirs[None, :]] = -1.0
+    floors = np.array([p["floor"] for p in parcels])
+    ords = np.array([r["ord"] for r in refs])
+    matchers: dict[int, SequenceMatcher] = {}
+    found = []
+    for i in np.flatnonzero((bounds >= floors[:, None]).any(axis=1)).tolist():
+        some = np.flatnonzero(bounds[i] >= floors[i])
+        best = None
+        for j in some[np.lexsort((ords[some], -bounds[i, some]))].tolist():
+            if best and (bounds[i, j], -refs[j]["ord"]) < best[:2]:
+                break
+            if j not in matchers:
+                matchers[j] = SequenceMatcher(None, "", b[j])
+            matchers[j].set_seq1(a[i])
+            ratio = matchers[j].ratio()
+            if ratio >= floors[i] and (best is None or (ratio, -refs[j]["ord"], b[j]) > best):
+                best = (ratio, -refs[j]["ord"], b[j])
+        if best:
+            found.append({"id": a[i], "score": best[0], "o": best[1], "ref": best[2]})
+    return found
+
+
+_FOUND = ArrayType(StructType().add("id", "string").add("score", "double").add("o", "long").add("ref", "string"))
+
+
+@F.arrow_udf(_FOUND)
+def _best_ratios(parcels: pa.Array, refs: pa.Array) -> pa.Array:
+    return pa.array([best_ratios(p.as_py(), r.as_py()) for p, r in zip(parcels, refs)], to_arrow_type(_FOUND))
+
+
+def _packed(rows: DataFrame, size: int) -> DataFrame:
+    """(rows): all columns' rows in arrays of about ``size``, dealt by a hash."""
+    parts = max(1, -(-rows.count() // size))
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64(*rows.columns), F.lit(parts))).repartition(min(parts, 4 * rows.sparkSession.sparkContext.defaultParallelism), "part")
+    return dealt.groupBy("part").agg(F.collect_list(F.struct(*rows.columns)).alias("rows")).select("rows")
 
 
 def fuzzy_match(parcels: DataFrame, refs: DataFrame, least: float = 0.6) -> DataFrame:
     """The best reference of each parcel, the earliest of equals.
 
-    Every way to reach the score is an equi-join: equal ids, equal numbers (and fields, where the number alone
-    isn't enough), and ids of a similarity.
+    Equal ids, and equal numbers (and fields, where the number alone isn't enough), are equi-joins. What they
+    give a parcel is the least that the likeness of ids has to reach; for it, packs of parcels meet packs of distinct
+    references, and bounds decide which pairs get the exact ratio.
     """
     if not 0 < least <= 1:
         raise ValueError("least: over 0, at most 1")
-    p = parcels.select("id", "number", "field", "district").where("id is not null").distinct()
-    r = refs.groupBy("id", "number", "field", "district").agg(F.min("ord").alias("ord")).select(*(F.col(c).alias(f"r_{c}") for c in ("id", "number", "field", "district", "ord")))
+    p = checkpointed(parcels.select("id", "number", "field", "district").where("id is not null").distinct())
+    r = checkpointed(refs.groupBy("id", "number", "field", "district").agg(F.min("ord").alias("ord")).select(*(F.col(c).alias(f"r_{c}") for c in ("id", "number", "field", "district", "ord"))))
     same = p.join(r, F.col("id") == F.col("r_id"))
     keys = (F.col("number") == F.col("r_number")) if least <= 0.5 else (F.col("number") == F.col("r_number")) & (F.col("field") == F.col("r_field"))
     numbered = p.join(r, keys)
-    alike = similar_ids(p.select("id").distinct(), refs.where("id is not null").select("id").distinct(), least)
-    near = p.join(alike, F.col("id") == F.col("a")).join(r, F.col("b") == F.col("r_id")).drop("a", "b")
-    pairs = same.unionByName(numbered).unionByName(near)
     score = fuzzy_score({c: F.col(c) for c in ("id", "number", "field", "district")}, {c: F.col(f"r_{c}") for c in ("id", "number", "field", "district")})
-    best = pairs.withColumn("score", score).where(F.col("score") >= least).groupBy("id").agg(F.max(F.struct("score", (-F.col("r_ord")).alias("o"), F.col("r_id").alias("ref"))).alias("b"))
+    order = lambda s, o, ref: F.max(F.struct(F.col(s).alias("score"), o.alias("o"), F.col(ref).alias("ref"))).alias("b")
+    joined = checkpointed(same.unionByName(numbered).withColumn("score", score).where(F.col("score") >= least).groupBy("id").agg(order("score", (-F.col("r_ord")).cast("bigint"), "r_id")))
+    asked = p.select("id", "number").distinct().join(joined, "id", "left").select("id", "number", F.coalesce("b.score", F.lit(float(least))).alias("floor")).where("id != '' and floor < 1")
+    given = r.where("r_id is not null and r_id != ''").groupBy(F.col("r_id").alias("id"), F.col("r_number").alias("number")).agg(F.min("r_ord").cast("bigint").alias("ord"))
+    packs = _packed(checkpointed(asked), PARCELS).withColumnRenamed("rows", "parcels").crossJoin(_packed(checkpointed(given), REFERENCES).withColumnRenamed("rows", "refs"))
+    near = packs.select(F.inline(_best_ratios("parcels", "refs"))).groupBy("id").agg(order("score", F.col("o"), "ref"))
+    best = joined.unionByName(near).groupBy("id").agg(F.max("b").alias("b"))
     return best.select("id", F.col("b.ref").alias("ref"), F.round("b.score", 6).alias("score"))
 
 

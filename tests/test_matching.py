@@ -125,3 +125,21 @@ def test_polygons_of_many_sizes(spark):
     assert len(found) == len(set(found)) and set(found) == want and len(want) > 300
     kept = sorted(r.id for r in spatial.in_areas(a, b.where("area_id < 20"), id_col="id", ring="ring").collect())
     assert kept == sorted({i for i, j in want if j < 20} | {900})
+
+
+def test_ratios_are_worked_out_for_few_pairs(monkeypatch):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefgh:12é") for _ in range(rng.randint(1, n)))
+    parcels = [{"id": f"{word(9)}:{i}", "number": rng.choice([None, "1", "2"]), "floor": rng.choice([0.3, 0.6, 0.9])} for i in range(150)]
+    refs = [{"id": word(n), "number": rng.choice([None, "1", "3"]), "ord": i // 2} for i, n in enumerate([12] * 80 + [70, 90, 250])]
+    refs += [{"id": parcels[5]["id"] * 30, "number": None, "ord": 90}, {"id": parcels[6]["id"][:-1], "number": "9", "ord": 91}]
+    tried = []
+    monkeypatch.setattr(matching.SequenceMatcher, "ratio", lambda self, of=SequenceMatcher.ratio: tried.append(1) or of(self))
+    got = {x["id"]: (x["score"], x["o"], x["ref"]) for x in matching.best_ratios(parcels, refs)}
+    asked, want = len(tried), {}
+    for p in parcels:
+        of = [(ratio(p["id"], r["id"]), -r["ord"], r["id"]) for r in refs if p["number"] is None or p["number"] != r["number"]]
+        if max(of)[0] >= p["floor"]:
+            want[p["id"]] = max(of)
+    assert got == want and len(got) > 40
+    assert asked < len(parcels) * len(refs) / 5

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from corpusmill.operators import lexical, retrieval
@@ -92,3 +93,20 @@ def test_an_index_is_kept_for_the_files_as_they_are(spark, tmp_path, queries):
     frame(spark, [(2, "w1")]).write.mode("append").parquet(path)
     assert lexical.snapshot(spark.read.parquet(path)) != seen
     assert open_().top_k(queries, 5).count() == 4
+
+
+def test_tokens_of_a_text_are_counted_in_place(spark):
+    given = ["b a b", "", "x", "A a, a-ß ß", None]
+    df = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string").select("doc_id", lexical.counted(F.coalesce("text", F.lit(""))).alias("c"))
+    got = {r.doc_id: (r.c.len, r.c.terms, r.c.tfs) for r in df.collect()}
+    assert got == {0: (3, ["a", "b"], [1, 2]), 1: (0, [], []), 2: (1, ["x"], [1]), 3: (5, ["a", "ß"], [3, 2]), 4: (0, [], [])}
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_are_shuffled_once_as_they_are_written(spark, tmp_path, monkeypatch):
+    plans, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: (plans.append((path, self._df._jdf.queryExecution().executedPlan().toString())), write(self, path, *a, **k))[1])
+    monkeypatch.setattr(lexical, "checkpointed", lambda df: pytest.fail("a copy of the texts or postings is kept"))
+    lexical.LexicalIndex(spark, str(tmp_path / "i"), buckets=4, block=16).add(frame(spark, list(enumerate(texts(1, 100)))), id_col="doc_id", text_col="text")
+    (plan,) = [p for path, p in plans if "/postings/" in path]
+    assert plan.count("Exchange") == 1

@@ -32,3 +32,20 @@ def test_hulls_are_rimmed_in_one_step_on_all_cores(spark):
     rimmed = df.select(G.buffered_hull(F.col("points")).alias("a"), G.convex_hull("spread").alias("b")).collect()
     assert all(r.a == r.b for r in rimmed) and len(rimmed[0].a) > 60
     assert plans.QUERIES["g3_g4_project_areas"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_names_are_shuffled_once_for_their_trigrams(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    from corpusmill.operators import setjoin as S
+
+    plans, write = {}, DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: (plans.update({path.split("/")[-1]: self._df._jdf.queryExecution().executedPlan().toString()}), write(self, path, *a, **k))[1])
+    monkeypatch.setattr(S, "NAMES", 10)
+    names = spark.createDataFrame([(i // 2, f"Customer {i}") for i in range(200)], "id int, name string")
+    index = S.TrigramIndex(spark, str(tmp_path / "i"), 0.5, buckets=4).build(names, id_col="id", name_col="name")
+    assert plans["postings"].count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plans["postings"]
+    assert "ASC NULLS FIRST, 20), REPARTITION_BY_NUM" in plans["postings"]
+    needles = spark.createDataFrame([(1, "customer 7")], "qid int, needle string")
+    assert "SortMergeJoin" not in index.candidates(needles)._jdf.queryExecution().executedPlan().toString()
+    assert 3 in {r.id for r in index.search(needles).collect()}

@@ -21,8 +21,8 @@ def row_label(cells: Column) -> Column:
 
 
 def row_amount(cells: Column) -> Column:
-    """The last cell with a number."""
-    return F.try_element_at(F.filter(F.transform(cells, V.german_number), lambda x: x.isNotNull()), F.lit(-1))
+    """The last cell with a number. Cells are read from the end, and no further than to the first that has one."""
+    return F.aggregate(F.reverse(cells), F.lit(None).cast("double"), lambda found, c: F.coalesce(found, V.german_number(c)))
 
 
 def row_role(label: Column) -> Column:

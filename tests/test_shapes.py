@@ -34,6 +34,18 @@ def test_hulls_are_rimmed_in_one_step_on_all_cores(spark):
     assert plans.QUERIES["g3_g4_project_areas"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
 
+def test_amounts_are_read_from_the_last_cell_on(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from corpusmill.operators import tables as T
+
+    rows = [(["Posten 3", "1.234,50 €"],), (["7", "x", ""],), (["x"],), ([],), (None,), ([None, "5", None],)]
+    df = spark.createDataFrame(rows, "cells array<string>")
+    assert [r[0] for r in df.select(T.row_amount(F.col("cells"))).collect()] == [1234.5, 7.0, None, None, None, 5.0]
+    monkeypatch.setattr(T.V, "german_number", lambda c: F.when(c == "9", F.raise_error(F.lit("read"))).otherwise(c.try_cast("double")))
+    assert spark.createDataFrame([(["9", "5", "x"],)], "cells array<string>").select(T.row_amount(F.col("cells"))).first()[0] == 5.0
+
+
 def test_names_are_shuffled_once_for_their_trigrams(spark, tmp_path, monkeypatch):
     from pyspark.sql import DataFrameWriter
 

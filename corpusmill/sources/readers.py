@@ -76,18 +76,18 @@ def first_text(*fields: Column, least: int = 20) -> Column:
 
 
 def _case_text(item: Column) -> Column:
-    """Markdown, or else HTML as text, or else plain text, cleaned; null under 20 characters."""
+    """Markdown, or else HTML as text, or else plain text, cleaned, to be exploded: worked out once a row, none under 20 characters."""
     field = lambda name: F.get_json_object(item, f"$.{name}")
     given = lambda c: F.when(c != "", c)
     text = clean_text(F.coalesce(given(field("markdown_content")), given(F.regexp_replace(html_to_text(given(field("content"))), r"\s+", " ")), given(field("text"))))
-    return F.when(F.length(text) >= 20, text)
+    return F.explode(F.filter(F.array(text), lambda t: F.length(t) >= 20))
 
 
 def case_record(df: DataFrame, json_col: str) -> DataFrame:
     """One court case a body to a document: its text, and its other fields that are single values as metadata."""
     body = json_body(F.col(json_col))
     fields = F.map_filter(F.from_json(body, "map<string,string>"), lambda k, v: ~k.isin("content", "markdown_content", "text", "results") & (v.isNull() | ~v.rlike(r"^\s*[\[{]")))
-    return df.select(*df.columns, _case_text(body).alias("text"), F.lit("Content").alias("section"), fields.alias("metadata")).where(F.col("text").isNotNull())
+    return df.select(*df.columns, _case_text(body).alias("text"), F.lit("Content").alias("section"), fields.alias("metadata"))
 
 
 def case_records(df: DataFrame, json_col: str) -> DataFrame:
@@ -98,8 +98,7 @@ def case_records(df: DataFrame, json_col: str) -> DataFrame:
     each = df.select(*df.columns, F.posexplode(items).alias("pos", "item"))
     field = lambda path: F.get_json_object("item", path)
     court = F.when(field("$.court").rlike(r"^\s*\{"), field("$.court.name"))
-    out = each.select(*df.columns, "pos", _case_text(F.col("item")).alias("text"), F.coalesce(field("$.id"), F.lit("")).alias("case_id"), court.alias("court_name"), *[field(f"$.{n}").alias(n) for n in ("date", "file_number", "ecli")])
-    return out.where(F.col("text").isNotNull())
+    return each.select(*df.columns, "pos", _case_text(F.col("item")).alias("text"), F.coalesce(field("$.id"), F.lit("")).alias("case_id"), court.alias("court_name"), *[field(f"$.{n}").alias(n) for n in ("date", "file_number", "ecli")])
 
 
 def line_records(lines: DataFrame, line_col: str, kind: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import time
+
 import pyspark.sql.functions as F
 import pytest
 
@@ -26,6 +28,17 @@ def test_clean_text(spark):
     assert one(spark, T.clean_text(F.lit("a\n\n\n\nb    c [Picture] $ 12 Abs. 3 Wort- teil und Ober- und Unter- Haus "))) == "a\n\nb  c  § 12 Abs. 3 Wortteil und Ober- und Unter- Haus"
 
 
+def test_clean_text_of_long_words_is_linear(spark):
+    """As the pattern that takes the whole word before the hyphen, but without scanning the word from each of its letters."""
+    texts = [*(f"{a}- {b}- {c}" for a in ("a", "ab", "ä_1") for b in ("d", "de", "def", "und", "Xy") for c in ("f", "fg")), "ab- c- de- fg", "x-- yz", "ab -  cd", "\U0001d41b\U0001d41b- \U0001d41b", "e\u0301- f- g"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    whole = F.regexp_replace("t", r"(?U)(\w{2,})- (?![uob]|\p{Lu})(\w)", "$1$2")
+    assert [r.t for r in rows.select("t", T.clean_text(F.col("t")).alias("x"), whole.alias("y")).where("x <> y").collect()] == []
+    began = time.time()
+    assert spark.range(1).select(F.length(T.clean_text(F.repeat(F.concat(F.lit("_a"), "id"), F.lit(100_000)))).alias("n")).first().n == 300_000
+    assert time.time() - began < 20
+
+
 def test_think_and_json(spark):
     assert one(spark, T.strip_think(F.lit("<think>x</think> a <think>open"))) == "a"
     assert one(spark, J.salvage_json(F.lit('see ```json\n{"a": [1, 2,], }\n```'))) == '{"a": [1, 2] }'

@@ -137,16 +137,15 @@ def document_tree(df: DataFrame, id_col: str, json_col: str, *, least: int = 5,
     """
     doc = F.col(json_col)
     refs = lambda c: F.from_json(c, "array<struct<`$ref`: string>>")
-    ids = df.select(F.col(id_col).alias("id"), doc.alias("doc"))
-    nodes = None
-    for name in (*PARTS, "groups"):
-        items = F.from_json(F.get_json_object("doc", f"$.{name}"), "array<string>")
-        one = ids.select("id", F.posexplode(items).alias("i", "item")).select("id", F.concat(F.lit(f"#/{name}/"), "i").alias("ref"), F.lit(name).alias("part"), "item")
-        nodes = one if nodes is None else nodes.unionByName(one)
-    nodes = checkpointed(nodes)
+    items = lambda name: F.from_json(F.get_json_object(doc, f"$.{name}"), "array<string>")
+    parts = {**{name: items(name) for name in (*PARTS, "groups")}, "body": F.array(F.get_json_object(doc, "$.body.children"))}
+    # A document is read once for all its parts: a union of a pass for each would be read by one task.
+    each = df.select(F.col(id_col).alias("id"), F.inline(F.array(*(F.struct(F.lit(name).alias("part"), found.alias("items")) for name, found in parts.items()))))
+    each = each.select("id", "part", F.posexplode("items").alias("i", "item"))
+    nodes = checkpointed(each.select("id", F.concat(F.lit("#/"), "part", F.lit("/"), "i").alias("ref"), "part", "item"))
     groups = nodes.where("part = 'groups'").select("id", "ref", F.posexplode(refs(F.get_json_object("item", "$.children"))).alias("k", "child"))
     groups = groups.select("id", "ref", "k", F.col("child.`$ref`").alias("child"))
-    front = ids.select("id", F.posexplode(refs(F.get_json_object("doc", "$.body.children"))).alias("k", "child")).select("id", F.array("k").alias("path"), F.col("child.`$ref`").alias("ref"))
+    front = nodes.where("part = 'body'").select("id", F.posexplode(refs(F.col("item"))).alias("k", "child")).select("id", F.array("k").alias("path"), F.col("child.`$ref`").alias("ref"))
     leaves = front.where("ref not like '%/groups/%'")
     front = checkpointed(front.where("ref like '%/groups/%'"))
     depth = 0
@@ -156,7 +155,7 @@ def document_tree(df: DataFrame, id_col: str, json_col: str, *, least: int = 5,
             raise ValueError(f"groups within groups to over {most_depth} levels")
         inner = checkpointed(front.join(groups, ["id", "ref"]).select("id", F.concat("path", F.array("k")).alias("path"), F.col("child").alias("ref")))
         leaves, front = leaves.unionByName(inner.where("ref not like '%/groups/%'")), inner.where("ref like '%/groups/%'")
-    found = leaves.join(nodes.where("part <> 'groups'"), ["id", "ref"])
+    found = leaves.join(nodes.where("part not in ('groups', 'body')"), ["id", "ref"])
     field = lambda path: F.coalesce(F.get_json_object("item", path), F.lit(""))
     label = field("$.label")
     grid = F.from_json(F.get_json_object("item", "$.data.grid"), "array<array<struct<text: string>>>")

@@ -61,3 +61,19 @@ def test_names_are_shuffled_once_for_their_trigrams(spark, tmp_path, monkeypatch
     needles = spark.createDataFrame([(1, "customer 7")], "qid int, needle string")
     assert "SortMergeJoin" not in index.candidates(needles)._jdf.queryExecution().executedPlan().toString()
     assert 3 in {r.id for r in index.search(needles).collect()}
+
+
+def test_a_parsed_document_is_read_once_for_all_its_parts(spark, monkeypatch):
+    import json
+
+    from corpusmill.sources import readers as S
+
+    plans, cut = [], S.checkpointed
+    monkeypatch.setattr(S, "checkpointed", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), cut(df))[1])
+    ref = lambda *names: [{"$ref": f"#/{n}"} for n in names]
+    doc = {"texts": [{"label": "section_header", "text": "Kapitel"}, {"text": "Inhalt"}], "pictures": [{"captions": [{"text": "Bild 1"}]}], "groups": [{"children": ref("texts/1", "groups/1")}, {"children": ref("pictures/0")}], "body": {"children": ref("body/0", "texts/0", "groups/0", "texts/9")}}
+    given = [(1, json.dumps(doc)), (2, None), (3, "no json"), (None, json.dumps(doc)), (4, json.dumps({"texts": [{"text": "allein"}]})), (5, json.dumps({"body": {"children": ref("texts/0")}, "texts": [{"text": "Absatz"}]}))]
+    found = S.document_tree(spark.createDataFrame(given, "id int, doc string"), "id", "doc")
+    rows = sorted((r.id, r.place, r.text, r.section, r.type) for r in found.collect())
+    assert rows == [(1, 1, "Kapitel", "Kapitel", "text"), (1, 2, "Inhalt", "Kapitel", "text"), (1, 3, "Bild 1", "Kapitel", "picture"), (5, 1, "Absatz", "General", "text")]
+    assert "Union" not in plans[0]

@@ -6,12 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.operators.graph import connected_components
 from corpusmill.session import checkpointed
 
+#: Classes of which the texts are looked for by a broadcast; more are joined.
+BROADCAST = 500_000
+
 
 def content_hash(text: Column) -> Column:
     """Hash of the text in lower case with white space collapsed."""
@@ -23,39 +27,53 @@ def exact_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.groupBy(content_hash(F.col(text_col)).alias("hash")).agg(F.min(id_col).alias("keep"), F.count("*").alias("n")).where("n > 1")
 
 
-def shingles(text: Column, width: int) -> Column:
-    """Hashes of the distinct word n-grams. Words are cut once: a lambda works out again whatever it captures."""
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
 
-    def hashed(ws: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(ws) - width + 1, F.lit(1)))
-        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(ws, i, F.lit(width)), " "))))
 
-    return F.when(text.isNotNull(), F.transform(F.array(words), hashed)[0])
+def _shingled(words: Column, width: int) -> Column:
+    """Hashes of the distinct n-grams of words; what lies beyond the last word is null and left out."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - width, F.lit(0)))
+    return F.when(words.isNotNull(), F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.concat_ws(" ", *(F.get(words, i + k) for k in range(width)))))))
 
 
-def _minima(hashes: np.ndarray, bands: int, rows: int) -> list[int]:
-    out = []
-    for b in range(bands):
-        key = np.uint64(b + 1)
-        for r in range(rows):
-            odd = np.uint64((0x9E3779B97F4A7C15 * (2 * (b * rows + r) + 1)) % (1 << 64) | 1)
-            mixed = (hashes ^ (hashes >> np.uint64(31))) * odd
-            least = (mixed ^ (mixed >> np.uint64(29))).min()
-            key = (key ^ least) * np.uint64(0xBF58476D1CE4E5B9)
-            key ^= key >> np.uint64(32)
-        out.append(key)
-    return np.array(out, np.uint64).view(np.int64).tolist()
+def shingles(text: Column, width: int) -> Column:
+    """Hashes of the distinct word n-grams. Words are cut once: a lambda works out again whatever it captures."""
+    return F.transform(F.array(_words(text)), lambda ws: _shingled(ws, width))[0]
+
+
+def _marked(text: Column, width: int) -> Column:
+    """To be selected: the columns hash and s of each text, its content hash (empty for none) and its shingles, of words cut once."""
+    return F.inline(F.transform(F.array(_words(text)), lambda ws: F.struct(F.coalesce(F.md5(F.array_join(ws, " ")), F.lit("")).alias("hash"), _shingled(ws, width).alias("s"))))
+
+
+def _keys(column: pa.Array, bands: int, rows: int) -> pa.Array:
+    """The band keys of each list of hashes, null where there are none. Lists lie side by side, some 32,000 hashes at once."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes[sizes > 0])
+    starts = ends - sizes[sizes > 0]
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(np.uint64)
+    out, at = np.empty((len(ends), bands), np.uint64), 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + (1 << 15), "right")))
+        part = flat[starts[at] : ends[to - 1]]
+        part, firsts = part ^ (part >> np.uint64(31)), starts[at:to] - starts[at]
+        for b in range(bands):
+            key = np.full(to - at, b + 1, np.uint64)
+            for r in range(rows):
+                mixed = part * np.uint64((0x9E3779B97F4A7C15 * (2 * (b * rows + r) + 1)) % (1 << 64) | 1)
+                mixed ^= mixed >> np.uint64(29)
+                key = (key ^ np.minimum.reduceat(mixed, firsts)) * np.uint64(0xBF58476D1CE4E5B9)
+                key ^= key >> np.uint64(32)
+            out[at:to, b] = key
+        at = to
+    offsets = np.concatenate([[0], np.cumsum(np.where(sizes > 0, bands, 0))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.reshape(-1).view(np.int64)), mask=pa.array(sizes == 0))
 
 
 def minhash(hashes: Column, bands: int, rows: int) -> Column:
     """One key for each band: of the minima of its rows, each under a mixing of the hashes of its own. In numpy, in Arrow batches."""
-
-    def run(column: pa.Array) -> pa.Array:
-        with np.errstate(over="ignore"):
-            return pa.array([None if not h else _minima(np.array(h, np.int64).view(np.uint64), bands, rows) for h in column.to_pylist()], pa.list_(pa.int64()))
-
-    return F.arrow_udf(run, "array<bigint>")(hashes)
+    return F.arrow_udf(lambda column: _keys(column, bands, rows), "array<bigint>")(hashes)
 
 
 def sketches(rows: DataFrame, bands: int, depth: int) -> DataFrame:
@@ -63,9 +81,7 @@ def sketches(rows: DataFrame, bands: int, depth: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            with np.errstate(over="ignore"):
-                keys = [None if not h else _minima(np.array(h, np.int64).view(np.uint64), bands, depth) for h in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["id", "hash", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _keys(batch.column(2), bands, depth)], names=["id", "hash", "keys"])
 
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, hash string, keys array<bigint>")
 
@@ -122,15 +138,17 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, *, width: int =
     twentieth at least is linked; a round is linear. Then members of one bucket that are still of different
     components meet by the prefixes of their shingles. The rounds save work and change no result.
     """
-    hashed = docs.select(F.col(id_col).alias("id"), F.coalesce(content_hash(F.col(text_col)), F.lit("")).alias("hash"), F.col(text_col).alias("text"))
-    sketched = checkpointed(sketches(hashed.select("id", "hash", shingles(F.col("text"), width).alias("s")), bands, rows))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    sketched = checkpointed(sketches(texts.select("id", _marked(F.col("text"), width)), bands, rows))
     classes = checkpointed(sketched.groupBy("hash").agg(F.min("id").alias("id"), F.any_value("keys").alias("keys")))
     every = classes.where("keys is not null").select("hash", F.posexplode("keys").alias("band", "key"))
     sizes = every.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1").drop("m")
     left = banded = checkpointed(every.join(sizes, ["band", "key"]))
-    needed = banded.select("hash").distinct()
-    # Rows of one hash have the same words, so any of them has the class's shingles.
-    cut = checkpointed(hashed.select("hash", shingles(F.col("text"), width).alias("s")).join(needed, "hash", "left_semi").groupBy("hash").agg(F.any_value("s").alias("s")))
+    needed = checkpointed(classes.join(banded.select("hash").distinct(), "hash").select(F.col("id").alias("first"), F.col("hash").alias("wanted")))
+    # A class's first row has its shingles, so no other is cut again. Rows without an id are found by their content.
+    same = F.col("first").eqNullSafe(F.col("id")) & F.when(F.col("first").isNull(), F.col("wanted")).eqNullSafe(F.when(F.col("id").isNull(), content_hash(F.col("text"))))
+    chosen = texts.join(F.broadcast(needed) if needed.count() <= BROADCAST else needed, same)
+    cut = checkpointed(chosen.select("wanted", _marked(F.col("text"), width)).where("hash = wanted").groupBy("hash").agg(F.any_value("s").alias("s")))
     links = checkpointed(banded.limit(0).select(F.col("hash").alias("a"), F.col("hash").alias("b")))
     while True:
         least = left.groupBy("band", "key").agg(F.min("hash").alias("a"), F.count("*").alias("m")).where("m > 1").drop("m")

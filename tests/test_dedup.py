@@ -69,3 +69,39 @@ def test_prefix_pairs_lose_nothing(spark):
     got = {tuple(r) for r in D.prefix_pairs(members, cut, 0.8).collect()}
     want = {(f"{i:03}", f"{j:03}") for j in range(len(sets)) for i in range(j) if i % 2 == j % 2 and len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j]))}
     assert want <= got and len(want) > 10 and len(got) < len(sets) ** 2 / 8
+
+
+def test_shingles_are_cut_again_only_where_bands_are_shared(spark, monkeypatch):
+    """Rows without an id and ids of several texts as well; of the second pass the plan joins before it cuts."""
+    plans, kept = [], D.checkpointed
+    monkeypatch.setattr(D, "checkpointed", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), kept(df))[1])
+    a, b = [" ".join(f"{k}{i}" for i in range(120)) for k in "ab"]
+    near = [t.replace("5 ", "5x ", 1) for t in (a, b)]
+    given = [(None, a), (7, near[0]), (None, a.upper()), (5, b), (5, near[1]), (5, "else"), (None, None), (3, "  "), (None, "alone")]
+    found = D.near_duplicates(spark.createDataFrame(given, "doc_id int, text string"), "doc_id", "text").collect()
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    assert sorted(map(key, found)) == sorted([(-1, -1, 7), (7, 7, 7), (-1, -1, 7), (5, 5, 5), (5, 5, 5), (5, 5, 5), (-1, -1, -1), (3, 3, 3), (-1, -1, -1)])
+    (second,) = [p for p in plans if "xxhash64" in p and p.startswith("Aggregate [hash")]
+    assert "Join" in second and second.index("xxhash64") < second.index("Join")
+
+
+def test_band_keys_of_lists_side_by_side(spark):
+    import numpy as np
+
+    def plain(hashes):
+        keys = []
+        for band in range(16):
+            key = band + 1
+            for row in range(4):
+                odd = (0x9E3779B97F4A7C15 * (2 * (band * 4 + row) + 1)) % (1 << 64) | 1
+                mixed = [((h % (1 << 64)) ^ (h % (1 << 64) >> 31)) * odd % (1 << 64) for h in hashes]
+                key = (key ^ min(m ^ (m >> 29) for m in mixed)) * 0xBF58476D1CE4E5B9 % (1 << 64)
+                key ^= key >> 32
+            keys.append(int(np.uint64(key).astype(np.int64)))
+        return keys
+
+    rng = random.Random(5)
+    lists = [[rng.randrange(-(1 << 63), 1 << 63) for _ in range(n)] for n in (1, 7, 300, 2)] + [[], None, [-1], [rng.randrange(1 << 62) for _ in range(33_000)], [0, 5]]
+    rows = spark.createDataFrame(list(enumerate(lists)), "i int, s array<bigint>").coalesce(1)
+    got = {r.i: r.k for r in rows.select("i", D.minhash(rows.s, 16, 4).alias("k")).collect()}
+    assert got == {i: plain(x) if x else None for i, x in enumerate(lists)}

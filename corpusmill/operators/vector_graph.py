@@ -23,8 +23,20 @@ from pyspark.sql.pandas.types import to_arrow_type
 from corpusmill.operators.vectors import _blocks, _matrix, _usable, ranked
 from corpusmill.session import checkpointed
 
-#: Rows of one matrix product.
-_ROWS = 1024
+#: Rows of one matrix product, and rows of it that are ordered at once: their places take three times the memory.
+_ROWS, _ORDERED = 1024, 128
+
+
+def _nearest(sims: np.ndarray, near: int) -> np.ndarray:
+    """The places of the ``near`` largest of each row, largest first."""
+    if not near:
+        return np.zeros((len(sims), 0), np.int64)
+    parts = []
+    for a in range(0, len(sims), _ORDERED):
+        some = sims[a : a + _ORDERED]
+        best = np.argpartition(-some, near - 1, axis=1)[:, :near]
+        parts.append(np.take_along_axis(best, np.argsort(-np.take_along_axis(some, best, axis=1), axis=1, kind="stable"), axis=1))
+    return np.concatenate(parts)
 
 
 def build(m: np.ndarray, degree: int, near: int) -> np.ndarray:
@@ -35,9 +47,7 @@ def build(m: np.ndarray, degree: int, near: int) -> np.ndarray:
     for a in range(0, n, _ROWS):
         sims = m[a : a + _ROWS] @ m.T
         sims[np.arange(len(sims)), np.arange(a, a + len(sims))] = -np.inf
-        best = np.argpartition(-sims, near - 1, axis=1)[:, :near] if near else np.zeros((len(sims), 0), np.int64)
-        best = np.take_along_axis(best, np.argsort(-np.take_along_axis(sims, best, axis=1), axis=1, kind="stable"), axis=1)
-        for i, places in enumerate(best):
+        for i, places in enumerate(_nearest(sims, near)):
             among = m[places] @ m[places].T
             own, kept = sims[i, places], []
             for j in range(near):
@@ -142,16 +152,17 @@ class GraphIndex:
         out_kind = to_arrow_type(id_kind)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q = sent.value / np.sqrt((sent.value**2).sum(axis=1, keepdims=True))
             for batch in batches:
                 for at in range(len(batch)):
                     (row,) = batch.slice(at, 1).to_pylist()
                     m = np.frombuffer(row["vectors"], np.float32).reshape(-1, dims)
                     links = np.frombuffer(row["links"], np.int32).reshape(len(m), row["width"])
-                    for a in range(0, len(q), 512):
-                        places, scores, _ = search(m, links, q[a : a + 512].astype(np.float32), k, ef, np.array(row["entries"]))
+                    for a in range(0, len(qids), 512):
+                        q = sent.value[a : a + 512]
+                        q = q / np.sqrt((q**2).sum(axis=1, keepdims=True))
+                        places, scores, _ = search(m, links, q.astype(np.float32), k, ef, np.array(row["entries"]))
                         r, c = np.nonzero(places >= 0)
-                        exact = np.round(np.einsum("ij,ij->i", q[a + r], m[places[r, c]].astype(np.float64)), 6)
+                        exact = np.round(np.einsum("ij,ij->i", q[r], m[places[r, c]].astype(np.float64)), 6)
                         ids = [row["ids"][p] for p in places[r, c].tolist()]
                         yield pa.RecordBatch.from_arrays([pa.array([qids[a + i] for i in r.tolist()], qid_kind), pa.array(ids, out_kind), pa.array(exact)], names=["qid", "id", "score"])
 

@@ -59,3 +59,15 @@ def test_odd_vectors(spark):
     index = G.GraphIndex(frame, id_col="id", vector_col="v")
     assert [(r.qid, r.id) for r in index.search(asked, k=2).orderBy("rank").collect()] == [(1, 1), (1, 7)]
     assert G.GraphIndex(frame.limit(0), id_col="id", vector_col="v").search(asked, k=2).collect() == []
+
+
+def test_a_block_is_built_in_little_memory():
+    import tracemalloc
+
+    m = unit(np.random.default_rng(4).normal(size=(3000, 16)))
+    tracemalloc.start()
+    links = G.build(m, 8, 32)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert links.shape == (3000, 16)
+    assert peak < 2.5 * 4 * G._ROWS * len(m)  # a product of 1,024 rows and what orders some of them

@@ -18,6 +18,30 @@ def test_equal_rings_are_compared_once_and_all_pairs_come_back(spark):
     assert sorted(found, key=repr) == sorted(((i, j) for j in range(20) for i in at[j % 2]), key=repr)
 
 
+def test_pairs_of_rings_that_many_have_take_little_room(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    ids = lambda n, name: spark.range(n).select((F.col("id") * 7_919 % 1_000_003).alias(name), F.lit(None).alias("x"))
+    at = lambda lat: F.array(*[F.array(F.lit(a), F.lit(b)) for a, b in square(lat, 9.0, 0.1)])
+    left = ids(3_003, "id").select("id", at(48.0).alias("ring")).unionByName(spark.range(5).select(F.lit(None).cast("long").alias("id"), at(52.0).alias("ring")))
+    right = ids(701, "area_id").select("area_id", at(48.05).alias("area")).unionByName(ids(20, "area_id").select("area_id", at(52.05).alias("area")))
+    SP.polygon_join(left, right, left_id="id", left_ring="ring", right_id="area_id", right_ring="area").write.parquet(f"{tmp_path}/pairs")
+    found = spark.read.parquet(f"{tmp_path}/pairs")
+    assert found.count() == 3_003 * 701 + 5 * 20 and found.distinct().count() == 3_003 * 701 + 20
+    assert found.where("id is null").groupBy("area_id").count().where("count = 5").count() == 20
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.4 * 3_003 * 701
+
+
+def test_runs_are_multiples_of_eight_but_for_the_rest(spark):
+    from pyspark.sql import functions as F
+
+    sizes = (0, 1, 7, 8, 12, 256, 257, 300, 1024, 1031)
+    got = spark.createDataFrame([(n, list(range(n))) for n in sizes], "n int, ids array<int>").select("n", SP._runs(F.col("ids")).alias("runs")).collect()
+    for r in got:
+        assert [x for run in r.runs for x in run] == list(range(r.n)) and all(0 < len(run) <= SP.RUN for run in r.runs)
+        assert all(len(run) % 8 == 0 for run in r.runs[:-1]) and sum(len(run) % 8 > 0 for run in r.runs) == (r.n % 8 > 0)
+
+
 def test_hulls_are_rimmed_in_one_step_on_all_cores(spark):
     import math
 

@@ -1,8 +1,10 @@
 """Queries beside their SQL over small tables with odd rows."""
 
 import duckdb
+import pytest
 
 from corpusmill import plans
+from corpusmill.operators import retrieval as R
 from tests.oracle import compare
 
 
@@ -47,3 +49,22 @@ def test_domains_lower_a_text_once(spark, tmp_path):
     beside_sql(spark, tmp_path, "r21_domain_scoring", documents=([(6 * i + k, x) for i, x in enumerate(texts) for k in range(6)], "doc_id long, text string"))
     plan = plans.QUERIES["r21_domain_scoring"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("lower(") == 1
+
+
+PASSAGES = ("Alpha beta gamma delta epsilon", "eta gamma del", "gamma", "amm", "", "ΟΔΟΣ", "Der ΟΔΟΣ. Weg ist lang und schmal", "eg ist", "§", "nirgends", "Alpha BETA gamma delta epsilon", "a-b c", "beta gamma delta epsilon zeta eta theta iota", "dieser", "welche")
+TEXTS = ("Alpha beta gamma delta epsilon zeta eta theta iota kappa", "xAlpha beta gamma delta epsilony", "Der ΟΔΟΣ. Weg ist lang und schmal, § 5", "Unda-b cd gamma", "Alpha BETA gamma delta", "", "und und und", "In dieser Lage, welche es auch sei")
+
+
+@pytest.mark.parametrize("name", ["a5_lexical_search_eval", "r17_variant_sweep", "r18_pool_comparison"])
+def test_passages_of_any_length_have_gold(spark, tmp_path, name):
+    benchmark = ([(i, p) for i, p in enumerate(PASSAGES)] + [(None, "gamma"), (98, "gamma"), (99, None)], "item_id long, text string")
+    documents = ([(i, x, ("en", "de")[i % 3 % 2]) for i, x in enumerate(TEXTS * 3)], "doc_id long, text string, lang string")
+    beside_sql(spark, tmp_path, name, benchmark=benchmark, documents=documents)
+
+
+def test_a_short_passage_is_found_inside_of_a_word(spark):
+    items = spark.createDataFrame([(i, p) for i, p in enumerate(PASSAGES)] + [(None, "gamma"), (99, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(TEXTS)] + [(None, TEXTS[0]), (50, None)], "doc_id long, text string")
+    got = R.containing(docs, items, id_col="doc_id", text_col="text", pid_col="item_id", passage_col="text").collect()
+    want = {(d.doc_id, i.item_id) for d in docs.collect() for i in items.collect() if None not in (d.text, i.text) and i.text in d.text}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)

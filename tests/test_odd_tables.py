@@ -68,3 +68,13 @@ def test_a_short_passage_is_found_inside_of_a_word(spark):
     got = R.containing(docs, items, id_col="doc_id", text_col="text", pid_col="item_id", passage_col="text").collect()
     want = {(d.doc_id, i.item_id) for d in docs.collect() for i in items.collect() if None not in (d.text, i.text) and i.text in d.text}
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_cases_are_read_to_their_ends(spark, tmp_path):
+    from hashlib import md5
+
+    odd = ' "quoted" \\n back\\slash\t\r\n\r\n\r\n\n\n\n<p>x</p> {"text": "y"} [1, 2] [Picture] § 5 ä😀 ­- $ 12 Abs. und- oder'
+    texts = ("a" * 400 + "b", "a" * 400 + "c", ("wort " * 90 + odd) * 40, odd, "kurz", "", None, "x" * 200_000 + "- y")
+    rows = [(3 * i + k, x) for i, x in enumerate(texts) for k in range(3)]
+    found = {(r.dump, r.pos): r.h for r in beside_sql(spark, tmp_path, "s8_case_dumps", documents=(rows, "doc_id long, text string"))}
+    assert all(found[d, 0] == md5(texts[d // 3].encode()).hexdigest() for d in range(6)) and found[21, 1] == md5(("x" * 200_000 + "_y").encode()).hexdigest()

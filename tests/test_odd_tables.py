@@ -62,10 +62,11 @@ def test_passages_of_any_length_have_gold(spark, tmp_path, name):
     beside_sql(spark, tmp_path, name, benchmark=benchmark, documents=documents)
 
 
-def test_a_short_passage_is_found_inside_of_a_word(spark):
+@pytest.mark.parametrize("few", [0, 256])
+def test_a_short_passage_is_found_inside_of_a_word(spark, few):
     items = spark.createDataFrame([(i, p) for i, p in enumerate(PASSAGES)] + [(None, "gamma"), (99, None)], "item_id long, text string")
     docs = spark.createDataFrame([(i, x) for i, x in enumerate(TEXTS)] + [(None, TEXTS[0]), (50, None)], "doc_id long, text string")
-    got = R.containing(docs, items, id_col="doc_id", text_col="text", pid_col="item_id", passage_col="text").collect()
+    got = R.containing(docs, items, id_col="doc_id", text_col="text", pid_col="item_id", passage_col="text", few=few).collect()
     want = {(d.doc_id, i.item_id) for d in docs.collect() for i in items.collect() if None not in (d.text, i.text) and i.text in d.text}
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
